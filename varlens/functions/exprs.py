@@ -25,13 +25,23 @@ def md5_key(id_col: Column, seed) -> Column:
     return F.md5(F.concat(id_col.cast("string"), F.lit("|"), F.lit(str(seed))))
 
 
+def round6(c: Column) -> Column:
+    """Round to 6 decimals with plain IEEE arithmetic, floor(x * 1e6 + 0.5) / 1e6,
+    so that Spark and the SQL oracle give the same bits for the same input
+    (Spark's ``round`` rounds the decimal text, other engines the binary
+    value, and the two disagree on ties).  Values beyond 1e12 pass unrounded
+    (no overflow of the integer floor); adding 0.0 turns -0.0 into 0.0."""
+    x = c.cast("double")
+    r = F.floor(x * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)
+    return F.when(F.abs(x) < F.lit(1e12), r).otherwise(x) + F.lit(0.0)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double/float column (the oracle compares at 6 decimals).
-    Adding 0.0 turns a -0.0 result into 0.0."""
+    """Round every double/float column (the oracle compares at 6 decimals)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name))
+            cols.append(round6(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

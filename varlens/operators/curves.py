@@ -293,20 +293,23 @@ def sliding_window_counts(st: DataFrame, keys: Sequence[str], start: float = 0.5
     """Counts and error rate in sliding windows ``s <= conf < s + window`` for
     s in arange(start, stop, step), per predicted class (CRV-13).  Each
     distinct confidence is sent only to the few windows that can hold it (a
-    bounded explode) and membership is tested exactly."""
+    bounded explode) and membership is tested exactly.  Starts are
+    ``start + i * delta`` with ``delta = (start + step) - start``, which is how
+    ``np.arange`` fills a float range."""
     import math
     n_starts = int(math.ceil((stop - start) / step))
+    delta = (start + step) - start
     reach = int(math.ceil(window / step)) + 1
     ct = _conf_table(st)
     hi = F.floor((F.col("conf") - F.lit(start)) / F.lit(step)).cast("int") + 1
     cand = F.sequence(F.greatest(hi - reach, F.lit(0)), F.least(hi, F.lit(n_starts - 1)))
     ex = ct.select(*keys, "yhat", _n().alias("w"), "n_wrong_at", "conf", F.explode(
         F.when(hi >= 0, cand).otherwise(F.array().cast("array<int>"))).alias("i"))
-    s = F.col("i").cast("double") * F.lit(step) + F.lit(start)
+    s = F.lit(start) + F.col("i").cast("double") * F.lit(delta)
     inside = (F.col("conf") >= s) & (F.col("conf") < s + F.lit(window))
     per = (ex.where(inside).groupBy(*keys, "yhat", "i")
              .agg(F.sum("w").alias("n"), F.sum("n_wrong_at").alias("n_wrong")))
-    return per.select(*keys, "yhat", "i", (F.col("i").cast("double") * F.lit(step) + F.lit(start)).alias("start"),
+    return per.select(*keys, "yhat", "i", (F.lit(start) + F.col("i").cast("double") * F.lit(delta)).alias("start"),
                       "n", "n_wrong",
                       (100.0 * F.col("n_wrong") / F.greatest(F.col("n"), F.lit(1))).alias("error_rate"))
 
@@ -315,11 +318,15 @@ def cumulative_mean(st: DataFrame, keys: Sequence[str], n_buckets: int | None =
     """Running mean of the ascending-sorted scores (CRV-14), reported at the
     end of each tie block: n_le = rows with score <= s, cum_mean = their mean.
     Inside a tie block the running mean moves linearly in the count, so the
-    per-row curve is fully determined by these points."""
-    vc = regroup(st, keys).select(*keys, "score", _n().alias("n"), (F.col("score") * _n()).alias("s"))
+    per-row curve is fully determined by these points.  Score sums are exact
+    decimals, so the result does not depend on the order of additions."""
+    dec = "decimal(38,12)"
+    vc = regroup(st, keys).select(*keys, "score", _n().alias("n"),
+                                  (F.col("score").cast(dec) * _n()).cast(dec).alias("s"))
     cum = prefix_sum(vc, keys, "score", ["n", "s"], inclusive=True, suffix="_le",
                      n_buckets=n_buckets, splits_from=st)
-    return cum.select(*keys, "score", "n", F.col("n_le"), (F.col("s_le") / F.col("n_le")).alias("cum_mean"))
+    return cum.select(*keys, "score", "n", F.col("n_le"),
+                      (F.col("s_le").cast("double") / F.col("n_le")).alias("cum_mean"))
 
 
 def fill_interior_zeros(curve: DataFrame, keys: Sequence[str], pos: str, value: str) -> DataFrame:

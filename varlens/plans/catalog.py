@@ -57,4 +57,17 @@ def oracle_sql() -> dict[str, str]:
 
 def r6(expr: str, alias: str) -> str:
     """SQL for a double output column rounded like ``round_doubles``."""
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {alias}"
+    x = f"CAST({expr} AS DOUBLE)"
+    r = f"CAST(floor({x} * CAST('1000000.0' AS DOUBLE) + CAST('0.5' AS DOUBLE)) AS DOUBLE) / CAST('1000000.0' AS DOUBLE)"
+    return f"(CASE WHEN abs({x}) < CAST('1e12' AS DOUBLE) THEN {r} ELSE {x} END) + CAST('0.0' AS DOUBLE) AS {alias}"
+
+
+def dbl(x: float) -> str:
+    """A double literal in SQL that parses to exactly the Python float."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def lin_sql(k: str, start: float, stop: float, num: int) -> str:
+    """SQL for the k-th value of np.linspace(start, stop, num)."""
+    step = (float(stop) - float(start)) / (num - 1)
+    return f"(CASE WHEN {k} = {num - 1} THEN {dbl(stop)} ELSE CAST({k} AS DOUBLE) * {dbl(step)} + {dbl(start)} END)"
