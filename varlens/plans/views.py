@@ -6,7 +6,7 @@ one division).  Every view is given twice: as a DataFrame built from the
 scans, and as the SQL text of a CTE for the DuckDB oracle.  Keep them in step.
 
 pred        (run, fold, epoch, id, grp, score, label)   from lineitem
-variants    (id, gene, position, label_txt, feature, ptype, name)  from part
+variants    (id, gene, position, label_txt, feature, ptype, name, symbol)  from part
 align       (family, gene, col, ch)                     from documents
 positions   (family, gene, position, cls)               from documents
 """
@@ -69,6 +69,9 @@ def variants_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").alias("feature"),
         F.col("p_type").alias("ptype"),
         F.col("p_name").alias("name"),
+        F.concat(F.when(F.col("p_size") % 5 == 0, "KCNQ").when(F.col("p_size") % 5 == 1, "HCN")
+                  .when(F.col("p_size") % 5 == 2, "SCN").when(F.col("p_size") % 5 == 3, "CACNA")
+                  .otherwise("Sh"), (F.col("p_partkey") % 9 + 1).cast("string")).alias("symbol"),
     )
 
 
@@ -115,7 +118,9 @@ SQL_VIEWS = {
     "variants": """SELECT p_partkey AS id, p_brand AS gene, p_size AS position,
         CASE WHEN p_type IN ('ECONOMY','SMALL') THEN 'lof'
              WHEN p_type IN ('LARGE','PROMO') THEN 'gof' ELSE 'neutral' END AS label_txt,
-        p_retailprice AS feature, p_type AS ptype, p_name AS name FROM part""",
+        p_retailprice AS feature, p_type AS ptype, p_name AS name,
+        CASE p_size % 5 WHEN 0 THEN 'KCNQ' WHEN 1 THEN 'HCN' WHEN 2 THEN 'SCN' WHEN 3 THEN 'CACNA' ELSE 'Sh' END
+          || CAST(p_partkey % 9 + 1 AS VARCHAR) AS symbol FROM part""",
     "align": f"""SELECT lang AS family, doc_id AS gene, g.col AS col,
         CASE WHEN substr(text, g.col, 1) = ' ' THEN '-' ELSE substr(text, g.col, 1) END AS ch
         FROM documents, LATERAL (SELECT unnest(range(1, least(length(text), {ALIGN_WIDTH}) + 1)) AS col) g""",
