@@ -1 +1,127 @@
-"""Registered queries."""
+"""Registered queries: alignment-density features (DEN-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from varlens.operators import density as D
+from varlens.plans.catalog import r6, register
+from varlens.plans.views import align_view, positions_view, with_views
+
+_RES = """res AS (SELECT family, gene, col, CAST(row_number() OVER (PARTITION BY family, gene ORDER BY col) AS INTEGER) AS residue
+    FROM align WHERE ch <> '-'),
+nres AS (SELECT family, gene, max(residue) AS n FROM res GROUP BY family, gene)"""
+_FREQ = """cnt AS (SELECT family, gene, cls, position, count(*) AS freq FROM positions GROUP BY ALL),
+fq AS (SELECT c.family, c.gene, c.cls, r.col, c.freq FROM cnt c JOIN res r
+    ON c.family = r.family AND c.gene = r.gene AND c.position = r.residue),
+prof AS (SELECT family, cls, col, sum(freq) AS freq FROM fq GROUP BY ALL)"""
+_MA = """offs AS (SELECT w.width, CAST(k AS INTEGER) AS k FROM (VALUES (10), (3)) w(width), range(-4, 6) r(k)
+    WHERE k BETWEEN -((w.width - 1) // 2) AND w.width // 2),
+ong AS (SELECT r.family, r.gene, r.residue, p.cls, p.freq, nres.n FROM res r
+    JOIN prof p ON r.family = p.family AND r.col = p.col JOIN nres ON r.family = nres.family AND r.gene = nres.gene
+    WHERE p.freq <> 0),
+ma AS (SELECT family, gene, cls, width, CAST(((residue - 1 - k) % n + n) % n + 1 AS INTEGER) AS residue,
+    sum(CAST(freq AS DOUBLE) / width) AS dens FROM ong, offs GROUP BY ALL)"""
+_DMAP = """per AS (SELECT family, gene, residue AS position,
+    sum(dens) FILTER (WHERE cls = 1 AND width = 10) AS densgof, sum(dens) FILTER (WHERE cls = 1 AND width = 3) AS densgof3aa,
+    sum(dens) FILTER (WHERE cls = 0 AND width = 10) AS denslof, sum(dens) FILTER (WHERE cls = 0 AND width = 3) AS denslof3aa
+    FROM ma GROUP BY ALL),
+dm AS (SELECT p.family, p.gene, p.k, p.position, p.cls,
+    coalesce(per.densgof, 0.0) AS densgof, coalesce(per.densgof3aa, 0.0) AS densgof3aa,
+    coalesce(per.denslof, 0.0) AS denslof, coalesce(per.denslof3aa, 0.0) AS denslof3aa
+    FROM positions p LEFT JOIN per ON p.family = per.family AND p.gene = per.gene AND p.position = per.position)"""
+_DCOLS = ["densgof", "densgof3aa", "denslof", "denslof3aa"]
+
+
+def _al(spark, sf):
+    return align_view(spark, sf)
+
+
+@register("den01_residue_columns", with_views(f"WITH {_RES} SELECT family, gene, col, residue FROM res", "align"))
+def den01_residue_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignment column of each residue (k-th non-gap column)."""
+    return D.residue_columns(_al(spark, sf))
+
+
+@register("den02_position_frequency", with_views(f"WITH {_RES}, {_FREQ} SELECT family, gene, cls, col, freq FROM fq",
+                                                 "align", "positions"))
+def den02_position_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """Variant counts per gene and class on alignment columns."""
+    return D.position_frequency(positions_view(spark, sf), D.residue_columns(_al(spark, sf)))
+
+
+@register("den03_family_profile", with_views(f"WITH {_RES}, {_FREQ} SELECT family, cls, col, freq FROM prof",
+                                             "align", "positions"))
+def den03_family_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Sum over each family's genes per class and column."""
+    rc = D.residue_columns(_al(spark, sf))
+    return D.family_profile(D.position_frequency(positions_view(spark, sf), rc))
+
+
+@register("den04_ring_average", with_views(f"""WITH {_RES}, {_FREQ}, {_MA}
+SELECT family, gene, cls, width, residue, {r6('dens', 'dens')} FROM ma""", "align", "positions"))
+def den04_ring_average(spark: SparkSession, sf: str) -> DataFrame:
+    """Family profile on each gene's residues, circular moving average (10 and 3)."""
+    rc = D.residue_columns(_al(spark, sf))
+    prof = D.family_profile(D.position_frequency(positions_view(spark, sf), rc))
+    return D.ring_average(prof, rc)
+
+
+@register("den05_gather", with_views(f"""WITH {_RES}, {_FREQ}, {_MA}
+SELECT p.family, p.gene, p.k, p.position, ma.cls, ma.width, {r6('ma.dens', 'dens')}
+FROM positions p JOIN ma ON p.family = ma.family AND p.gene = ma.gene AND p.position = ma.residue""",
+    "align", "positions"))
+def den05_gather(spark: SparkSession, sf: str) -> DataFrame:
+    """Density values at each variant's position (non-zero ones)."""
+    rc = D.residue_columns(_al(spark, sf))
+    pos = positions_view(spark, sf)
+    dens = D.ring_average(D.family_profile(D.position_frequency(pos, rc)), rc)
+    return pos.join(dens.withColumnRenamed("cls", "dcls").withColumnRenamed("residue", "position"),
+                    ["family", "gene", "position"]).select("family", "gene", "k", "position",
+                                                           F.col("dcls").alias("cls"), "width", "dens")
+
+
+@register("den06_density_map", with_views(f"""WITH {_RES}, {_FREQ}, {_MA}, {_DMAP}
+SELECT family, gene, k, position, cls, {", ".join(r6(c, c) for c in _DCOLS)} FROM dm""", "align", "positions"))
+def den06_density_map(spark: SparkSession, sf: str) -> DataFrame:
+    """densgof, densgof3aa, denslof, denslof3aa for every variant row."""
+    pos = positions_view(spark, sf)
+    return D.density_map(pos, pos, _al(spark, sf))
+
+
+@register("den07_standardize_round", with_views(f"""WITH {_RES}, {_FREQ}, {_MA}, {_DMAP},
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _DCOLS)} FROM dm)
+SELECT family, gene, k, position, cls, {", ".join(
+    f"round_even((CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE {c} - m_{c} END) * 100.0, 0) / 100.0 AS {c}"
+    for c in _DCOLS)} FROM dm, st""", "align", "positions"))
+def den07_standardize_round(spark: SparkSession, sf: str) -> DataFrame:
+    """The density map z-scored over all variant rows and rounded to 2 decimals."""
+    pos = positions_view(spark, sf)
+    return D.standardize_round(D.density_map(pos, pos, _al(spark, sf)), _DCOLS)
+
+
+@register("den08_apply_to_split", with_views(f"""WITH {_RES},
+cnt AS (SELECT family, gene, cls, position, count(*) AS freq FROM positions WHERE gene % 2 = 0 GROUP BY ALL),
+fq AS (SELECT c.family, c.gene, c.cls, r.col, c.freq FROM cnt c JOIN res r
+    ON c.family = r.family AND c.gene = r.gene AND c.position = r.residue),
+prof AS (SELECT family, cls, col, sum(freq) AS freq FROM fq GROUP BY ALL), {_MA}, {_DMAP}
+SELECT t.family, t.gene, t.k, {", ".join(r6('dm.' + c, c) for c in _DCOLS)}
+FROM (SELECT * FROM positions WHERE gene % 2 = 1) t LEFT JOIN dm
+  ON t.family = dm.family AND t.gene = dm.gene AND t.k = dm.k""", "align", "positions"))
+def den08_apply_to_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Map fitted on the even genes, applied to the odd genes by a left join."""
+    pos = positions_view(spark, sf)
+    dm = D.density_map(pos.where(F.col("gene") % 2 == 0), pos, _al(spark, sf))
+    test = pos.where(F.col("gene") % 2 == 1).select("family", "gene", "k")
+    return test.join(dm.select("family", "gene", "k", *_DCOLS), ["family", "gene", "k"], "left")
+
+
+@register("den09_cross_fitted")
+def den09_cross_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-fitted densities: outer folds by gene, 5 inner folds; every row
+    of dev(o) gets the map fitted without its inner fold, outer test rows the
+    map fitted on all of dev(o).  Checked against direct refits in tests."""
+    pos = positions_view(spark, sf).withColumn("outer", (F.col("gene") % 4).cast("int")).withColumn(
+        "inner", (F.pmod(F.xxhash64("gene", "k"), F.lit(5))).cast("int"))
+    return D.cross_fitted(pos, _al(spark, sf), "outer", "inner")

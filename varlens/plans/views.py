@@ -8,7 +8,7 @@ scans, and as the SQL text of a CTE for the DuckDB oracle.  Keep them in step.
 pred        (run, fold, epoch, id, grp, score, label)   from lineitem
 variants    (id, gene, position, label_txt, feature, ptype, name, symbol)  from part
 align       (family, gene, col, ch)                     from documents
-positions   (family, gene, position, cls)               from documents
+positions   (family, gene, k, position, cls)            from documents
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def positions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (base.filter(F.col("n_res") > 0)
                 .select("family", "gene", "n_res",
                         F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
-                .select("family", "gene",
+                .select("family", "gene", F.col("k").cast("int").alias("k"),
                         ((F.col("gene") * F.col("k")) % F.col("n_res") + 1).cast("int").alias("position"),
                         (F.col("k") % 2).cast("int").alias("cls")))
 
@@ -124,7 +124,7 @@ SQL_VIEWS = {
     "align": f"""SELECT lang AS family, doc_id AS gene, g.col AS col,
         CASE WHEN substr(text, g.col, 1) = ' ' THEN '-' ELSE substr(text, g.col, 1) END AS ch
         FROM documents, LATERAL (SELECT unnest(range(1, least(length(text), {ALIGN_WIDTH}) + 1)) AS col) g""",
-    "positions": f"""SELECT family, gene, CAST((gene*k) % n_res + 1 AS INTEGER) AS position,
+    "positions": f"""SELECT family, gene, CAST(k AS INTEGER) AS k, CAST((gene*k) % n_res + 1 AS INTEGER) AS position,
         CAST(k % 2 AS INTEGER) AS cls
         FROM (SELECT lang AS family, doc_id AS gene,
                      length(replace(substr(text, 1, {ALIGN_WIDTH}), ' ', '')) AS n_res
