@@ -156,3 +156,30 @@ def avg_rank(df: DataFrame, keys: Sequence[str], value: str, *, descending: bool
                     splits_from=df.select(value).where(F.col(value).isNotNull()))
     return (ps.withColumnRenamed("n_below", "below")
               .withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0))
+
+
+def prefix_extreme(df: DataFrame, keys: Sequence[str], order, value: str, fn: str = "max", *,
+                   descending: bool = False, out: str | None = None, n_buckets: int | None = None,
+                   bucket_on: Column | None = None) -> DataFrame:
+    """Running max (or min) of ``value`` per key along ``order``, inclusive,
+    with the same range-bucketed plan as ``prefix_sum`` (max and min are
+    associative, so bucket results combine with the bucket's carry-in)."""
+    keys = list(keys)
+    orders = [order] if isinstance(order, (str, Column)) else list(order)
+    ocols = [F.col(o) if isinstance(o, str) else o for o in orders]
+    agg = F.max if fn == "max" else F.min
+    comb = F.greatest if fn == "max" else F.least
+    lead = (bucket_on if bucket_on is not None else ocols[0]).cast("double")
+    lead = -lead if descending else lead
+    base = df.withColumn("__o", lead)
+    splits = quantile_splits(base.select("__o"), "__o", n_buckets or default_buckets(df))
+    b = bucketize(base, "__o", splits, "__b")
+    tot = b.groupBy(*keys, "__b").agg(agg(value).alias("__t"))
+    wk = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select(*keys, "__b", agg("__t").over(wk).alias("__carry"))
+    j = _null_safe_join(b, carry, keys + ["__b"], "inner")
+    sort = [c.desc() for c in ocols] if descending else [c.asc() for c in ocols]
+    w = Window.partitionBy(*keys, "__b").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    local = agg(value).over(w)
+    res = F.when(F.col("__carry").isNull(), local).otherwise(comb(local, F.col("__carry")))
+    return j.withColumn(out or f"{value}_{fn}", res).drop("__o", "__b", "__carry")
