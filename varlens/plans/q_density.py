@@ -38,10 +38,16 @@ def _al(spark, sf):
     return align_view(spark, sf)
 
 
-@register("den01_residue_columns", with_views(f"WITH {_RES} SELECT family, gene, col, residue FROM res", "align"))
+@register("den01_residue_columns", with_views(f"""WITH {_RES}
+SELECT family, gene, count(*) AS n_residues, max(col) AS last_col, CAST(sum(CAST(col AS BIGINT) * residue) AS BIGINT) AS checksum
+FROM res GROUP BY family, gene""", "align"))
 def den01_residue_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """Alignment column of each residue (k-th non-gap column)."""
-    return D.residue_columns(_al(spark, sf))
+    """Alignment column of each residue (k-th non-gap column), reported per
+    gene: residue count, last column and sum(col * residue) over all residues."""
+    rc = D.residue_columns(_al(spark, sf))
+    return rc.groupBy("family", "gene").agg(
+        F.count(F.lit(1)).alias("n_residues"), F.max("col").alias("last_col"),
+        F.sum(F.col("col").cast("long") * F.col("residue")).alias("checksum"))
 
 
 @register("den02_position_frequency", with_views(f"WITH {_RES}, {_FREQ} SELECT family, gene, cls, col, freq FROM fq",
@@ -60,12 +66,19 @@ def den03_family_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("den04_ring_average", with_views(f"""WITH {_RES}, {_FREQ}, {_MA}
-SELECT family, gene, cls, width, residue, {r6('dens', 'dens')} FROM ma""", "align", "positions"))
+SELECT family, gene, cls, width, count(*) AS n_nonzero, {r6('sum(dens)', 'total')}, {r6('max(dens)', 'peak')},
+  {r6('sum(dens * residue)', 'moment')} FROM ma GROUP BY family, gene, cls, width""", "align", "positions"))
 def den04_ring_average(spark: SparkSession, sf: str) -> DataFrame:
-    """Family profile on each gene's residues, circular moving average (10 and 3)."""
+    """Family profile on each gene's residues, circular moving average
+    (widths 10 and 3), over the whole ring; reported per gene, class and
+    width as the non-zero count, total (the ring average keeps the profile
+    mass), peak and first moment."""
     rc = D.residue_columns(_al(spark, sf))
     prof = D.family_profile(D.position_frequency(positions_view(spark, sf), rc))
-    return D.ring_average(prof, rc)
+    ring = D.ring_average(prof, rc)
+    return ring.groupBy("family", "gene", "cls", "width").agg(
+        F.count(F.lit(1)).alias("n_nonzero"), F.sum("dens").alias("total"), F.max("dens").alias("peak"),
+        F.sum(F.col("dens") * F.col("residue")).alias("moment"))
 
 
 @register("den05_gather", with_views(f"""WITH {_RES}, {_FREQ}, {_MA}

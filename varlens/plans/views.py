@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 from varlens.sources.tables import table
 
-# Width of the alignment slice cut from each document.
-ALIGN_WIDTH = 200
-
-
 def _score(ok: Column, pk: Column, ln: Column) -> Column:
     return ((ok * 31 + pk * 17 + ln * 7) % 1000).cast("double") / 1000.0
 
@@ -76,12 +72,13 @@ def variants_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def align_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment in long form: the first ALIGN_WIDTH characters of each
-    document are one gapped row, a space is a gap.  ``col`` is 1-based."""
+    """Alignment in long form: each whole document is one gapped row (its
+    characters are the columns, a space is a gap).  ``col`` is 1-based.
+    Characters are split on code points."""
     d = table(spark, sf_dir, "documents")
-    row = F.substring(F.col("text"), 1, ALIGN_WIDTH)
+    chars = F.regexp_extract_all(F.col("text"), F.lit("(?s)."), 0)
     return (d.select(F.col("lang").alias("family"), F.col("doc_id").alias("gene"),
-                     F.posexplode(F.split(row, "")).alias("pos0", "ch"))
+                     F.posexplode(chars).alias("pos0", "ch"))
              .select("family", "gene", (F.col("pos0") + 1).alias("col"),
                      F.when(F.col("ch") == " ", "-").otherwise(F.col("ch")).alias("ch")))
 
@@ -91,8 +88,7 @@ def positions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``(doc_id*k) % residues + 1`` with class ``k % 2``.  Genes without residues
     get none."""
     d = table(spark, sf_dir, "documents")
-    row = F.substring(F.col("text"), 1, ALIGN_WIDTH)
-    residues = F.length(F.regexp_replace(row, " ", ""))
+    residues = F.length(F.regexp_replace(F.col("text"), " ", ""))
     base = d.select(F.col("lang").alias("family"), F.col("doc_id").alias("gene"),
                     residues.alias("n_res"))
     return (base.filter(F.col("n_res") > 0)
@@ -121,13 +117,13 @@ SQL_VIEWS = {
         p_retailprice AS feature, p_type AS ptype, p_name AS name,
         CASE p_size % 5 WHEN 0 THEN 'KCNQ' WHEN 1 THEN 'HCN' WHEN 2 THEN 'SCN' WHEN 3 THEN 'CACNA' ELSE 'Sh' END
           || CAST(p_partkey % 9 + 1 AS VARCHAR) AS symbol FROM part""",
-    "align": f"""SELECT lang AS family, doc_id AS gene, g.col AS col,
+    "align": """SELECT lang AS family, doc_id AS gene, g.col AS col,
         CASE WHEN substr(text, g.col, 1) = ' ' THEN '-' ELSE substr(text, g.col, 1) END AS ch
-        FROM documents, LATERAL (SELECT unnest(range(1, least(length(text), {ALIGN_WIDTH}) + 1)) AS col) g""",
-    "positions": f"""SELECT family, gene, CAST(k AS INTEGER) AS k, CAST((gene*k) % n_res + 1 AS INTEGER) AS position,
+        FROM documents, LATERAL (SELECT unnest(range(1, length(text) + 1)) AS col) g""",
+    "positions": """SELECT family, gene, CAST(k AS INTEGER) AS k, CAST((gene*k) % n_res + 1 AS INTEGER) AS position,
         CAST(k % 2 AS INTEGER) AS cls
         FROM (SELECT lang AS family, doc_id AS gene,
-                     length(replace(substr(text, 1, {ALIGN_WIDTH}), ' ', '')) AS n_res
+                     length(replace(text, ' ', '')) AS n_res
               FROM documents) d, (SELECT unnest(range(1, 6)) AS k) kk
         WHERE n_res > 0""",
 }
