@@ -1 +1,97 @@
-"""Registered queries."""
+"""Registered queries: feature encoding and scaling (FEA-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from varlens.operators import features as X
+from varlens.operators import arrays as A
+from varlens.plans.catalog import r6, register
+from varlens.plans.views import variants_view, with_views
+from varlens.sources.tables import table
+
+_TXT = """'"' || lower(ptype) || ',' || split_part(name, ' ', 1) || ';' || lower(ptype) || '"'"""
+
+
+@register("fea01_multi_hot", with_views(f"""SELECT term, count(DISTINCT id) AS n FROM (
+  SELECT id, unnest(string_split_regex(replace({_TXT}, '"', ''), '[,;]')) AS term FROM variants) GROUP BY term""",
+    "variants"))
+def fea01_multi_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Quoted ','/';' term strings to 0/1 long form (duplicates once); rows per term."""
+    v = variants_view(spark, sf)
+    txt = F.concat(F.lit('"'), F.lower("ptype"), F.lit(","), F.get(F.split("name", " "), 0), F.lit(";"),
+                   F.lower("ptype"), F.lit('"'))
+    long = X.multi_hot_long(v, "id", X.term_list(txt))
+    return long.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("fea02_categorical_index", with_views("""SELECT ptype, CAST(row_number() OVER (ORDER BY count(*) DESC, ptype) - 1 AS DOUBLE) AS idx,
+  count(*) AS n FROM variants GROUP BY ptype""", "variants"))
+def fea02_categorical_index(spark: SparkSession, sf: str) -> DataFrame:
+    """StringIndexer order (frequency, ties alphabetical) behind the one-hot vectors."""
+    out, _ = X.index_categories(variants_view(spark, sf).select("id", "ptype"), "ptype", "ptype_vec")
+    return out.groupBy("ptype", F.col("ptype_vec_idx").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("fea05_first_per_key", with_views("""SELECT gene, id, position FROM (
+  SELECT gene, id, position, row_number() OVER (PARTITION BY gene ORDER BY position, id) AS rn FROM variants) WHERE rn = 1""",
+    "variants"))
+def fea05_first_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Duplicates dropped, then the first row per gene by (position, id)."""
+    v = variants_view(spark, sf).select("gene", "id", "position")
+    return X.keep_first_per_key(v, "gene", [F.col("position"), F.col("id")])
+
+
+@register("fea06_constant_impute", with_views(f"""SELECT id, {r6('coalesce(CASE WHEN position % 7 = 0 THEN NULL ELSE feature END, 0.0)', 'f')}
+FROM variants""", "variants"))
+def fea06_constant_impute(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing values set to 0."""
+    v = variants_view(spark, sf).select("id", F.when(F.col("position") % 7 == 0, F.lit(None)).otherwise(
+        F.col("feature")).alias("f"))
+    return v.na.fill(0.0, ["f"])
+
+
+@register("fea07_standardize_train_test", with_views(f"""WITH x AS (SELECT id, position % 2 AS part,
+    CASE WHEN position % 7 = 0 THEN NULL ELSE feature END AS f FROM variants),
+st AS (SELECT avg(f) AS m, stddev_pop(f) AS s FROM x WHERE part = 0)
+SELECT id, {r6('CASE WHEN s > 0 THEN (coalesce(f, m) - m) / s ELSE 0.0 END', 'f')} FROM x, st WHERE part = 1""",
+    "variants"))
+def fea07_standardize_train_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean imputation and z-score fitted on the training half, applied to the test half."""
+    x = variants_view(spark, sf).select("id", (F.col("position") % 2).alias("part"), F.when(
+        F.col("position") % 7 == 0, F.lit(None)).otherwise(F.col("feature")).alias("f"))
+    stats = X.fit_standard(x.where(F.col("part") == 0), ["f"])
+    return X.apply_standard(x.where(F.col("part") == 1).select("id", "f"), stats, ["f"])
+
+
+@register("fea09_axis_normalize", f"""WITH x AS (SELECT vec_id, d.dim, CAST(d.x AS DOUBLE) AS x FROM embeddings,
+  LATERAL (SELECT generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x) d),
+st AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY dim)
+SELECT vec_id, CAST(x.dim AS INTEGER) AS dim, {r6('(x - m) / (s + 1e-8)', 'x')} FROM x JOIN st ON x.dim = st.dim""")
+def fea09_axis_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-feature normalisation of the (vector, feature) tensor in long form."""
+    long = A.explode_dims(table(spark, sf, "embeddings"), ["vec_id"], "embedding")
+    return X.axis_normalize(long, "dim")
+
+
+@register("fea10_tfidf", with_views(f"""WITH t AS (SELECT DISTINCT gene, unnest(string_split(name, ' ')) AS term FROM variants),
+nd AS (SELECT count(DISTINCT gene) AS n FROM t),
+df AS (SELECT term, count(DISTINCT gene) AS d FROM t GROUP BY term),
+w AS (SELECT t.gene, t.term, ln((1.0 + n) / (1.0 + d)) + 1.0 AS w FROM t JOIN df ON t.term = df.term, nd),
+nr AS (SELECT gene, sqrt(sum(w * w)) AS nrm FROM w GROUP BY gene)
+SELECT w.gene, w.term, {r6('w.w / nr.nrm', 'tfidf')} FROM w JOIN nr ON w.gene = nr.gene""", "variants"))
+def fea10_tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothed TF-IDF of the genes' 0/1 word matrix, rows at unit L2 norm."""
+    t = variants_view(spark, sf).select("gene", F.explode(F.split("name", " ")).alias("term")).distinct()
+    return X.tfidf_long(t.withColumn("value", F.lit(1.0)), "gene").withColumnRenamed("gene", "gene")
+
+
+@register("fea11_pad_lists", with_views("""WITH l AS (SELECT id, list_transform(string_split(name, ' '), lambda w: length(w)) AS a FROM variants)
+SELECT id, (SELECT max(len(a)) FROM l) AS n, list_sum(a) AS total FROM l""", "variants"))
+def fea11_pad_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Word-length lists padded with 0 to the longest list."""
+    v = variants_view(spark, sf).select("id", F.transform(F.split("name", " "), lambda w: F.length(w)).alias("a"))
+    p = X.pad_lists(v, "a", "padded")
+    return p.select("id", F.size("padded").alias("n"),
+                    F.aggregate("padded", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))

@@ -1 +1,50 @@
-"""Registered queries."""
+"""Registered queries: model stage (ML-*).  Approximate by nature (random
+restarts, tree sampling): checked on row counts and invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from varlens.operators import curves as C
+from varlens.operators import metrics as M
+from varlens.operators import ml as ML
+from varlens.plans.catalog import register
+from varlens.sources.tables import table
+
+_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("ml01_gbt_holdout")
+def ml01_gbt_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """Gradient-boosted trees (reference settings) predicting the R return
+    flag from the numeric line columns; hold-out = orders with key % 5 = 0;
+    ROC-AUC of the margin and balanced accuracy at margin > 0."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", *_COLS,
+                                             (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    train, test = li.where(F.col("l_orderkey") % 5 != 0), li.where(F.col("l_orderkey") % 5 == 0)
+    scored = ML.gbt_margin(train, test, _COLS).withColumn("run", F.lit("gbt"))
+    st = M.score_table(scored, ("run",))
+    auc = C.roc_auc(st, ["run"])
+    cm = M.with_metrics(M.confusion_from_table(st, ["run"], cut=0.0), ["balanced_accuracy", "mcc"])
+    return auc.join(cm.select("run", "balanced_accuracy", "mcc"), "run")
+
+
+@register("ml05_kmeans")
+def ml05_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    """k-means (k = 8, seed 404, 10 restarts) on the embedding vectors; cluster sizes."""
+    from pyspark.ml.functions import array_to_vector
+    e = table(spark, sf, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
+    out = ML.kmeans_best(e, ["v"], 8, 404, 10)
+    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ml07_pca")
+def ml07_pca(spark: SparkSession, sf: str) -> DataFrame:
+    """Two principal components of the centred embeddings: explained variance
+    ratios and the projection's mean (0 after centring)."""
+    from pyspark.ml.functions import array_to_vector
+    e = table(spark, sf, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
+    out, ratio = ML.pca_scores(e, ["v"], 2)
+    means = out.agg(F.avg(F.get("pcs", 0)).alias("pc1_mean"), F.avg(F.get("pcs", 1)).alias("pc2_mean"))
+    return means.select(F.lit(ratio[0]).alias("ratio1"), F.lit(ratio[1]).alias("ratio2"), "pc1_mean", "pc2_mean")
