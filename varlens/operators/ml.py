@@ -60,5 +60,5 @@ def pca_scores(df: DataFrame, cols: Sequence[str], k: int = 2) -> tuple[DataFram
     a = assemble(df, cols, "raw")
     centred = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=False).fit(a).transform(a)
     model = PCA(k=k, inputCol="features", outputCol="pcs").fit(centred)
-    out = centred.withColumn("pcs", vector_to_array("pcs")).drop("raw", "features")
+    out = model.transform(centred).withColumn("pcs", vector_to_array("pcs")).drop("raw", "features")
     return out, list(model.explainedVariance.toArray())
