@@ -280,3 +280,23 @@ def agg17_running_moments(spark: SparkSession, sf: str) -> DataFrame:
     """Mergeable moments (count, mean, population and sample variance) per label."""
     x = A.explode_dims(table(spark, sf, "embeddings"), ["label"], "embedding")
     return A.moments(x, ["label"])
+
+
+@register("agg17_streaming_moments", f"""WITH x AS (SELECT label, CAST(d.x AS DOUBLE) AS x FROM embeddings,
+  LATERAL (SELECT unnest(embedding) AS x) d)
+SELECT label, count(x) AS count, {r6('avg(x)', 'mean')}, {r6('var_pop(x)', 'var_pop')},
+  {r6('var_samp(x)', 'var_samp')} FROM x GROUP BY label""")
+def agg17_streaming_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """The moments of AGG-17 computed by a streaming query over the
+    embedding rows, which are written as a folder of files and consumed
+    incrementally (availableNow trigger)."""
+    import uuid
+    from varlens.sources.io import scratch_dir
+    from varlens.streaming.moments import run_to_table, streaming_moments
+    folder = scratch_dir(spark, "stream-in")
+    e = table(spark, sf, "embeddings").select("label", "embedding")
+    e.repartition(4, "label").write.parquet(folder)
+    name = "moments_" + uuid.uuid4().hex[:8]
+    out = run_to_table(streaming_moments(spark, folder, "label int, embedding array<float>", "label", "embedding"),
+                       name, scratch_dir(spark, "stream-ckpt"))
+    return out.select("label", "count", "mean", "var_pop", "var_samp")

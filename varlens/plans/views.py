@@ -88,7 +88,8 @@ def positions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``(doc_id*k) % residues + 1`` with class ``k % 2``.  Genes without residues
     get none."""
     d = table(spark, sf_dir, "documents")
-    residues = F.length(F.regexp_replace(F.col("text"), " ", ""))
+    residues = F.length(F.regexp_replace(F.col("text"), "[ -]", ""))  # gaps: space and '-'
+
     base = d.select(F.col("lang").alias("family"), F.col("doc_id").alias("gene"),
                     residues.alias("n_res"))
     return (base.filter(F.col("n_res") > 0)
@@ -123,7 +124,7 @@ SQL_VIEWS = {
     "positions": """SELECT family, gene, CAST(k AS INTEGER) AS k, CAST((gene*k) % n_res + 1 AS INTEGER) AS position,
         CAST(k % 2 AS INTEGER) AS cls
         FROM (SELECT lang AS family, doc_id AS gene,
-                     length(replace(text, ' ', '')) AS n_res
+                     length(replace(replace(text, ' ', ''), '-', '')) AS n_res
               FROM documents) d, (SELECT unnest(range(1, 6)) AS k) kk
         WHERE n_res > 0""",
 }
