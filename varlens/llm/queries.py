@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlens.llm import langid, quality
+from varlens.llm import langid, packing, pieces, quality, secrets, toxicity, urls
 from varlens.llm.common import is_remainder, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,39 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          base_failed.alias("base_failed"), (~base_failed & F.col("passed")).alias("kept"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = is_remainder(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = is_remainder(F.col("doc_id"), 4, 2)
@@ -29,7 +62,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {"op2_quality_rules": op2_quality_rules, "op9_language_id": op9_language_id}
+    return {f.__name__: f for f in (op2_quality_rules, op4_url_filters, op5_toxicity, op6_secret_scans, op7_sentencepiece,
+                                    op8_best_fit_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
