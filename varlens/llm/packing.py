@@ -318,6 +318,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, search_nodes: int = SEARCH_N
     for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["n"]
     shared = rows.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity, search_nodes), capacity))
+    names = rows.columns
     out = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +330,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, search_nodes: int = SEARCH_N
             for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
                 if len(own):
                     sequence[own], offset[own] = shared.value.find(int(length[own[0]]), rank[own])
-            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in rows.schema]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=out.names)
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     return ranked(rows).mapInArrow(place, out)
 

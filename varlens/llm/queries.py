@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlens.llm import langid, packing, pieces, quality, secrets, toxicity, urls
+from varlens.llm import fingerprints, jaccard, langid, packing, pieces, quality, secrets, toxicity, urls
 from varlens.llm.common import is_remainder, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          base_failed.alias("base_failed"), (~base_failed & F.col("passed")).alias("kept"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                        "near_edited", "near_next")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -61,9 +67,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_url_filters, op5_toxicity, op6_secret_scans, op7_sentencepiece,
-                                    op8_best_fit_packing, op9_language_id)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_fingerprints, op4_url_filters, op5_toxicity, op6_secret_scans, op7_sentencepiece,
+                                    op8_best_fit_packing, op9_language_id, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
