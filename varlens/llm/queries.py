@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlens.llm import fingerprints, jaccard, langid, packing, pieces, quality, secrets, toxicity, urls
+from varlens.llm import fingerprints, jaccard, langid, lm, packing, pieces, quality, secrets, toxicity, urls
 from varlens.llm.common import is_remainder, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = is_remainder(F.col("doc_id"), 7, 2)
+    scored = lm.score(docs, ~held_out)
+    return scored.select("doc_id", is_remainder(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(docs, measures=True)
@@ -72,7 +79,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_fingerprints, op4_url_filters, op5_toxicity, op6_secret_scans, op7_sentencepiece,
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_fingerprints, op4_url_filters, op5_toxicity, op6_secret_scans, op7_sentencepiece,
                                     op8_best_fit_packing, op9_language_id, op10_ngram_jaccard)}
 
 

@@ -8,7 +8,8 @@ over two classes turns it into a probability.  A text is as toxic as its most
 toxic window, so a short passage counts in a long text.  Embeddings and softmax
 are trained jointly in numpy (Adam, full batches) on the texts' labels: the
 first rounds through a soft maximum over a text's windows, the last through the
-maximum itself.
+maximum itself.  Only n-grams whose shares of toxic and of other texts differ
+clearly get a vector (``LEAST_Z``); the others' is zero.
 
 Learning reads at most about ``SAMPLE_PER_CLASS`` labelled rows per class,
 chosen by a hash of their id.
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows learned from, per class.
-SAMPLE_PER_CLASS = 1000
-BUCKETS, DIM, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 32
-ROUNDS, RATE = 160, 0.05
+SAMPLE_PER_CLASS = 1500
+BUCKETS, DIM, GRAMS, WINDOW, STEP = 1 << 18, 8, (3, 4, 5, 6), 128, 64
+ROUNDS, RATE, DECAY = 150, 0.05, 1e-5
+#: Standard errors by which an n-gram's shares of toxic and other texts differ at least.
+LEAST_Z = 4.5
 #: Words whose share of the logit a Python worker remembers.
 CACHE_WORDS = 500_000
 #: Longest word taken in whole into the n-grams; a longer one is cut into such parts.
@@ -64,7 +67,7 @@ def grams(word: bytes) -> list[int]:
 
 def windows(n: int) -> np.ndarray:
     """Starts of the windows over n words."""
-    return np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
+    return np.arange(0, max(1, n - WINDOW + STEP), STEP)
 
 
 class Model:
@@ -119,56 +122,82 @@ class _Sparse:
         return self._sum(self.by_column, dense, self.shape[1])
 
 
+def telling(texts: list[list[bytes]], y: np.ndarray, least: float = LEAST_Z) -> np.ndarray:
+    """Buckets whose share of toxic texts and of other texts differ by at least
+    ``least`` standard errors; the others would only memorise single texts."""
+    in_toxic, in_other = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    known: dict[bytes, list[int]] = {}
+    for own, toxic in zip(texts, y):
+        found: set[int] = set()
+        for w in set(own):
+            if w not in known:
+                known[w] = grams(w)
+            found.update(known[w])
+        (in_toxic if toxic else in_other)[list(found)] += 1
+    n1, n0 = y.sum(), len(y) - y.sum()
+    p = (in_toxic + in_other) / len(y)
+    z = (in_toxic / n1 - in_other / n0) / np.sqrt(np.maximum(p * (1 - p), 0.5 / len(y) ** 2) * (1 / n1 + 1 / n0))
+    return np.flatnonzero(np.abs(z) >= least)
+
+
 def train(texts: list[list[bytes]], labels: list[int], rounds: int = ROUNDS, seed: int = 5) -> Model:
     """Joint training on texts given as lists of words."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), -50.0)
-    vocabulary: dict[bytes, int] = {}
-    window_of: list[np.ndarray] = []
-    word_of: list[np.ndarray] = []
-    weight: list[np.ndarray] = []
+    buckets = telling(texts, y)
+    row = {b: i for i, b in enumerate(buckets.tolist())}
+    vocabulary: dict[bytes, int] = {}  # words that hold a telling n-gram
+    parts: list[tuple[int, int, float]] = []  # word, bucket's row, weight
+    other: set[bytes] = set()
+    bag: list[tuple[int, int, float]] = []  # window, word, weight
     first = [0]
     for own in texts:
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in own], np.int64)
-        start = windows(len(ids))
-        for k, s in enumerate(start):
-            part = ids[s:s + WINDOW]
-            window_of.append(np.full(len(part), first[-1] + k))
-            word_of.append(part)
-            weight.append(np.full(len(part), 1 / max(1, len(part))))
+        start = windows(len(own))
+        for i, w in enumerate(own):
+            if w in other:
+                continue
+            if w not in vocabulary:
+                of = grams(w)
+                held = [row[g] for g in of if g in row]
+                if not held:
+                    other.add(w)
+                    continue
+                parts += [(len(vocabulary), g, 1 / len(of)) for g in held]
+                vocabulary[w] = len(vocabulary)
+            for k in range(max(0, i // STEP - WINDOW // STEP + 1), min(len(start), i // STEP + 1)):
+                bag.append((first[-1] + k, vocabulary[w], 1 / min(WINDOW, len(own) - start[k])))
         first.append(first[-1] + len(start))
     starts = np.array(first[:-1])
-    bag = _Sparse(np.concatenate(window_of), np.concatenate(word_of), np.concatenate(weight), (first[-1], len(vocabulary)))
-    lists = [grams(w) for w in vocabulary]
-    sizes = np.array([len(g) for g in lists])
-    buckets, dense = np.unique(np.concatenate([np.array(g) for g in lists]), return_inverse=True)
-    mean = _Sparse(np.repeat(np.arange(len(lists)), sizes), dense, np.repeat(1 / sizes, sizes), (len(lists), len(buckets)))
+    text_of = np.repeat(np.arange(len(y)), np.diff(first))
+    columns = lambda rows: [np.array(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+    bags = _Sparse(*columns(bag), (first[-1], max(1, len(vocabulary))))
+    mean = _Sparse(*columns(parts), (max(1, len(vocabulary)), max(1, len(buckets))))
 
     rng = np.random.default_rng(seed)
-    p = [rng.normal(0, 0.1, (len(buckets), DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    p = [rng.normal(0, 0.1, (max(1, len(buckets)), DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    text_of = np.repeat(np.arange(len(y)), np.diff(first))
-    class_weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for step in range(1, rounds + 1):
-        vectors = mean.times(p[0])
-        average = bag.times(vectors)
+        average = bags.times(mean.times(p[0])) * WINDOW
         logits = average @ p[1] + p[2]
         gap = logits[:, 1] - logits[:, 0]
-        top = np.maximum.reduceat(gap, starts)
-        soft = np.exp((gap - top[text_of]) * (1 if step < rounds // 3 else 4 if step < 2 * rounds // 3 else 50))
+        sharpness = 1 if step < rounds // 3 else 4 if step < 2 * rounds // 3 else 50
+        soft = np.exp((gap - np.maximum.reduceat(gap, starts)[text_of]) * sharpness)
         soft /= np.add.reduceat(soft, starts)[text_of]
         z = np.add.reduceat(soft * gap, starts)
-        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * class_weight
+        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
         d_gap = (error[text_of] * soft).astype(np.float32)
         d_logits = np.stack([-d_gap, d_gap], 1)
-        gradients = [mean.transposed_times(bag.transposed_times(d_logits @ p[1].T)), average.T @ d_logits + 1e-5 * p[1], d_logits.sum(0)]
+        gradients = [mean.transposed_times(bags.transposed_times(d_logits @ p[1].T * WINDOW)) + DECAY * p[0],
+                     average.T @ d_logits + DECAY * p[1], d_logits.sum(0)]
         for i, g in enumerate(gradients):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             p[i] = p[i] - RATE * (m[i] / (1 - 0.9 ** step)) / (np.sqrt(v[i] / (1 - 0.999 ** step)) + 1e-8)
     share = np.zeros(BUCKETS)
-    share[buckets] = p[0] @ (p[1][:, 1] - p[1][:, 0])
+    if len(buckets):
+        share[buckets] = WINDOW * (p[0] @ (p[1][:, 1] - p[1][:, 0]))
     return Model(share, float(p[2][1] - p[2][0]))
 
 
