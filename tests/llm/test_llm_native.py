@@ -46,7 +46,7 @@ def test_next_row_across_ranges(spark, buckets):
 def test_single_empty_and_repeated_documents(spark):
     one = spark.createDataFrame([(7, "a b c d e f")], "doc_id long, text string")
     r = fingerprints.with_edits(one).first()
-    assert r["near_next"] == 1.0 and r["edited"] == "a b c a b c"[:6] + "a b c"[:5] or r["n_chars"] == 11
+    assert r["near_next"] == 1.0 and r["n_chars"] == 11 and r["edited"] == "a b c a b c"
     assert fingerprints.with_edits(one.where("false")).count() == 0
     twice = fingerprints.with_edits(awkward(spark, "low edited next_text").drop("n_chars")).collect()
     assert len(twice) == len(awkward_rows())
@@ -113,11 +113,11 @@ def test_propagation_matches_power_iteration(spark):
     links = spark.createDataFrame([(f"h{i}", f"h{j}", int(weight[i, j])) for i in range(n) for j in range(n) if weight[i, j]], "src string, dst string, n long")
     seeds = spark.createDataFrame([(f"h{i}", float(trust[i]), float(distrust[i])) for i in range(n) if i != 3], "host string, trust double, distrust double")
     trust[3] = distrust[3] = 0  # a host that is only linked to
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(seeds, links, rounds=80, tolerance=1e-9).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(seeds, links, rounds=12, tolerance=0.0).collect()}
     out = weight / np.maximum(weight.sum(1, keepdims=True), 1)
     into = weight / np.maximum(weight.sum(0, keepdims=True), 1)
     t, d = trust, distrust
-    for _ in range(300):
+    for _ in range(12):
         t, d = trust + urls.DAMPING * t @ out, distrust + urls.DAMPING * into @ d
     for i in range(n):
         assert got.get(f"h{i}", (0, 0)) == (pytest.approx(t[i], abs=1e-5), pytest.approx(d[i], abs=1e-5))

@@ -157,7 +157,9 @@ def test_toxicity_on_awkward_rows(spark):
 
 
 def test_model_scores_are_normalised():
-    lex = lm.Lexicon([(b"", 5), (b"a", 4), (b"b", 3)], np.zeros(lm.TAILS), np.zeros(lm.TAILS), 12, 3)
+    words = [(b"", 5), (b"a", 4), (b"b", 3)]
+    n, v = (np.bincount([lm.tail_class(w) for w, _ in words], x, lm.TAILS) for x in ([c for _, c in words], [1, 1, 1]))
+    lex = lm.Lexicon(words, n, v, 12, 3)
     model = lm.Model(lex.unigram)
     rng = np.random.default_rng(0)
     w = rng.integers(0, 3, 5000)

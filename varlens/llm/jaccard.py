@@ -31,7 +31,8 @@ Counts, minima and components use partial aggregation; joins on keys and ids
 are equi-joins that adaptive execution splits where one key is hot.
 
 Defined results: without words a set is empty and links with nothing; rows with
-one id are one document; a null id has no links and a null component; an empty
+one id are one document, and of several texts under it the one with most
+shingles (then the greatest digest) counts; a null id has no links and a null component; an empty
 table gives an empty table.
 """
 
@@ -128,6 +129,12 @@ class Bands:
                 yield side, keys, len(keys) - spoilt - 1
 
 
+def digest(h: np.ndarray) -> tuple[int, int]:
+    if not len(h):
+        return 0, 0
+    return int(h.sum(dtype=_U).view(np.int64)), int(np.bitwise_xor.reduce(mix(h ^ _ODD[3])).view(np.int64))
+
+
 def sketch(h: np.ndarray) -> np.ndarray:
     bits = np.bincount((h & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
@@ -161,7 +168,7 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         def rows():
             for doc, data in _texts(batches):
                 h = shingle(data)
-                yield (doc, len(h), int(h.sum(dtype=_U).view(np.int64)), int(np.bitwise_xor.reduce(mix(h ^ _ODD[3])).view(np.int64)) if len(h) else 0, *sketch(h).tolist())
+                yield (doc, len(h), *digest(h), *sketch(h).tolist())
 
         yield from _batched(rows(), [pa.int64()] * (2 + 2 + SKETCH), ["doc_id", *names], 2000)
 
@@ -214,29 +221,34 @@ def _linkable(a: str, b: str, percent: int) -> Column:
             & (apart * (100 + percent) <= (100 - percent) * (n(a) + n(b))))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, width: int, percent: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b, same; distinct).  ``same``: the sets are
     known to be equal.  The others' sets are made again from their texts and the
     two of a pair are brought together."""
     pairs = stored(pairs)
-    roles = (pairs.where(~F.col("same")).select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-             .groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id"))
-    roles = stored(roles)
-    if roles.count() <= BROADCAST_ROWS:
-        roles = F.broadcast(roles)
-    schema = "doc_id long, hashes array<long>"
+    wanted = pairs.where(~F.col("same")).select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "doc_id"))
+    ids = stored(wanted.select("doc_id").distinct().join(one.select("doc_id", "d0", "d1"), "doc_id"))
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
-        rows = ((doc, shingle(data).view(np.int64)) for doc, data in _texts(batches))
-        yield from _batched(rows, [pa.int64(), pa.list_(pa.int64())], ["doc_id", "hashes"], 200)
-
-    sets = (docs.select(F.col("doc_id").cast("long"), "text").join(roles, "doc_id", "left_semi").mapInArrow(run, schema))
-    wanted = pairs.where(~F.col("same")).select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    together = wanted.join(sets, "doc_id").groupBy("a", "b").agg(F.collect_list("hashes").alias("two"))  # two sets a pair
-    one, other = F.get("two", F.lit(0)), F.get("two", F.lit(1))
-    common = F.size(F.array_intersect(one, other))
-    linked = together.where(100 * common >= percent * (F.size(one) + F.size(other) - common)).select("a", "b")
+
+        def rows():
+            for batch in batches:
+                for doc, data, d0, d1 in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                    h = shingle(data)
+                    if digest(h) == (d0, d1):  # of several texts under one id, the one that stands for it
+                        yield doc, h.view(np.int64)
+
+        yield from _batched(rows(), [pa.int64(), pa.list_(pa.int64())], ["doc_id", "hashes"], 200)
+
+    sets = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(ids, "doc_id")
+            .select("doc_id", "text", "d0", "d1").mapInArrow(run, "doc_id long, hashes array<long>"))
+    of = lambda side: F.first(F.when(F.col("side") == side, F.col("hashes")), ignorenulls=True).alias(f"h{side}")
+    together = wanted.join(sets, "doc_id").groupBy("a", "b").agg(of(0), of(1))  # two sets a pair
+    common = F.size(F.array_intersect("h0", "h1"))
+    linked = together.where(100 * common >= percent * (F.size("h0") + F.size("h1") - common)).select("a", "b")
     return pairs.where("same").select("a", "b").unionByName(linked)
 
 
@@ -269,14 +281,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(a, b): links whose components are those of all links."""
-    one = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).dropDuplicates(["doc_id"])
+    rest = [c for c in sets.columns if c != "doc_id"]
+    one = (sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("doc_id")
+           .agg(F.max(F.struct(*rest)).alias("set")).select("doc_id", "set.*"))
+    one = stored(one)
     sides = lambda ids, name: one.select(F.col("doc_id").alias(ids), F.struct(*[c for c in one.columns if c != "doc_id"]).alias(name))
     rows = stored(prefixes(block_keys(docs, width, percent)))
     least = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
     stars = rows.join(least, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     same = (F.col("x.n") == F.col("y.n")) & (F.col("x.d0") == F.col("y.d0")) & (F.col("x.d1") == F.col("y.d1"))
     first = verified(stars.join(sides("a", "x"), "a").join(sides("b", "y"), "b").where(_linkable("x", "y", percent))
-                     .select("a", "b", same.alias("same")), docs, width, percent)
+                     .select("a", "b", same.alias("same")), docs, one, width, percent)
     first = stored(first)
 
     labels = components(first)
@@ -289,7 +304,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int = WIDTH, percent: int = P
     across = (side("x").join(side("y"), "key")
               .where((F.col("x.component") < F.col("y.component")) & _linkable("x", "y", percent))
               .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), same.alias("same")).distinct())
-    return first.unionByName(verified(across, docs, width, percent))
+    return first.unionByName(verified(across, docs, one, width, percent))
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
