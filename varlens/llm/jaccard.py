@@ -88,10 +88,12 @@ class Shingler:
             self.cache[w] = xxhash.xxh64_intdigest(w)
         a = np.fromiter(map(self.cache.__getitem__, words), _U, len(words))
         width = min(self.width, len(a))
-        h = np.zeros(len(a) - width + 1, _U)
+        h = np.full(len(a) - width + 1, width, _U)
         for k in range(width):
-            h = mix(h + a[k:k + len(h)] * _ODD[k % len(_ODD)])
-        return np.unique(h + _U(width))
+            h += a[k:k + len(h)] * _U(2 * k + 1) * _ODD[k % len(_ODD)]
+        h = mix(h)
+        h.sort()
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 class Bands:
