@@ -1,0 +1,56 @@
+"""The queries' SQL against brute force, on small awkward tables."""
+
+import hashlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+from awkward import awkward_rows
+from test_llm_native import SECRETS, brute_spans
+from test_llm_texts import brute_measures
+from test_llm_tokens import brute_groups, near_copies
+
+from varlens.llm import quality, secrets
+from varlens.llm.sql import SQL
+
+
+def run(name, rows):
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64", "text": "string"}))
+    cursor = con.execute(SQL[name])
+    names = [d[0] for d in cursor.description]
+    return [dict(zip(names, r)) for r in cursor.fetchall()]
+
+
+def test_secret_spans():
+    rng = np.random.default_rng(5)
+    alphabet = list("ab01f=:'\" AKI9Zz/-_é") + ["token", "password", "AKIA", "0f9e8d7c"]
+    texts = SECRETS + ["".join(rng.choice(alphabet, 120)) for _ in range(80)]
+    rows = run("op6_secret_scans", list(enumerate(texts)))
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = brute_spans(texts[r["doc_id"]])
+        text = [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans]
+        assert r["spans"] == ",".join(text)
+        assert r["base_sha256"] == hashlib.sha256(",".join(t for t, s in zip(text, spans) if s[1] < 3).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+
+
+def test_quality_measures_and_verdicts():
+    rng = np.random.default_rng(2)
+    texts = [r[1] for r in awkward_rows()] + ["\n".join(rng.choice(["a b", "c", " ", "", "d#|é x y", "THE SHIP", "a b c d e f g h"], 14)) for _ in range(60)]
+    rows = run("op2_quality_rules", list(enumerate(texts)))
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_measures(text)
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        assert r["base_failed"] == failed
+        assert r["kept"] == (not failed and not any(x.rejects(quality.Text((text or "").encode())) for x in quality.RULES))
+
+
+def test_components():
+    rows = near_copies(5, 90) + [(1, None), (2, ""), (3, " \n"), (5, "a B c"), (6, "A b C")]
+    got = {r["doc_id"]: r["component_id"] for r in run("op10_ngram_jaccard", rows)}
+    assert got == brute_groups(rows)
+    assert got[1] == 1 and got[2] == 2 and got[6] == 5

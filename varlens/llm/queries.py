@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varlens.llm import fingerprints, jaccard, langid, lm, packing, pieces, quality, secrets, toxicity, urls
 from varlens.llm.common import is_remainder, table
+from varlens.llm.sql import SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -84,4 +85,4 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
