@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,16 +46,15 @@ def test_ring_offsets_match_documented_filter():
 
 def test_density_with_gaps_and_short_gene(spark):
     # gene 1: gaps at start, middle and end; gene 2 shorter than the window
-    align = spark.createDataFrame(
-        [("f", 1, c + 1, ch) for c, ch in enumerate("--AB-CDE--")] +
-        [("f", 2, c + 1, ch) for c, ch in enumerate("X-Y-------")], "family string, gene long, col int, ch string")
+    genes = D.gene_columns(spark.createDataFrame([("f", 1, "--AB-CDE--"), ("f", 2, "X-Y-------")],
+                                                 "family string, gene long, row string"))
     variants = spark.createDataFrame([("f", 1, 1, 1), ("f", 1, 5, 1), ("f", 2, 2, 1), ("f", 1, 3, 0)],
                                      "family string, gene long, position int, cls int")
-    rc = {(r.gene, r.residue): r.col for r in D.residue_columns(align).collect()}
+    rc = {(r.gene, r.residue): r.col for r in D.residue_columns(genes).collect()}
     assert rc[(1, 1)] == 3 and rc[(1, 3)] == 6 and rc[(2, 2)] == 3
-    prof = D.family_profile(D.position_frequency(variants, D.residue_columns(align)))
+    prof = D.family_profile(D.position_frequency(variants, genes))
     ring = {(r.gene, r.cls, r.width, r.residue): r.dens
-            for r in D.ring_average(prof, D.residue_columns(align)).collect()}
+            for r in D.ring_average(prof, genes).collect()}
     # brute force: profile of class 1 on columns, projected to each gene
     prof_cols = {(r.cls, r.col): r.freq for r in prof.collect()}
     for gene, n in ((1, 5), (2, 2)):
@@ -67,10 +67,60 @@ def test_density_with_gaps_and_short_gene(spark):
 
 
 def test_position_past_end_raises(spark):
-    align = spark.createDataFrame([("f", 1, 1, "A"), ("f", 1, 2, "-")], "family string, gene long, col int, ch string")
-    variants = spark.createDataFrame([("f", 1, 2, 1)], "family string, gene long, position int, cls int")
-    with pytest.raises(Exception):
-        D.position_frequency(variants, D.residue_columns(align)).collect()
+    genes = D.gene_columns(spark.createDataFrame([("f", 1, "A-")], "family string, gene long, row string"))
+    for position in (2, 0):
+        variants = spark.createDataFrame([("f", 1, position, 1)], "family string, gene long, position int, cls int")
+        with pytest.raises(Exception, match="past the end"):
+            D.position_frequency(variants, genes).collect()
+    folded = variants.selectExpr("*", "0 as outer", "0 as inner")
+    with pytest.raises(Exception, match="past the end"):
+        D.cross_fitted(folded, genes, "outer", "inner").collect()
+
+
+def test_density_map_counts_shared_variants_only(spark):
+    """Two variants on one residue, one of them outside the feature table: the
+    residue counts once.  Five residues, width 10: the window of every residue
+    goes twice round, so 2 x 1 / 10; width 3: 1 / 3 at the residue and beside it."""
+    genes = D.gene_columns(spark.createDataFrame([("f", 1, "ABCDE")], "family string, gene long, row string"))
+    train = spark.createDataFrame([("a", "f", 1, 2, 1), ("b", "f", 1, 2, 1)], "id string, family string, gene long, position int, cls int")
+    feats = spark.createDataFrame([("a", "f", 1, 2, 1), ("c", "f", 1, 3, 1), ("d", "f", 1, 5, 0)], train.schema)
+    got = {r.id: (r.densgof, r.densgof3aa, r.denslof) for r in D.density_map(train, feats, genes, ["id"]).collect()}
+    for name, third in (("a", 1 / 3), ("c", 1 / 3), ("d", 0.0)):
+        assert abs(got[name][0] - 0.2) < 1e-12 and abs(got[name][1] - third) < 1e-12 and got[name][2] == 0
+    near = {r.id: r.densgof for r in D.density_map(train, feats, genes, ["id"], widths=(3,)).withColumn("densgof", F.col("densgof3aa")).collect()}
+    assert abs(near["a"] - 1 / 3) < 1e-12
+
+
+def test_zeros_are_filled_from_the_first_point(spark):
+    from varlens.operators.curves import fill_interior_zeros
+    curve = spark.createDataFrame([("r", i, float(v)) for i, v in enumerate([0, 0, 0, 4, 0, 2, 0])], "run string, i int, y double")
+    got = [r.y for r in fill_interior_zeros(curve, ("run",), "i", "y").orderBy("i").collect()]
+    assert [round(y, 6) for y in got] == [0, 1.333333, 2.666667, 4, 3, 2, 0]
+
+
+def test_fraction_of_a_class_rounds_half_to_even(spark):
+    rows = [(i, "two") for i in range(2)] + [(10 + i, "six") for i in range(6)] + [(20 + i, "ten") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = {r.label: r["count"] for r in S.sample_per_class(df, ["label"], "id", 0.25).groupBy("label").count().collect()}
+    assert got == {"six": 2, "ten": 2}  # 0.5, 1.5 and 2.5 rows
+
+
+def test_delimited_files_are_comma_separated_by_default(spark, tmp_path):
+    from varlens.sources import io as IO
+    df = spark.createDataFrame([(1, "a,b"), (2, "c")], "id long, t string")
+    IO.write_by_extension(df, str(tmp_path / "x.csv"))
+    text = "".join(p.read_text() for p in (tmp_path / "x.csv").glob("part-*"))
+    assert '1,"a,b"' in text
+    assert sorted(map(tuple, IO.read_by_extension(spark, str(tmp_path / "x.csv"), "id long, t string").collect())) == [(1, "a,b"), (2, "c")]
+
+
+def test_jaccard_pairs_over_blocks(spark):
+    import itertools
+    sets = {f"g{i}": {t for t in range(12) if (i * 7 + t * t) % 5 < 2 or t == 0} for i in range(9)}
+    df = spark.createDataFrame([(g, t) for g, ts in sets.items() for t in ts], "g string, t int")
+    got = {(r.item_a, r.item_b): (r.inter, round(r.jaccard, 9)) for r in ST.jaccard_pairs(df, "g", "t", blocks=3).collect()}
+    assert got == {(a, b): (len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9))
+                   for a, b in itertools.combinations(sorted(sets), 2)}
 
 
 def test_stratified_kfold_counts(spark):
@@ -113,25 +163,74 @@ def test_cross_fitted_matches_direct_refits(spark):
     training set: dev(o) without the row's inner fold, or all of dev(o)."""
     import random
     rnd = random.Random(5)
-    align_rows, var_rows = [], []
+    rows, var_rows = [], []
     for g in range(6):
         row = "".join(rnd.choice("AB--C") for _ in range(25))
-        align_rows += [("f", g, c + 1, ch) for c, ch in enumerate(row)]
+        rows.append(("f", g, row))
         n = sum(ch != "-" for ch in row)
         for k in range(6):
             var_rows.append(("f", g, k, rnd.randint(1, n), k % 2, g % 3, (g + k) % 2))
-    align = spark.createDataFrame(align_rows, "family string, gene long, col int, ch string")
+    genes = D.gene_columns(spark.createDataFrame(rows, "family string, gene long, row string"))
     v = spark.createDataFrame(var_rows, "family string, gene long, k int, position int, cls int, outer int, inner int")
-    got = {(r.for_outer, r.gene, r.k): (r.densgof, r.denslof3aa)
-           for r in D.cross_fitted(v, align, "outer", "inner").collect()}
+    names = ("densgof", "densgof3aa", "denslof", "denslof3aa")
+    got = {(r.for_outer, r.gene, r.k): [r[c] for c in names] for r in D.cross_fitted(v, genes, "outer", "inner").collect()}
+    rounded = {(r.for_outer, r.gene, r.k): [r[c] for c in names] for r in D.cross_fitted(v, genes, "outer", "inner", digits=2).collect()}
+    assert len(got) == 3 * len(var_rows)
     for o in range(3):
-        for r in var_rows:
-            _, g, k, pos, cls, ro, ri = r
-            if ro == o:
-                train = v.where(F.col("outer") != o)
-            else:
-                train = v.where((F.col("outer") != o) & (F.col("inner") != ri))
-            dm = D.density_map(train, v, align).where((F.col("gene") == g) & (F.col("k") == k)).first()
-            exp = (dm.densgof, dm.denslof3aa) if dm is not None else (0.0, 0.0)
-            assert abs(got[(o, g, k)][0] - exp[0]) < 1e-9 and abs(got[(o, g, k)][1] - exp[1]) < 1e-9
-            break  # one row per outer fold keeps the test fast
+        for j in (None, 0, 1):  # the map of the outer test rows, and of each inner fold
+            train = v.where(F.col("outer") != o)
+            if j is not None:
+                train = train.where(F.col("inner") != j)
+            # the training rows are feature rows, so every row is looked up in one map
+            maps = {(r.gene, r.k): [r[c] for c in names] for r in D.density_map(train, v, genes, ["gene", "k"]).collect()}
+            own = [r for r in var_rows if (r[5] == o if j is None else r[5] != o and r[6] == j)]
+            table = np.array([maps[(r[1], r[2])] for r in own])
+            spread = table.std(0)
+            z = np.rint((table - table.mean(0)) / np.where(spread > 0, spread, 1) * 100) / 100
+            for r, x, y in zip(own, table, z):
+                assert np.allclose(got[(o, r[1], r[2])], x, atol=1e-9)
+                assert np.allclose(rounded[(o, r[1], r[2])], y, atol=0.0101)
+
+
+def test_p_values_against_published_tables(spark):
+    """Literal values from standard tables and worked examples."""
+    from varlens.operators import pvalues as P
+    d = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)], "d double")
+    t = P.paired_t(d, rho=0.25).first()  # mean 5.5, sd 3.02765, t = 5.7446 on 9 df
+    assert abs(t.t - 5.744562646) < 1e-6 and abs(t.p - 0.000278) < 2e-6 and t.p_corrected > t.p
+    w = P.wilcoxon(d).first()
+    assert w.w_plus == 55 and abs(w.p - 2 / 1024) < 1e-12  # all positive: 2 of 2^10 sign patterns
+    assert P.wilcoxon_p(0, 0, 0, 0) == 1.0
+    none = P.wilcoxon(d.select((F.col("d") * 0).alias("d"))).first()
+    assert none.n == 0 and none.p == 1.0
+    assert abs(P.wilcoxon_p(60, 60 * 61 / 4, 0, 0) - 1) < 1e-12
+    # U = 0 for 10 and 10 untied values: z = (50 - 0.5) / sqrt(175) = 3.7418
+    assert abs(P.rank_sum_p(10, 10, 0, 0) - 0.000182672) < 1e-7
+    assert abs(P.rank_sum_p(10, 10, 100, 0, "greater") - 0.000091336) < 1e-7
+    assert P.rank_sum_p(10, 10, 100, 0, "less") > 0.9999 and P.rank_sum_p(3, 4, 6, 7 ** 3 - 7) == 1.0
+    # limiting Kolmogorov distribution: 5 % at 1.3581, 1 % at 1.6276
+    assert abs(P.kolmogorov_p(1.3581 / 10, 200, 200) - 0.05) < 1e-4 and abs(P.kolmogorov_p(1.6276 / 10, 200, 200) - 0.01) < 1e-4
+
+
+def test_group_tests_and_pairwise_holm(spark):
+    from varlens.operators import pvalues as P
+    rows = [(f, r, v) for f, vs in enumerate([(1, 2, 3), (2, 3, 5), (1, 3, 4), (2, 4, 5)]) for r, v in zip("abc", vs)]
+    scores = spark.createDataFrame([(f, r, float(v)) for f, r, v in rows], "fold int, run string, value double")
+    fr = P.friedman(scores).first()  # ranks 1, 2, 3 in all four blocks: chi2 = 8 on 2 df
+    assert abs(fr.chi2 - 8) < 1e-9 and abs(fr.p - math.exp(-4)) < 1e-9
+    nem = {(r.run_a, r.run_b): r.p for r in P.nemenyi(scores).collect()}
+    assert nem[("a", "c")] < 0.05 < nem[("a", "b")]
+    an = P.rm_anova(scores).first()
+    assert an.df1 == 2 and an.df2 == 6 and abs(an.f - 54.6) < 1e-6 and abs(an.p - 19.2 ** -3) < 1e-9
+    pw = {(r.run_a, r.run_b): r for r in P.pairwise_t(scores).collect()}
+    assert len(pw) == 3 and pw[("a", "c")].n == 4
+    ps = sorted(r.p for r in pw.values())
+    holm = sorted(r.p_holm for r in pw.values())
+    running = 0.0
+    for i, p in enumerate(ps):
+        running = max(running, min(1.0, (3 - i) * p))
+        assert abs(holm[i] - running) < 1e-12
+    groups = spark.createDataFrame([("x", float(v)) for v in (1, 2, 3)] + [("y", float(v)) for v in (4, 5, 6)] + [("z", float(v)) for v in (7, 8, 9)],
+                                   "g string, v double")
+    kw = P.kruskal(groups, "g", "v").first()  # H = 7.2 on 2 df
+    assert abs(kw.h - 7.2) < 1e-9 and abs(kw.p - math.exp(-3.6)) < 1e-9

@@ -48,13 +48,17 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint directory and read it back.
+    """Write ``df`` as Parquet under the session's checkpoint directory and read
+    it back.
 
     Used where a derived table feeds several branches of one plan (and the
     quantile pass): reading the written table once per branch is cheaper than
     recomputing the scan and shuffles behind it, and it cuts the lineage, so a
     lost executor does not replay them.  The directory is the cluster's shared
     ``spark.checkpoint.dir``."""
+    import uuid
+
     from varlens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/varlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -330,18 +330,19 @@ def cumulative_mean(st: DataFrame, keys: Sequence[str], n_buckets: int | None =
 
 
 def fill_interior_zeros(curve: DataFrame, keys: Sequence[str], pos: str, value: str) -> DataFrame:
-    """Replace interior zeros of a curve by a straight line between the last
-    non-zero before and the next non-zero after (CRV-16).  Leading and
-    trailing zeros stay.  Windows are per curve (one curve is grid-sized)."""
+    """Replace zeros of a curve by a straight line from the last non-zero
+    before, or the curve's first point where there is none, to the next
+    non-zero after (CRV-16).  Zeros with no non-zero after them stay.  Windows
+    are per curve (one curve is grid-sized)."""
     nz = F.when(F.col(value) != 0, F.col(value))
     nzp = F.when(F.col(value) != 0, F.col(pos))
     w_prev = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     w_next = Window.partitionBy(*keys).orderBy(pos).rowsBetween(0, Window.unboundedFollowing)
-    t = curve.select("*", F.last(nz, ignorenulls=True).over(w_prev).alias("__pv"),
-                     F.last(nzp, ignorenulls=True).over(w_prev).alias("__pp"),
+    t = curve.select("*", F.coalesce(F.last(nz, ignorenulls=True).over(w_prev), F.lit(0.0)).alias("__pv"),
+                     F.coalesce(F.last(nzp, ignorenulls=True).over(w_prev), F.first(pos).over(w_prev)).alias("__pp"),
                      F.first(nz, ignorenulls=True).over(w_next).alias("__nv"),
                      F.first(nzp, ignorenulls=True).over(w_next).alias("__np"))
-    filled = F.when((F.col(value) == 0) & F.col("__pv").isNotNull() & F.col("__nv").isNotNull(),
+    filled = F.when((F.col(value) == 0) & F.col("__nv").isNotNull(),
                     F.col("__pv") + (F.col("__nv") - F.col("__pv")) * (F.col(pos) - F.col("__pp"))
                     / (F.col("__np") - F.col("__pp"))).otherwise(F.col(value))
     return t.withColumn(value, filled.cast("double")).drop("__pv", "__pp", "__nv", "__np")

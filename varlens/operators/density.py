@@ -1,22 +1,24 @@
 """Variant density features in alignment coordinates (DEN-*).
 
-Inputs in long form:
-  align(family, gene, col, ch)        one row per alignment cell, '-' is a gap
+Inputs:
+  rows(family, gene, row)             one gapped row per gene, '-' is a gap
   variants(family, gene, position, cls, ...)  1-based residue positions
 
-The density of class c at residue i of a gene is the circular moving average
-(width w) of the family profile of class c projected onto the gene's non-gap
-columns.  It is computed sparsely: every residue with a non-zero profile value
-is sent to the w ring positions whose window holds it
-(``pmod(r - k, n)``), and the contributions are summed.  Work follows the
-number of non-zero residues x w, never genes x residues x w dense.
+A gene is kept as one row with the array of its non-gap columns
+(``gene_columns``): residue r stands in column ``cols[r - 1]``, and the gene has
+``size(cols)`` residues.  The density of class c at residue i is the circular
+moving average (width w) of the family profile of class c over the gene's
+columns.  Where it is needed at given rows only (``window_density``), each row
+looks up the columns of its own window and meets the profile there: no character
+of the alignment becomes a row.  The full ring (``ring_average``) sends every
+residue with a non-zero profile value to the w positions whose window holds it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = "-"
@@ -30,48 +32,55 @@ def ring_offsets(width: int) -> tuple[int, int]:
     return -((width - 1) // 2), width // 2
 
 
-def residue_columns(align: DataFrame) -> DataFrame:
-    """(family, gene, residue, col): the k-th non-gap column of each gene's
-    row is residue k (DEN-01).  The window per gene is bounded by the
-    alignment length, not by the data size."""
-    w = Window.partitionBy("family", "gene").orderBy("col")
-    return (align.where(F.col("ch") != GAP)
-                 .select("family", "gene", "col", F.row_number().over(w).cast("int").alias("residue")))
+def gene_columns(rows: DataFrame, row: str = "row") -> DataFrame:
+    """(family, gene, cols): the alignment column of each residue of the gene,
+    in order (DEN-01), from its gapped row."""
+    chars = F.regexp_extract_all(F.col(row), F.lit("(?s)."), 0)
+    at = F.transform(chars, lambda c, i: F.when(c != GAP, (i + 1).cast("int")))
+    return rows.select("family", "gene", F.filter(at, lambda i: i.isNotNull()).alias("cols"))
 
 
-def position_frequency(variants: DataFrame, res_cols: DataFrame, cls: str = "cls") -> DataFrame:
-    """(family, gene, cls, col, freq): variant counts per residue scattered to
-    alignment columns (DEN-02).  A position past the gene's last residue
-    raises."""
-    cnt = variants.groupBy("family", "gene", cls, "position").agg(F.count(F.lit(1)).alias("freq"))
-    rc = res_cols.withColumnRenamed("residue", "position")
-    j = cnt.join(rc, ["family", "gene", "position"], "left")
+def residue_columns(genes: DataFrame) -> DataFrame:
+    """(family, gene, residue, col): ``gene_columns`` as one row per residue."""
+    return genes.select("family", "gene", F.posexplode("cols").alias("at", "col")).select(
+        "family", "gene", (F.col("at") + 1).alias("residue"), "col")
+
+
+def position_frequency(variants: DataFrame, genes: DataFrame, cls: str = "cls", keys: Sequence[str] = ()) -> DataFrame:
+    """(family, gene, cls, *keys, col, freq): variant counts per residue
+    scattered to alignment columns (DEN-02).  A position past the gene's last
+    residue, or before its first, raises."""
+    cnt = variants.groupBy("family", "gene", cls, *keys, "position").agg(F.count(F.lit(1)).alias("freq"))
+    j = cnt.join(genes, ["family", "gene"], "left").withColumn("col", F.get("cols", F.col("position") - 1))
     msg = F.concat(F.lit("position past the end of gene "), F.col("gene").cast("string"))
     ok = F.coalesce(F.when(F.col("col").isNull(), F.raise_error(msg)).cast("boolean"), F.lit(True))
-    return j.where(ok).select("family", "gene", cls, "col", "freq")
+    return j.where(ok).select("family", "gene", cls, *keys, "col", "freq")
+
+
+def family_profile(freq: DataFrame, cls: str = "cls", keys: Sequence[str] = ()) -> DataFrame:
+    """(family, cls, *keys, col, freq): sum over the family's genes per class (DEN-03)."""
+    return freq.groupBy("family", cls, *keys, "col").agg(F.sum("freq").alias("freq"))
 
 
-def family_profile(freq: DataFrame, cls: str = "cls") -> DataFrame:
-    """(family, cls, col, freq): sum over the family's genes per class (DEN-03)."""
-    return freq.groupBy("family", cls, "col").agg(F.sum("freq").alias("freq"))
+def _offsets(widths: Sequence[int]):
+    """Array of (width, k) for every offset of every window: sum(widths) entries."""
+    return F.array(*[F.struct(F.lit(w).alias("width"), F.lit(k).alias("k"))
+                     for w in widths for k in range(ring_offsets(w)[0], ring_offsets(w)[1] + 1)])
 
 
-def ring_average(profile: DataFrame, res_cols: DataFrame, widths: Sequence[int] = (10, 3),
+def ring_average(profile: DataFrame, genes: DataFrame, widths: Sequence[int] = (10, 3),
                  cls: str = "cls") -> DataFrame:
     """(family, gene, cls, width, residue, dens): the profile projected onto
     each gene's residues (gap columns dropped) and averaged on a ring of
-    ``width`` residues (DEN-04).  Only non-zero results are produced."""
-    n_res = res_cols.groupBy("family", "gene").agg(F.max("residue").alias("n"))
-    on_gene = (res_cols.join(profile, ["family", "col"])
-                       .where(F.col("freq") != 0)
-                       .join(n_res, ["family", "gene"]))
-    spark = profile.sparkSession
-    offs = spark.createDataFrame([(w, k) for w in widths for k in range(ring_offsets(w)[0], ring_offsets(w)[1] + 1)],
-                                 "width int, k int")  # sum(widths) rows
-    contrib = on_gene.crossJoin(offs).select(
-        "family", "gene", cls, "width",
-        (F.pmod(F.col("residue") - 1 - F.col("k"), F.col("n")) + 1).cast("int").alias("residue"),
-        (F.col("freq") / F.col("width")).alias("part"))
+    ``width`` residues (DEN-04).  Only non-zero results are produced.  The
+    columns that carry a variant are few against the alignment's length; each
+    family's are gathered per gene side by an equi-join on (family, col)."""
+    sized = genes.select("family", "gene", F.size("cols").alias("n"), F.posexplode("cols").alias("at", "col"))
+    on_gene = sized.join(profile.where(F.col("freq") != 0), ["family", "col"])
+    contrib = on_gene.withColumn("o", F.explode(_offsets(widths))).select(
+        "family", "gene", cls, F.col("o.width").alias("width"),
+        (F.pmod(F.col("at") - F.col("o.k"), F.col("n")) + 1).cast("int").alias("residue"),
+        (F.col("freq") / F.col("o.width")).alias("part"))
     return contrib.groupBy("family", "gene", cls, "width", "residue").agg(F.sum("part").alias("dens"))
 
 
@@ -86,21 +95,19 @@ def gather(features: DataFrame, dens: DataFrame, cls: str = "cls",
     return j.na.fill(0.0, [n for n, _, _ in names])
 
 
-def window_density(features: DataFrame, profile: DataFrame, res_cols: DataFrame, widths: Sequence[int] = (10, 3),
+def window_density(features: DataFrame, profile: DataFrame, genes: DataFrame, widths: Sequence[int] = (10, 3),
                    cls: str = "cls", keys: Sequence[str] = ()) -> DataFrame:
     """The four density columns at each feature row, reading only the w
     residues of the row's own window (DEN-04 + DEN-05 evaluated where they
     are needed).  ``profile`` has (family, cls, col, *keys, freq); feature
     rows carry the same ``keys`` (for per-training-set profiles)."""
-    spark = features.sparkSession
     keys = list(keys)
-    n_res = res_cols.groupBy("family", "gene").agg(F.max("residue").alias("n"))
-    offs = spark.createDataFrame([(w, k) for w in widths for k in range(ring_offsets(w)[0], ring_offsets(w)[1] + 1)],
-                                 "width int, k int")  # sum(widths) rows
-    tgt = features.select("family", "gene", "position", *keys).distinct().join(n_res, ["family", "gene"])
-    win = tgt.crossJoin(offs).withColumn(
-        "residue", (F.pmod(F.col("position") - 1 + F.col("k"), F.col("n")) + 1).cast("int"))
-    hit = win.join(res_cols, ["family", "gene", "residue"]).join(profile, ["family", "col", *keys])
+    tgt = features.select("family", "gene", "position", *keys).distinct().join(genes, ["family", "gene"])
+    o = F.col("o")
+    win = (tgt.withColumn("o", F.explode(_offsets(widths)))
+              .select("family", "gene", "position", *keys, o["width"].alias("width"),
+                      F.get("cols", F.pmod(F.col("position") - 1 + o["k"], F.size("cols"))).alias("col")))
+    hit = win.join(profile, ["family", "col", *keys])
     aggs = [F.sum(F.when((F.col(cls) == c) & (F.col("width") == w), F.col("freq") / F.col("width"))).alias(n)
             for n, c, w in DENSITY_FEATURES if w in widths]
     dens = hit.groupBy("family", "gene", "position", *keys).agg(*aggs)
@@ -108,27 +115,35 @@ def window_density(features: DataFrame, profile: DataFrame, res_cols: DataFrame,
     return features.join(dens, ["family", "gene", "position", *keys], "left").na.fill(0.0, names)
 
 
-def density_map(train: DataFrame, features: DataFrame, align: DataFrame, cls: str = "cls",
+def density_map(train: DataFrame, features: DataFrame, genes: DataFrame, key: Sequence[str], cls: str = "cls",
                 widths: Sequence[int] = (10, 3)) -> DataFrame:
-    """Composed density map (DEN-06): profiles from ``train`` (restricted to
-    rows also in ``features``), evaluated at every feature row.  Families
-    without training data and genes missing from the alignment give no rows."""
-    rc = residue_columns(align)
-    tr = train.join(features.select("family", "gene", "position").distinct(),
-                    ["family", "gene", "position"], "left_semi")
-    prof = family_profile(position_frequency(tr, rc, cls), cls)
+    """Composed density map (DEN-06): profiles from the ``train`` rows whose
+    variant ``key`` is also in ``features``, evaluated at every feature row.
+    Another variant at the same residue is not counted.  Families without
+    training data and genes missing from the alignment give no rows."""
+    tr = train.join(features.select(*key).distinct(), list(key), "left_semi")
+    prof = family_profile(position_frequency(tr, genes, cls), cls)
     fams = prof.select("family").distinct()
-    feats = features.join(fams, "family", "left_semi").join(rc.select("family", "gene").distinct(),
-                                                             ["family", "gene"], "left_semi")
-    return window_density(feats, prof, rc, widths, cls)
-
-
-def standardize_round(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
-    """z-score with the population std over the frame, then rounded half to
-    even on the binary value (as numpy does) (DEN-07).  A constant column
-    gives 0.  The statistics are one aggregate row."""
-    st = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols])
-    j = df.crossJoin(st)
+    feats = features.join(fams, "family", "left_semi").join(
+        genes.where(F.size("cols") > 0).select("family", "gene"), ["family", "gene"], "left_semi")
+    return window_density(feats, prof, genes, widths, cls)
+
+
+def standardize_round(df: DataFrame, cols: Sequence[str], digits: int = 2, keys: Sequence[str] = ()) -> DataFrame:
+    """z-score with the population std over the frame, or over each group of
+    ``keys``, then rounded half to even on the binary value (as numpy does)
+    (DEN-07).  A constant column gives 0.  The statistics are one aggregate row
+    per group."""
+    aggs = [*[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols]]
+    if keys:
+        st = df.groupBy(*keys).agg(*aggs)
+        st = st.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in st.columns if c not in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        j = df.join(st, same).drop(*[f"__k_{k}" for k in keys])
+    else:
+        j = df.crossJoin(df.agg(*aggs))
     scale = float(10 ** digits)
     for c in cols:
         z = F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(
@@ -137,45 +152,51 @@ def standardize_round(df: DataFrame, cols: Sequence[str], digits: int = 2) -> Da
     return j.drop(*[f"__m_{c}" for c in cols], *[f"__s_{c}" for c in cols])
 
 
-def cross_fitted(variants: DataFrame, align: DataFrame, outer: str, inner: str, cls: str = "cls",
-                 widths: Sequence[int] = (10, 3)) -> DataFrame:
+def cross_fitted(variants: DataFrame, genes: DataFrame, outer: str, inner: str, cls: str = "cls",
+                 widths: Sequence[int] = (10, 3), digits: int | None = None) -> DataFrame:
     """Cross-fitted densities for every outer fold o (DEN-09):
 
     * a row of dev(o) (outer fold != o) in inner fold j gets the map fitted on
       dev(o) without inner fold j (role ``inner``);
     * a row of outer fold o gets the map fitted on all of dev(o) (``outer_test``).
 
-    The map is linear in the variant counts: the family profile of each
-    training set is the sum of its (outer, inner) cells' profiles, routed by a
-    source-to-target table fixed by the fold counts.  Each feature row then
-    reads only the w residues of its own window (work ~ rows x folds x w, not
-    genes x residues).  Raw densities (before standardisation)."""
-    spark = variants.sparkSession
-    rc = residue_columns(align)
-    outs = sorted(r[0] for r in variants.select(outer).distinct().collect())  # fold ids: a handful
-    ins = sorted(r[0] for r in variants.select(inner).distinct().collect())
-    pairs = []
-    for o2 in outs:
-        for j2 in ins:
-            for o in outs:
-                if o == o2:
-                    continue
-                pairs.append((o2, j2, o, -1, "outer_test"))
-                pairs.extend((o2, j2, o, j, "inner") for j in ins if j != j2)
-    route = spark.createDataFrame(pairs, "src_o int, src_j int, o int, j int, role string")
-
-    # profile of every source cell, then of every target training set (small:
-    # family x class x column x targets)
-    cnt = variants.groupBy("family", "gene", cls, "position", outer, inner).agg(F.count(F.lit(1)).alias("freq"))
-    rcp = rc.withColumnRenamed("residue", "position")
-    freq = cnt.join(rcp, ["family", "gene", "position"]).select(
-        "family", cls, "col", F.col(outer).cast("int").alias("src_o"), F.col(inner).cast("int").alias("src_j"), "freq")
-    prof_t = (freq.join(route, ["src_o", "src_j"])
-                  .groupBy("family", cls, "col", "o", "j", "role").agg(F.sum("freq").alias("freq")))
-    o_df = spark.createDataFrame([(o,) for o in outs], "o int")
-    rows = variants.crossJoin(o_df)
-    rows = (rows.withColumn("role", F.when(F.col(outer) == F.col("o"), "outer_test").otherwise("inner"))
-                .withColumn("j", F.when(F.col("role") == "inner", F.col(inner).cast("int")).otherwise(F.lit(-1))))
-    names = [n for n, _, _ in DENSITY_FEATURES]
-    out = window_density(rows, prof_t, rc, widths, cls, keys=["o", "j", "role"])
-    return out.drop("j").withColumnRenamed("o", "for_outer")
+    The map is linear in the variant counts, so the density on dev(o) without
+    inner fold j is: all - outer o - inner j + cell (o, j), and on dev(o): all -
+    outer o.  Each row's window is read once against four profiles (all, per
+    outer fold, per inner fold, per cell); no fold is routed to another and no
+    list of folds leaves the cluster.  A row appears once per outer fold, which
+    is the size of the result.  With ``digits`` each map is standardised over
+    its rows and rounded."""
+    names = [n for n, _, w in DENSITY_FEATURES if w in widths]
+    freq = position_frequency(variants, genes, cls, [outer, inner])
+    cells = freq.groupBy("family", cls, "col", outer, inner).agg(F.sum("freq").alias("freq"))
+    cell = cells.withColumnRenamed(outer, "po").withColumnRenamed(inner, "pj")
+
+    tgt = variants.select("family", "gene", "position").distinct().join(genes, ["family", "gene"])
+    o = F.col("o")
+    win = (tgt.withColumn("o", F.explode(_offsets(widths)))
+              .select("family", "gene", "position", o["width"].alias("width"),
+                      F.get("cols", F.pmod(F.col("position") - 1 + o["k"], F.size("cols"))).alias("col")))
+    # per residue and cell, the four densities; then their sums over cells
+    at = (win.join(cell, ["family", "col"]).groupBy("family", "gene", "position", "po", "pj")
+             .agg(*[F.sum(F.when((F.col(cls) == c) & (F.col("width") == w), F.col("freq") / F.col("width")).otherwise(0.0)).alias(n)
+                    for n, c, w in DENSITY_FEATURES if w in widths]))
+    place = ["family", "gene", "position"]
+    sums = lambda keys, tag: at.groupBy(*place, *keys).agg(*[F.sum(n).alias(f"{tag}_{n}") for n in names])
+    every = variants.select(outer).distinct().select(F.col(outer).alias("for_outer"))
+    rows = variants.crossJoin(every)  # the result's rows: each row once per outer fold
+    rows = rows.withColumn("role", F.when(F.col(outer) == F.col("for_outer"), "outer_test").otherwise("inner"))
+    j = (rows.join(sums([], "all"), place, "left")
+             .join(sums(["po"], "out").withColumnRenamed("po", "for_outer"), [*place, "for_outer"], "left")
+             .join(sums(["pj"], "inn").withColumnRenamed("pj", inner), [*place, inner], "left")
+             .join(sums(["po", "pj"], "both").withColumnRenamed("po", "for_outer").withColumnRenamed("pj", inner),
+                   [*place, "for_outer", inner], "left"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    dev = lambda n: zero(f"all_{n}") - zero(f"out_{n}")
+    out = j.select(*rows.columns, *[
+        F.when(F.col("role") == "outer_test", dev(n)).otherwise(dev(n) - zero(f"inn_{n}") + zero(f"both_{n}")).alias(n)
+        for n in names])
+    if digits is None:
+        return out
+    fold = F.when(F.col("role") == "inner", F.col(inner))
+    return standardize_round(out.withColumn("__map", fold), names, digits, ["for_outer", "role", "__map"]).drop("__map")

@@ -75,15 +75,16 @@ def apply_all_variants(seqs: DataFrame, variants: DataFrame, key: str, seq: str,
         F.sum("changed").alias("n_changed"))
 
 
-def single_mutants(seqs: DataFrame, key: str, seq: str) -> DataFrame:
+def single_mutants(seqs: DataFrame, keys: str | list[str], seq: str) -> DataFrame:
     """Every position x every amino acid, wild-type residue included (SEQ-05):
-    (key, position, wt, aa, mutant).  The mutant string is built lazily, so a
+    (*keys, position, wt, aa, mutant).  The mutant string is built lazily, so a
     query that only counts never materialises it."""
     spark = seqs.sparkSession
     aa = spark.createDataFrame([(a,) for a in AMINO_ACIDS], "aa string")
-    chars = seqs.select(key, seq, F.posexplode(F.regexp_extract_all(F.col(seq), F.lit("(?s)."), 0)).alias("p0", "wt"))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    chars = seqs.select(*keys, seq, F.posexplode(F.regexp_extract_all(F.col(seq), F.lit("(?s)."), 0)).alias("p0", "wt"))
     m = chars.crossJoin(aa)  # 20 rows per residue
-    return m.select(key, (F.col("p0") + 1).alias("position"), "wt", "aa",
+    return m.select(*keys, (F.col("p0") + 1).alias("position"), "wt", "aa",
                     set_residue(F.col(seq), F.col("p0") + 1, F.col("aa")).alias("mutant"))
 
 

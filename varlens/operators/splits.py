@@ -121,15 +121,15 @@ def expand_folds(df: DataFrame, fold_col: str, k: int) -> DataFrame:
 
 
 def sample_per_class(df: DataFrame, keys: Sequence[str], id_col: str, n: float, seed=42) -> DataFrame:
-    """``n`` rows per (keys) group, or a fraction when n < 1 (rounded to the
-    nearest count per group); n = 0 gives no rows (SPL-09)."""
+    """``n`` rows per (keys) group, or a fraction when n < 1 (rounded half to
+    even per group); n = 0 gives no rows (SPL-09)."""
     r = rank_within(df, keys, id_col, seed)
     if n <= 0:
         return r.where(F.lit(False)).drop("rank")
     if n < 1:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
         r = r.join(sizes, list(keys))
-        return r.where(F.col("rank") <= F.round(F.col("__n") * F.lit(float(n)))).drop("rank", "__n")
+        return r.where(F.col("rank") <= F.rint(F.col("__n") * F.lit(float(n)))).drop("rank", "__n")
     return r.where(F.col("rank") <= int(n)).drop("rank")
 
 

@@ -57,27 +57,33 @@ def wilcoxon(d: DataFrame) -> DataFrame:
     from varlens.functions.prefix import avg_rank
     nz = d.where(F.col("d") != 0).withColumn("absd", F.abs("d")).withColumn("__k", F.lit(1))
     r = avg_rank(nz, ["__k"], "absd")
-    j = nz.join(r.select("absd", "rank", F.col("n").alias("tie")), "absd")
-    agg = j.agg(F.count(F.lit(1)).alias("n"),
-                F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"),
-                F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
+    sides = nz.groupBy("absd").agg(F.sum((F.col("d") > 0).cast("long")).alias("up"),  # one row per value, not per difference
+                                   F.sum((F.col("d") < 0).cast("long")).alias("down"))
+    j = sides.join(r.select("absd", "rank"), "absd")
+    zero = F.lit(0)
+    agg = j.agg(F.coalesce(F.sum(F.col("up") + F.col("down")), zero).alias("n"),
+                F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w_plus"),
+                F.coalesce(F.sum(F.col("down") * F.col("rank")), F.lit(0.0)).alias("w_minus"))
     ties = r.agg(F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("tie_term"))
     return agg.crossJoin(ties).select("n", "w_plus", "w_minus", F.least("w_plus", "w_minus").alias("statistic"),
                                       F.coalesce("tie_term", F.lit(0)).alias("tie_term"))
 
 
-def mann_whitney(df: DataFrame, keys, group: str, value: str) -> DataFrame:
+def mann_whitney(df: DataFrame, keys, group: str, value: str, ties: bool = False) -> DataFrame:
     """Rank-sum test statistics per key (STA-05): U of group 1,
-    U1 = R1 - n1 (n1 + 1) / 2, with average ranks over both groups."""
+    U1 = R1 - n1 (n1 + 1) / 2, with average ranks over both groups; with
+    ``ties`` also the tie term sum(t^3 - t)."""
     from varlens.functions.prefix import avg_rank
     keys = list(keys)
     vc = df.groupBy(*keys, value).agg(F.sum(F.when(F.col(group) == 1, 1).otherwise(0)).alias("n1v"),
                                       F.count(F.lit(1)).alias("nv"))
     r = avg_rank(df, keys, value)
     j = vc.join(r.select(*keys, value, "rank"), [*keys, value])
+    t = F.col("nv").cast("double")
     agg = j.groupBy(*keys).agg(F.sum(F.col("n1v") * F.col("rank")).alias("r1"), F.sum("n1v").alias("n1"),
-                               (F.sum("nv") - F.sum("n1v")).alias("n2"))
-    return agg.select(*keys, "n1", "n2", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u1"))
+                               (F.sum("nv") - F.sum("n1v")).alias("n2"), F.sum(t * t * t - t).alias("tie_term"))
+    return agg.select(*keys, "n1", "n2", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u1"),
+                      *(["tie_term"] if ties else []))
 
 
 def ks_2samp(df: DataFrame, keys, group: str, value: str) -> DataFrame:
@@ -173,8 +179,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     from varlens.functions.prefix import avg_rank
     d = df.withColumn("__k", F.lit(1))
     r = avg_rank(d, ["__k"], value)
-    j = d.join(r.select(value, "rank"), value)
-    per = j.groupBy(group).agg(F.sum("rank").alias("R"), F.count(F.lit(1)).alias("ng"))
+    counts = d.groupBy(group, value).agg(F.count(F.lit(1)).alias("nv"))  # one row per group and value
+    j = counts.join(r.select(value, "rank"), value)
+    per = j.groupBy(group).agg(F.sum(F.col("rank") * F.col("nv")).alias("R"), F.sum("nv").alias("ng"))
     N = d.agg(F.count(F.lit(1)).alias("n_total"))
     ties = r.agg(F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("tt"))
     s = per.agg(F.sum(F.col("R") * F.col("R") / F.col("ng")).alias("s"), F.count(F.lit(1)).alias("g")).crossJoin(
@@ -185,15 +192,21 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return s.select(n.alias("n_total"), "g", (h / c).alias("h"), (F.col("g") - 1).alias("df"))
 
 
-def jaccard_pairs(df: DataFrame, item: str, term: str) -> DataFrame:
+def jaccard_pairs(df: DataFrame, item: str, term: str, blocks: int = 8) -> DataFrame:
     """Jaccard similarity of items' term sets for pairs sharing a term
-    (STA-13): intersections from a self-join on the term (posting lists),
-    set sizes from one aggregate.  Pairs with no shared term have similarity
-    0 and are not emitted."""
+    (STA-13): intersections from a self-join on the term, set sizes from one
+    aggregate.  A term's list of items is split into ``blocks`` parts by a
+    hash of the item, and pairs of parts are joined, so that a term that most
+    items hold is spread over blocks x blocks join keys.  Pairs with no shared
+    term have similarity 0 and are not emitted."""
     d = df.select(item, term).distinct()
     sizes = d.groupBy(item).agg(F.count(F.lit(1)).alias("size"))
-    a, b = d.alias("a"), d.alias("b")
-    inter = (a.join(b, (F.col(f"a.{term}") == F.col(f"b.{term}")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
+    part = F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = d.withColumn("__pa", part).withColumn("__pb", every).alias("a")
+    b = d.withColumn("__pb", part).withColumn("__pa", every).alias("b")
+    inter = (a.join(b, (F.col(f"a.{term}") == F.col(f"b.{term}")) & (F.col("a.__pa") == F.col("b.__pa"))
+                    & (F.col("a.__pb") == F.col("b.__pb")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
               .groupBy(F.col(f"a.{item}").alias("item_a"), F.col(f"b.{item}").alias("item_b"))
               .agg(F.count(F.lit(1)).alias("inter")))
     sa = sizes.select(F.col(item).alias("item_a"), F.col("size").alias("size_a"))

@@ -290,13 +290,13 @@ def met14_null_model(spark: SparkSession, sf: str) -> DataFrame:
 @register("met15_correctness_table", with_views(f"""{BEST_ROWS}
 SELECT bp.run, bp.fold, bp.id, v.gene, bp.label, bp.yhat, {r6('bp.score', 'proba')},
   CASE WHEN bp.yhat = bp.label THEN 1 ELSE 0 END AS correct
-FROM bp JOIN variants v ON bp.id % 100000 = v.id""", "pred", "variants"))
+FROM bp JOIN variants v ON bp.pkey = v.id""", "pred", "variants"))
 def met15_correctness_table(spark: SparkSession, sf: str) -> DataFrame:
     """Rows at the best epoch with prediction, probability and correctness,
     joined to the variant table on the part key."""
     bp = best_rows(pred_view(spark, sf))
     v = variants_view(spark, sf).select(F.col("id").alias("vid"), "gene")
-    j = bp.join(v, bp["id"] % 100000 == v["vid"], "inner")
+    j = bp.join(v, bp["pkey"] == v["vid"], "inner")
     return j.select("run", "fold", "id", "gene", "label", "yhat", F.col("score").alias("proba"),
                     F.when(F.col("yhat") == F.col("label"), 1).otherwise(0).alias("correct"))
 

@@ -229,15 +229,17 @@ fz AS (SELECT k.run, k.yhat, w.i, coalesce(100.0 * sl.n_wrong / greatest(sl.n, 1
   FROM (SELECT DISTINCT run, yhat FROM cf) k CROSS JOIN w
   LEFT JOIN sl ON sl.run = k.run AND sl.yhat = k.yhat AND sl.i = w.i),
 nb AS (SELECT f.*,
-  (SELECT max(i) FROM fz g WHERE g.run = f.run AND g.yhat = f.yhat AND g.i <= f.i AND g.error_rate <> 0) AS pp,
+  coalesce((SELECT max(i) FROM fz g WHERE g.run = f.run AND g.yhat = f.yhat AND g.i <= f.i AND g.error_rate <> 0),
+    (SELECT min(i) FROM fz g WHERE g.run = f.run AND g.yhat = f.yhat)) AS pp,
   (SELECT min(i) FROM fz g WHERE g.run = f.run AND g.yhat = f.yhat AND g.i >= f.i AND g.error_rate <> 0) AS np FROM fz f),
 v AS (SELECT nb.*, (SELECT error_rate FROM fz g WHERE g.run = nb.run AND g.yhat = nb.yhat AND g.i = nb.pp) AS pv,
    (SELECT error_rate FROM fz g WHERE g.run = nb.run AND g.yhat = nb.yhat AND g.i = nb.np) AS nv FROM nb)
 SELECT run, yhat, i, {r6('CASE WHEN error_rate = 0 AND pv IS NOT NULL AND nv IS NOT NULL THEN pv + (nv - pv) * (i - pp) / (np - pp) ELSE error_rate END', 'error_rate')}
 FROM v""", "pred"))
 def crv16_fill_interior_zeros(spark: SparkSession, sf: str) -> DataFrame:
-    """Sliding-window error-rate curve on all 50 starts with interior zeros
-    replaced by straight lines between the neighbouring non-zero values."""
+    """Sliding-window error-rate curve on all 50 starts with zeros
+    replaced by straight lines from the non-zero value (or the start) before to
+    the non-zero value after."""
     bt = best_st(spark, sf)
     sl = C.sliding_window_counts(bt, ("run",))
     keys = bt.select("run", F.when(F.col("score") > 0.5, 1).otherwise(0).alias("yhat")).distinct()

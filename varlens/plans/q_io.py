@@ -25,12 +25,11 @@ def src01_delimited_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("src02_gaf_scan", with_views("""SELECT symbol, count(*) AS n_terms FROM (
-  SELECT symbol, 'GO:' || lpad(CAST(position % 13 AS VARCHAR), 7, '0') AS term FROM variants
-  WHERE position % 13 <> 0) GROUP BY symbol""", "variants"))
+  SELECT symbol, 'GO:' || lpad(CAST(position % 13 AS VARCHAR), 7, '0') AS term FROM variants) GROUP BY symbol""", "variants"))
 def src02_gaf_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Association file with '!' comment lines, positional fields 2 and 4."""
     path = IO.scratch_dir(spark, "gaf")
-    v = variants_view(spark, sf).where(F.col("position") % 13 != 0)
+    v = variants_view(spark, sf)
     lines = v.select(F.concat_ws("\t", F.lit("DB"), F.col("id").cast("string"), "symbol", F.lit(""),
                                  F.concat(F.lit("GO:"), F.lpad((F.col("position") % 13).cast("string"), 7, "0")),
                                  F.lit("IEA")).alias("value"))
@@ -48,22 +47,25 @@ def src03_archive_fallback(spark: SparkSession, sf: str) -> DataFrame:
     p = pred_view(spark, sf)
     p.where(F.col("run") == "F").write.parquet(f"{base}/F/output.parquet")
     p.where(F.col("run") == "O").write.option("header", True).option("sep", "\t").csv(f"{base}/O/output.csv")
-    schema = "run string, fold bigint, epoch int, id bigint, grp bigint, score double, label int"
+    schema = "run string, fold bigint, epoch int, id bigint, grp bigint, score double, label int, pkey bigint"
     both = IO.read_archive(spark, f"{base}/F", schema).unionByName(IO.read_archive(spark, f"{base}/O", schema))
     return both.groupBy("run", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("sum_score"))
 
 
 @register("src04_by_extension", with_views("""SELECT 'parquet' AS fmt, count(*) AS n FROM variants
-UNION ALL SELECT 'tsv', count(*) FROM variants""", "variants"))
+UNION ALL SELECT 'csv', count(*) FROM variants UNION ALL SELECT 'tsv', count(*) FROM variants""", "variants"))
 def src04_by_extension(spark: SparkSession, sf: str) -> DataFrame:
-    """The same table written and read by extension: Parquet and tab CSV."""
+    """The same table written and read by extension: Parquet, comma CSV (the
+    default) and tab-separated text."""
     base = IO.scratch_dir(spark, "ext")
     v = variants_view(spark, sf).select("id", "gene", "position", "label_txt", "feature")
     IO.write_by_extension(v, f"{base}/variants.parquet")
-    IO.write_by_extension(v, f"{base}/variants.tsv")
+    IO.write_by_extension(v, f"{base}/variants.csv")
+    IO.write_by_extension(v, f"{base}/variants.tsv", sep="\t")
     a = IO.read_by_extension(spark, f"{base}/variants.parquet").select(F.lit("parquet").alias("fmt"))
-    b = IO.read_by_extension(spark, f"{base}/variants.tsv", _VSCHEMA).select(F.lit("tsv").alias("fmt"))
-    return a.unionByName(b).groupBy("fmt").agg(F.count(F.lit(1)).alias("n"))
+    b = IO.read_by_extension(spark, f"{base}/variants.csv", _VSCHEMA).where("id is not null").select(F.lit("csv").alias("fmt"))
+    c = IO.read_by_extension(spark, f"{base}/variants.tsv", _VSCHEMA, sep="\t").where("id is not null").select(F.lit("tsv").alias("fmt"))
+    return a.unionByName(b).unionByName(c).groupBy("fmt").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CLEAN_SQL = "replace(replace(replace(text, chr(10), ''), chr(13), ''), '>', '')"

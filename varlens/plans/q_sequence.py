@@ -80,31 +80,32 @@ def seq04_apply_all_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("seq05_single_mutants", """SELECT conv_id, turn, count(*) AS n_mutants,
-  CAST(sum(CASE WHEN aa <> substr(text, p, 1) THEN 1 ELSE 0 END) AS BIGINT) AS n_changed
+  CAST(sum(CASE WHEN aa <> substr(text, p, 1) THEN 1 ELSE 0 END) AS BIGINT) AS n_changed,
+  min(md5(substr(text, 1, p - 1) || aa || substr(text, p + 1))) AS first_md5, max(md5(substr(text, 1, p - 1) || aa || substr(text, p + 1))) AS last_md5
 FROM conversations, range(1, length(text) + 1) r(p),
   (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS aa) a
 GROUP BY conv_id, turn""")
 def seq05_single_mutants(spark: SparkSession, sf: str) -> DataFrame:
-    """All single mutants (positions x 20 amino acids) of every turn, counted."""
+    """All single mutants (positions x 20 amino acids) of every turn: counts,
+    and the least and greatest md5 of the mutants' texts."""
     c = table(spark, sf, "conversations")
-    m = Q.single_mutants(c.select("conv_id", "turn", "text").withColumn(
-        "sid", F.col("conv_id") * 100000 + F.col("turn")), "sid", "text")
-    agg = m.groupBy("sid").agg(F.count(F.lit(1)).alias("n_mutants"),
-                               F.sum(F.when(F.col("aa") != F.col("wt"), 1).otherwise(0)).cast("long").alias("n_changed"))
-    return agg.select((F.col("sid") / 100000).cast("long").alias("conv_id"), (F.col("sid") % 100000).alias("turn"),
-                      "n_mutants", "n_changed")
+    m = Q.single_mutants(c.select("conv_id", "turn", "text"), ["conv_id", "turn"], "text")
+    return m.groupBy("conv_id", "turn").agg(
+        F.count(F.lit(1)).alias("n_mutants"),
+        F.sum(F.when(F.col("aa") != F.col("wt"), 1).otherwise(0)).cast("long").alias("n_changed"),
+        F.min(F.md5("mutant")).alias("first_md5"), F.max(F.md5("mutant")).alias("last_md5"))
 
 
 _TOK = "[" + ", ".join(f"'{t}'" for t in Q.TAG_TOKENS) + "]"
 
 
-@register("seq06_gene_tags", f"""SELECT conv_id, {_TOK}[i + 1] || {_TOK}[CASE WHEN jr >= i THEN jr + 1 ELSE jr END + 1] AS tag FROM (
-  SELECT conv_id, CAST(g // 24 AS INTEGER) AS i, CAST(g % 24 AS INTEGER) AS jr FROM (
-    SELECT conv_id, row_number() OVER (ORDER BY md5(CAST(conv_id AS VARCHAR) || '|0'), conv_id) - 1 AS g
-    FROM (SELECT DISTINCT conv_id FROM conversations)))""")
+@register("seq06_gene_tags", f"""SELECT p_brand, {_TOK}[i + 1] || {_TOK}[CASE WHEN jr >= i THEN jr + 1 ELSE jr END + 1] AS tag FROM (
+  SELECT p_brand, CAST(g // 24 AS INTEGER) AS i, CAST(g % 24 AS INTEGER) AS jr FROM (
+    SELECT p_brand, row_number() OVER (ORDER BY md5(p_brand || '|0'), p_brand) - 1 AS g
+    FROM (SELECT DISTINCT p_brand FROM part)))""")
 def seq06_gene_tags(spark: SparkSession, sf: str) -> DataFrame:
-    """A unique ordered token pair per conversation, in seeded hash order."""
-    return Q.gene_tags(table(spark, sf, "conversations"), "conv_id", 0)
+    """A unique ordered token pair per gene (brand), in seeded hash order."""
+    return Q.gene_tags(table(spark, sf, "part"), "p_brand", 0)
 
 
 @register("seq07_clipped_site", f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN n + 2 <= 1022 THEN pos WHEN pos < 511 THEN pos
@@ -238,7 +239,8 @@ def emb07_dim_rank_test(spark: SparkSession, sf: str) -> DataFrame:
 @register("emb07_dim_rank_fdr")
 def emb07_dim_rank_fdr(spark: SparkSession, sf: str) -> DataFrame:
     """Per-dimension rank test with normal-approximation p-values (tie
-    corrected), Benjamini-Hochberg adjusted, significant dimensions flagged.
+    and continuity corrected), Benjamini-Hochberg adjusted; the dimensions below
+    0.05, most significant first.
     The tail is a vectorised pandas UDF over the per-dimension table."""
     from varlens.functions import tails
 
@@ -255,10 +257,11 @@ def emb07_dim_rank_fdr(spark: SparkSession, sf: str) -> DataFrame:
     j = u.join(ties, "dim")
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("tt") / (n * (n - 1))))
-    z = (F.col("u1") - F.col("n1") * F.col("n2") / 2.0) / sd
+    gap = F.col("u1") - F.col("n1") * F.col("n2") / 2.0
+    z = F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / sd  # continuity correction
     p = j.withColumn("z", z).withColumn("p", two_sided(F.col("z")))
     adj = S.adjust_pvalues(p.select("dim", "u1", "mean_diff", "z", "p"), [], "p", "dim")
-    return adj.withColumn("significant", F.col("p_bh") < 0.05)
+    return adj.where(F.col("p_bh") < 0.05).orderBy("p_bh", "dim")
 
 
 @register("emb08_scan_moments", f"""WITH {_RESQ},

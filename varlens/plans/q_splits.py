@@ -128,7 +128,7 @@ def spl08_external_ids(spark: SparkSession, sf: str) -> DataFrame:
 rk AS (SELECT sv.*, row_number() OVER (PARTITION BY gene, label ORDER BY {h(SEED)}, id) AS rank,
               count(*) OVER (PARTITION BY gene, label) AS n FROM sv)
 SELECT 'n3' AS mode, id, gene, label FROM rk WHERE rank <= 3
-UNION ALL SELECT 'frac25' AS mode, id, gene, label FROM rk WHERE rank <= round(n * CAST('0.25' AS DOUBLE))""", "variants"))
+UNION ALL SELECT 'frac25' AS mode, id, gene, label FROM rk WHERE rank <= round_even(n * CAST('0.25' AS DOUBLE), 0)""", "variants"))
 def spl09_sample_per_class(spark: SparkSession, sf: str) -> DataFrame:
     """3 rows per (gene, class), and a 25 % sample per (gene, class)."""
     sv = _sv(spark, sf)

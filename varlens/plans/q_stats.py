@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varlens.functions.prefix import avg_rank
 from varlens.operators import metrics as M
+from varlens.operators import pvalues as P
 from varlens.operators import stats as S
 from varlens.plans.catalog import r6, register
 from varlens.plans.q_archive import BEST_ROWS, METRIC_SQL, best_rows, best_st, counts_sql
@@ -162,7 +163,7 @@ def sta12_kruskal(spark: SparkSession, sf: str) -> DataFrame:
     return S.kruskal(variants_view(spark, sf), "ptype", "position")
 
 
-_WORDS = "w AS (SELECT DISTINCT gene, unnest(string_split(name, ' ')) AS term FROM variants WHERE position > 40)"
+_WORDS = "w AS (SELECT DISTINCT gene, unnest(string_split(name, ' ')) AS term FROM variants)"
 _JAC = f"""{_WORDS}, sz AS (SELECT gene, count(*) AS size FROM w GROUP BY gene),
 jp AS (SELECT a.gene AS item_a, b.gene AS item_b, count(*) AS inter FROM w a JOIN w b ON a.term = b.term AND a.gene < b.gene
        GROUP BY a.gene, b.gene),
@@ -174,7 +175,7 @@ jac AS (SELECT jp.*, CAST(inter AS DOUBLE) / (sa.size + sb.size - inter) AS jacc
 SELECT item_a, item_b, inter, {r6('jaccard', 'jaccard')} FROM jac""", "variants"))
 def sta13_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Jaccard similarity of genes' word sets, pairs that share a word."""
-    v = variants_view(spark, sf).where(F.col("position") > 40).select(
+    v = variants_view(spark, sf).select(
         "gene", F.explode(F.split("name", " ")).alias("term"))
     return S.jaccard_pairs(v, "gene", "term")
 
@@ -191,7 +192,7 @@ def sta14_mantel(spark: SparkSession, sf: str) -> DataFrame:
     and their polarity distance, over all gene pairs, computed without
     emitting the pairs (sums over the sparse sharing pairs + rank sums)."""
     v = variants_view(spark, sf)
-    words = v.where(F.col("position") > 40).select("gene", F.explode(F.split("name", " ")).alias("term"))
+    words = v.select("gene", F.explode(F.split("name", " ")).alias("term"))
     pol = v.groupBy("gene").agg(F.avg(F.when(F.col("label_txt") == "gof", 1.0).otherwise(0.0)).alias("a"))
     return S.mantel_sparse(S.jaccard_pairs(words, "gene", "term"), pol, "gene", "a")
 
@@ -200,7 +201,7 @@ def sta14_mantel(spark: SparkSession, sf: str) -> DataFrame:
 def sta14_mantel_permutation(spark: SparkSession, sf: str) -> DataFrame:
     """Mantel r with a p-value from 999 seeded relabellings of the genes."""
     v = variants_view(spark, sf)
-    words = v.where(F.col("position") > 40).select("gene", F.explode(F.split("name", " ")).alias("term"))
+    words = v.select("gene", F.explode(F.split("name", " ")).alias("term"))
     pol = v.groupBy("gene").agg(F.avg(F.when(F.col("label_txt") == "gof", 1.0).otherwise(0.0)).alias("a"))
     return S.mantel_permutation(S.jaccard_pairs(words, "gene", "term"), pol, "gene", "a", 999)
 
@@ -269,8 +270,8 @@ def sta11_observed_vs_random(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("sta16_feature_audit", with_views(f"""{BEST_ROWS},
-rows AS (SELECT bp.id, CASE WHEN yhat = label THEN 1 ELSE 0 END AS correct FROM bp),
-terms AS (SELECT DISTINCT r.id, unnest(string_split(v.name, ' ')) AS term FROM rows r JOIN variants v ON r.id % 100000 = v.id),
+rows AS (SELECT bp.id, bp.pkey, CASE WHEN yhat = label THEN 1 ELSE 0 END AS correct FROM bp),
+terms AS (SELECT DISTINCT r.id, unnest(string_split(v.name, ' ')) AS term FROM rows r JOIN variants v ON r.pkey = v.id),
 tot AS (SELECT count(*) AS n, sum(correct) AS nc FROM rows),
 t AS (SELECT term, count(*) AS n_t, sum(r.correct) AS c_t FROM terms JOIN rows r ON terms.id = r.id GROUP BY term),
 x AS (SELECT term, c_t + 0.5 AS a, n_t - c_t + 0.5 AS b, nc - c_t + 0.5 AS c, n - nc - (n_t - c_t) + 0.5 AS d FROM t, tot)
@@ -280,8 +281,66 @@ def sta16_feature_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Per word of the part name: 2x2 counts against prediction correctness,
     log2 odds ratio (0.5 added to every cell) and the z of the log odds."""
     bp = best_rows(pred_view(spark, sf)).select(
-        "id", F.when(F.col("yhat") == F.col("label"), 1).otherwise(0).alias("correct"))
+        "id", "pkey", F.when(F.col("yhat") == F.col("label"), 1).otherwise(0).alias("correct"))
     v = variants_view(spark, sf).select(F.col("id").alias("vid"), "name")
-    ids = bp.select("id").distinct()
-    terms = ids.join(v, ids["id"] % 100000 == v["vid"]).select("id", F.explode(F.split("name", " ")).alias("term"))
-    return S.feature_audit(bp, terms, "id", "term", "correct")
+    ids = bp.select("id", "pkey").distinct()
+    terms = ids.join(v, ids["pkey"] == v["vid"]).select("id", F.explode(F.split("name", " ")).alias("term"))
+    return S.feature_audit(bp.drop("pkey"), terms, "id", "term", "correct")
+
+
+# --- p-values (tails are not in SQL: checked against table values in tests) ----
+
+@register("sta02_paired_t_p")
+def sta02_paired_t_p(spark: SparkSession, sf: str) -> DataFrame:
+    """Paired and corrected resampled t-tests with two-sided p-values."""
+    return P.paired_t(S.paired_diffs(fold_scores(spark, sf), "F", "O"), rho=RHO)
+
+
+@register("sta04_wilcoxon_p")
+def sta04_wilcoxon_p(spark: SparkSession, sf: str) -> DataFrame:
+    """Wilcoxon signed-rank test with its p-value."""
+    return P.wilcoxon(S.paired_diffs(fold_scores(spark, sf), "F", "O"))
+
+
+@register("sta05_rank_sum_p")
+def sta05_rank_sum_p(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank-sum test per run under the three alternatives."""
+    bp = best_rows(pred_view(spark, sf))
+    parts = [P.mann_whitney(bp, ["run"], "label", "score", a).withColumn("alternative", F.lit(a)) for a in ("two-sided", "greater", "less")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("sta05_ks_two_sample_p")
+def sta05_ks_two_sample_p(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-sample KS test between the score distributions of the classes."""
+    return P.ks_2samp(best_rows(pred_view(spark, sf)), ["run"], "label", "score")
+
+
+@register("sta06_friedman_p")
+def sta06_friedman_p(spark: SparkSession, sf: str) -> DataFrame:
+    """Friedman test over three runs with its p-value."""
+    return P.friedman(fold_scores(spark, sf, True))
+
+
+@register("sta07_nemenyi_p")
+def sta07_nemenyi_p(spark: SparkSession, sf: str) -> DataFrame:
+    """Nemenyi post-hoc p-values per pair of runs."""
+    return P.nemenyi(fold_scores(spark, sf, True))
+
+
+@register("sta08_rm_anova_p")
+def sta08_rm_anova_p(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated-measures ANOVA with its p-value."""
+    return P.rm_anova(fold_scores(spark, sf, True))
+
+
+@register("sta09_pairwise_holm")
+def sta09_pairwise_holm(spark: SparkSession, sf: str) -> DataFrame:
+    """Paired t of every pair of three runs, Holm- and BH-adjusted."""
+    return P.pairwise_t(fold_scores(spark, sf, True))
+
+
+@register("sta12_kruskal_p")
+def sta12_kruskal_p(spark: SparkSession, sf: str) -> DataFrame:
+    """Kruskal-Wallis test of sizes across part types with its p-value."""
+    return P.kruskal(variants_view(spark, sf), "ptype", "position")

@@ -5,9 +5,10 @@ on views that both Spark and DuckDB compute exactly (integer arithmetic, then
 one division).  Every view is given twice: as a DataFrame built from the
 scans, and as the SQL text of a CTE for the DuckDB oracle.  Keep them in step.
 
-pred        (run, fold, epoch, id, grp, score, label)   from lineitem
+pred        (run, fold, epoch, id, grp, score, label, pkey)   from lineitem
 variants    (id, gene, position, label_txt, feature, ptype, name, symbol)  from part
-align       (family, gene, col, ch)                     from documents
+rows        (family, gene, row): one gapped row per gene        from documents
+align       (family, gene, col, ch): the same in long form (SQL only)
 positions   (family, gene, k, position, cls)            from documents
 """
 
@@ -30,10 +31,11 @@ def pred_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("run"),
         (ok % 10).alias("fold"),
         ln.alias("epoch"),
-        (ok * 100000 + pk).alias("id"),
+        (ok * 8 + ln).alias("id"),  # line numbers are 1 to 7
         sk.alias("grp"),
         _score(ok, pk, ln).alias("score"),
         F.when((ok * 13 + sk * 5) % 7 < 3, 1).otherwise(0).alias("label"),
+        pk.alias("pkey"),
     )
 
 
@@ -45,10 +47,11 @@ def pred3_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("run"),
         (ok % 10).alias("fold"),
         ln.alias("epoch"),
-        (ok * 100000 + pk).alias("id"),
+        (ok * 8 + ln).alias("id"),  # line numbers are 1 to 7
         sk.alias("grp"),
         _score(ok, pk, ln).alias("score"),
         F.when((ok * 13 + sk * 5) % 7 < 3, 1).otherwise(0).alias("label"),
+        pk.alias("pkey"),
     )
 
 
@@ -71,16 +74,12 @@ def variants_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def align_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment in long form: each whole document is one gapped row (its
-    characters are the columns, a space is a gap).  ``col`` is 1-based.
-    Characters are split on code points."""
+def rows_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment with one gapped row per gene: each whole document, its
+    characters being the columns and a space (or '-') a gap."""
     d = table(spark, sf_dir, "documents")
-    chars = F.regexp_extract_all(F.col("text"), F.lit("(?s)."), 0)
-    return (d.select(F.col("lang").alias("family"), F.col("doc_id").alias("gene"),
-                     F.posexplode(chars).alias("pos0", "ch"))
-             .select("family", "gene", (F.col("pos0") + 1).alias("col"),
-                     F.when(F.col("ch") == " ", "-").otherwise(F.col("ch")).alias("ch")))
+    return d.select(F.col("lang").alias("family"), F.col("doc_id").alias("gene"),
+                    F.translate("text", " ", "-").alias("row"))
 
 
 def positions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +106,11 @@ _LABEL_SQL = "CASE WHEN (l_orderkey*13 + l_suppkey*5) % 7 < 3 THEN 1 ELSE 0 END"
 
 SQL_VIEWS = {
     "pred": f"""SELECT l_linestatus AS run, l_orderkey % 10 AS fold, l_linenumber AS epoch,
-        l_orderkey*100000 + l_partkey AS id, l_suppkey AS grp,
-        {_SCORE_SQL} AS score, {_LABEL_SQL} AS label FROM lineitem""",
+        l_orderkey*8 + l_linenumber AS id, l_suppkey AS grp,
+        {_SCORE_SQL} AS score, {_LABEL_SQL} AS label, l_partkey AS pkey FROM lineitem""",
     "pred3": f"""SELECT l_returnflag AS run, l_orderkey % 10 AS fold, l_linenumber AS epoch,
-        l_orderkey*100000 + l_partkey AS id, l_suppkey AS grp,
-        {_SCORE_SQL} AS score, {_LABEL_SQL} AS label FROM lineitem""",
+        l_orderkey*8 + l_linenumber AS id, l_suppkey AS grp,
+        {_SCORE_SQL} AS score, {_LABEL_SQL} AS label, l_partkey AS pkey FROM lineitem""",
     "variants": """SELECT p_partkey AS id, p_brand AS gene, p_size AS position,
         CASE WHEN p_type IN ('ECONOMY','SMALL') THEN 'lof'
              WHEN p_type IN ('LARGE','PROMO') THEN 'gof' ELSE 'neutral' END AS label_txt,

@@ -47,7 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used as
-    is.  Only when nothing is set (local tests) a fresh scratch folder is made.
+    is.  Only in local mode, when nothing is set, a fresh scratch folder is
+    made; on a cluster a folder of the driver's own would lose data, so that
+    raises.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -55,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="varlens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return configured

@@ -14,9 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MISSING = ("", "NA", "NaN", "nan")
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's checkpoint directory (the shared
     folder a cluster names in ``spark.checkpoint.dir``)."""
@@ -46,18 +43,18 @@ def read_gaf(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_c2").alias("symbol"), F.col("_c4").alias("term"))
 
 
-def write_by_extension(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet when the path names it, else tab-separated CSV with a header (SRC-04)."""
+def write_by_extension(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> None:
+    """Parquet when the path names it, else delimited text with a header (SRC-04)."""
     if ".parquet" in path:
         df.write.mode(mode).parquet(path)
     else:
-        df.write.mode(mode).option("header", True).option("sep", "\t").csv(path)
+        df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
 
 
-def read_by_extension(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_by_extension(spark: SparkSession, path: str, schema=None, sep: str = ",") -> DataFrame:
     if ".parquet" in path:
         return spark.read.parquet(path)
-    return read_delimited(spark, path, schema, "\t")
+    return read_delimited(spark, path, schema, sep)
 
 
 def read_archive(spark: SparkSession, run_dir: str, csv_schema=None) -> DataFrame:
