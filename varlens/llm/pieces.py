@@ -278,12 +278,22 @@ def _codec(path: str) -> Codec:
         return Codec(f.read())
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def shared_codec(path: str) -> Codec:
+    """The Python worker's codec, with the words it has met in earlier tasks."""
+    if path not in _CODECS:
+        _CODECS[path] = _codec(path)
+    return _CODECS[path]
+
+
 def _mapped(docs: DataFrame, model_path: str, row, added: list[T.StructField], types: list[pa.DataType]) -> DataFrame:
     names = [f.name for f in added]
     kept = docs.select(*[c for c in docs.columns if c not in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path)
+        codec = shared_codec(model_path)
         for batch in batches:
             texts, start, held, out = batch.column(batch.schema.get_field_index("text")), 0, 0, []
             for i in range(len(texts)):

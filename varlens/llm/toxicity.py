@@ -227,13 +227,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, r
     return train([w for w, _ in rows], [y for _, y in rows], rounds)
 
 
+_SHARES: dict[int, dict[bytes, float]] = {}
+
+
+def word_shares(stamp: int) -> dict[bytes, float]:
+    """The Python worker's shares of the words it has met under one model."""
+    if stamp not in _SHARES:
+        _SHARES.clear()
+        _SHARES[stamp] = {}
+    return _SHARES[stamp]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 from ``threshold`` on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    stamp = zlib.crc32(model.share.tobytes())
     kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, float] = {}
+        cache = word_shares(stamp)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             scores = np.empty(len(texts))
