@@ -234,3 +234,30 @@ def test_group_tests_and_pairwise_holm(spark):
                                    "g string, v double")
     kw = P.kruskal(groups, "g", "v").first()  # H = 7.2 on 2 df
     assert abs(kw.h - 7.2) < 1e-9 and abs(kw.p - math.exp(-3.6)) < 1e-9
+
+
+def test_group_kfold_is_greedy(spark):
+    rows = [(g, i) for g, n in (("a", 5), ("b", 4), ("c", 3), ("d", 3), ("e", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int")
+    got = {r.g: r.fold for r in S.group_kfold(df, "g", 2).select("g", "fold").distinct().collect()}
+    # a -> 0 (5), b -> 1 (4), c -> 1 (7), d -> 0 (8), e -> 1 (8)
+    assert got == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+
+
+def test_model_stage_invariants(spark):
+    from varlens.operators import ml as ML
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(4, 0.3, (40, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b), int(i >= 40)) for i, (a, b) in enumerate(x)], "id long, a double, b double, label int")
+    found = ML.choice_of_k(df, ["a", "b"], 3, restarts=3)
+    dense = ((x - x.mean(0)) ** 2).sum()
+    assert abs(found[0][1] - dense) < 1e-6 * dense and found[0][2] is None
+    two = sum(((p - p.mean(0)) ** 2).sum() for p in (x[:40], x[40:]))
+    assert abs(found[1][1] - two) < 1e-6 * dense and found[1][2] > 0.9 > found[2][2]
+    _, ratio, singular = ML.pca_scores(df, ["a", "b"], 2)
+    exact = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    assert np.allclose(singular, exact, rtol=1e-6) and abs(sum(ratio) - 1) < 1e-9
+    grid = dict(maxIter=(3,), stepSize=(0.1,), subsamplingRate=(1.0,), maxDepth=(1, 2), minInstancesPerNode=(1,))
+    scored, table = ML.tuned_holdout(df.where("id % 4 <> 0"), df.where("id % 4 = 0"), ["a", "b"], "id", grid=grid)
+    assert len(table) == 2 and all(r == 1.0 for _, r in table)
+    assert all((r.score > 0) == (r.label == 1) and math.isfinite(r.score) for r in scored.collect())

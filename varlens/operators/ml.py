@@ -52,13 +52,107 @@ def kmeans_best(df: DataFrame, cols: Sequence[str], k: int = 8, seed: int = 404,
     return out
 
 
-def pca_scores(df: DataFrame, cols: Sequence[str], k: int = 2) -> tuple[DataFrame, list[float]]:
+def pca_scores(df: DataFrame, cols: Sequence[str], k: int = 2) -> tuple[DataFrame, list[float], list[float]]:
     """PCA on mean-centred data (Spark's PCA does not centre) (ML-07):
-    projection and explained-variance ratios."""
+    projection, explained-variance ratios and singular values.  A component's
+    sign is such that its largest loading is positive."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
     a = assemble(df, cols, "raw")
     centred = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=False).fit(a).transform(a)
     model = PCA(k=k, inputCol="features", outputCol="pcs").fit(centred)
-    out = model.transform(centred).withColumn("pcs", vector_to_array("pcs")).drop("raw", "features")
-    return out, list(model.explainedVariance.toArray())
+    loadings = model.pc.toArray()  # one row per input column
+    signs = [1.0 if loadings[abs(loadings[:, i]).argmax(), i] >= 0 else -1.0 for i in range(k)]
+    flip = F.array(*[F.lit(s) for s in signs])
+    out = (model.transform(centred)
+           .withColumn("pcs", F.zip_with(vector_to_array("pcs"), flip, lambda x, s: x * s)).drop("raw", "features"))
+    ratio = list(model.explainedVariance.toArray())
+    row = a.agg(Summarizer.variance(F.col("raw")).alias("v"), F.count(F.lit(1)).alias("n")).first()
+    squares = float(sum(row["v"])) * max(0, row["n"] - 1)
+    return out, ratio, [(r * squares) ** 0.5 for r in ratio]
+
+
+# Fixed values that must equal the reference's search grid.
+GBT_GRID = dict(maxIter=(100, 200), stepSize=(0.05, 0.1), subsamplingRate=(0.5, 1.0), maxDepth=(1, 2, 3),
+                minInstancesPerNode=(1, 2, 3))
+
+
+def grid_search(train: DataFrame, cols: Sequence[str], label: str = "label", fold: str = "fold", folds: int = 3,
+                grid: dict | None = None, parallelism: int = 4):
+    """Cross-validated search over GBT settings by the recall of class 1 (ML-02).
+    ``fold`` holds 0 .. folds - 1 (see ``splits.stratified_kfold``).  Returns the
+    model refitted with the best setting and the table of (setting, recall)."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=GBT_PARAMS["seed"])
+    build = ParamGridBuilder()
+    for name, values in (grid or GBT_GRID).items():
+        build = build.addGrid(getattr(gbt, name), list(values))
+    maps = build.build()
+    recall = MulticlassClassificationEvaluator(labelCol=label, metricName="recallByLabel", metricLabel=1.0)
+    data = assemble(train, cols).select("features", F.col(label).cast("double").alias(label), F.col(fold).cast("int").alias(fold))
+    found = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=recall, numFolds=folds, foldCol=fold,
+                           parallelism=parallelism).fit(data)
+    table = [({p.name: v for p, v in m.items()}, r) for m, r in zip(maps, found.avgMetrics)]
+    return found.bestModel, table
+
+
+def score_margin(model, test: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``test`` with ``score``, the margin of class 1, by a fitted model (ML-08
+    for Spark ML models)."""
+    from pyspark.ml.functions import vector_to_array
+    return (model.transform(assemble(test, cols)).withColumn("score", F.get(vector_to_array("rawPrediction"), 1))
+            .drop("features", "rawPrediction", "probability", "prediction"))
+
+
+def tuned_holdout(train: DataFrame, test: DataFrame, cols: Sequence[str], id_col: str, label: str = "label",
+                  seed: int = 42, **search) -> tuple[DataFrame, list]:
+    """Missing values 0, scaled with the training statistics, four fifths of the
+    training rows (stratified) searched, the hold-out scored (ML-03).  Returns
+    the scored hold-out and the table of settings."""
+    from varlens.operators import features as FE
+    from varlens.operators import splits as SP
+    train, test = train.na.fill(0, list(cols)), test.na.fill(0, list(cols))
+    stats = FE.fit_standard(train, cols)
+    train, test = FE.apply_standard(train, stats, cols, impute=False), FE.apply_standard(test, stats, cols, impute=False)
+    fifth = SP.stratified_kfold(train, id_col, label, k=5, seed=seed, out="__fifth")
+    searched = SP.stratified_kfold(fifth.where("__fifth <> 0"), id_col, label, k=search.get("folds", 3), seed=seed, out="fold")
+    model, table = grid_search(searched, cols, label, "fold", **search)
+    return score_margin(model, test, cols), table
+
+
+def nested_cv(rows: DataFrame, cols: Sequence[str], outer: str = "for_outer", role: str = "role", label: str = "label",
+              **overrides) -> DataFrame:
+    """Nested cross-validation (ML-04) over cross-fitted rows (DEN-09): for each
+    outer fold the model learns from the rows with role ``inner`` and scores
+    those with role ``outer_test``.  One Spark job per outer fold; the archive
+    rows carry ``fold`` and ``score``."""
+    out = None
+    for (fold,) in sorted(map(tuple, rows.select(outer).distinct().collect())):  # outer folds: one job each
+        own = rows.where(F.col(outer) == F.lit(fold))
+        scored = gbt_margin(own.where(F.col(role) == "inner"), own.where(F.col(role) == "outer_test"), cols, label, **overrides)
+        part = scored.drop("prediction").withColumn("fold", F.lit(fold))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def choice_of_k(df: DataFrame, cols: Sequence[str], k_max: int, seed: int = 42, restarts: int = 10) -> list[tuple[int, float, float | None]]:
+    """(k, within-cluster sum of squares, mean silhouette) for k = 1 .. k_max
+    (ML-06), best of ``restarts`` fits by cost.  The silhouette uses squared
+    Euclidean distances, whose means have a closed form per cluster, so no
+    table of pairs is made; k = 1 has none."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.stat import Summarizer
+    data = assemble(df, cols).select("features").cache()
+    row = data.agg(Summarizer.variance(F.col("features")).alias("v"), F.count(F.lit(1)).alias("n")).first()
+    out: list[tuple[int, float, float | None]] = [(1, float(sum(row["v"])) * max(0, row["n"] - 1), None)]
+    for k in range(2, k_max + 1):
+        fits = [KMeans(k=k, seed=seed + r, featuresCol="features").fit(data) for r in range(restarts)]
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+        silhouette = ClusteringEvaluator(featuresCol="features").evaluate(best.transform(data))
+        out.append((k, best.summary.trainingCost, silhouette))
+    data.unpersist()
+    return out

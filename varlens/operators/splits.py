@@ -113,6 +113,22 @@ def leave_one_group_out(df: DataFrame, group: str, out: str = "fold") -> DataFra
     return df.join(folds, group)
 
 
+def group_kfold(df: DataFrame, group: str, k: int, out: str = "fold") -> DataFrame:
+    """k folds of whole groups (SPL-05 for k < groups): the largest group left
+    goes to the fold with the fewest rows.  Equal sizes go by group key; equal
+    folds by number.  Only the table of group sizes, one row per group, is
+    collected, as the rule is sequential over it."""
+    sizes = [(r[0], r[1]) for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).collect()]
+    rows = [0] * k
+    found = []
+    for key, n in sorted(sizes, key=lambda s: (-s[1], s[0])):
+        fold = min(range(k), key=lambda i: (rows[i], i))
+        rows[fold] += n
+        found.append((key, fold))
+    kind = df.schema[group].dataType.simpleString()
+    return df.join(df.sparkSession.createDataFrame(found, f"{group} {kind}, {out} int"), group)
+
+
 def expand_folds(df: DataFrame, fold_col: str, k: int) -> DataFrame:
     """Row x fold with ``train`` = 1 unless the row's own fold (SPL-06)."""
     spark = df.sparkSession

@@ -113,20 +113,13 @@ def src07_fold_files(spark: SparkSession, sf: str) -> DataFrame:
     return IO.read_folds(spark, path).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("src08_key_catalogue", with_views("SELECT DISTINCT gene AS key FROM variants", "variants"))
+@register("src08_key_catalogue", with_views("SELECT DISTINCT replace(gene, '#', '-') AS key FROM variants", "variants"))
 def src08_key_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """Keys recovered from file names (``<key>_esm2.npy``) in a folder; only
     file metadata is read."""
     path = IO.scratch_dir(spark, "emb")
-    v = variants_view(spark, sf).select("gene", "id")
-    # one file per key: partition by the key, then name files by their key
-    v.write.partitionBy("gene").parquet(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    key = F.regexp_extract("path", r"gene=([^/]+)/", 1)
-    named = files.select(F.concat(F.regexp_replace(key, "%23", "#"), F.lit("_esm2.npy")).alias("name")).distinct()
-    stem = F.regexp_extract("name", r"([^/]+?)(\.[^./]*)?$", 1)
-    return named.select(F.when(F.instr(stem, "_esm") > 0, F.substring_index(stem, "_esm", 1)).otherwise(stem).alias(
-        "key")).distinct()
+    IO.write_named(variants_view(spark, sf).select(F.translate("gene", "#", "-").alias("gene")), path, "gene", "_esm2.npy")
+    return IO.key_catalogue(spark, path, "*.npy")
 
 
 @register("src09_incremental_skip", with_views("SELECT id FROM variants WHERE position % 2 = 1", "variants"))
@@ -150,6 +143,29 @@ def src10_multi_run(spark: SparkSession, sf: str) -> DataFrame:
     return runs.groupBy("run", "model_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("src10_numbered_runs", with_views("""SELECT CAST(fold AS VARCHAR) AS run, count(*) AS n FROM pred GROUP BY fold""", "pred"))
+def src10_numbered_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every numbered sub-directory of a folder loaded as a run."""
+    base = IO.scratch_dir(spark, "numbered")
+    pred_view(spark, sf).withColumn("dir", F.col("fold").cast("string")).write.partitionBy("dir").parquet(f"{base}/by")
+    found = IO.numbered_runs(spark, _renamed(spark, f"{base}/by", f"{base}/runs"))
+    return IO.load_runs(spark, found).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _renamed(spark: SparkSession, source: str, target: str) -> str:
+    """Folders ``dir=<n>`` under ``source`` as ``target/<n>/output.parquet``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(path(source)):
+        name = s.getPath().getName()
+        if name.startswith("dir="):
+            fs.mkdirs(path(f"{target}/{name[4:]}"))
+            fs.rename(s.getPath(), path(f"{target}/{name[4:]}/output.parquet"))
+    fs.mkdirs(path(f"{target}/notes"))  # not a number: skipped
+    return target
+
+
 @register("src11_predicted_terms", with_views("""SELECT id, CASE WHEN hpo = '"HP:9999999"' AND id % 3 = 0 THEN 'HP:PRED' ELSE hpo END AS hpo
 FROM (SELECT id, CASE WHEN position % 10 = 0 THEN '"HP:9999998"' WHEN position % 10 = 1 THEN '"HP:9999999"'
    ELSE '"HP:' || CAST(id AS VARCHAR) || '"' END AS hpo FROM variants)""", "variants"))

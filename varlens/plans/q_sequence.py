@@ -216,7 +216,7 @@ def emb06_contact_row(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("label", F.get("vec", 0).cast("double").alias("x0"), _vsum(F.col("vec")).alias("total"))
 
 
-@register("emb07_dim_rank_test", f"""WITH x AS (SELECT CASE WHEN label < 5 THEN 0 ELSE 1 END AS g, d.dim, CAST(d.x AS DOUBLE) AS x
+@register("emb07_dim_rank_test", f"""WITH x AS (SELECT CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS g, d.dim, CAST(d.x AS DOUBLE) AS x
     FROM embeddings, LATERAL (SELECT generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x) d),
 v AS (SELECT dim, x, count(*) AS n, sum(g) AS n1v FROM x GROUP BY dim, x),
 r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY dim ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
@@ -226,9 +226,9 @@ u AS (SELECT dim, CAST(sum(n1v) AS BIGINT) AS n1, CAST(sum(n) - sum(n1v) AS BIGI
 m AS (SELECT dim, avg(x) FILTER (WHERE g = 1) - avg(x) FILTER (WHERE g = 0) AS mean_diff FROM x GROUP BY dim)
 SELECT u.dim, n1, n2, {r6('u1', 'u1')}, {r6('mean_diff', 'mean_diff')} FROM u JOIN m ON u.dim = m.dim""")
 def emb07_dim_rank_test(spark: SparkSession, sf: str) -> DataFrame:
-    """Per embedding dimension: Mann-Whitney U between labels >= 5 and < 5
-    and the difference of means."""
-    e = table(spark, sf, "embeddings").withColumn("g", F.when(F.col("label") < 5, 0).otherwise(1))
+    """Per embedding dimension: Mann-Whitney U between the vectors with a
+    positive first element and the others, and the difference of means."""
+    e = table(spark, sf, "embeddings").withColumn("g", F.when(F.get("embedding", 0) > 0, 1).otherwise(0))
     x = A.explode_dims(e, ["g"], "embedding")
     u = S.mann_whitney(x, ["dim"], "g", "x")
     m = x.groupBy("dim").agg((F.avg(F.when(F.col("g") == 1, F.col("x"))) - F.avg(F.when(F.col("g") == 0, F.col("x"))))
@@ -250,7 +250,7 @@ def emb07_dim_rank_fdr(spark: SparkSession, sf: str) -> DataFrame:
     def two_sided(z: pd.Series) -> pd.Series:
         return z.abs().map(lambda v: min(1.0, 2.0 * tails.norm_sf(v)))
 
-    e = table(spark, sf, "embeddings").withColumn("g", F.when(F.col("label") < 5, 0).otherwise(1))
+    e = table(spark, sf, "embeddings").withColumn("g", F.when(F.get("embedding", 0) > 0, 1).otherwise(0))
     x = A.explode_dims(e, ["g"], "embedding")
     ties = x.groupBy("dim", "x").agg(F.count(F.lit(1)).alias("t")).groupBy("dim").agg(
         F.sum(F.col("t") ** 3 - F.col("t")).alias("tt"))
@@ -293,13 +293,11 @@ def agg17_streaming_moments(spark: SparkSession, sf: str) -> DataFrame:
     """The moments of AGG-17 computed by a streaming query over the
     embedding rows, which are written as a folder of files and consumed
     incrementally (availableNow trigger)."""
-    import uuid
     from varlens.sources.io import scratch_dir
-    from varlens.streaming.moments import run_to_table, streaming_moments
+    from varlens.streaming.moments import run_to_folder, streaming_moments
     folder = scratch_dir(spark, "stream-in")
     e = table(spark, sf, "embeddings").select("label", "embedding")
     e.repartition(4, "label").write.parquet(folder)
-    name = "moments_" + uuid.uuid4().hex[:8]
-    out = run_to_table(streaming_moments(spark, folder, "label int, embedding array<float>", "label", "embedding"),
-                       name, scratch_dir(spark, "stream-ckpt"))
+    out = run_to_folder(streaming_moments(spark, folder, "label int, embedding array<float>", "label", "embedding"),
+                        scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ckpt"))
     return out.select("label", "count", "mean", "var_pop", "var_samp")

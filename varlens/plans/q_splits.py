@@ -80,6 +80,12 @@ def spl05_leave_one_group_out(spark: SparkSession, sf: str) -> DataFrame:
     return S.leave_one_group_out(_sv(spark, sf).select("gene", "id", "label"), "gene")
 
 
+@register("spl05_group_kfold")
+def spl05_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
+    """Five folds of whole genes, largest gene first to the smallest fold."""
+    return S.group_kfold(variants_view(spark, sf).select("id", "gene"), "gene", 5)
+
+
 @register("spl06_expand_folds", with_views(f"""WITH {SV},
 f AS (SELECT id, CAST((row_number() OVER (ORDER BY label, {h(SEED)}, id) - 1) % 5 AS INTEGER) AS fold FROM sv)
 SELECT id, fold, CAST(s AS INTEGER) AS split_fold, CAST(CASE WHEN s <> fold THEN 1 ELSE 0 END AS INTEGER) AS train

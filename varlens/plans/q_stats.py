@@ -163,7 +163,7 @@ def sta12_kruskal(spark: SparkSession, sf: str) -> DataFrame:
     return S.kruskal(variants_view(spark, sf), "ptype", "position")
 
 
-_WORDS = "w AS (SELECT DISTINCT gene, unnest(string_split(name, ' ')) AS term FROM variants)"
+_WORDS = "w AS (SELECT DISTINCT gene, unnest(string_split(name, ' ')) || '|' || CAST(position AS VARCHAR) AS term FROM variants)"
 _JAC = f"""{_WORDS}, sz AS (SELECT gene, count(*) AS size FROM w GROUP BY gene),
 jp AS (SELECT a.gene AS item_a, b.gene AS item_b, count(*) AS inter FROM w a JOIN w b ON a.term = b.term AND a.gene < b.gene
        GROUP BY a.gene, b.gene),
@@ -171,13 +171,17 @@ jac AS (SELECT jp.*, CAST(inter AS DOUBLE) / (sa.size + sb.size - inter) AS jacc
         JOIN sz sa ON jp.item_a = sa.gene JOIN sz sb ON jp.item_b = sb.gene)"""
 
 
+def _words(v: DataFrame) -> DataFrame:
+    """A gene's terms: each word of its names with the position it stands at."""
+    word = F.explode(F.split("name", " ")).alias("word")
+    return v.select("gene", "position", word).select("gene", F.concat_ws("|", "word", F.col("position").cast("string")).alias("term"))
+
+
 @register("sta13_jaccard_pairs", with_views(f"""WITH {_JAC}
 SELECT item_a, item_b, inter, {r6('jaccard', 'jaccard')} FROM jac""", "variants"))
 def sta13_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Jaccard similarity of genes' word sets, pairs that share a word."""
-    v = variants_view(spark, sf).select(
-        "gene", F.explode(F.split("name", " ")).alias("term"))
-    return S.jaccard_pairs(v, "gene", "term")
+    return S.jaccard_pairs(_words(variants_view(spark, sf)), "gene", "term")
 
 
 _POL = """pol AS (SELECT gene, avg(CASE WHEN label_txt = 'gof' THEN 1.0 ELSE 0.0 END) AS a FROM variants GROUP BY gene)"""
@@ -192,7 +196,7 @@ def sta14_mantel(spark: SparkSession, sf: str) -> DataFrame:
     and their polarity distance, over all gene pairs, computed without
     emitting the pairs (sums over the sparse sharing pairs + rank sums)."""
     v = variants_view(spark, sf)
-    words = v.select("gene", F.explode(F.split("name", " ")).alias("term"))
+    words = _words(v)
     pol = v.groupBy("gene").agg(F.avg(F.when(F.col("label_txt") == "gof", 1.0).otherwise(0.0)).alias("a"))
     return S.mantel_sparse(S.jaccard_pairs(words, "gene", "term"), pol, "gene", "a")
 
@@ -201,7 +205,7 @@ def sta14_mantel(spark: SparkSession, sf: str) -> DataFrame:
 def sta14_mantel_permutation(spark: SparkSession, sf: str) -> DataFrame:
     """Mantel r with a p-value from 999 seeded relabellings of the genes."""
     v = variants_view(spark, sf)
-    words = v.select("gene", F.explode(F.split("name", " ")).alias("term"))
+    words = _words(v)
     pol = v.groupBy("gene").agg(F.avg(F.when(F.col("label_txt") == "gof", 1.0).otherwise(0.0)).alias("a"))
     return S.mantel_permutation(S.jaccard_pairs(words, "gene", "term"), pol, "gene", "a", 999)
 

@@ -121,6 +121,30 @@ def load_runs(spark: SparkSession, runs: dict[str, str], reader=None) -> DataFra
     return out
 
 
+def numbered_runs(spark: SparkSession, path: str) -> dict[str, str]:
+    """{name: folder} of every sub-directory of ``path`` whose name is a whole
+    number, in integer order (SRC-10); only the folder listing is read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return {n: f"{path.rstrip('/')}/{n}" for n in sorted((n for n in names if n.isdigit()), key=int)}
+
+
+def write_named(df: DataFrame, directory: str, key: str, suffix: str) -> None:
+    """One one-byte file per key, named ``<key><suffix>`` (the layout the key
+    catalogue reads).  Files are made one by one: for small sets of keys."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(directory)
+    fs = base.getFileSystem(conf)
+    for (name,) in df.select(key).distinct().toLocalIterator():  # one small file per key
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(base, f"{name}{suffix}"))
+        out.writeByte(0)
+        out.close()
+
+
 def override_terms(df: DataFrame, predicted: DataFrame, key: str, col: str, sentinel: str) -> DataFrame:
     """Replace the sentinel in ``col`` by a predicted term when one exists (SRC-11)."""
     p = predicted.select(key, F.col("term").alias("__pred"))

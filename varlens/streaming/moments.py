@@ -18,10 +18,18 @@ def streaming_moments(spark: SparkSession, folder: str, schema: str, key: str, v
                               F.var_pop("x").alias("var_pop"), F.var_samp("x").alias("var_samp"))
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Drive a streaming aggregate over everything available into an
-    in-memory table and return it as a DataFrame."""
-    q = (df.writeStream.outputMode("complete").format("memory").queryName(name)
+def run_to_folder(df: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Drive a streaming aggregate over everything available; each micro-batch
+    writes the whole result table of that batch to a folder of its own, and the
+    last one is returned.  Nothing passes through the driver."""
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        last[:] = [number]
+
+    q = (df.writeStream.outputMode("complete").foreachBatch(write)
            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(f"{folder}/batch={last[0]}") if last else spark.createDataFrame([], df.schema)
