@@ -157,34 +157,67 @@ class Model:
         n = self.classes
         self.r, self.q, self.b, self.m = rows[:n + 1, :DIM].copy(), rows[n + 1:2 * n + 1, :DIM].copy(), rows[n + 1:2 * n + 1, DIM].copy(), rows[2 * n + 1:, :DIM].copy()
 
-    def train(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, state: dict, rng: np.random.Generator) -> None:
-        """One pass over tokens w with contexts a (the word before) and b, in
-        batches; Adagrad with ``state`` as its sums of squares."""
-        order = rng.permutation(len(w))
-        sum_rows = lambda ids, g, n: np.stack([np.bincount(ids, g[:, k], n) for k in range(g.shape[1])], 1).astype(np.float32)
-        for at in range(0, len(w), BATCH):
-            pick = order[at:at + BATCH]
-            wi, ai, bi = w[pick], a[pick], b[pick]
-            ra, rb, qw = self.r[ai], self.r[bi], self.q[wi]
-            h = ra * self.m[0] + rb * self.m[1]
-            drawn = np.minimum(np.searchsorted(self.noise, rng.random(NOISE)), self.classes - 1)
-            qn = self.q[drawn]
-            log_k = math.log(NOISE)
-            positive = (h * qw).sum(1) + self.b[wi] - self.log_noise[wi] - log_k
-            negative = h @ qn.T + (self.b[drawn] - self.log_noise[drawn] - log_k)
-            gp = 1 / (1 + np.exp(np.clip(positive, -30, 30)))          # 1 - P(data)
-            gn = -1 / (1 + np.exp(-np.clip(negative, -30, 30)))        # - P(data) of noise
-            gh = gp[:, None] * qw + gn @ qn
-            g = {
-                "r": sum_rows(ai, gh * self.m[0], self.classes + 1) + sum_rows(bi, gh * self.m[1], self.classes + 1),
-                "q": sum_rows(wi, gp[:, None] * h, self.classes) + sum_rows(drawn, gn.T @ h, self.classes),
-                "b": (np.bincount(wi, gp, self.classes) + np.bincount(drawn, gn.sum(0), self.classes)).astype(np.float32),
-                "m": np.stack([(gh * ra).sum(0), (gh * rb).sum(0)]),
-            }
-            for name, x in g.items():
-                x /= len(pick) ** 0.5
-                state[name] = state.get(name, 0.1) + x * x
-                getattr(self, name).__iadd__(RATE * x / np.sqrt(state[name]))
+    def train(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, state: dict, rng: np.random.Generator, passes: int = 1) -> None:
+        """Passes over tokens w with contexts a (the word before) and b, in batches
+        of about ``BATCH`` tokens; Adagrad with ``state`` as its sums of squares.
+        Equal tokens in equal contexts are worked out once and weighted by their
+        number; a batch takes contexts in random order, each with all its tokens."""
+        n = self.classes + 1
+        triple, count = np.unique((a * n + b) * n + w, return_counts=True)
+        context, first = np.unique(triple // n, return_index=True)
+        held = np.diff(np.append(first, len(triple)))
+        total = np.add.reduceat(count, first)
+        for _ in range(passes):
+            order = rng.permutation(len(context))
+            size = held[order]
+            place = np.repeat(first[order] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(triple))
+            words, weights = triple[place] % n, count[place].astype(np.float32)
+            cuts = np.flatnonzero(np.diff(np.cumsum(total[order]) // BATCH)) + 1
+            ends = np.cumsum(size)
+            at = done = 0
+            for cut in [*cuts.tolist(), len(order)]:
+                own, upto = order[at:cut], int(ends[cut - 1])
+                self._step(words[done:upto], weights[done:upto], context[own] // n, context[own] % n, size[at:cut],
+                           total[own].astype(np.float32), state, rng)
+                at, done = cut, upto
+
+    def _step(self, w, weight, a, b, size, total, state, rng) -> None:
+        """One step: contexts (a, b) met ``total`` times, the i-th with ``size[i]`` of
+        the words w, met ``weight`` times."""
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        ra, rb, qw = self.r[a], self.r[b], self.q[w]
+        h = ra * self.m[0] + rb * self.m[1]
+        hw = np.repeat(h, size, axis=0)
+        drawn = np.minimum(np.searchsorted(self.noise, rng.random(NOISE)), self.classes - 1)
+        qn = self.q[drawn]
+        log_k = math.log(NOISE)
+        positive = np.einsum("ij,ij->i", hw, qw) + self.b[w] - self.log_noise[w] - log_k
+        negative = h @ qn.T + (self.b[drawn] - self.log_noise[drawn] - log_k)
+        gp = weight / (1 + np.exp(np.clip(positive, -30, 30)))               # weight x (1 - P(data))
+        gn = -total[:, None] / (1 + np.exp(-np.clip(negative, -30, 30)))     # - P(data) of noise
+        pull = gp[:, None] * qw
+        gh = np.add.reduceat(pull, starts, axis=0) + gn @ qn
+        scale = float(total.sum()) ** -0.5
+        steps = np.arange(DIM)
+
+        def rows(ids, g, n):  # sums of the rows of g by id
+            flat = np.bincount((ids[:, None] * DIM + steps).ravel(), g.ravel(), n * DIM)
+            return flat.reshape(n, DIM).astype(np.float32)
+
+        gradients = {
+            "r": rows(np.concatenate([a, b]), np.concatenate([gh * self.m[0], gh * self.m[1]]), self.classes + 1),
+            "q": rows(np.concatenate([w, drawn]), np.concatenate([gp[:, None] * hw, gn.T @ h]), self.classes),
+            "b": np.bincount(np.concatenate([w, drawn]), np.concatenate([gp, gn.sum(0)]), self.classes).astype(np.float32),
+            "m": np.stack([(gh * ra).sum(0), (gh * rb).sum(0)]),
+        }
+        for name, x in gradients.items():
+            x *= scale
+            if name not in state:
+                state[name] = np.full_like(x, 0.1)
+            state[name] += x * x
+            x *= RATE
+            x /= np.sqrt(state[name])
+            getattr(self, name).__iadd__(x)
 
     def log10(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
         """log10 of the normalised probability of each w after a and b.  ``table``
@@ -239,8 +272,7 @@ def fit(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
                 w = class_of[np.concatenate(held)]
                 starts = np.cumsum([0] + [len(x) for x in held[:-1]])
                 a, b = contexts(w, starts, own_model.classes)
-                for _ in range(PASSES):
-                    own_model.train(w, a, b, state, rng)
+                own_model.train(w, a, b, state, rng, PASSES)
 
             for batch in batches:
                 texts = batch.column(0).cast(pa.binary())
