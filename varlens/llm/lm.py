@@ -2,9 +2,9 @@
 
 Tokens are words (A-Z lower-cased), then one end token per text.
 
-Counts.  Every training token is counted in Spark.  The ``FREQUENT`` most
-frequent tokens go to the tasks with their counts; all others meet their counts
-in a join, so no table of the whole vocabulary is ever in one place.
+Counts.  Every training token is counted in Spark.  At most ``FREQUENT`` of the
+most frequent tokens go to the tasks with their counts; all others meet their
+counts in a join, so no table of the whole vocabulary is ever in one place.
 
 Classes.  The ``VOCABULARY`` most frequent tokens are classes of their own.  Any
 other word belongs to one of ``TAILS`` classes by its last two bytes, and within
@@ -109,6 +109,18 @@ class Lexicon:
         self.unigram = unigram / unigram.sum()
 
 
+def frequent_words(counts: DataFrame, words: int) -> DataFrame:
+    """The (word, c) with c above a bound that at most ``FREQUENT`` words exceed:
+    an approximate quantile, doubled while too many words are above it.  So no
+    more than these rows leave the tasks, however many tasks there are."""
+    bound = 0
+    if words > FREQUENT:
+        bound = counts.agg(F.percentile_approx("c", 1 - FREQUENT / words, 10_000)).first()[0]
+        while counts.where(F.col("c") > bound).count() > FREQUENT:
+            bound *= 2
+    return counts.where(F.col("c") > bound)
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
     """What tasks need of the (stored) counts: ``FREQUENT`` words and ``TAILS`` sums."""
     last = F.substring("word", -2, 2)
@@ -116,8 +128,8 @@ def lexicon(counts: DataFrame) -> Lexicon:
     n, v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for r in tails:
         n[r["tail"]], v[r["tail"]] = r["n"], r["v"]
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    return Lexicon([(bytes(r["word"]), r["c"]) for r in top], n, v, int(n.sum()), int(v.sum()))
+    top = sorted(((bytes(r["word"]), r["c"]) for r in frequent_words(counts, int(v.sum())).collect()), key=lambda x: (-x[1], x[0]))
+    return Lexicon(top, n, v, int(n.sum()), int(v.sum()))
 
 
 class _Numbers(dict):
