@@ -25,6 +25,8 @@ table gives an empty table; repeated rows are packed one by one.
 from __future__ import annotations
 
 import math
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -43,7 +45,7 @@ CAPACITY = 4096
 SEARCH_NODES = 400
 #: Nodes of one enumeration of fillings, and fillings kept per enumeration.
 FILL_NODES, FILLINGS = 300, 4
-#: Words whose ids a Python worker remembers.
+#: Words, and parts of words, that a Python worker remembers at least; twice as many at most.
 CACHE_WORDS = 300_000
 #: Parts into which the numbering of one length is split.
 SALTS = 64
@@ -54,29 +56,75 @@ SALTS = 64
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and never joins across
     it: words between blanks, tabs and line ends are encoded once and kept as
-    packed little-endian unsigned 32-bit ids."""
+    packed little-endian unsigned 32-bit ids.
+
+    The tokenizer lower-cases and then merges inside letter runs, single digits,
+    runs of other signs and the contractions of ``PARTS`` only.  A word of ASCII
+    and Latin letters is cut into those here, and each part is encoded once by
+    the tokenizer; any other word, and one that may hold a special token, is
+    given to it whole."""
+
+    #: What the tokenizer's pre-tokenizer matches, for the characters of ``PLAIN``.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+    #: Words of printable ASCII and composed Latin letters (not U+0130, whose lower case has a mark).
+    PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.cache, self.older = {"": b""}, {}  # words met lately, and before that
+        self.parts, self.older_parts = {}, {}
         self.cache_words = cache_words
 
+    @staticmethod
+    def _recall(wanted: set[str], older: dict[str, bytes], into: dict[str, bytes]) -> None:
+        """Moves what the older words hold of ``wanted`` to the later ones."""
+        known = wanted.intersection(older) if older else set()
+        for w in known:
+            into[w] = older[w]
+        wanted.difference_update(known)
+
+    def _learn(self, texts: list[str], into: dict[str, bytes]) -> None:
+        for at in range(0, len(texts), 1024):
+            part = texts[at:at + 1024]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                into[w] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        cache = self.cache
-        cache[""] = b""
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in cache]
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+            self.cache, self.older = {"": b""}, self.cache
+        if len(self.parts) > self.cache_words:
+            self.parts, self.older_parts = {}, self.parts
+        cache, parts = self.cache, self.parts
+        new: set[str] = set()
+        for words in split:
+            new.update(words)
+        new.difference_update(cache)
+        self._recall(new, self.older, cache)
+        cut = {w: self.PARTS.findall(w.lower()) for w in new if self.PLAIN.fullmatch(w) and "<|" not in w}
+        wanted = set().union(*cut.values()).difference(parts) if cut else set()
+        self._recall(wanted, self.older_parts, parts)
+        self._learn(sorted(wanted), parts)
+        for w, found in cut.items():
+            cache[w] = b"".join([parts[p] for p in found])
+        self._learn(sorted(new.difference(cut)), cache)
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """The Python worker's encoder, with the words it has met in earlier tasks.
+    The worker encodes in one thread; Spark runs the tasks in parallel."""
+    if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ``ids``,
     an array of int, with ``keep_ids``)."""
@@ -86,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         for batch in batches:
             ids, texts, at, held = batch.column(0), batch.column(1), 0, 0
             group: list[str] = []
