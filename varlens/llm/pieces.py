@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Words a Python worker remembers, and the longest word it remembers.
+#: Words a Python worker remembers at least (twice as many at most), and the longest of them.
 CACHE_WORDS, CACHE_LENGTH = 250_000, 48
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -179,7 +179,8 @@ class Codec:
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.words = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if apart else r"(?s:.+)").findall
-        self.cache: dict[str, Word] = {}
+        self.cache: dict[str, Word] = {}  # words met lately, and before that
+        self.older: dict[str, Word] = {}
         self.cache_words = cache_words
 
     def merge(self, text: str) -> list[str]:
@@ -254,12 +255,12 @@ class Codec:
         end, decoded text in UTF-8) of a whole text."""
         normal, align = self.normalize(text.encode())
         if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        cache, words = self.cache, []
+            self.cache, self.older = {}, self.cache
+        cache, older, words = self.cache, self.older, []
         for w in self.words(normal.decode()):
             word = cache.get(w)
             if word is None:
-                word = self.encode_word(w)
+                word = older.get(w) or self.encode_word(w)
                 if len(w) <= CACHE_LENGTH:
                     cache[w] = word
             words.append(word)
