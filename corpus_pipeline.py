@@ -20,6 +20,8 @@ from varlens.llm.common import stored, table
 
 #: Least share of the likelihood that the predicted language must have.
 LEAST_SHARE = 0.5
+#: Near copies share this many percent of their runs of so many words.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies."""
-    return jaccard.first_of_groups(docs).select(*docs.columns)
+    return jaccard.first_of_groups(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

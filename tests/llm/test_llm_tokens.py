@@ -328,3 +328,33 @@ def test_pipeline_matches_a_brute_force_version(spark, tmp_path):
         expected += [(doc, k, s, len(ids[s:s + 4096]), zlib.crc32(ids[s:s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(expected)
     assert expected and len({r["sequence_id"] for r in got}) == packing.lower_bound(np.bincount([e[3] for e in expected], minlength=4097).tolist(), 4096)
+
+
+def test_pipeline_links_near_copies_at_five_words_and_four_fifths(spark):
+    """Pairs between 0.80 and 0.85, and just under 0.80, against brute force of its own."""
+    import corpus_pipeline
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    words = lambda n: rng.choice(vocabulary, n).tolist()
+    rows = near_copies(6, 60)
+    base = 10 ** 9
+    for k, (n, cut, edits) in enumerate([(1000, 180, 0), (1000, 205, 0), (900, 0, 19), (900, 0, 25), (300, 50, 0), (60, 10, 0), (60, 13, 0), (9, 1, 0)]):
+        one = words(n)
+        two = one[:n - cut]
+        for e in range(edits):
+            two[e * (n // edits) + 20] = "edited"
+        rows += [(base + 2 * k, " ".join(one)), (base + 2 * k + 1, " ".join(two))]
+    sets = [(d, shingle_set(t, 5)) for d, t in rows]
+    label = {d: d for d, _ in rows}
+    likeness = {}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1:]:
+            likeness[a, b] = len(x & y) / len(x | y)
+            if 100 * len(x & y) >= 80 * len(x | y):
+                old, new = sorted((label[a], label[b]), reverse=True)
+                label = {d: new if c == old else c for d, c in label.items()}
+    planted = [likeness[base + 2 * k, base + 2 * k + 1] for k in range(8)]
+    assert sum(0.8 <= x < 0.85 for x in planted) >= 4 and sum(0.7 < x < 0.8 for x in planted) >= 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(d for d, c in label.items() if c == d)
