@@ -42,8 +42,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; ``n_chars`` follows."""
-    found = secrets.scan(docs)
+    """Replaces secrets in the texts, also those joined to others; ``n_chars`` follows."""
+    found = secrets.scan(docs, joined=True)
     clean = found.withColumn("text", F.when(F.size("spans") > 0, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -11,6 +11,11 @@ class (hexadecimal, alphanumeric, or base-64 with signs), unless it matches the
 allow list or overlaps a base span.  c*log2(c) is held in millionths as whole
 numbers, so sums are exact.
 
+With ``joined`` (the pipeline's form) base spans and placeholders don't clear a
+run: the text between them is judged part by part, each like a run of its own,
+and if a part is a secret the whole run gets an entropy span, which may overlap
+base spans.
+
 Only DataFrame functions are used.  Java's regular expressions give the matches
 and the text between them; a match starts after all that came before.
 
@@ -103,9 +108,9 @@ def least_sum(candidate: Column, window: int = WINDOW) -> Column:
     return _let(F.split(candidate, ""), lambda raw: _let(F.filter(raw, lambda x: x != ""), over))
 
 
-def secret_candidate(candidate: Column) -> Column:
+def secret_candidate(candidate: Column, allow: tuple[str, ...] = ALLOW) -> Column:
     allowed = F.lit(False)
-    for pattern in ALLOW:
+    for pattern in allow:
         allowed = allowed | candidate.rlike(pattern)
     bound = F.lit(None).cast("long")
     for pattern, bits in reversed(BOUNDS):
@@ -114,16 +119,33 @@ def secret_candidate(candidate: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(least_sum(candidate) <= bound)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def secret_part(run: Column, base: Column) -> Column:
+    """Whether a part of the candidate ``run`` outside the ``base`` spans and
+    placeholders is a secret.  Signs at the ends of a part don't keep it from the
+    allow list."""
+    blank = F.aggregate(base, run["text"], lambda out, b: F.when(
+        (b["start"] < run["end"]) & (run["start"] < b["end"]),
+        _let(F.struct((F.greatest(b["start"], run["start"]) - run["start"]).alias("from"), (F.least(b["end"], run["end"]) - run["start"]).alias("to")),
+             lambda cut: F.concat(F.substring(out, F.lit(1), cut["from"]), F.repeat(F.lit(" "), cut["to"] - cut["from"]),
+                                  F.substring(out, cut["to"] + 1, F.length(out)))))
+        .otherwise(out))
+    parts = F.split(F.regexp_replace(blank, ALLOW[-1], " "), " ")
+    whole, ends = ALLOW[:-1], tuple(p.replace("^", "^[+/_=-]*(?:", 1)[:-1] + ")[+/_=-]*$" for p in ALLOW[:-1])
+    return F.exists(parts, lambda p: (F.length(p) >= WINDOW) & p.rlike("[0-9]") & F.when(p == run["text"], secret_candidate(p, whole)).otherwise(secret_candidate(p, ends)))
+
+
+def scan(docs: DataFrame, joined: bool = False) -> DataFrame:
     """``docs`` with ``spans``: array of (start, kind, end), by start, then kind
-    (``KINDS``)."""
+    (``KINDS``).  ``joined``: also secrets in runs that hold a base span or a
+    placeholder."""
     kept = docs.select(*[c for c in docs.columns if c not in ("spans", "_base", "_candidates", "_text")])
     text = F.col("_text")
     based = (kept.withColumn("_text", F.coalesce("text", F.lit("")))
              .withColumn("_base", F.concat(matches(text, ASSIGN, 0, 2, MIN_VALUE), matches(text, ACCESS, 1), matches(text, HEX, 2)))
              .withColumn("_candidates", matches(text, CANDIDATE, 3)))
     clear = F.filter("_candidates", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = based.withColumn("_candidates", F.filter(clear, lambda c: secret_candidate(c["text"])))
+    wanted = F.filter("_candidates", lambda c: secret_part(c, F.col("_base"))) if joined else F.filter(clear, lambda c: secret_candidate(c["text"]))
+    found = based.withColumn("_candidates", wanted)
     spans = F.array_sort(F.transform(F.concat("_base", "_candidates"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return found.withColumn("spans", spans).drop("_base", "_candidates", "_text")
 
