@@ -261,3 +261,29 @@ def test_model_stage_invariants(spark):
     scored, table = ML.tuned_holdout(df.where("id % 4 <> 0"), df.where("id % 4 = 0"), ["a", "b"], "id", grid=grid)
     assert len(table) == 2 and all(r == 1.0 for _, r in table)
     assert all((r.score > 0) == (r.label == 1) and math.isfinite(r.score) for r in scored.collect())
+
+
+def test_registered_model_queries_run_the_whole_search(spark, monkeypatch):
+    """No query hands the operators fewer settings, trees, restarts or k than their defaults."""
+    from varlens.operators import ml as ML
+    from varlens.plans import q_ml
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def stand_in(name):
+        def call(*args, **named):
+            seen[name] = (args, named)
+            raise Stop
+        return call
+
+    for query, name in (("ml02_grid_search", "grid_search"), ("ml03_tuned_holdout", "tuned_holdout"),
+                        ("ml04_nested_cv", "nested_cv"), ("ml06_choice_of_k", "choice_of_k")):
+        monkeypatch.setattr(ML, name, stand_in(name))
+        with pytest.raises(Stop):
+            getattr(q_ml, query)(spark, "/root/testdata/sf0.001")
+        assert not set(seen[name][1]) & {"grid", "folds", "maxIter", "restarts"}
+    assert seen["choice_of_k"][0][2] == 9
+    sizes = [len(v) for v in ML.GBT_GRID.values()]
+    assert sizes == [2, 2, 2, 3, 3] and ML.GBT_PARAMS["maxIter"] == 200

@@ -56,17 +56,14 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
                                                (F.col("l_returnflag") == "R").cast("int").alias("label"))
 
 
-#: Two settings, so that the registered search stays short; the default is the full grid.
-_SHORT = dict(maxIter=(5,), stepSize=(0.1,), subsamplingRate=(0.5,), maxDepth=(1, 2), minInstancesPerNode=(2,))
-
-
 @register("ml02_grid_search")
 def ml02_grid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of class 1 of each setting over 3 stratified folds."""
     from varlens.operators import splits as SP
     rows = SP.stratified_kfold(_lines(spark, sf), "id", "label", k=3, out="fold")
-    _, found = ML.grid_search(rows, _COLS, grid=_SHORT)
-    return spark.createDataFrame([(m["maxDepth"], m["maxIter"], float(r)) for m, r in found], "max_depth int, max_iter int, recall double")
+    _, found = ML.grid_search(rows, _COLS)
+    return spark.createDataFrame([(m["maxDepth"], m["maxIter"], m["stepSize"], m["subsamplingRate"], m["minInstancesPerNode"], float(r)) for m, r in found],
+                                 "max_depth int, max_iter int, step_size double, subsampling_rate double, min_instances int, recall double")
 
 
 @register("ml03_tuned_holdout")
@@ -74,7 +71,7 @@ def ml03_tuned_holdout(spark: SparkSession, sf: str) -> DataFrame:
     """Imputed, scaled and searched on the orders with key % 5 <> 0; AUC,
     balanced accuracy and MCC on the others."""
     li = _lines(spark, sf)
-    scored, _ = ML.tuned_holdout(li.where("l_orderkey % 5 <> 0"), li.where("l_orderkey % 5 = 0"), _COLS, "id", grid=_SHORT)
+    scored, _ = ML.tuned_holdout(li.where("l_orderkey % 5 <> 0"), li.where("l_orderkey % 5 = 0"), _COLS, "id")
     st = M.score_table(scored.withColumn("run", F.lit("tuned")), ("run",))
     cm = M.with_metrics(M.confusion_from_table(st, ["run"], cut=0.0), ["balanced_accuracy", "mcc"])
     return C.roc_auc(st, ["run"]).join(cm.select("run", "balanced_accuracy", "mcc"), "run")
@@ -86,7 +83,7 @@ def ml04_nested_cv(spark: SparkSession, sf: str) -> DataFrame:
     standardised cross-fitted densities as features; rows and AUC per fold."""
     from varlens.plans.q_density import _DCOLS, den09_standardised
     rows = den09_standardised(spark, sf).withColumnRenamed("cls", "label")
-    scored = ML.nested_cv(rows, _DCOLS, maxIter=5).withColumn("run", F.lit("nested"))
+    scored = ML.nested_cv(rows, _DCOLS).withColumn("run", F.lit("nested"))
     st = M.score_table(scored, ("run", "fold"))
     n = scored.groupBy("run", "fold").agg(F.count(F.lit(1)).alias("n"))
     return C.roc_auc(st, ["run", "fold"]).join(n, ["run", "fold"])
@@ -94,7 +91,8 @@ def ml04_nested_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("ml06_choice_of_k")
 def ml06_choice_of_k(spark: SparkSession, sf: str) -> DataFrame:
-    """Cost and silhouette (squared Euclidean) of k = 1 .. 6 on the embeddings."""
+    """Cost and silhouette (squared Euclidean) of k = 1 .. 9 (below the number of rows) on the
+    embeddings, 10 restarts."""
     from pyspark.ml.functions import array_to_vector
     e = table(spark, sf, "embeddings").select(array_to_vector("embedding").alias("v"))
-    return spark.createDataFrame(ML.choice_of_k(e, ["v"], 6, restarts=2), "k int, cost double, silhouette double")
+    return spark.createDataFrame(ML.choice_of_k(e, ["v"], min(10, e.count()) - 1), "k int, cost double, silhouette double")
