@@ -240,3 +240,15 @@ def test_secrets_joined_to_others_are_redacted(spark):
             assert KEY[:12] not in clean[i] and KEY[::-1][:12] not in clean[i] and "[SECRET]" in clean[i], text
         elif text in PLAIN:
             assert not any(s[1] == 3 for s in found[i]["spans"]), text
+
+
+def test_propagation_goes_on_until_scores_settle(spark):
+    """A hub with many trusted links, in a cycle: far from settled after 30 rounds."""
+    leaves, tolerance = 400, 0.05
+    hosts = ["hub", "back", *[f"leaf{i}" for i in range(leaves)]]
+    links = spark.createDataFrame([("hub", "back", 1), ("back", "hub", 1), *[(h, "hub", 1) for h in hosts[2:]]], "src string, dst string, n long")
+    seeds = spark.createDataFrame([(h, float(h.startswith("leaf")), 0.0) for h in hosts], "host string, trust double, distrust double")
+    got = {r["host"]: r["trust"] for r in urls.propagate(seeds, links, tolerance=tolerance).collect()}
+    hub = urls.DAMPING * leaves / (1 - urls.DAMPING ** 2)
+    assert got["hub"] == pytest.approx(hub, abs=tolerance / (1 - urls.DAMPING))
+    assert got["back"] == pytest.approx(urls.DAMPING * hub, abs=tolerance / (1 - urls.DAMPING))

@@ -20,6 +20,7 @@ empty table.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from varlens.llm.common import stored
 
 DAMPING, THRESHOLD = 0.85, 0.5
-#: Rounds at most, and the largest change of a score that ends them.
-ROUNDS, TOLERANCE = 30, 1e-4
+#: The largest change of a score that ends the rounds.
+TOLERANCE = 1e-4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,9 +85,12 @@ def host_links(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from ``seeds`` (host, trust, distrust) over ``links``
-    (src, dst, n)."""
+    (src, dst, n), until no score changes by ``tolerance``, or for ``rounds``.  The
+    changes of a round add up to ``damping`` times those of the round before at
+    most, and those of the first to ``damping`` times the seeds, which bounds the
+    number of rounds."""
     links = stored(links)
     seeds = stored(seeds)
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
@@ -100,7 +104,11 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         return seeds
     flows = stored(flows)
     scores = seeds
-    for _ in range(rounds):
+    most = rounds
+    if most is None:
+        total = seeds.agg(F.greatest(F.sum("trust"), F.sum("distrust"))).first()[0] or 0.0
+        most = 2 + max(0, math.ceil(math.log(max(total, tolerance) / tolerance) / -math.log(damping)))
+    for _ in range(most):
         moved = (scores.withColumnRenamed("host", "from").join(flows, "from")
                  .select(F.col("to").alias("host"), (damping * F.col("trust") * F.col("t")).alias("trust"),
                          (damping * F.col("distrust") * F.col("d")).alias("distrust")))
@@ -111,6 +119,9 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         scores = new
         if change is None or change < tolerance:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"scores did not settle in {most} rounds")
     return scores
 
 
