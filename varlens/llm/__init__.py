@@ -1,3 +1,3 @@
-"""Operations of a training-data pipeline: ten operators, their queries and SQL.
+"""Operations of a training-data pipeline: thirteen operators, their queries and SQL.
 
 Nothing else in the library imports this subpackage."""

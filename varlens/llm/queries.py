@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlens.llm import fingerprints, jaccard, langid, lm, packing, pieces, quality, secrets, toxicity, urls
-from varlens.llm.common import is_remainder, table
+from varlens.llm import fingerprints, jaccard, langid, lm, merkle, packing, pieces, quality, secrets, spelling, topk, toxicity, urls
+from varlens.llm.common import id_remainder, is_remainder, table
 from varlens.llm.sql import SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -79,9 +79,28 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaf = lambda n_chars: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    n_chars = F.col("n_chars")
+    tampered = F.when(id_remainder(F.col("doc_id"), 7) == 0, leaf(F.coalesce(F.try_add(n_chars, F.lit(1)), n_chars)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", leaf(n_chars).alias("leaf"), tampered.alias("tampered"))
+    found = merkle.manifest(rows, node="leaf", group="lang", order=["doc_id"])
+    folded = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("witness")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(merkle.proof(F.col("witness")), ""), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_fingerprints, op4_url_filters, op5_toxicity, op6_secret_scans, op7_sentencepiece,
-                                    op8_best_fit_packing, op9_language_id, op10_ngram_jaccard)}
+                                    op8_best_fit_packing, op9_language_id, op10_ngram_jaccard, op11_merkle_manifest, op12_exact_topk, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -78,4 +78,76 @@ reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e
 low AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id FROM s LEFT JOIN low ON s.doc_id = low.a"""
 
-SQL = {"op2_quality_rules": OP2, "op6_secret_scans": OP6, "op10_ngram_jaccard": OP10}
+
+#: The 256 remainders of the reversed polynomial of crc32, from its rule.
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+  lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS remainders)"""
+
+
+def _crc32(text: str) -> str:
+    byte = f"CAST(('0x' || substr(hex(encode({text})), 2 * i - 1, 2)) AS BIGINT)"
+    return f"""xor(4294967295, list_reduce(list_transform(range(1, octet_length(encode({text})) + 1), lambda i: {byte}),
+  lambda a, b: xor(a >> 8, remainders[xor(a & 255, b) + 1]), 4294967295))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+def _levels(name: str, first: str) -> str:
+    """All nodes of the trees whose leaves (g, pos, h, n) are in ``first``."""
+    return f"""{name} AS (SELECT g, 0 AS lvl, pos, h, n FROM {first} UNION ALL
+  SELECT g, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY g, lvl, pos // 2)"""
+
+
+def _folds(name: str, first: str, nodes: str) -> str:
+    """Rows (r, g, pos, n, acc, proof) of ``first`` carried up the trees ``nodes``."""
+    return f"""{name} AS (SELECT r, g, 0 AS lvl, pos, n, acc, proof FROM {first} UNION ALL
+  SELECT f.r, f.g, f.lvl + 1, f.pos // 2, (f.n + 1) // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.acc ELSE f.acc || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+  FROM {name} f LEFT JOIN {nodes} s ON s.g = f.g AND s.lvl = f.lvl AND s.pos = xor(f.pos, 1) WHERE f.n > 1)"""
+
+
+OP11 = f"""WITH RECURSIVE crc AS {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, {_leaf("n_chars")} AS leaf,
+  CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS tampered FROM documents, crc),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+leaves AS (SELECT g, pos, leaf AS h, n FROM o),
+{_levels("inner_nodes", "leaves")},
+subs AS (SELECT g AS name, '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS n FROM inner_nodes WHERE n = 1),
+{_levels("top_nodes", "subs")},
+starts AS (SELECT r, g, pos, n, coalesce(tampered, leaf) AS acc, '' AS proof FROM o),
+{_folds("inner_folds", "starts", "inner_nodes")},
+middles AS (SELECT f.r, s.g, s.pos, s.n, f.acc, f.proof FROM inner_folds f JOIN subs s ON f.g = s.name WHERE f.n = 1),
+{_folds("top_folds", "middles", "top_nodes")}
+SELECT o.doc_id, o.leaf, s.h AS subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.acc AS folded_root, f.acc = t.h AS verified
+FROM o JOIN subs s ON o.g = s.name JOIN (SELECT h FROM top_nodes WHERE n = 1) t ON true JOIN (SELECT * FROM top_folds WHERE n = 1) f ON o.r = f.r"""
+
+OP12 = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM k WHERE place <= 5"""
+
+OP13 = f"""WITH RECURSIVE crc AS {_CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+  unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, c, {_crc32("(doc_id || ':' || run)")} AS h FROM runs, crc),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c,
+  CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i) x),
+pairs AS (SELECT a.word AS a, b.word AS b, b.n FROM cuts a JOIN cuts b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cuts.word, w.word, w.n FROM cuts JOIN w ON cuts.part = w.word UNION SELECT w.word, cuts.word, cuts.n FROM cuts JOIN w ON cuts.part = w.word),
+near AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS form, max(n) AS form_n FROM pairs GROUP BY a),
+f AS (SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n
+  FROM w LEFT JOIN near ON w.word = near.a),
+up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON up.next = f.word)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON f.word = up.word AND up.next IS NULL"""
+
+SQL = {"op2_quality_rules": OP2, "op6_secret_scans": OP6, "op10_ngram_jaccard": OP10, "op11_merkle_manifest": OP11, "op12_exact_topk": OP12,
+       "op13_spelling_variants": OP13}
