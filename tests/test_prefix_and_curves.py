@@ -99,3 +99,13 @@ def test_best_epoch_earliest_on_ties(spark):
     loss = spark.createDataFrame([("r", 0, 1, 0.5), ("r", 0, 2, 0.3), ("r", 0, 3, 0.3)],
                                  "run string, fold int, epoch int, loss double")
     assert M.best_epoch(loss).first().best_epoch == 2
+
+
+def test_sweep_and_calibration_do_not_depend_on_partitions(spark):
+    rnd = random.Random(11)
+    rows = [("a", f, i / 1000, rnd.randint(0, 4), rnd.randint(0, 4)) for f in range(3) for i in range(0, 1001, 3)]
+    st = spark.createDataFrame(rows, "run string, fold int, score double, pos long, neg long")
+    seen = [(sorted(map(tuple, C.threshold_sweep(st.repartition(n), ["run"]).collect())),
+             sorted(tuple(r)[:2] + tuple(r)[3:] for r in C.calibration(st.repartition(n), ["run", "fold"], ["run", "fold"]).collect()),
+             sorted(r["prob_pred"] for r in C.calibration(st.repartition(n), ["run", "fold"], ["run", "fold"]).collect())) for n in (1, 7, 64)]
+    assert seen[0] == seen[1] == seen[2]

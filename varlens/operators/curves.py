@@ -21,6 +21,9 @@ from varlens.functions.grid import (first_grid_at_or_above, hist_bin, inner_edge
 from varlens.functions.prefix import prefix_sum
 from varlens.operators.metrics import regroup
 
+#: Sums of scores: exact, so that they do not depend on the order of additions.
+_EXACT = "decimal(38,12)"
+
 
 def _desc_cum(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None) -> DataFrame:
     """Distinct scores per group with tp/fp = counts at or above the score,
@@ -166,7 +169,7 @@ def calibration(st: DataFrame, fold_keys: Sequence[str], mean_keys: Sequence[str
     b = inner_edges_below(F.col("score"), 0.0, 1.0, n_bins)
     per = (st.withColumn("bin", b)
              .groupBy(*fold_keys, "bin")
-             .agg((F.sum(F.col("score") * _n()) / F.sum(_n())).alias("prob_pred"),
+             .agg((F.sum((F.col("score").cast(_EXACT) * _n()).cast(_EXACT)).cast("double") / F.sum(_n())).alias("prob_pred"),
                   (F.sum("pos") / F.sum(_n())).alias("prob_true"),
                   F.sum(_n()).alias("n")))
     return per.groupBy(*mean_keys, "bin").agg(
@@ -183,19 +186,20 @@ def threshold_sweep(st: DataFrame, keys: Sequence[str], num: int = 100) -> DataF
     linspace(0.5, 0.999).  Expected precision is the mean confidence of the
     selected rows, expected recall the mean confidence of the selected true
     positives; an empty selection gives 0 everywhere.  Scores are bucketed to
-    their first qualifying grid point, then cumulated over the 100-point grid."""
+    their first qualifying grid point, then cumulated over the 100-point grid.
+    Confidences are summed as decimals, so no result depends on the order."""
     spark = st.sparkSession
     s = F.col("score")
     parts = []
     for cls, lo, hi in ((0, 0.001, 0.5), (1, 0.5, 0.999)):
-        conf = (1.0 - s) if cls == 0 else s
+        conf = (F.lit(1).cast(_EXACT) - s.cast(_EXACT)).cast(_EXACT) if cls == 0 else s.cast(_EXACT)
         tp1 = F.col("neg") if cls == 0 else F.col("pos")
         cell = first_grid_at_or_above(s, lo, hi, num) if cls == 0 else last_grid_at_or_below(s, lo, hi, num)
         rows = st.select(*keys, cell.alias("j"), conf.alias("conf"), _n().alias("w"), tp1.alias("tp1"))
         per_cell = rows.where(F.col("j").isNotNull()).groupBy(*keys, "j").agg(
             F.sum("w").alias("c_sel"), F.sum("tp1").alias("c_tp"),
-            F.sum(F.col("conf") * F.col("w")).alias("c_conf"),
-            F.sum(F.col("conf") * F.col("tp1")).alias("c_conf_tp"))
+            F.sum((F.col("conf") * F.col("w")).cast(_EXACT)).alias("c_conf"),
+            F.sum((F.col("conf") * F.col("tp1")).cast(_EXACT)).alias("c_conf_tp"))
         pos_tot = rows.groupBy(*keys).agg(F.sum("tp1").alias("n_true"))
         grid = lin_grid(spark, lo, hi, num)
         g = pos_tot.crossJoin(grid).join(per_cell, on=[*keys, "j"], how="left").na.fill(
@@ -320,9 +324,8 @@ def cumulative_mean(st: DataFrame, keys: Sequence[str], n_buckets: int | None =
     Inside a tie block the running mean moves linearly in the count, so the
     per-row curve is fully determined by these points.  Score sums are exact
     decimals, so the result does not depend on the order of additions."""
-    dec = "decimal(38,12)"
     vc = regroup(st, keys).select(*keys, "score", _n().alias("n"),
-                                  (F.col("score").cast(dec) * _n()).cast(dec).alias("s"))
+                                  (F.col("score").cast(_EXACT) * _n()).cast(_EXACT).alias("s"))
     cum = prefix_sum(vc, keys, "score", ["n", "s"], inclusive=True, suffix="_le",
                      n_buckets=n_buckets, splits_from=st)
     return cum.select(*keys, "score", "n", F.col("n_le"),

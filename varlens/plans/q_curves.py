@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varlens.operators import curves as C
 from varlens.operators import metrics as M
+from varlens.operators import smoothing as SM
 from varlens.plans.catalog import dbl, lin_sql, r6, register
 from varlens.plans.q_archive import BEST_ROWS, best_rows, best_st
 from varlens.plans.views import pred_view, with_views
@@ -112,12 +113,12 @@ def crv07_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sweep_sql() -> str:
     parts = []
-    for cls, lo, hi, test, conf, truth in ((0, 0.001, 0.5, "score <= t", "1.0 - score", "label = 0"),
-                                           (1, 0.5, 0.999, "score >= t", "score", "label = 1")):
+    for cls, lo, hi, test, conf, truth in ((0, 0.001, 0.5, "score <= t", "1 - CAST(score AS DECIMAL(28, 12))", "label = 0"),
+                                           (1, 0.5, 0.999, "score >= t", "CAST(score AS DECIMAL(28, 12))", "label = 1")):
         parts.append(f"""SELECT b.run, {cls} AS cls, g.j, g.t AS threshold,
     count(*) FILTER (WHERE {test}) AS sel, count(*) FILTER (WHERE {test} AND {truth}) AS tp,
     count(*) FILTER (WHERE {truth}) AS n_true,
-    sum({conf}) FILTER (WHERE {test}) AS conf, sum({conf}) FILTER (WHERE {test} AND {truth}) AS conf_tp
+    CAST(sum({conf}) FILTER (WHERE {test}) AS DOUBLE) AS conf, CAST(sum({conf}) FILTER (WHERE {test} AND {truth}) AS DOUBLE) AS conf_tp
   FROM bp b, (SELECT CAST(j AS INTEGER) AS j, {lin_sql('j', lo, hi, 100)} AS t FROM range(100) r(j)) g
   GROUP BY b.run, g.j, g.t""")
     return "sw AS (" + " UNION ALL ".join(parts) + """),
@@ -258,3 +259,23 @@ def crv17_predicted_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Per row: predicted class, its confidence and whether it is wrong."""
     rows = C.confidence_rows(best_rows(pred_view(spark, sf)))
     return rows.select("run", "fold", "id", "grp", "yhat", "conf", "wrong")
+
+
+@register("crv15_lowess", with_views(f"""{BEST_ROWS},
+p AS (SELECT run, score AS x, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN (score > 0.5) <> (label = 1) THEN 1 ELSE 0 END) AS BIGINT) AS y
+  FROM bp GROUP BY run, score),
+k AS (SELECT run, greatest(1, CAST(floor(0.15 * sum(n) + 1e-10) AS BIGINT)) AS k FROM p GROUP BY run),
+d AS (SELECT a.run, a.x AS x0, b.x - a.x AS d, b.n, b.y FROM p a JOIN p b ON a.run = b.run),
+c AS (SELECT run, x0, abs(d) AS far, sum(n) OVER (PARTITION BY run, x0 ORDER BY abs(d)) AS within FROM d),
+r AS (SELECT c.run, c.x0, min(far) AS r FROM c JOIN k ON c.run = k.run AND c.within >= k.k GROUP BY c.run, c.x0),
+w AS (SELECT d.run, d.x0, d.d, d.n, d.y, CASE WHEN r.r > 0 THEN pow(1 - pow(abs(d.d) / r.r, 3), 3) ELSE 1.0 END AS w
+  FROM d JOIN r ON d.run = r.run AND d.x0 = r.x0 WHERE abs(d.d) < r.r OR d.d = 0),
+m AS (SELECT run, x0, sum(w * n) AS s0, sum(w * n * d) / sum(w * n) AS mx, sum(w * y) / sum(w * n) AS my,
+    sum(w * n * d * d) / sum(w * n) AS sxx, sum(w * y * d) / sum(w * n) AS sxy FROM w GROUP BY run, x0),
+f AS (SELECT run, x0, my - mx * (sxy - mx * my) / greatest(sxx - mx * mx, 1e-12) AS smooth FROM m)
+SELECT p.run, {r6('p.x', 'score')}, p.n, p.y AS n_wrong, {r6('CASE WHEN p.x < 0.5 THEN 1 - p.x ELSE p.x END', 'conf')}, {r6('100.0 * f.smooth', 'error_rate')}
+FROM p JOIN f ON p.run = f.run AND p.x = f.x0""", "pred"))
+def crv15_lowess(spark: SparkSession, sf: str) -> DataFrame:
+    """Error rate smoothed by local lines (15 % nearest rows, no robust pass)
+    at every distinct score, per run at the best epoch."""
+    return SM.smoothed_error_rate(best_st(spark, sf), ("run",), 0.15)
