@@ -283,7 +283,7 @@ def test_registered_model_queries_run_the_whole_search(spark, monkeypatch):
         monkeypatch.setattr(ML, name, stand_in(name))
         with pytest.raises(Stop):
             getattr(q_ml, query)(spark, "/root/testdata/sf0.001")
-        assert not set(seen[name][1]) & {"grid", "folds", "maxIter", "restarts"}
+        assert not set(seen[name][1]) & {"grid", "folds", "setting", "restarts"}
     assert seen["choice_of_k"][0][2] == 9
     sizes = [len(v) for v in ML.GBT_GRID.values()]
     assert sizes == [2, 2, 2, 3, 3] and ML.GBT_PARAMS["maxIter"] == 200

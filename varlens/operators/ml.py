@@ -1,6 +1,6 @@
-"""Model stage with Spark ML (ML-*): gradient-boosted trees with the
-reference's settings, grid search, k-means with restarts, PCA on centred
-data.  Scores are margins from ``rawPrediction`` (Spark's GBT margin is the
+"""Model stage (ML-*): gradient-boosted trees with the reference's settings,
+k-means with restarts and PCA on centred data by Spark ML; the searches, which
+fit many models on the same rows, by ``boosting``.  Scores are margins from ``rawPrediction`` (Spark's GBT margin is the
 half-scaled logistic margin: the ranking, hence AUC, is the same)."""
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varlens.functions.exprs import materialize
+from varlens.operators import boosting as B
+
 # Fixed values that must equal the reference's gradient-boosting settings.
 GBT_PARAMS = dict(maxIter=200, stepSize=0.1, maxDepth=3, minInstancesPerNode=2, subsamplingRate=0.5, seed=123)
 
@@ -78,25 +81,46 @@ GBT_GRID = dict(maxIter=(100, 200), stepSize=(0.05, 0.1), subsamplingRate=(0.5,
                 minInstancesPerNode=(1, 2, 3))
 
 
+def _settings(grid: dict) -> list[dict]:
+    """All settings, in the order in which the first of equals is the best."""
+    from itertools import product
+    names = ["stepSize", "maxDepth", "minInstancesPerNode", "maxIter", "subsamplingRate"]
+    return [dict(zip(names, v)) for v in product(*[grid[n] for n in names])]
+
+
+def _boosted(setting: dict, parts) -> B.Model:
+    return B.Model(setting["stepSize"], setting["subsamplingRate"], setting["maxDepth"], setting["minInstancesPerNode"], frozenset(parts))
+
+
 def grid_search(train: DataFrame, cols: Sequence[str], label: str = "label", fold: str = "fold", folds: int = 3,
-                grid: dict | None = None, parallelism: int = 4):
-    """Cross-validated search over GBT settings by the recall of class 1 (ML-02).
-    ``fold`` holds 0 .. folds - 1 (see ``splits.stratified_kfold``).  Returns the
-    model refitted with the best setting and the table of (setting, recall)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=GBT_PARAMS["seed"])
-    build = ParamGridBuilder()
-    for name, values in (grid or GBT_GRID).items():
-        build = build.addGrid(getattr(gbt, name), list(values))
-    maps = build.build()
-    recall = MulticlassClassificationEvaluator(labelCol=label, metricName="recallByLabel", metricLabel=1.0)
-    data = assemble(train, cols).select("features", F.col(label).cast("double").alias(label), F.col(fold).cast("int").alias(fold))
-    found = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=recall, numFolds=folds, foldCol=fold,
-                           parallelism=parallelism).fit(data)
-    table = [({p.name: v for p, v in m.items()}, r) for m, r in zip(maps, found.avgMetrics)]
-    return found.bestModel, table
+                grid: dict | None = None, refit: bool = True) -> tuple[B.Boosted | None, list[tuple[dict, float]]]:
+    """Cross-validated search over boosting settings by the mean recall of class 1
+    (ML-02).  ``fold`` holds 0 .. folds - 1 (see ``splits.stratified_kfold``).
+
+    All settings and folds, and with ``refit`` the models on all rows, grow in
+    the same passes over one stored table of binned rows; settings that differ
+    in ``maxIter`` only are stages of one model.  Returns the refitted model of
+    the best setting (the first of equals; None without ``refit``) and the
+    table of (setting, recall)."""
+    settings = _settings(grid or GBT_GRID)
+    edges = B.fit_bins(train, cols)
+    rows = materialize(train.select(B.codes(cols, edges).alias("codes"), F.col(label).cast("int").alias("label"), F.col(fold).cast("int").alias("part"),
+                                    F.xxhash64(*train.columns).alias("id")))
+    most = max(s["maxIter"] for s in settings)
+    every = frozenset(range(folds))
+    held = [frozenset([f]) for f in range(folds)]
+    models = list(dict.fromkeys(_boosted(s, every - h) for s in settings for h in held))
+    whole = list(dict.fromkeys(_boosted(s, every) for s in settings)) if refit else []
+    starts, forest = B.train(rows, models + whole, most, len(cols), GBT_PARAMS["seed"])
+    n = len(models)
+    hits = B.staged_hits(rows, models, starts[:n], forest[:n], [every - m.parts for m in models], sorted({s["maxIter"] for s in settings}), len(cols))
+    recall = {(models[r["model"]], r["stage"]): r["hits"] / r["ones"] if r["ones"] else 0.0 for r in hits.collect()}
+    table = [(s, sum(recall.get((_boosted(s, every - h), s["maxIter"]), 0.0) for h in held) / folds) for s in settings]
+    if not refit:
+        return None, table
+    best = max(table, key=lambda t: t[1])[0]
+    at = whole.index(_boosted(best, every))
+    return B.Boosted(list(cols), edges, whole[at], float(starts[n + at]), forest[n + at][:best["maxIter"]]), table
 
 
 def score_margin(model, test: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -120,22 +144,31 @@ def tuned_holdout(train: DataFrame, test: DataFrame, cols: Sequence[str], id_col
     fifth = SP.stratified_kfold(train, id_col, label, k=5, seed=seed, out="__fifth")
     searched = SP.stratified_kfold(fifth.where("__fifth <> 0"), id_col, label, k=search.get("folds", 3), seed=seed, out="fold")
     model, table = grid_search(searched, cols, label, "fold", **search)
-    return score_margin(model, test, cols), table
+    return model.score(test), table
 
 
 def nested_cv(rows: DataFrame, cols: Sequence[str], outer: str = "for_outer", role: str = "role", label: str = "label",
-              **overrides) -> DataFrame:
+              setting: dict | None = None) -> DataFrame:
     """Nested cross-validation (ML-04) over cross-fitted rows (DEN-09): for each
     outer fold the model learns from the rows with role ``inner`` and scores
-    those with role ``outer_test``.  One Spark job per outer fold; the archive
-    rows carry ``fold`` and ``score``."""
-    out = None
-    for (fold,) in sorted(map(tuple, rows.select(outer).distinct().collect())):  # outer folds: one job each
-        own = rows.where(F.col(outer) == F.lit(fold))
-        scored = gbt_margin(own.where(F.col(role) == "inner"), own.where(F.col(role) == "outer_test"), cols, label, **overrides)
-        part = scored.drop("prediction").withColumn("fold", F.lit(fold))
-        out = part if out is None else out.unionByName(part)
-    return out
+    those with role ``outer_test``.  ``rows`` is evaluated once and stored with
+    its bins (cut on all ``inner`` rows); the models of all outer folds grow in
+    the same passes.  The archive rows carry ``fold`` and ``score``."""
+    chosen = setting or GBT_PARAMS
+    inner = F.col(role) == "inner"
+    rows = materialize(rows)
+    edges = B.fit_bins(rows.where(inner), cols)
+    names = [r[0] for r in sorted(map(tuple, rows.select(outer).distinct().collect()))]  # one model each
+    place = F.create_map(*[F.lit(x) for i, f in enumerate(names) for x in (f, i)])[F.col(outer)] if names else F.lit(0)
+    kept = [c for c in rows.columns if c not in (outer, role)]
+    stored = materialize(rows.select(*kept, B.codes(cols, edges).alias("codes"), F.xxhash64(*rows.columns).alias("__id"),
+                                     F.when(inner, place).alias("__part"), F.when(F.col(role) == "outer_test", place).alias("__test")))
+    models = [_boosted(chosen, [i]) for i in range(len(names))]
+    learn = stored.where("__part IS NOT NULL").select("codes", F.col(label).alias("label"), F.col("__part").alias("part"), F.col("__id").alias("id"))
+    starts, forest = B.train(learn, models, chosen["maxIter"], len(cols), GBT_PARAMS["seed"]) if names else ([], [])
+    fold = F.array(*[F.lit(f) for f in names])[F.col("__test")] if names else F.lit(None)
+    scored = B.margins(models, starts, forest)(F.col("codes"), F.col("__test"))
+    return stored.where("__test IS NOT NULL").select(*kept, fold.alias("fold"), scored.alias("score"))
 
 
 def choice_of_k(df: DataFrame, cols: Sequence[str], k_max: int, seed: int = 42, restarts: int = 10) -> list[tuple[int, float, float | None]]:

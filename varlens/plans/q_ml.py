@@ -61,7 +61,7 @@ def ml02_grid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of class 1 of each setting over 3 stratified folds."""
     from varlens.operators import splits as SP
     rows = SP.stratified_kfold(_lines(spark, sf), "id", "label", k=3, out="fold")
-    _, found = ML.grid_search(rows, _COLS)
+    _, found = ML.grid_search(rows, _COLS, refit=False)
     return spark.createDataFrame([(m["maxDepth"], m["maxIter"], m["stepSize"], m["subsamplingRate"], m["minInstancesPerNode"], float(r)) for m, r in found],
                                  "max_depth int, max_iter int, step_size double, subsampling_rate double, min_instances int, recall double")
 
