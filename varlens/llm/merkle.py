@@ -34,7 +34,6 @@ from varlens.llm.common import stored
 
 #: Rows of a block; a power of two, so that blocks are whole subtrees.
 BLOCK = 1024
-_HEIGHT = BLOCK.bit_length() - 1
 #: monotonically_increasing_id: the partition is above this bit, the row's place below.
 _PART = 33
 
@@ -92,48 +91,45 @@ class Appender:
         return self.open[0][1]
 
 
-def _ordered(block: pa.Table) -> tuple[pa.Table, int]:
+def _ordered(part: pa.Table, block: int) -> tuple[pa.Table, int]:
     """A block's rows by rank, and the height its root must have."""
-    block = block.combine_chunks().sort_by("rank")
-    return block, _HEIGHT if block["size"][0].as_py() > BLOCK else 0
+    part = part.combine_chunks().sort_by("rank")
+    return part, block.bit_length() - 1 if part["size"][0].as_py() > block else 0
 
 
-def _root(block: pa.Table) -> pa.Table:
-    block, height = _ordered(block)
-    tree = Appender(track=False)
-    for node in block["node"].to_pylist():
-        tree.append(node)
-    size = -(-block["size"][0].as_py() // BLOCK)
-    return pa.table({"g": block["g"].slice(0, 1), "rank": [block["rank"][0].as_py() // BLOCK], "size": [size], "node": [tree.close(height)]})
-
-
-_NODE = "g string, rank long, size long, node string"
-
-
-def _roots(nodes: DataFrame) -> DataFrame:
+def _roots(nodes: DataFrame, block: int) -> DataFrame:
     """The roots of the blocks: the next round's nodes."""
-    return nodes.select("g", "rank", "size", "node", F.floor(F.col("rank") / BLOCK).alias("block")).groupBy("g", "block").applyInArrow(_root, _NODE)
+    def root(part: pa.Table) -> pa.Table:
+        part, height = _ordered(part, block)
+        tree = Appender(track=False)
+        for node in part["node"].to_pylist():
+            tree.append(node)
+        size = -(-part["size"][0].as_py() // block)
+        return pa.table({"g": part["g"].slice(0, 1), "rank": [part["rank"][0].as_py() // block], "size": [size], "node": [tree.close(height)]})
+
+    kept = nodes.select("g", "rank", "size", "node", F.floor(F.col("rank") / block).alias("block"))
+    return kept.groupBy("g", "block").applyInArrow(root, "g string, rank long, size long, node string")
 
 
-def _attach(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+def _attach(nodes: DataFrame, parents: DataFrame, block: int) -> DataFrame:
     """Each node's witness: inside its block, then that of the block's root."""
     names = nodes.columns
 
-    def extend(block: pa.Table, parent: pa.Table) -> pa.Table:
-        block, height = _ordered(block)
+    def extend(part: pa.Table, parent: pa.Table) -> pa.Table:
+        part, height = _ordered(part, block)
         tree = Appender()
-        for node in block["node"].to_pylist():
+        for node in part["node"].to_pylist():
             tree.append(node)
         tree.close(height)
         above = parent["witness"][0].as_py()
-        out = {n: block[n] for n in names}
+        out = {n: part[n] for n in names}
         out["witness"] = pa.array([w + above for w in tree.witnesses], pa.list_(pa.string()))
         for n in ("subroot", "root"):
-            out[n] = pa.array([parent[n][0].as_py()] * block.num_rows, pa.string())
+            out[n] = pa.array([parent[n][0].as_py()] * part.num_rows, pa.string())
         return pa.table(out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema) + ", witness array<string>, subroot string, root string"
-    blocks = nodes.withColumn("__block", F.floor(F.col("rank") / BLOCK))
+    blocks = nodes.withColumn("__block", F.floor(F.col("rank") / block))
     above = parents.select(F.col("g").alias("__g"), F.col("rank").alias("__rank"), "witness", "subroot", "root")
     return blocks.groupBy("g", "__block").cogroup(above.groupBy("__g", "__rank")).applyInArrow(extend, schema)
 
@@ -154,12 +150,12 @@ def _ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     return dealt.join(places, ["g", "__part"]).withColumn("rank", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
 
 
-def _rounds(nodes: DataFrame) -> list[DataFrame]:
+def _rounds(nodes: DataFrame, block: int) -> list[DataFrame]:
     """``nodes`` and the rounds of block roots above, until each group has one node."""
     rounds, most = [nodes], nodes.agg(F.max("size")).first()[0] or 0
     while most > 1:
-        rounds.append(stored(_roots(rounds[-1])))
-        most = -(-most // BLOCK) if most > BLOCK else 1
+        rounds.append(stored(_roots(rounds[-1], block)))
+        most = -(-most // block)
     return rounds
 
 
@@ -170,23 +166,24 @@ def manifest(rows: DataFrame, node: str, group: str, order: Sequence[str]) -> Da
 
     Rows of a group are appended by ``order`` (ascending, null first), then by
     ``node``.  All columns of ``rows`` are carried, under their names."""
+    block = BLOCK
     inner = {c: f"c{i}" for i, c in enumerate(rows.columns)}
     named = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()],
                         F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`")), F.lit("")).alias("g"), F.col(f"`{node}`").alias("node"))
     by = [F.col(inner[o]).asc_nulls_first() for o in order] + [F.col("node")]
-    below = _rounds(stored(_ranked(named, by)))
+    below = _rounds(stored(_ranked(named, by)), block)
     subroots = below[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), "node")
-    top = _rounds(stored(_ranked(subroots, [F.col("name")])))
+    top = _rounds(stored(_ranked(subroots, [F.col("name")])), block)
     found = top[-1].select("g", "rank", F.array().cast("array<string>").alias("witness"), F.lit("").alias("subroot"), F.col("node").alias("root"))
     for nodes in reversed(top[:-1]):
-        found = _attach(nodes, found)
+        found = _attach(nodes, found, block)
     if len(top) == 1:
         found = found.join(top[0].select("g", "name", "node"), "g")
     found = stored(found.select(F.col("name").alias("g"), F.lit(0).cast("long").alias("rank"), "witness", F.col("node").alias("subroot"), "root"))
     if len(below) == 1:
         found = below[0].join(found.drop("rank"), "g")
     for nodes in reversed(below[:-1]):
-        found = _attach(nodes, found)
+        found = _attach(nodes, found, block)
     return found.select(*[F.col(n).alias(c) for c, n in inner.items()], "witness", "subroot", "root")
 
 

@@ -146,16 +146,16 @@ def _best(places, ids, scores, k):
     return places[keep], ids[keep], scores[keep]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]):
-    """Row numbers, ids and vectors of ``BLOCK`` candidates at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], size: int):
+    """Row numbers, ids and vectors of ``size`` candidates at a time."""
     held, n = [], 0
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            part = batch.slice(at, BLOCK - n)
+            part = batch.slice(at, size - n)
             held.append(part)
             at, n = at + part.num_rows, n + part.num_rows
-            if n == BLOCK:
+            if n == size:
                 yield pa.Table.from_batches(held)
                 held, n = [], 0
     if held:
@@ -169,9 +169,11 @@ def _vectors(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _search(query_rows: np.ndarray, queries: np.ndarray, k: int, scale: int):
+    size = BLOCK
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for block in _blocks(batches):
+        for block in _blocks(batches, size):
             # a null id sorts after all others
             ids = block["id"].fill_null(_LONG).to_numpy()
             matrix = _weights(_vectors(block["vector"]), scale)
