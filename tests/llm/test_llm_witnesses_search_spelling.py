@@ -221,7 +221,8 @@ def misspelt(seed, n):
                 w = [w[:at] + w[at + 1:], w[:at] + "a" + w[at:], w[:at] + "b" + w[at + 1:]][int(rng.integers(3))]
             words.append(w.upper() if rng.random() < 0.1 else w)
         rows.append((i, " ".join(words)))
-    return rows + [(None, "hallo hallo Hallo"), (n, None), (n + 1, ""), (3, rows[3][1]), (n + 2, "wort " * 4000)]
+    return rows + [(None, "hallo hallo Hallo"), (n, None), (n + 1, ""), (3, rows[3][1]), (n + 2, "wort " * 4000),
+                   (n + 3, "qqqqq " * 4 + "qqqqqq " * 9 + "qqqqqqq " * 20)]
 
 
 @pytest.mark.parametrize("share,hot", [(8192, 128), (40, 4), (40, 0)])
