@@ -287,3 +287,89 @@ def test_registered_model_queries_run_the_whole_search(spark, monkeypatch):
     assert seen["choice_of_k"][0][2] == 9
     sizes = [len(v) for v in ML.GBT_GRID.values()]
     assert sizes == [2, 2, 2, 3, 3] and ML.GBT_PARAMS["maxIter"] == 200
+
+
+def test_permuted_values_are_permutations(spark):
+    from varlens.operators import stats as ST
+    values = spark.createDataFrame([(i, i / 7) for i in range(12)], "g long, a double")
+    one = {r.g: r.permuted for r in ST.permuted_values(values, "g", "a", 40, seed=5).collect()}
+    two = {r.g: r.permuted for r in ST.permuted_values(values.repartition(7), "g", "a", 40, seed=5).collect()}
+    assert one == two
+    table = np.array([one[g] for g in range(12)])
+    assert np.allclose(np.sort(table, 0), np.arange(12)[:, None] / 7)
+    assert len({tuple(c) for c in table.T}) > 35  # the relabellings differ
+
+
+def _dense_mantel(v, a):
+    n = len(a)
+    i, j = np.triu_indices(n, 1)
+    return 1 - (v @ v.T)[i, j], np.abs(a[i] - a[j])
+
+
+def test_cosine_mantel_equals_dense(spark):
+    from varlens.operators import stats as ST
+    rng = np.random.default_rng(8)
+    w = rng.random((14, 9)) * (rng.random((14, 9)) < 0.4)
+    w[0] = 0  # an item without terms
+    w[3] = w[4]
+    a = np.round(rng.random(14), 1)
+    rows = [(int(i), f"t{t}", float(w[i, t])) for i, t in zip(*np.nonzero(w))] + [(2, "t0", 0.0)]
+    weights = spark.createDataFrame(rows, "g long, term string, w double")
+    values = spark.createDataFrame([(i, float(x)) for i, x in enumerate(a)], "g long, a double")
+    norm = np.linalg.norm(w, axis=1, keepdims=True)
+    v = np.divide(w, norm, out=np.zeros_like(w), where=norm > 0)
+    x, y = _dense_mantel(v, a)
+    got = ST.mantel_cosine(weights, values, "g", "term", "w", "a").first()
+    assert got.n_pairs == 91 and abs(got.r - np.corrcoef(x, y)[0, 1]) < 1e-9
+    pairs = {(p.item_a, p.item_b): p for p in ST.weighted_pairs(weights, values, "g", "term", "w", "a").collect()}
+    for i in range(14):
+        for j in range(i + 1, 14):
+            dot = float(v[i] @ v[j])
+            assert ((i, j) in pairs) == (dot > 0)
+            if dot > 0:
+                assert abs(pairs[i, j].cosine - dot) < 1e-9 and abs(pairs[i, j].scalar_distance - abs(a[i] - a[j])) < 1e-12
+    found = ST.mantel_permutation(ST.weighted_pairs(weights, values, "g", "term", "w", "a"), values, "g", "a", 200, similarity="cosine",
+                                  observed=ST.mantel_cosine(weights, values, "g", "term", "w", "a")).first()
+    table = {r.g: r.permuted for r in ST.permuted_values(values, "g", "a", 200).collect()}
+    perms = np.array([table[g] for g in range(14)]).T
+    r = [np.corrcoef(x, _dense_mantel(v, p)[1])[0, 1] for p in perms]
+    want = (sum(abs(q) >= abs(got.r) - 1e-12 for q in r) + 1) / 201
+    assert found.permutations == 200 and abs(found.p_value - want) < 1e-9
+
+
+def test_group_kfold_equals_the_plain_rule(spark):
+    rng = np.random.default_rng(3)
+    for k, sizes in ((3, [1] * 17), (4, list(rng.integers(1, 5, 40)) + [30, 9]), (5, [7, 7, 7]), (2, [100, 1, 1, 1, 50, 50])):
+        rows = [(f"g{i:02d}", j) for i, n in enumerate(sizes) for j in range(int(n))]
+        loads, want = [0] * k, {}
+        for n, name in sorted(((-int(n), f"g{i:02d}") for i, n in enumerate(sizes))):
+            fold = min(range(k), key=lambda f: (loads[f], f))
+            loads[fold] -= n
+            want[name] = fold
+        got = {r.g: r.fold for r in S.group_kfold(spark.createDataFrame(rows, "g string, i int"), "g", k).select("g", "fold").distinct().collect()}
+        assert got == want, (k, sizes)
+        alone = {r.g: r.fold for r in S.leave_one_group_out(spark.createDataFrame(rows, "g string, i int"), "g").select("g", "fold").distinct().collect()}
+        assert alone == {name: i for i, (_, name) in enumerate(sorted((-int(n), f"g{i:02d}") for i, n in enumerate(sizes)))}
+
+
+def test_edits_are_spliced_into_sequences(spark):
+    from varlens.operators import sequence as Q
+    seqs = spark.createDataFrame([(1, "abcdé😀g"), (2, ""), (3, "xyz"), (4, "q")], "k long, s string")
+    edits = [(1, 1, "A", 0), (1, 7, "G", 0), (1, 6, "F", 1), (1, 6, "f", 2), (1, 9, "!", 0), (1, 0, "!", 0), (2, 1, "z", 0), (4, 1, "q", 0)]
+    v = spark.createDataFrame(edits, "k long, position int, alt string, o int")
+    got = {r.k: (r.sequence, r.n_changed) for r in Q.apply_all_variants(seqs, v, "k", "s", "o").collect()}
+    assert got == {1: ("AbcdéfG", 3), 2: ("", 0), 3: ("xyz", 0), 4: ("q", 0)}
+
+
+def test_padded_matrices(spark):
+    from varlens.operators import arrays as AR
+    res = spark.createDataFrame([(0, i, [float(i), -1.0]) for i in range(3)] + [(1, 0, [9.0, 9.0])], "s int, residue int, vec array<float>")
+    sizes = spark.createDataFrame([(0, 1, 2, 4), (1, 0, 1, 1), (2, 0, 0, 2)], "s int, start int, n int, length int")
+    for front, want in ((False, [[1, -1], [2, -1], [0, 0], [0, 0]]), (True, [[0, 0], [0, 0], [1, -1], [2, -1]])):
+        got = {}
+        for r in AR.padded(res, sizes, "s", "length", 2, front).collect():
+            got.setdefault(r.s, {})[r.idx] = list(r.vec)
+        assert [got[0][i] for i in range(4)] == want and got[1] == {0: [9.0, 9.0]} and got[2] == {0: [0, 0], 1: [0, 0]}
+    cut = spark.createDataFrame([(0, 0, 3, 2)], "s int, start int, n int, length int")
+    assert sorted((r.idx, r.vec[0]) for r in AR.padded(res, cut, "s", "length", 2).collect()) == [(0, 0.0), (1, 1.0)]
+    assert sorted((r.idx, r.vec[0]) for r in AR.padded(res, cut, "s", "length", 2, True).collect()) == [(0, 1.0), (1, 2.0)]

@@ -60,6 +60,41 @@ def pad_length(prefix: Column) -> Column:
     return F.coalesce(v, F.raise_error(F.concat(F.lit("unknown family "), prefix)).cast("int"))
 
 
+def padded(res: DataFrame, sizes: DataFrame, sample: str, length: str, dim: int, in_front: bool = False) -> DataFrame:
+    """Every sample's matrix with ``length`` rows (EMB-02, EMB-04, EMB-05): (sample,
+    ``idx`` from 0, ``vec``).  ``res`` holds the rows (sample, residue, vec);
+    ``sizes`` the sample, its first and number of rows (``start``, ``n``) and
+    ``length``.  Zero rows follow the sample's, or with ``in_front`` precede them;
+    rows beyond ``length`` are cut off, at the end or in front."""
+    shift = F.col(length) - F.col("n") if in_front else F.lit(0)
+    kept = res.join(sizes, sample).withColumn("idx", F.col("residue") - F.col("start") + shift)
+    inside = (F.col("residue") >= F.col("start")) & (F.col("residue") < F.col("start") + F.col("n"))
+    kept = kept.where(inside & (F.col("idx") >= 0) & (F.col("idx") < F.col(length))).select(sample, F.col("idx").cast("int").alias("idx"), "vec")
+    gaps = F.col(length) - F.col("n")
+    first = F.lit(0) if in_front else F.col("n")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    filled = sizes.where(gaps > 0).select(sample, F.explode(F.sequence(first.cast("int"), (first + gaps - 1).cast("int"))).alias("idx")).withColumn("vec", zero)
+    return kept.unionByName(filled)
+
+
+def matrix_md5(rows: DataFrame, sample: str) -> DataFrame:
+    """(sample, rows, md5) of matrices in long form: the md5 of the rows' md5s in
+    order, a row's being over its values in whole millionths.  A row of the
+    matrix counts 32 characters, so a sample's text is short."""
+    micro = F.transform("vec", lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("long").cast("string"))
+    each = rows.select(sample, "idx", F.md5(F.array_join(micro, ",")).alias("m"))
+    return each.groupBy(sample).agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "m"))), lambda s: s["m"]), "")).alias("matrix_md5"))
+
+
+def site_pair(res: DataFrame, sites: DataFrame, wild: DataFrame, sample: str, site: str) -> DataFrame:
+    """The two rows of EMB-03's stack: (sample, ``idx``, vec), 0 the difference of
+    the sample's vector at its site from the wild type's there, 1 the wild type's."""
+    at = res.join(sites.select(sample, F.col(site).alias("residue")), [sample, "residue"])
+    both = at.join(wild.select("residue", F.col("vec").alias("__w")), "residue")
+    return both.select(sample, F.posexplode(F.array(vec_diff(F.col("vec"), F.col("__w")), F.col("__w"))).alias("idx", "vec"))
+
+
 def vec_diff(a: Column, b: Column) -> Column:
     """Element-wise a - b (EMB-03)."""
     return F.zip_with(a, b, lambda x, y: x - y)

@@ -61,18 +61,22 @@ def clipped_site(pos: Column, gene_length: Column, max_len: int = MAX_LEN, half:
 
 def apply_all_variants(seqs: DataFrame, variants: DataFrame, key: str, seq: str, order: str) -> DataFrame:
     """All variants of a gene written into one sequence, later rows (by
-    ``order``) overwriting earlier ones at the same position (SEQ-04).
-    The sequence is exploded to residues, joined with the last variant per
-    position and re-assembled; the regrouping is bounded by sequence length."""
-    chars = seqs.select(key, F.posexplode(F.regexp_extract_all(F.col(seq), F.lit("(?s)."), 0)).alias("p0", "ch"))
+    ``order``) overwriting earlier ones at the same position (SEQ-04).  A
+    gene's last edits are gathered to one array, at most one per position, and
+    set between the pieces of the sequence that they leave; no residue becomes
+    a row.  Positions outside the sequence change nothing."""
     last = variants.groupBy(key, "position").agg(F.max_by("alt", F.col(order)).alias("alt"))
-    j = chars.withColumn("position", F.col("p0") + 1).join(last, [key, "position"], "left")
-    out = j.select(key, "position", F.coalesce("alt", "ch").alias("ch"),
-                   (F.col("alt").isNotNull() & (F.col("alt") != F.col("ch"))).cast("int").alias("changed"))
-    return out.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "ch"))), lambda s: s["ch"]), "")
-         .alias("sequence"),
-        F.sum("changed").alias("n_changed"))
+    edits = last.where(F.col("alt").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("int").alias("position"), "alt"))).alias("__e"))
+    text = F.col(seq)
+    e = F.filter(F.coalesce("__e", F.array().cast(edits.schema["__e"].dataType)), lambda x: (x["position"] >= 1) & (x["position"] <= F.length(text)))
+    d = seqs.select(key, seq).join(edits, key, "left").withColumn("__e", e)
+    size = F.size("__e")
+    pieces = F.transform("__e", lambda x, i: F.concat(
+        F.substr(text, F.coalesce(F.get(F.col("__e"), i - 1)["position"], F.lit(0)) + 1, x["position"] - F.coalesce(F.get(F.col("__e"), i - 1)["position"], F.lit(0)) - 1), x["alt"]))
+    rest = F.substr(text, F.get("__e", size - 1)["position"] + 1)
+    changed = F.filter("__e", lambda x: x["alt"] != F.substr(text, x["position"], F.lit(1)))
+    return d.select(key, F.when(size == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest)).alias("sequence"),
+                    F.size(changed).cast("long").alias("n_changed"))
 
 
 def single_mutants(seqs: DataFrame, keys: str | list[str], seq: str) -> DataFrame:

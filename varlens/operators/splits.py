@@ -103,30 +103,78 @@ def repeated_stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 1
     return out
 
 
+def _sized_groups(df: DataFrame, group: str) -> DataFrame:
+    """(group, ``__n`` rows, ``__j`` place from 0 among the groups of that size,
+    by key).  Ranges over a hash of nothing but the key's leading bytes keep
+    groups of one size in many tasks."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1).cast("long"))
+    if df.schema[group].dataType.typeName() == "string":
+        lead = hex_lead(F.rpad(F.hex(F.encode(group, "UTF-8")), 12, "0"), 12)
+    else:
+        lead = F.col(group).cast("double")
+    placed = prefix_sum(sizes, ["__n"], [group], ["__one"], inclusive=False, suffix="_j", bucket_on=F.coalesce(lead, F.lit(-1.0)))
+    return placed.select(group, "__n", F.col("__one_j").alias("__j"))
+
+
 def leave_one_group_out(df: DataFrame, group: str, out: str = "fold") -> DataFrame:
     """One fold per group, larger groups first (ties by group key) (SPL-05).
-    The group-size table is ranked (one row per group), then joined back."""
+    Groups are ranked within their size; only the table of distinct sizes is
+    cumulated in one place (k of them need k^2 / 2 rows at least)."""
     from pyspark.sql import Window
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(F.col("__n").desc(), F.col(group))  # over the per-group table only
-    folds = sizes.select(group, (F.row_number().over(w) - 1).cast("int").alias(out))
-    return df.join(folds, group)
+    placed = _sized_groups(df, group)
+    sizes = placed.groupBy("__n").agg(F.count(F.lit(1)).alias("__g"))
+    before = Window.orderBy(F.col("__n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__n", F.coalesce(F.sum("__g").over(before), F.lit(0)).alias("__start"))
+    folds = placed.join(starts, "__n").select(group, (F.col("__start") + F.col("__j")).cast("int").alias(out))
+    return _with_group(df, folds, group)
+
+
+def _with_group(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
+    key = folds.withColumnRenamed(group, "__group")
+    return df.join(key, df[group].eqNullSafe(key["__group"])).drop("__group")
+
+
+def deal_run(rows: list[int], size: int, groups: int) -> list[int]:
+    """How many of ``groups`` groups of one ``size`` each fold takes, when each
+    goes to the fold with the fewest rows so far (ties: lowest number)."""
+    if size <= 0 or groups <= 0:
+        return [0] * len(rows)
+    low, high = min(rows), max(rows) + size * groups
+    below = lambda top: [max(0, -(-(top - r) // size)) for r in rows]  # noqa: E731  places with fewer rows than top
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= groups else (low, middle)
+    taken = below(low)
+    left = groups - sum(taken)
+    for i, r in enumerate(rows):  # the places at exactly ``low`` rows, by number
+        if left and (low - r) >= 0 and (low - r) % size == 0:
+            taken[i], left = taken[i] + 1, left - 1
+    return taken
 
 
 def group_kfold(df: DataFrame, group: str, k: int, out: str = "fold") -> DataFrame:
     """k folds of whole groups (SPL-05 for k < groups): the largest group left
     goes to the fold with the fewest rows.  Equal sizes go by group key; equal
-    folds by number.  Only the table of group sizes, one row per group, is
-    collected, as the rule is sequential over it."""
-    sizes = [(r[0], r[1]) for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).collect()]
-    rows = [0] * k
-    found = []
-    for key, n in sorted(sizes, key=lambda s: (-s[1], s[0])):
-        fold = min(range(k), key=lambda i: (rows[i], i))
-        rows[fold] += n
-        found.append((key, fold))
-    kind = df.schema[group].dataType.simpleString()
-    return df.join(df.sparkSession.createDataFrame(found, f"{group} {kind}, {out} int"), group)
+    folds by number.
+
+    Groups of one size are dealt as a run: its places are (rows of the fold so
+    far, fold), in order, and the j-th group takes the j-th place.  Only the
+    distinct sizes go through the driver, one after the other; places and
+    groups are ranked and joined in Spark."""
+    spark = df.sparkSession
+    placed = _sized_groups(df, group)
+    runs = placed.groupBy("__n").agg(F.count(F.lit(1)).alias("__g")).collect()  # distinct sizes
+    rows, dealt = [0] * k, []
+    for n, groups in sorted(((r[0], r[1]) for r in runs), reverse=True):
+        taken = deal_run(rows, n, groups)
+        dealt += [(n, i, rows[i], c) for i, c in enumerate(taken) if c]
+        rows = [r + n * c for r, c in zip(rows, taken)]
+    plan = spark.createDataFrame(dealt, f"__n long, {out} int, __from long, __c long")
+    places = plan.select("__n", out, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1)).alias("__i"), "__from")
+    places = places.select("__n", out, (F.col("__from") + F.col("__i") * F.col("__n")).alias("__rows")).withColumn("__one", F.lit(1).cast("long"))
+    ranked = prefix_sum(places, ["__n"], ["__rows", out], ["__one"], inclusive=False, suffix="_j")
+    folds = placed.join(ranked.select("__n", F.col("__one_j").alias("__j"), out), ["__n", "__j"]).select(group, out)
+    return _with_group(df, folds, group)
 
 
 def expand_folds(df: DataFrame, fold_col: str, k: int) -> DataFrame:

@@ -254,36 +254,107 @@ def mantel_sparse(jac: DataFrame, values: DataFrame, item: str, value: str) -> D
     return t.select(F.col("P").cast("long").alias("n_pairs"), r.alias("r"))
 
 
-def mantel_permutation(jac: DataFrame, values: DataFrame, item: str, value: str, permutations: int = 999,
-                       seed: int = 404) -> DataFrame:
-    """Mantel r with a two-sided permutation p-value: (#|r_perm| >= |r| + 1) /
-    (permutations + 1).  Permutation p relabels items by a seeded hash order;
-    only the sparse-pair term changes under relabelling, so the work is
-    sparse pairs x permutations."""
+def permuted_values(values: DataFrame, item: str, value: str, permutations: int, seed=404) -> DataFrame:
+    """(item, ``permuted`` array): the item's value in each of ``permutations``
+    relabellings.  In relabelling p the items stand in the order of a hash of
+    (item, p, seed) and take the values in item order, so each one is a
+    permutation, the same in any partitioning."""
+    from varlens.functions.prefix import hex_lead, prefix_sum
     from varlens.operators.splits import rank_within
-    spark = values.sparkSession
-    base = rank_within(values.select(item, value), [], item, f"{seed}-base", "__r0")
-    perms = spark.range(permutations).select(F.col("id").cast("int").alias("perm"))
-    pv = rank_within(values.select(item).crossJoin(perms), ["perm"], item, seed, "__rp")
-    relabel = pv.join(base.select(F.col("__r0").alias("__rp"), F.col(value).alias("__v")), "__rp").select(
-        "perm", item, "__v")
-    ra = relabel.select("perm", F.col(item).alias("item_a"), F.col("__v").alias("__a"))
-    rb = relabel.select("perm", F.col(item).alias("item_b"), F.col("__v").alias("__b"))
-    js = jac.agg(F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("sj"),
-                 F.coalesce(F.sum(F.col("jaccard") * F.col("jaccard")), F.lit(0.0)).alias("sjj"))
-    per = (jac.crossJoin(perms).join(ra, ["perm", "item_a"]).join(rb, ["perm", "item_b"])
-              .groupBy("perm").agg(F.sum(F.col("jaccard") * F.abs(F.col("__a") - F.col("__b"))).alias("sjy")))
-    per = perms.join(per, "perm", "left").na.fill(0.0, ["sjy"])
-    sums = _pair_sums(values, item, value).crossJoin(js)
+    base = rank_within(values.select(item, value), [], item, f"{seed}-base", "__at").select("__at", F.col(value).alias("__v"))
+    many = values.select(item, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("__p"))
+    many = many.withColumn("__h", F.md5(F.concat_ws("|", F.col(item).cast("string"), F.col("__p").cast("string"), F.lit(str(seed)))))
+    placed = prefix_sum(many.withColumn("__one", F.lit(1).cast("long")), ["__p"], ["__h", item], ["__one"], suffix="_rank",
+                        bucket_on=hex_lead(F.col("__h")))
+    got = placed.join(base, F.col("__one_rank") == F.col("__at"))
+    # one array of fixed length an item
+    return got.groupBy(item).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__v"))), lambda s: s["__v"]).alias("permuted"))
+
+
+def mantel_permutation(pairs: DataFrame, values: DataFrame, item: str, value: str, permutations: int = 999,
+                       seed: int = 404, similarity: str = "jaccard", observed: DataFrame | None = None) -> DataFrame:
+    """Mantel r with a two-sided permutation p-value: (#|r_perm| >= |r| + 1) /
+    (permutations + 1).  ``pairs`` holds the similarities above 0 (``item_a``,
+    ``item_b``, ``similarity``); ``observed`` the r to test (default:
+    ``mantel_sparse``).  Only the sum of products changes under relabelling:
+    each pair meets its items' arrays of permuted values, and the products are
+    added element by element inside the tasks, so neither items nor pairs are
+    multiplied by the permutations."""
+    import numpy as np
+    import pyarrow as pa
+    arrays = permuted_values(values, item, value, permutations, seed)
+    met = (pairs.select("item_a", "item_b", F.col(similarity).alias("s"))
+           .join(arrays.select(F.col(item).alias("item_a"), F.col("permuted").alias("a")), "item_a")
+           .join(arrays.select(F.col(item).alias("item_b"), F.col("permuted").alias("b")), "item_b").select("s", "a", "b"))
+
+    def added(batches):
+        total = np.zeros(permutations)
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (batch[n].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, permutations) for n in ("a", "b"))
+                total += batch["s"].to_numpy(zero_copy_only=False).astype(float) @ np.abs(a - b)
+        yield pa.RecordBatch.from_arrays([pa.array(range(permutations), pa.int32()), pa.array(total)], ["perm", "part"])
+
+    per = met.mapInArrow(added, "perm int, part double").groupBy("perm").agg(F.sum("part").alias("sjy"))
+    js = pairs.agg(F.coalesce(F.sum(similarity), F.lit(0.0)).alias("sj"),
+                   F.coalesce(F.sum(F.col(similarity) * F.col(similarity)), F.lit(0.0)).alias("sjj"))
+    sums = _pair_sums(values, item, value).crossJoin(js)  # one row
     r_p = per.crossJoin(sums).select(
         "perm", _mantel_r(F.col("P"), F.col("sj"), F.col("sjj"), F.col("sy"), F.col("syy"), F.col("sjy")).alias("r_p"))
-    obs = mantel_sparse(jac, values, item, value)
+    obs = observed if observed is not None else mantel_sparse(pairs, values, item, value)
     j = r_p.crossJoin(obs)
     return j.groupBy("n_pairs", "r").agg(
         ((F.sum(F.when(F.abs("r_p") >= F.abs("r"), 1).otherwise(0)) + 1) / (permutations + 1.0)).alias("p_value"),
         F.count(F.lit(1)).alias("permutations"))
 
 
+def unit_rows(weights: DataFrame, item: str, term: str, weight: str) -> DataFrame:
+    """(item, term, ``v``): rows scaled to unit length; zeros are left out."""
+    w = weights.where(F.col(weight) != 0).select(item, term, F.col(weight).cast("double").alias("__w"))
+    norms = w.groupBy(item).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__n"))
+    return w.join(norms, item).select(item, term, (F.col("__w") / F.col("__n")).alias("v"))
+
+
+def weighted_pairs(weights: DataFrame, values: DataFrame, item: str, term: str, weight: str, value: str) -> DataFrame:
+    """Cosine and scalar distance (STA-13) of the item pairs that share a term:
+    ``cosine`` (similarity), 1 - it, and |a - b|.  All other pairs have cosine
+    distance 1.  The result is as long as there are such pairs."""
+    u = unit_rows(weights, item, term, weight)
+    a, b = (u.select(F.col(item).alias(f"item_{x}"), term, F.col("v").alias(f"__{x}")) for x in "ab")
+    dots = a.join(b, term).where(F.col("item_a") < F.col("item_b")).groupBy("item_a", "item_b").agg(F.sum(F.col("__a") * F.col("__b")).alias("cosine"))
+    va, vb = (values.select(F.col(item).alias(f"item_{x}"), F.col(value).alias(f"__v{x}")) for x in "ab")
+    return dots.join(va, "item_a").join(vb, "item_b").select(
+        "item_a", "item_b", "cosine", (1 - F.col("cosine")).alias("cosine_distance"), F.abs(F.col("__va") - F.col("__vb")).alias("scalar_distance"))
+
+
+def mantel_cosine(weights: DataFrame, values: DataFrame, item: str, term: str, weight: str, value: str) -> DataFrame:
+    """Mantel r (STA-14) between cosine distances of weighted terms and |a_i - a_j|
+    over all item pairs, without forming a pair: with unit vectors v,
+
+    * the cosines add up to (|sum v|^2 - sum |v|^2) / 2;
+    * their squares to (sum of the squared entries of the terms' Gram matrix -
+      sum |v|^4) / 2, its entries being summed over the items' own term pairs;
+    * their products with |a_i - a_j| to the sum of v_j (a_j P_j - Q_j), P and Q
+      the sums of v and a v over the items before j in the order of a, per term.
+
+    Items without terms have cosine 0 with all others."""
+    from varlens.functions.prefix import prefix_sum
+    u = unit_rows(weights, item, term, weight).join(values.select(item, F.col(value).cast("double").alias("a")), item)
+    v = F.col("v")
+    s1 = u.groupBy(term).agg(F.sum(v).alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("s_all"))
+    own = u.groupBy(item).agg(F.sum(v * v).alias("q")).agg(F.sum("q").alias("q1"), F.sum(F.col("q") * F.col("q")).alias("q2"))
+    x, y = (u.select(item, F.col(term).alias(f"__t{k}"), v.alias(f"__v{k}")) for k in "xy")
+    gram = x.join(y, item).where(F.col("__tx") <= F.col("__ty")).groupBy("__tx", "__ty").agg(F.sum(F.col("__vx") * F.col("__vy")).alias("g"))
+    twice = F.when(F.col("__tx") == F.col("__ty"), 1.0).otherwise(2.0)
+    s2 = gram.agg(F.sum(twice * F.col("g") * F.col("g")).alias("g_all"))
+    before = prefix_sum(u.withColumn("av", F.col("a") * v), [term], ["a", item], ["v", "av"], inclusive=False, suffix="_before")
+    s3 = before.agg(F.sum(v * (F.col("a") * F.col("v_before") - F.col("av_before"))).alias("sjy"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    one = _pair_sums(values, item, value).crossJoin(s1).crossJoin(own).crossJoin(s2).crossJoin(s3)  # one row each
+    r = _mantel_r(F.col("P"), (zero("s_all") - zero("q1")) / 2, (zero("g_all") - zero("q2")) / 2, F.col("sy"), F.col("syy"), zero("sjy"))
+    return one.select(F.col("P").cast("long").alias("n_pairs"), r.alias("r"))
+
+
 def feature_audit(rows: DataFrame, terms: DataFrame, id_col: str, term: str, correct: str) -> DataFrame:
     """Per 0/1 feature (term) against prediction correctness (STA-16,
     re-aimed): 2x2 counts, log2 odds ratio with 0.5 added to each cell and

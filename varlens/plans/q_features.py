@@ -95,3 +95,28 @@ def fea11_pad_lists(spark: SparkSession, sf: str) -> DataFrame:
     p = X.pad_lists(v, "a", "padded")
     return p.select("id", F.size("padded").alias("n"),
                     F.aggregate("padded", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+def _axis_sql(axis: str) -> str:
+    return f"""WITH x AS (SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS residue, embedding FROM embeddings),
+c AS (SELECT label, residue, d.dim, CAST(d.x AS DOUBLE) AS x FROM x, LATERAL (SELECT generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x) d),
+st AS (SELECT {axis}, avg(x) AS m, stddev_pop(x) AS s FROM c GROUP BY {axis})
+SELECT c.label, c.residue, CAST(c.dim AS INTEGER) AS dim, {r6('(x - m) / (s + 1e-8)', 'x')} FROM c JOIN st ON c.{axis} = st.{axis}"""
+
+
+def _tensor(spark: SparkSession, sf: str) -> DataFrame:
+    """(sample, residue, feature) cells: the vectors of one label in order."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").alias("vec"))
+    return A.explode_dims(A.residues(e, "label", "vec_id", "vec"), ["label", "residue"], "vec")
+
+
+@register("fea09_axis_sample", _axis_sql("label"))
+def fea09_axis_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalisation per sample, over residues and features."""
+    return X.axis_normalize(_tensor(spark, sf), "label")
+
+
+@register("fea09_axis_residue", _axis_sql("residue"))
+def fea09_axis_residue(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalisation per residue, over samples and features."""
+    return X.axis_normalize(_tensor(spark, sf), "residue")

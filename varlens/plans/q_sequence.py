@@ -301,3 +301,72 @@ def agg17_streaming_moments(spark: SparkSession, sf: str) -> DataFrame:
     out = run_to_folder(streaming_moments(spark, folder, "label int, embedding array<float>", "label", "embedding"),
                         scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ckpt"))
     return out.select("label", "count", "mean", "var_pop", "var_samp")
+
+# --- padded matrices ----------------------------------------------------------
+
+_ZERO = "list_transform(range(64), lambda i: CAST(0 AS FLOAT))"
+_MICRO = "array_to_string(list_transform(vec, lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 1e6 + 0.5) AS BIGINT) AS VARCHAR)), ',')"
+
+
+def _matrix_sql(cells: str) -> str:
+    """``cells``: a query of (label, idx, vec)."""
+    return f"""m AS ({cells})
+SELECT label, count(*) AS n_rows, md5(string_agg(md5({_MICRO}), '' ORDER BY idx)) AS matrix_md5 FROM m GROUP BY label"""
+
+
+def _sizes(res: DataFrame) -> DataFrame:
+    return res.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@register("emb02_window_matrix", f"""WITH {_RESQ},
+b AS (SELECT label, n, CAST((label * 13) % n AS BIGINT) AS p FROM nl),
+se AS (SELECT label, CASE WHEN p + 8 >= n THEN greatest(0, n - 8) ELSE greatest(0, p - 4) END AS s,
+              CASE WHEN p - 8 < 0 THEN least(8, n) ELSE least(n, p + 4) END AS e FROM b),
+{_matrix_sql(f"""SELECT se.label, i AS idx, coalesce(res.vec, {_ZERO}) AS vec FROM se, range(greatest(0, e - s - 8), 8) r(i)
+  LEFT JOIN res ON res.label = se.label AND res.residue = i - (8 - (e - s)) + s AND res.residue >= s""")}""")
+def emb02_window_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The window of 8 rows kept inside each sample as a matrix of 8 rows, zero
+    rows in front."""
+    res = _res(spark, sf)
+    n = _sizes(res).withColumn("p", (F.col("label") * 13) % F.col("n"))
+    s, e = A.window_inside(F.col("n"), F.col("p"), 8)
+    sizes = n.select("label", s.cast("int").alias("start"), (e - s).cast("int").alias("n"), F.lit(8).alias("length"))
+    return A.matrix_md5(A.padded(res, sizes, "label", "length", 64, in_front=True), "label")
+
+
+@register("emb03_site_stack", f"""WITH {_RESQ},
+m AS (SELECT m.label, m.vec AS mv, w.vec AS wv FROM res m JOIN res w ON w.label = 0 AND m.residue = w.residue
+  JOIN nl ON nl.label = m.label WHERE m.label > 0 AND m.residue = (m.label * 5) % nl.n)
+SELECT label, md5(md5(array_to_string(list_transform(range(1, len(mv) + 1), lambda i: CAST(CAST(floor(CAST(mv[i] - wv[i] AS DOUBLE) * 1e6 + 0.5) AS BIGINT) AS VARCHAR)), ','))
+  || md5({_MICRO.replace("(vec,", "(wv,")})) AS matrix_md5, CAST(2 AS BIGINT) AS n_rows FROM m""")
+def emb03_site_stack(spark: SparkSession, sf: str) -> DataFrame:
+    """Difference from the wild type at each sample's site, stacked with the
+    wild-type row (sample 0 is the wild type)."""
+    res = _res(spark, sf)
+    sites = _sizes(res).where(F.col("label") > 0).select("label", ((F.col("label") * 5) % F.col("n")).cast("int").alias("site"))
+    return A.matrix_md5(A.site_pair(res, sites, res.where(F.col("label") == 0), "label", "site"), "label")
+
+
+_FAMILY = "CASE label % 5 WHEN 0 THEN 2016 WHEN 1 THEN 2506 WHEN 2 THEN 1236 WHEN 3 THEN 655 ELSE 889 END"
+
+
+@register("emb04_family_matrix", f"""WITH {_RESQ},
+{_matrix_sql(f"""SELECT nl.label, i AS idx, coalesce(res.vec, {_ZERO}) AS vec FROM (SELECT label, {_FAMILY} AS t FROM nl) nl, range(t) r(i)
+  LEFT JOIN res ON res.label = nl.label AND res.residue = i""")}""")
+def emb04_family_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sample's matrix at its family's maximum length: zero rows behind,
+    longer ones cut."""
+    res = _res(spark, sf)
+    pre = F.get(F.array(*[F.lit(p) for p in _PREFIXES]), (F.col("label") % 5).cast("int"))
+    sizes = _sizes(res).select("label", F.lit(0).alias("start"), "n", A.pad_length(pre).alias("length"))
+    return A.matrix_md5(A.padded(res, sizes, "label", "length", 64), "label")
+
+
+@register("emb05_batch_matrix", f"""WITH {_RESQ},
+{_matrix_sql(f"""SELECT nl.label, i AS idx, coalesce(res.vec, {_ZERO}) AS vec FROM nl, range({A.BATCH_LEN}) r(i)
+  LEFT JOIN res ON res.label = nl.label AND res.residue = i""")}""")
+def emb05_batch_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The ragged batch padded to the fixed length, one matrix per sample."""
+    res = _res(spark, sf)
+    sizes = _sizes(res).select("label", F.lit(0).alias("start"), "n", F.lit(A.BATCH_LEN).alias("length"))
+    return A.matrix_md5(A.padded(res, sizes, "label", "length", 64), "label")

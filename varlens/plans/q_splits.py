@@ -80,7 +80,12 @@ def spl05_leave_one_group_out(spark: SparkSession, sf: str) -> DataFrame:
     return S.leave_one_group_out(_sv(spark, sf).select("gene", "id", "label"), "gene")
 
 
-@register("spl05_group_kfold")
+@register("spl05_group_kfold", with_views("""WITH RECURSIVE g AS (SELECT gene, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, gene) AS i FROM variants GROUP BY gene),
+d AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS loads, CAST(NULL AS BIGINT) AS fold
+  UNION ALL
+  SELECT i, list_transform(range(1, 6), lambda j: loads[j] + CASE WHEN j = fold + 1 THEN n ELSE 0 END), fold
+  FROM (SELECT g.i, g.n, d.loads, list_position(d.loads, list_min(d.loads)) - 1 AS fold FROM d JOIN g ON g.i = d.i + 1) s)
+SELECT v.id, v.gene, CAST(d.fold AS INTEGER) AS fold FROM variants v JOIN g ON v.gene = g.gene JOIN d ON d.i = g.i""", "variants"))
 def spl05_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
     """Five folds of whole genes, largest gene first to the smallest fold."""
     return S.group_kfold(variants_view(spark, sf).select("id", "gene"), "gene", 5)

@@ -206,8 +206,54 @@ def sta14_mantel_permutation(spark: SparkSession, sf: str) -> DataFrame:
     """Mantel r with a p-value from 999 seeded relabellings of the genes."""
     v = variants_view(spark, sf)
     words = _words(v)
-    pol = v.groupBy("gene").agg(F.avg(F.when(F.col("label_txt") == "gof", 1.0).otherwise(0.0)).alias("a"))
-    return S.mantel_permutation(S.jaccard_pairs(words, "gene", "term"), pol, "gene", "a", 999)
+    return S.mantel_permutation(S.jaccard_pairs(words, "gene", "term"), _polarity(v), "gene", "a", 999)
+
+
+_TFIDF = f"""{_WORDS}, nd AS (SELECT count(DISTINCT gene) AS n FROM w),
+df AS (SELECT term, count(*) AS d FROM w GROUP BY term),
+t0 AS (SELECT w.gene, w.term, ln((1.0 + n) / (1.0 + d)) + 1.0 AS x FROM w JOIN df ON w.term = df.term, nd),
+tv AS (SELECT gene, term, x / sqrt(sum(x * x) OVER (PARTITION BY gene)) AS v FROM t0),
+cosines AS (SELECT a.gene AS item_a, b.gene AS item_b, sum(a.v * b.v) AS cosine FROM tv a JOIN tv b ON a.term = b.term AND a.gene < b.gene GROUP BY a.gene, b.gene)"""
+
+
+def _polarity(v: DataFrame) -> DataFrame:
+    return v.groupBy("gene").agg(F.avg(F.when(F.col("label_txt") == "gof", 1.0).otherwise(0.0)).alias("a"))
+
+
+def _tfidf(v: DataFrame) -> DataFrame:
+    from varlens.operators.features import tfidf_long
+    return tfidf_long(_words(v).distinct().withColumn("value", F.lit(1.0)), "gene")
+
+
+@register("sta13_weighted_pairs", with_views(f"""WITH {_TFIDF}, {_POL}
+SELECT item_a, item_b, {r6('cosine', 'cosine')}, {r6('1 - cosine', 'cosine_distance')}, {r6('abs(x.a - y.a)', 'scalar_distance')}
+FROM cosines JOIN pol x ON x.gene = item_a JOIN pol y ON y.gene = item_b""", "variants"))
+def sta13_weighted_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine distance of the genes' TF-IDF vectors and distance of their
+    polarities, for pairs that share a term."""
+    v = variants_view(spark, sf)
+    return S.weighted_pairs(_tfidf(v), _polarity(v), "gene", "term", "tfidf", "a")
+
+
+@register("sta14_mantel_tfidf", with_views(f"""WITH {_TFIDF}, {_POL},
+pairs AS (SELECT 1.0 - coalesce(c.cosine, 0.0) AS dx, abs(x.a - y.a) AS dy
+  FROM pol x JOIN pol y ON x.gene < y.gene LEFT JOIN cosines c ON c.item_a = x.gene AND c.item_b = y.gene)
+SELECT count(*) AS n_pairs, {r6('corr(dx, dy)', 'r')} FROM pairs""", "variants"))
+def sta14_mantel_tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    """Mantel correlation of the cosine distances of TF-IDF weighted terms with
+    the polarity distances, over all gene pairs, no pair formed."""
+    v = variants_view(spark, sf)
+    return S.mantel_cosine(_tfidf(v), _polarity(v), "gene", "term", "tfidf", "a")
+
+
+@register("sta14_mantel_tfidf_permutation")
+def sta14_mantel_tfidf_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    """The TF-IDF Mantel r with a p-value from 999 seeded relabellings."""
+    from varlens.functions.exprs import materialize
+    v = variants_view(spark, sf)
+    weights, pol = materialize(_tfidf(v)), materialize(_polarity(v))
+    pairs = S.weighted_pairs(weights, pol, "gene", "term", "tfidf", "a")
+    return S.mantel_permutation(pairs, pol, "gene", "a", 999, similarity="cosine", observed=S.mantel_cosine(weights, pol, "gene", "term", "tfidf", "a"))
 
 
 _GRP = f"""{BEST_ROWS}, g AS (SELECT grp, count(*) AS n, avg(CASE WHEN yhat = label THEN 1.0 ELSE 0.0 END) AS acc,

@@ -137,6 +137,7 @@ def with_views(sql: str, *names) -> str:
         alias, view = (n, n) if isinstance(n, str) else n
         ctes.append(f"{alias} AS ({SQL_VIEWS[view]})")
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return "WITH " + ", ".join(ctes) + ", " + body[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ", ".join(ctes) + ", " + body[len(start):]
     return "WITH " + ", ".join(ctes) + " " + body
