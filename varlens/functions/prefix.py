@@ -126,6 +126,12 @@ def hex_lead(col: Column, digits: int = 13) -> Column:
     return F.conv(F.substring(col, 1, digits), 16, 10).cast("double")
 
 
+def text_lead(col: Column) -> Column:
+    """Numeric value of a text's first 6 bytes: never decreases along the
+    bytewise order of texts, so it can cut it into ranges; null first."""
+    return F.coalesce(hex_lead(F.rpad(F.hex(F.encode(col, "UTF-8")), 12, "0"), 12), F.lit(-1.0))
+
+
 def row_ranks(df: DataFrame, keys: Sequence[str], order, *, bucket_on: Column | None = None,
               splits_from: DataFrame | None = None, rank: str = "__row") -> DataFrame:
     """Number the rows 1..n within each key in ``order`` without a per-key

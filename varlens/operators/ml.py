@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from varlens.functions.exprs import materialize
 from varlens.operators import boosting as B
+from varlens.sources.io import write_archive
 
 # Fixed values that must equal the reference's gradient-boosting settings.
 GBT_PARAMS = dict(maxIter=200, stepSize=0.1, maxDepth=3, minInstancesPerNode=2, subsamplingRate=0.5, seed=123)
@@ -171,21 +172,108 @@ def nested_cv(rows: DataFrame, cols: Sequence[str], outer: str = "for_outer", ro
     return stored.where("__test IS NOT NULL").select(*kept, fold.alias("fold"), scored.alias("score"))
 
 
+#: Rows that meet all others in one pass over the data.
+SILHOUETTE_ROWS = 4096
+
+
+def silhouettes(rows: DataFrame, counts: Sequence[int]) -> list[float | None]:
+    """Mean Euclidean silhouette of several clusterings of the same rows:
+    ``rows`` holds ``vector`` (array) and ``labels`` (one cluster a clustering,
+    from 0), ``counts`` the number of clusters of each.  Null where a clustering
+    has one cluster or as many as rows.
+
+    All distances are computed, in blocks: groups of at most ``SILHOUETTE_ROWS``
+    rows go to the tasks one after the other, and only sums of distances per
+    (row, cluster) come out of a task; no pair does."""
+    import numpy as np
+    import pyarrow as pa
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), F.col("vector").cast("array<double>").alias("vector"), "labels"))
+    total = rows.count()
+    starts = np.concatenate([[0], np.cumsum(counts)])
+
+    def passed(own_rows, own):
+        squares = (own ** 2).sum(1)
+
+        def run(batches):
+            sums = np.zeros((len(own), starts[-1]))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                other = b["vector"].flatten().to_numpy().reshape(b.num_rows, -1)
+                labels = b["labels"].flatten().to_numpy().reshape(b.num_rows, -1)
+                far = np.sqrt(np.maximum(squares[:, None] + (other ** 2).sum(1)[None] - 2 * own @ other.T, 0))
+                far[own_rows[:, None] == b["row"].to_numpy()[None]] = 0
+                member = np.zeros((b.num_rows, starts[-1]))
+                for c in range(len(counts)):
+                    member[np.arange(b.num_rows), starts[c] + labels[:, c]] = 1
+                sums += far @ member
+            yield pa.RecordBatch.from_arrays([pa.array(own_rows), pa.array(list(sums), pa.list_(pa.float64()))], ["row", "sums"])
+        return run
+
+    parts, held = [], []
+    for r in rows.select("row", "vector").toLocalIterator():
+        held.append(r)
+        if len(held) == SILHOUETTE_ROWS:
+            parts.append(held)
+            held = []
+            parts[-1] = materialize(rows.mapInArrow(passed(np.array([x["row"] for x in parts[-1]]), np.array([x["vector"] for x in parts[-1]])), "row long, sums array<double>"))
+    if held:
+        parts.append(materialize(rows.mapInArrow(passed(np.array([x["row"] for x in held]), np.array([x["vector"] for x in held])), "row long, sums array<double>")))
+    if not parts:
+        return [None] * len(counts)
+    far = parts[0]
+    for p in parts[1:]:
+        far = far.unionAll(p)
+    added = far.select("row", F.posexplode("sums").alias("at", "x")).groupBy("row", "at").agg(F.sum("x").alias("x"))
+    added = added.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("sums"))
+    sizes = rows.select(F.posexplode("labels").alias("c", "label")).groupBy("c", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # clusters
+    size = np.zeros(starts[-1])
+    for r in sizes:
+        size[starts[r["c"]] + r["label"]] = r["n"]
+    sized = F.array(*[F.lit(float(x)) for x in size])
+    means = []
+    for c, k in enumerate(counts):
+        own = F.get("labels", c) + int(starts[c])
+        n = F.get(sized, own)
+        inside = F.get("sums", own) / (n - 1)
+        others = F.filter(F.sequence(F.lit(int(starts[c])), F.lit(int(starts[c + 1]) - 1)), lambda i: (i != own) & (F.get(sized, i) > 0))
+        outside = F.array_min(F.transform(others, lambda i: F.get("sums", i) / F.get(sized, i)))
+        most = F.greatest(inside, outside)
+        means.append(F.avg(F.when((n > 1) & (most > 0), (outside - inside) / most).otherwise(0.0)).alias(f"s{c}"))
+    found = added.join(rows, "row").agg(*means).first()
+    used = [int((size[starts[c]:starts[c + 1]] > 0).sum()) for c in range(len(counts))]
+    return [found[c] if 1 < used[c] < total else None for c in range(len(counts))]
+
+
 def choice_of_k(df: DataFrame, cols: Sequence[str], k_max: int, seed: int = 42, restarts: int = 10) -> list[tuple[int, float, float | None]]:
-    """(k, within-cluster sum of squares, mean silhouette) for k = 1 .. k_max
-    (ML-06), best of ``restarts`` fits by cost.  The silhouette uses squared
-    Euclidean distances, whose means have a closed form per cluster, so no
-    table of pairs is made; k = 1 has none."""
+    """(k, within-cluster sum of squares, mean Euclidean silhouette) for k = 1 ..
+    k_max (ML-06), best of ``restarts`` fits by cost; k = 1 has no silhouette.
+    All clusterings share one pass over the distances."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
-    data = assemble(df, cols).select("features").cache()
+    data = materialize(assemble(df, cols).select("features")).cache()
     row = data.agg(Summarizer.variance(F.col("features")).alias("v"), F.count(F.lit(1)).alias("n")).first()
-    out: list[tuple[int, float, float | None]] = [(1, float(sum(row["v"])) * max(0, row["n"] - 1), None)]
-    for k in range(2, k_max + 1):
-        fits = [KMeans(k=k, seed=seed + r, featuresCol="features").fit(data) for r in range(restarts)]
+    costs = [float(sum(row["v"])) * max(0, row["n"] - 1)]
+    labelled, ks = data, list(range(2, k_max + 1))
+    for k in ks:
+        fits = [KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol=f"c{k}").fit(data) for r in range(restarts)]
         best = min(fits, key=lambda m: m.summary.trainingCost)
-        silhouette = ClusteringEvaluator(featuresCol="features").evaluate(best.transform(data))
-        out.append((k, best.summary.trainingCost, silhouette))
+        costs.append(best.summary.trainingCost)
+        labelled = best.transform(labelled)
+    found = silhouettes(labelled.select(vector_to_array("features").alias("vector"), F.array(*[F.col(f"c{k}") for k in ks]).alias("labels")), ks) if ks else []
     data.unpersist()
-    return out
+    return list(zip([1, *ks], costs, [None, *found]))
+
+
+def score_to_archive(model_path: str, rows: DataFrame, cols: Sequence[str], path: str, run: str, fold: int, epoch: int,
+                     keep: Sequence[str]) -> None:
+    """Loads a saved Spark ML model and writes its margins of ``rows`` into the
+    prediction archive under ``path`` (ML-08), tagged with run, fold and epoch.
+    Only that partition is replaced, so a repeated run leaves the archive as it
+    was.  ``keep`` names the columns that go along."""
+    from pyspark.ml.util import DefaultParamsReader
+    model = DefaultParamsReader.loadParamsInstance(model_path, rows.sparkSession)
+    scored = score_margin(model, rows, cols).select(*keep, F.lit("eval").alias("mode"), F.col("score").alias("pred"),
+                                                    F.lit(run).alias("run"), F.lit(fold).alias("fold"), F.lit(epoch).alias("epoch"))
+    write_archive(scored, path, ("run", "fold", "epoch"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varlens.functions.exprs import md5_key
-from varlens.functions.prefix import hex_lead, prefix_sum
+from varlens.functions.prefix import hex_lead, prefix_sum, text_lead
 
 
 def shuffle_key(df: DataFrame, id_col: str, seed=42, out: str = "shuffle_key") -> DataFrame:
@@ -105,14 +105,10 @@ def repeated_stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 1
 
 def _sized_groups(df: DataFrame, group: str) -> DataFrame:
     """(group, ``__n`` rows, ``__j`` place from 0 among the groups of that size,
-    by key).  Ranges over a hash of nothing but the key's leading bytes keep
-    groups of one size in many tasks."""
+    by key).  Ranges of the keys keep groups of one size in many tasks."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1).cast("long"))
-    if df.schema[group].dataType.typeName() == "string":
-        lead = hex_lead(F.rpad(F.hex(F.encode(group, "UTF-8")), 12, "0"), 12)
-    else:
-        lead = F.col(group).cast("double")
-    placed = prefix_sum(sizes, ["__n"], [group], ["__one"], inclusive=False, suffix="_j", bucket_on=F.coalesce(lead, F.lit(-1.0)))
+    lead = text_lead(F.col(group)) if df.schema[group].dataType.typeName() == "string" else F.coalesce(F.col(group).cast("double"), F.lit(float("-inf")))
+    placed = prefix_sum(sizes, ["__n"], [group], ["__one"], inclusive=False, suffix="_j", bucket_on=lead)
     return placed.select(group, "__n", F.col("__one_j").alias("__j"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varlens.operators import features as X
 from varlens.operators import arrays as A
+from varlens.operators import preparation as PR
 from varlens.plans.catalog import r6, register
 from varlens.plans.views import variants_view, with_views
 from varlens.sources.tables import table
@@ -120,3 +121,69 @@ def fea09_axis_sample(spark: SparkSession, sf: str) -> DataFrame:
 def fea09_axis_residue(spark: SparkSession, sf: str) -> DataFrame:
     """Normalisation per residue, over samples and features."""
     return X.axis_normalize(_tensor(spark, sf), "residue")
+
+
+# --- composed preparation -----------------------------------------------------
+
+_ANN_SQL = """ann AS (SELECT id AS VarID, gene, label_txt AS netChange, name AS sequence, CASE WHEN position % 7 = 0 THEN NULL ELSE feature END AS AM,
+    CASE WHEN position % 5 = 0 THEN NULL ELSE CAST(position AS DOUBLE) END AS esm_llr,
+    CASE WHEN position % 11 = 0 THEN '"HP:9999998"' ELSE '"' || split_part(name, ' ', 1) || ',' || lower(ptype) || '"' END AS hpo,
+    '"' || lower(ptype) || ',' || gene || '"' AS parents, split_part(name, ' ', 2) || ';' || gene AS go FROM variants)"""
+
+
+def _terms_sql(rows: str) -> str:
+    """Sparse rows of the merged frame ``rows``."""
+    return f"""e AS (SELECT DISTINCT VarID, 0 AS enc, unnest(string_split(trim(hpo, '"'), ',')) AS term FROM {rows}
+  UNION ALL SELECT DISTINCT VarID, 1, unnest(string_split(trim(parents, '"'), ',')) FROM {rows}
+  UNION ALL SELECT DISTINCT VarID, 2, unnest(string_split(trim(go, '"'), ';')) FROM {rows}),
+voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM (SELECT DISTINCT term FROM e WHERE term <> '')),
+t AS (SELECT VarID, place, count(*) AS value FROM e JOIN voc ON e.term = voc.term GROUP BY VarID, place),
+sp AS (SELECT VarID, count(*) AS n_terms, md5(string_agg(place || ':' || value, ',' ORDER BY place)) AS terms_md5 FROM t GROUP BY VarID)"""
+
+
+def _annotated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Variants, and annotations with the columns that the preparation handles."""
+    v = variants_view(spark, sf).withColumnRenamed("id", "VarID")
+    word = lambda i: F.coalesce(F.get(F.split("name", " "), i), F.lit(""))
+    ann = v.select(
+        "VarID", "gene", F.when(F.col("position") % 7 != 0, F.col("feature")).alias("AM"),
+        F.when(F.col("position") % 5 != 0, F.col("position").cast("double")).alias("esm_llr"),
+        F.col("feature").alias("rel_brain"), F.col("feature").alias("abs_brain"), "position", F.lit("x").alias("MIM"),
+        F.when(F.col("position") % 11 == 0, F.lit('"HP:9999998"')).otherwise(F.concat(F.lit('"'), word(0), F.lit(","), F.lower("ptype"), F.lit('"'))).alias("HPOTerms"),
+        F.concat(F.lit('"'), F.lower("ptype"), F.lit(","), F.col("gene"), F.lit('"')).alias("HPOTermParents"),
+        F.concat(word(1), F.lit(";"), F.col("gene")).alias("GOTerms"))
+    return v.select("VarID", "gene", F.col("label_txt").alias("netChange"), F.col("name").alias("sequence")), ann
+
+
+def _reloaded(spark: SparkSession, fitted: PR.Preparation) -> PR.Preparation:
+    from varlens.sources.io import scratch_dir
+    path = scratch_dir(spark, "preparation")
+    fitted.save(path)
+    return PR.Preparation.load(spark, path)
+
+
+def _terms_md5() -> list:
+    pairs = F.zip_with("terms", "values", lambda p, v: F.concat(p.cast("string"), F.lit(":"), v.cast("string")))
+    return [F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(pairs, ",")).alias("terms_md5")]
+
+
+@register("fea03_prepare_annotations", with_views(f"""WITH {_ANN_SQL}, {_terms_sql("ann")}
+SELECT ann.VarID, gene, {r6('AM', 'AM')}, {r6('esm_llr', 'esm_llr')}, n_terms, terms_md5 FROM ann JOIN sp ON ann.VarID = sp.VarID""", "variants"))
+def fea03_prepare_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotations through a fitted, saved and loaded preparation: dropped
+    columns, three term encoders with equal names added, as sparse rows."""
+    _, ann = _annotated(spark, sf)
+    prepared = _reloaded(spark, PR.Preparation().fit_annotations(ann)).annotations(ann)
+    return prepared.select(*[c for c in prepared.columns if c not in ("terms", "values")], *_terms_md5())
+
+
+@register("fea04_prepare_dataset", with_views(f"""WITH {_ANN_SQL}, m AS (SELECT * FROM ann WHERE netChange <> 'neutral'),
+means AS (SELECT avg(AM) AS am, avg(esm_llr) AS llr FROM m), k AS (SELECT * FROM m WHERE hpo <> '"HP:9999998"'), {_terms_sql("k")}
+SELECT k.VarID, gene, CASE netChange WHEN 'lof' THEN 0 WHEN 'gof' THEN 1 END AS netChange, sequence, {r6('coalesce(k.AM, means.am)', 'AM')},
+  {r6('coalesce(k.esm_llr, means.llr)', 'esm_llr')}, n_terms, terms_md5 FROM k JOIN sp ON k.VarID = sp.VarID, means""", "variants"))
+def fea04_prepare_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole preparation: non-neutral variants, annotations joined, means
+    filled, labels encoded, variants without terms dropped, terms encoded."""
+    variants, ann = _annotated(spark, sf)
+    prepared = _reloaded(spark, PR.Preparation(keep_only_hpo=True).fit(variants, ann)).dataset(variants, ann)
+    return prepared.select(*[c for c in prepared.columns if c not in ("terms", "values")], *_terms_md5())

@@ -91,8 +91,29 @@ def ml04_nested_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("ml06_choice_of_k")
 def ml06_choice_of_k(spark: SparkSession, sf: str) -> DataFrame:
-    """Cost and silhouette (squared Euclidean) of k = 1 .. 9 (below the number of rows) on the
+    """Cost and Euclidean silhouette of k = 1 .. 9 (below the number of rows) on the
     embeddings, 10 restarts."""
     from pyspark.ml.functions import array_to_vector
     e = table(spark, sf, "embeddings").select(array_to_vector("embedding").alias("v"))
     return spark.createDataFrame(ML.choice_of_k(e, ["v"], min(10, e.count()) - 1), "k int, cost double, silhouette double")
+
+
+@register("ml08_archive_scoring")
+def ml08_archive_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Models saved per fold and epoch (logistic regression after 1 and 5
+    iterations), loaded and scored into the partitioned archive with their tags;
+    rows and AUC of every partition as read from the archive."""
+    from pyspark.ml.classification import LogisticRegression
+    from varlens.functions.exprs import materialize
+    from varlens.sources.io import scratch_dir
+    li = materialize(_lines(spark, sf).withColumn("fold", (F.col("l_orderkey") % 3).cast("int")))
+    models, archive = scratch_dir(spark, "models"), scratch_dir(spark, "archive")
+    for fold in range(3):
+        train = ML.assemble(li.where(F.col("fold") != fold), _COLS)
+        for epoch, steps in enumerate((1, 5)):
+            path = f"{models}/{fold}-{epoch}"
+            LogisticRegression(maxIter=steps, featuresCol="features", labelCol="label").fit(train).save(path)
+            ML.score_to_archive(path, li.where(F.col("fold") == fold).drop("fold"), _COLS, archive, "lr", fold, epoch, ["id", "label"])
+    scored = spark.read.parquet(archive).withColumn("score", F.col("pred"))
+    n = scored.groupBy("run", "fold", "epoch").agg(F.count(F.lit(1)).alias("n"))
+    return C.roc_auc(M.score_table(scored, ("run", "fold", "epoch")), ["run", "fold", "epoch"]).join(n, ["run", "fold", "epoch"])

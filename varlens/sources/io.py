@@ -75,16 +75,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
                       F.array_join(F.slice(lines, 2, 1 << 30), "").alias("seq"))
 
 
-def write_archive(df: DataFrame, path: str) -> None:
+def write_archive(df: DataFrame, path: str, by: tuple[str, ...] = ("run", "fold")) -> None:
     """Archive sink partitioned by run and fold; a rewrite replaces only the
     partitions present in ``df`` (dynamic overwrite), so other runs stay (SRC-06)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy("run", "fold").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_folds(df: DataFrame, path: str, fold_col: str = "fold") -> None:
