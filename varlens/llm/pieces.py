@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 import zlib
@@ -175,6 +176,8 @@ class Codec:
         self.normalize = Normalizer(read_character_map(norm.get(2, b"")), bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1)))
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == NORMAL}
         self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
+        # a piece's part of a word: id in decimal, packed width, what it decodes to
+        self.known = {p: (str(i).encode(), struct.pack("<I", len(p.encode())), p.replace(SPACE, " ").encode()) for p, i in self.ids.items()}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
@@ -188,15 +191,16 @@ class Codec:
         rank = self.rank
         parts = list(text)
         if len(parts) <= 32:
-            while len(parts) > 1:
-                best, at = None, 0
-                for i in range(len(parts) - 1):
-                    r = rank.get(parts[i] + parts[i + 1])
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    break
-                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            get, none = rank.get, math.inf
+            ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]  # of each pair of neighbours
+            while ranks and (best := min(ranks)) < none:
+                i = ranks.index(best)
+                parts[i:i + 2] = [joined := parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = get(joined + parts[i + 1], none)
+                if i:
+                    ranks[i - 1] = get(parts[i - 1] + joined, none)
             return parts
         after = list(range(1, len(parts))) + [-1]
         before = list(range(-1, len(parts) - 1))
@@ -218,9 +222,16 @@ class Codec:
         return [p for p in parts if p]
 
     def encode_word(self, text: str) -> Word:
+        parts = self.merge(text)
+        try:
+            return Word(*map(bytes.join, (b",", b"", b""), zip(*[self.known[p] for p in parts])))
+        except KeyError:
+            return self._with_unknown(parts)
+
+    def _with_unknown(self, parts: list[str]) -> Word:
         ids: list[int] = []
         widths: list[int] = []
-        for p in self.merge(text):
+        for p in parts:
             raw = p.encode()
             if p in self.ids:
                 ids.append(self.ids[p])
