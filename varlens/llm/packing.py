@@ -24,6 +24,7 @@ table gives an empty table; repeated rows are packed one by one.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -33,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +77,12 @@ class WordEncoder:
         self.cache, self.older = {"": b""}, {}  # words met lately, and before that
         self.parts, self.older_parts = {}, {}
         self.cache_words = cache_words
+        #: By id: the token ends a part (None if the model does not mark ends).
+        model = json.loads(self.tokenizer.to_str())["model"]
+        mark, self.ends = model.get("end_of_word_suffix"), None
+        if mark:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
 
     @staticmethod
     def _recall(wanted: set[str], older: dict[str, bytes], into: dict[str, bytes]) -> None:
@@ -90,27 +98,57 @@ class WordEncoder:
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 into[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def _learn_parts(self, texts: list[str], into: dict[str, bytes]) -> None:
+        """As ``_learn`` for parts, which the tokenizer cuts apart at blanks: a run
+        of them is encoded as one text and cut behind the tokens that end a
+        part; if those are not one a part, each part is encoded by itself."""
+        for at in range(0, len(texts), 1024):
+            part = texts[at:at + 1024]
+            if self.ends is not None:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cuts) == len(part) and cuts[-1] == 4 * len(ids):
+                    raw = ids.tobytes()
+                    for w, start, stop in zip(part, [0, *cuts], cuts):
+                        into[w] = raw[start:stop]
+                    continue
+            self._learn(part, into)
+
+    def _packed(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words."""
         if len(self.cache) > self.cache_words:
             self.cache, self.older = {"": b""}, self.cache
         if len(self.parts) > self.cache_words:
             self.parts, self.older_parts = {}, self.parts
         cache, parts = self.cache, self.parts
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(cache)
+        new = {w for w in words if w not in cache}
         self._recall(new, self.older, cache)
+        plain = {w for w in new if w.isascii() and w.isalpha() and w.islower()}  # one part each, and itself
+        self._learn_parts(sorted(plain), cache)
+        new -= plain
         cut = {w: self.PARTS.findall(w.lower()) for w in new if self.PLAIN.fullmatch(w) and "<|" not in w}
         wanted = set().union(*cut.values()).difference(parts) if cut else set()
         self._recall(wanted, self.older_parts, parts)
-        self._learn(sorted(wanted), parts)
+        self._learn_parts(sorted(wanted), parts)
         for w, found in cut.items():
             cache[w] = b"".join([parts[p] for p in found])
         self._learn(sorted(new.difference(cut)), cache)
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [cache[w] for w in words]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text: the texts' distinct words are looked up once
+        and their ids gathered by place."""
+        split = pc.split_pattern(pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts], pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        packed = self._packed(words.dictionary.to_pylist())
+        sizes = np.array([len(p) for p in packed], np.int64) // 4
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        at = words.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.frombuffer(b"".join(packed), "<u4")[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -141,7 +179,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
             for i in range(len(texts)):
                 group.append(texts[i].as_py() or "")
                 held += len(group[-1])
-                if held < 1 << 19 and i + 1 < len(texts):
+                if held < 1 << 20 and i + 1 < len(texts):
                     continue
                 out: list[list] = [[] for _ in range(6)]
                 for j, packed in enumerate(encoder.encode(group)):
