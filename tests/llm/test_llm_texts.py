@@ -60,35 +60,27 @@ def test_cascade_on_an_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def brute_bits(counts, text, model):
+def brute_bits(counts, text):
     """Code length by walking the contexts, from raw 4-gram counts of one language."""
-    data = langid.PAD + text.encode()
-    cls = [int(model.classes[b]) for b in data]
-    kept3 = {int(c) for c in np.flatnonzero(model.node >= model.size ** 2)}
+    data = langid.PAD + text
     by = [Counter(), Counter(), Counter(), Counter()]
     for gram, n in counts.items():
-        g = [int(model.classes[(gram >> s) & 255]) for s in (24, 16, 8, 0)]
+        g = gram.to_bytes(4, "big")
         for order in range(4):
-            by[order][tuple(g[3 - order:])] += n
+            by[order][g[3 - order:]] += n
     total = 0.0
-    for i in range(3, len(cls)):
-        p, done = 1.0, False
+    for i in range(3, len(data)):
+        p = 1.0
         for order in (3, 2, 1, 0):
-            ctx = tuple(cls[i - order:i])
-            if order == 3 and (ctx[0] * model.size + ctx[1]) * model.size + ctx[2] not in kept3:
-                continue
-            followers = {k[-1]: n for k, n in by[order].items() if k[:-1] == ctx}
+            followers = {k[-1]: n for k, n in by[order].items() if k[:-1] == data[i - order:i]}
             whole, distinct = sum(followers.values()), len(followers)
-            if not whole:
-                continue
-            if cls[i] in followers:
-                p *= followers[cls[i]] / (whole + distinct)
-                done = True
+            if data[i] in followers:
+                p *= followers[data[i]] / (whole + distinct)
                 break
-            p *= distinct / (whole + distinct)
-        if not done:
-            other = cls[i] == model.size - 1
-            p *= (256 - (model.size - 1)) / 256 if other else 1 / 256
+            if whole:
+                p *= distinct / (whole + distinct)
+        else:
+            p /= 256
         total -= math.log2(p)
     return total
 
@@ -101,11 +93,13 @@ def gram_counts(text):
 def test_code_lengths_match_a_walk_of_the_tree():
     texts = {"en": "the cat and the hat sat on that mat", "de": "die katze und der hut auf der matte"}
     counts = [(lang, g, n) for lang, t in texts.items() for g, n in gram_counts(t).items()]
-    model = langid.Model(counts, max_nodes=20)
-    for probe in ("the mat", "der hut", "xyz", "katze cat 9"):
+    texts["xx"] = "".join(map(chr, range(32, 0x250)))  # more than 95 distinct bytes, contexts seen once
+    counts += [("xx", g, n) for g, n in gram_counts(texts["xx"]).items()]
+    model = langid.Model(counts)
+    for probe in ("the mat", "der hut", "xyz", "katze cat 9", "ßäé€ abc", "\x01\x02", "q"):
         bits = model.bits([probe.encode()])[0]
         for k, lang in enumerate(model.langs):
-            assert bits[k] == pytest.approx(brute_bits(gram_counts(texts[lang]), probe, model), rel=1e-4)
+            assert bits[k] == pytest.approx(brute_bits(gram_counts(texts[lang]), probe.encode()), rel=1e-5)
     many = [t.encode() for t in ("the mat", "", "der hut " * 50, "a")]
     assert np.allclose(model.bits(many), model.bits(many, block=16), rtol=1e-6)
 

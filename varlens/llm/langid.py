@@ -8,9 +8,10 @@ plus its cost in the next shorter context, down to 256 equally likely bytes
 (escape method C without exclusions).  The language whose tree codes the whole
 text in the fewest bits wins.
 
-The cost of every (context, byte) is computed once from the frozen counts, so
-scoring a text is one table row per byte.  Context nodes: all orders up to 2,
-and the order-3 contexts seen most often (``MAX_NODES`` in all).
+Every context of the sample has its node and every byte is coded as itself.  The
+cost of each (context, byte) that was seen is computed once from the frozen
+counts and kept as a sparse row; one that was not seen is the escapes of its
+contexts plus the cost in the longest context that has it.
 
 Learning reads about ``SAMPLE_ROWS`` labelled rows per language, chosen by a
 hash of their id; their n-gram counts are aggregated in Spark.
@@ -34,10 +35,6 @@ from pyspark.sql import types as T
 
 #: Labelled rows learned from, per language.
 SAMPLE_ROWS = 800
-#: Byte classes: the most frequent bytes, one more class holds all the others.
-ALPHABET = 96
-#: Order-3 contexts that get a node of their own.
-MAX_NODES = 16_000
 ORDER = 3
 LETTER = re.compile(r"[^\W\d_]")
 PAD = b"   "
@@ -69,58 +66,76 @@ def ngram_counts(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` in ``sorted_keys``, and whether they are there."""
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
 class Model:
-    """Frozen trees as one table: ``cost[node * size + byte class, language]``."""
+    """Frozen trees: per seen 3-gram and 4-gram (codes of bytes that occur, in
+    base ``size``; bytes that never occur share the last code, as they cost the
+    same) the bits of its last byte in each language."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], alphabet: int = ALPHABET, max_nodes: int = MAX_NODES):
+    def __init__(self, counts: list[tuple[str, int, int]]):
         self.langs = sorted({lang for lang, _, _ in counts})
         if not self.langs:
             return
-        seen = np.zeros(256, np.int64)
-        for _, gram, n in counts:
-            seen[gram & 255] += n
-        top = [int(b) for b in np.argsort(-seen, kind="stable")[: alphabet - 1] if seen[b]]
-        self.size = size = len(top) + 1
-        self.classes = np.full(256, size - 1, np.int64)  # the last class holds the other bytes
-        self.classes[top] = np.arange(len(top))
-        rest = 256 - len(top)
         index = {lang: i for i, lang in enumerate(self.langs)}
         lang = np.array([index[x] for x, _, _ in counts])
         grams = np.array([g for _, g, _ in counts], np.int64)
         n = np.array([k for _, _, k in counts], np.float64)
-        a, b, c, d = (self.classes[(grams >> s) & 255] for s in (24, 16, 8, 0))
-        contexts = (a * size + b) * size + c
-        weight = np.bincount(contexts, n, minlength=size ** 3)
-        order3 = np.argsort(-weight, kind="stable")[:max_nodes]
-        order3 = order3[weight[order3] >= 2]
-        # Node of each context: the order-2 node of its last two bytes, or its own.
-        self.node = np.tile(np.arange(size * size), size)
-        self.node[order3] = size * size + np.arange(len(order3))
-        base = np.full(size, 1.0 / 256)
-        base[-1] = max(rest, 1) / 256  # the class is coded; its bytes are equally likely
-        cost = np.empty(((size * size + len(order3)) * size, len(self.langs)), np.float32)
-        for i in range(len(self.langs)):
-            own = lang == i
-            o = np.bincount(d[own], n[own], minlength=size)[None, :]
-            p0 = self._blend(o, np.broadcast_to(base, (1, size)))
-            o1 = np.bincount(c[own] * size + d[own], n[own], minlength=size ** 2).reshape(size, size)
-            p1 = self._blend(o1, np.broadcast_to(p0, (size, size)))
-            o2 = np.bincount((b[own] * size + c[own]) * size + d[own], n[own], minlength=size ** 3).reshape(-1, size)
-            p2 = self._blend(o2, np.tile(p1, (size, 1)))
-            place = np.full(size ** 3, -1)
-            place[order3] = np.arange(len(order3))
-            at, keep = place[contexts[own]], place[contexts[own]] >= 0
-            o3 = np.bincount(at[keep] * size + d[own][keep], n[own][keep], minlength=len(order3) * size).reshape(-1, size)
-            p3 = self._blend(o3, p2[order3 % (size * size)])
-            cost[:, i] = -np.log2(np.concatenate([p2, p3]).ravel())
-        self.cost = cost
-
-    @staticmethod
-    def _blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + distinct, 1)
-        escape = np.where(total > 0, distinct / whole, 1.0)
-        return np.where(counts > 0, counts / whole, escape * shorter)
+        occurs = np.unique(np.concatenate([(grams >> s) & 255 for s in (24, 16, 8, 0)]))
+        self.size = size = len(occurs) + 1
+        self.codes = np.full(256, size - 1, np.int64)
+        self.codes[occurs] = np.arange(len(occurs))
+        a, b, c, d = (self.codes[(grams >> s) & 255] for s in (24, 16, 8, 0))
+
+        def summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Distinct keys and their counts by language."""
+            distinct, at = np.unique(keys, return_inverse=True)
+            return distinct, np.bincount(at * len(self.langs) + lang, n, len(distinct) * len(self.langs)).reshape(-1, len(self.langs))
+
+        def coded(n_of: np.ndarray, context: np.ndarray, n_contexts: int, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Probability of each gram's last byte, and each context's escape;
+            ``context``: places of the grams' contexts."""
+            total, distinct = np.zeros((n_contexts, n_of.shape[1])), np.zeros((n_contexts, n_of.shape[1]))
+            np.add.at(total, context, n_of)
+            np.add.at(distinct, context, n_of > 0)
+            whole = np.maximum(total + distinct, 1)
+            escape = np.where(total > 0, distinct / whole, 1.0)
+            return np.where(n_of > 0, n_of / whole[context], escape[context] * shorter), escape
+
+        def dense(keys: np.ndarray, length: int) -> np.ndarray:
+            distinct, found = summed(keys)
+            out = np.zeros((length, len(self.langs)))
+            out[distinct] = found
+            return out
+
+        p0, _ = coded(dense(d, size), np.zeros(size, int), 1, np.full((size, 1), 1 / 256))
+        p1, _ = coded(dense(c * size + d, size ** 2), np.arange(size ** 2) // size, size, np.tile(p0, (size, 1)))
+        self.grams3, n3 = summed((b * size + c) * size + d)
+        p2, escape2 = coded(n3, self.grams3 // size, size ** 2, p1[self.grams3 % size ** 2])
+        self.grams4, n4 = summed(((a * size + b) * size + c) * size + d)
+        self.contexts, at = np.unique(self.grams4 // size, return_inverse=True)
+        p3, escape3 = coded(n4, at, len(self.contexts), p2[_find(self.grams3, self.grams4 % size ** 3)[0]])
+        bits = lambda p: -np.log2(p).astype(np.float32)
+        self.bits1, self.bits2, self.bits3, self.escape2, self.escape3 = (bits(p) for p in (p1, p2, p3, escape2, escape3))
+
+    def _costs(self, s: np.ndarray) -> np.ndarray:
+        """Bits of ``s[3:]`` in each language, each code after the three before it."""
+        size = self.size
+        pair = s[2:-1] * size + s[3:]
+        gram3 = s[1:-2] * size ** 2 + pair
+        at, there = _find(self.grams4, s[:-3] * size ** 3 + gram3)
+        rows = self.bits3[at]
+        late = np.flatnonzero(~there)
+        if len(late):
+            at, known = _find(self.contexts, s[late] * size ** 2 + gram3[late] // size)
+            missed = np.where(known[:, None], self.escape3[at], 0)
+            at, there = _find(self.grams3, gram3[late])
+            rows[late] = missed + np.where(there[:, None], self.bits2[at], self.escape2[gram3[late] // size] + self.bits1[pair[late]])
+        return rows
 
     def bits(self, texts: list[bytes], block: int = 1 << 19) -> np.ndarray:
         """Code length in bits of each (lower-cased) text under each language;
@@ -133,13 +148,12 @@ class Model:
         for lo in range(0, len(data), block):
             hi = min(len(data), lo + block)
             first = max(0, lo - ORDER)
-            s = self.classes[np.frombuffer(data[first:hi], np.uint8)]
+            s = self.codes[np.frombuffer(data[first:hi], np.uint8)]
             n = hi - max(lo, ORDER)
             if n <= 0:
                 continue
             s = s[-(n + ORDER):]
-            k = self.node[(s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]] * self.size + s[3:]
-            rows = self.cost[k]
+            rows = self._costs(s)
             sums = np.zeros((n + 1, len(self.langs)))
             np.cumsum(rows, axis=0, dtype=np.float64, out=sums[1:])
             origin = hi - n
@@ -160,7 +174,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the winner's share of the
     languages' likelihoods 2^-bits)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_NODES, ALPHABET and the languages
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample of each language
     kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
