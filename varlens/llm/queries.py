@@ -51,7 +51,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] < 3)
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), joined=True)
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
 

@@ -11,7 +11,7 @@ class (hexadecimal, alphanumeric, or base-64 with signs), unless it matches the
 allow list or overlaps a base span.  c*log2(c) is held in millionths as whole
 numbers, so sums are exact.
 
-With ``joined`` (the pipeline's form) base spans and placeholders don't clear a
+With ``joined`` (the form of the query and the pipeline) base spans and placeholders don't clear a
 run: the text between them is judged part by part, each like a run of its own,
 and if a part is a secret the whole run gets an entropy span, which may overlap
 base spans.
@@ -51,6 +51,10 @@ ALLOW = (r"^[0-9_=+/-]+$",
          r"^[A-Za-z]+[0-9]{1,6}$",
          r"^/?(?:[A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}[/_=-]*$",
          r"(?i)example|placeholder|xxxx|1234567|abcdef")
+#: The same without placeholders, for whole runs, and for parts of runs, at whose ends
+#: signs don't count.
+WHOLE = ALLOW[:-1]
+ENDS = tuple(p.replace("^", "^[+/_=-]*(?:", 1)[:-1] + ")[+/_=-]*$" for p in WHOLE)
 _SCALE = 1_000_000
 _F = [0 if c == 0 else round(c * math.log2(c) * _SCALE) for c in range(WINDOW + 1)]
 
@@ -130,8 +134,7 @@ def secret_part(run: Column, base: Column) -> Column:
                                   F.substring(out, cut["to"] + 1, F.length(out)))))
         .otherwise(out))
     parts = F.split(F.regexp_replace(blank, ALLOW[-1], " "), " ")
-    whole, ends = ALLOW[:-1], tuple(p.replace("^", "^[+/_=-]*(?:", 1)[:-1] + ")[+/_=-]*$" for p in ALLOW[:-1])
-    return F.exists(parts, lambda p: (F.length(p) >= WINDOW) & p.rlike("[0-9]") & F.when(p == run["text"], secret_candidate(p, whole)).otherwise(secret_candidate(p, ends)))
+    return F.exists(parts, lambda p: (F.length(p) >= WINDOW) & p.rlike("[0-9]") & F.when(p == run["text"], secret_candidate(p, WHOLE)).otherwise(secret_candidate(p, ENDS)))
 
 
 def scan(docs: DataFrame, joined: bool = False) -> DataFrame:

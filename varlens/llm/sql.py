@@ -40,6 +40,10 @@ def _found(kind: int, pattern: str, group: int, least: int) -> str:
   WHERE length(value) >= {least}"""
 
 
+def _any_of(text: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, '{_quoted(p)}')" for p in patterns) + ")"
+
+
 def _bound() -> str:
     import math
     out = ""
@@ -51,15 +55,19 @@ def _bound() -> str:
 
 OP6 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({_found(0, secrets.ASSIGN, 2, secrets.MIN_VALUE)} UNION ALL {_found(1, secrets.ACCESS, 0, 0)} UNION ALL {_found(2, secrets.HEX, 0, 0)}),
-cand AS (SELECT *, row_number() OVER () AS c FROM ({_found(3, "[A-Za-z0-9+/_=-]{20,}", 0, 0)}) k
-  WHERE regexp_matches(hit, '[0-9]') AND NOT ({" OR ".join(f"regexp_matches(hit, '{_quoted(p)}')" for p in secrets.ALLOW)})
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = k.r AND b.start < k.stop AND k.start < b.stop)),
-win AS (SELECT c, pos, ch, count(*) AS n FROM (
-  SELECT c, pos, substr(hit, CAST(pos + o AS BIGINT), 1) AS ch FROM cand, LATERAL (SELECT unnest(range(1, length(hit) - {secrets.WINDOW - 2})) AS pos) x,
-    range(0, {secrets.WINDOW}) y(o)) GROUP BY c, pos, ch),
-low AS (SELECT c, min(s) AS least FROM (SELECT c, pos, sum({secrets._F}[CAST(n + 1 AS BIGINT)]) AS s FROM win GROUP BY c, pos) GROUP BY c),
+cand AS (SELECT *, row_number() OVER () AS c FROM ({_found(3, "[A-Za-z0-9+/_=-]{20,}", 0, 0)}) k WHERE regexp_matches(hit, '[0-9]')),
+blank AS (SELECT c, hit, array_to_string(list_transform(range(1, length(hit) + 1), lambda i:
+    CASE WHEN len(list_filter(covers, lambda s: s[1] < start + i AND start + i <= s[2])) > 0 THEN ' ' ELSE substr(hit, i, 1) END), '') AS text
+  FROM cand LEFT JOIN (SELECT r AS br, list([start, stop]) AS covers FROM base GROUP BY r) b ON cand.r = b.br),
+parts AS (SELECT c, hit, unnest(string_split(regexp_replace(text, '{_quoted(secrets.ALLOW[-1])}', ' ', 'g'), ' ')) AS part FROM blank),
+judged AS (SELECT row_number() OVER () AS p, c, part AS hit FROM parts WHERE length(part) >= {secrets.WINDOW} AND regexp_matches(part, '[0-9]')
+  AND NOT CASE WHEN part = hit THEN {_any_of("part", secrets.WHOLE)} ELSE {_any_of("part", secrets.ENDS)} END),
+win AS (SELECT p, pos, ch, count(*) AS n FROM (
+  SELECT p, pos, substr(hit, CAST(pos + o AS BIGINT), 1) AS ch FROM judged, LATERAL (SELECT unnest(range(1, length(hit) - {secrets.WINDOW - 2})) AS pos) x,
+    range(0, {secrets.WINDOW}) y(o)) GROUP BY p, pos, ch),
+low AS (SELECT p, min(s) AS least FROM (SELECT p, pos, sum({secrets._F}[CAST(n + 1 AS BIGINT)]) AS s FROM win GROUP BY p, pos) GROUP BY p),
 spans AS (SELECT r, kind, start, stop FROM base UNION ALL
-  SELECT r, kind, start, stop FROM cand JOIN low ON cand.c = low.c WHERE least <= {_bound()}),
+  SELECT r, kind, start, stop FROM cand WHERE c IN (SELECT c FROM judged JOIN low ON judged.p = low.p WHERE least <= {_bound()})),
 text AS (SELECT *, {list(secrets.KINDS)}[kind + 1] || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS t FROM spans),
 g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
   string_agg(t, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(t, ',' ORDER BY start, kind) AS spans FROM text GROUP BY r)
