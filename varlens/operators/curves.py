@@ -42,7 +42,8 @@ def roc_curve(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None)
     library's collinear-point dropping."""
     c = _desc_cum(st, keys, n_buckets)
     pts = c.select(*keys, F.col("score").cast("double").alias("threshold"), "tp", "fp", "P", "N")
-    origin = (c.select(*keys, "P", "N").distinct()
+    # the origin comes from the groups' totals, so the running sums are made once
+    origin = (st.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
                .select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"),
                        F.lit(0).cast("long").alias("fp"), "P", "N"))
     allp = pts.unionByName(origin)
@@ -51,17 +52,34 @@ def roc_curve(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None)
                        safe_div(F.col("fp"), F.col("N")).alias("fpr"))
 
 
-def roc_auc(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None) -> DataFrame:
-    """ROC-AUC per group (CRV-02), ties counted half:
-    sum_s neg_s * (pos strictly above s + pos_s / 2) / (P * N).
-    Null when a group has one class only."""
+def curve_scores(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None) -> DataFrame:
+    """ROC-AUC, trapezoid area under the PR curve and average precision per
+    group (CRV-02, CRV-04, CRV-05) from one pass of running sums.
+
+    ROC-AUC counts ties half: sum_s neg_s * (pos strictly above s + pos_s / 2) /
+    (P * N), null when a group has one class only.  Between consecutive distinct
+    scores recall grows by pos_s / P; the previous point's counts are this
+    point's minus pos_s / neg_s, so no ``lag`` over a global order is needed.
+    The first step starts at precision 1."""
     c = _desc_cum(st, keys, n_buckets)
     term = F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos") / 2.0)
-    agg = c.groupBy(*keys).agg(F.sum(term).alias("u"), F.first("P").alias("n_pos"),
-                               F.first("N").alias("n_neg"))
+    prec = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))
+    prev_tp = F.col("tp") - F.col("pos")
+    prev_all = prev_tp + F.col("fp") - F.col("neg")
+    prev_prec = F.when(prev_all > 0, prev_tp.cast("double") / prev_all).otherwise(F.lit(1.0))
+    d_rec = F.col("pos").cast("double")
+    agg = c.groupBy(*keys).agg(
+        F.sum(term).alias("u"), F.sum(d_rec * (prec + prev_prec) / 2.0).alias("trap"), F.sum(d_rec * prec).alias("ap_num"),
+        F.first("P").alias("n_pos"), F.first("N").alias("n_neg"))
     den = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
-    return agg.select(*keys, "n_pos", "n_neg",
-                      F.when(den > 0, F.col("u") / den).alias("auc"))
+    return agg.select(*keys, "n_pos", "n_neg", F.when(den > 0, F.col("u") / den).alias("auc"),
+                      F.when(F.col("n_pos") > 0, F.col("trap") / F.col("n_pos")).alias("pr_auc"),
+                      F.when(F.col("n_pos") > 0, F.col("ap_num") / F.col("n_pos")).alias("average_precision"))
+
+
+def roc_auc(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None) -> DataFrame:
+    """ROC-AUC per group (CRV-02)."""
+    return curve_scores(st, keys, n_buckets).select(*keys, "n_pos", "n_neg", "auc")
 
 
 def pr_curve(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None) -> DataFrame:
@@ -71,31 +89,15 @@ def pr_curve(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None) -
     pts = c.select(*keys, F.col("score").cast("double").alias("threshold"),
                    safe_div(F.col("tp"), F.col("tp") + F.col("fp"), 0.0).alias("precision"),
                    F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(1.0)).alias("recall"))
-    end = (c.select(*keys).distinct()
+    end = (st.select(*keys).distinct()
             .select(*keys, F.lit(None).cast("double").alias("threshold"),
                     F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
     return pts.unionByName(end)
 
 
 def pr_scores(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None) -> DataFrame:
-    """Trapezoid area under the PR curve and average precision (CRV-04/05).
-
-    Between consecutive distinct scores recall grows by pos_s / P; the
-    previous point's counts are this point's minus pos_s / neg_s, so neither
-    needs ``lag`` over a global order.  The first step starts at precision 1."""
-    c = _desc_cum(st, keys, n_buckets)
-    prec = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))
-    prev_tp = F.col("tp") - F.col("pos")
-    prev_all = prev_tp + F.col("fp") - F.col("neg")
-    prev_prec = F.when(prev_all > 0, prev_tp.cast("double") / prev_all).otherwise(F.lit(1.0))
-    d_rec = F.col("pos").cast("double")
-    agg = c.groupBy(*keys).agg(
-        F.sum(d_rec * (prec + prev_prec) / 2.0).alias("trap"),
-        F.sum(d_rec * prec).alias("ap_num"),
-        F.first("P").alias("n_pos"), F.first("N").alias("n_neg"))
-    return agg.select(*keys, "n_pos", "n_neg",
-                      F.when(F.col("n_pos") > 0, F.col("trap") / F.col("n_pos")).alias("pr_auc"),
-                      F.when(F.col("n_pos") > 0, F.col("ap_num") / F.col("n_pos")).alias("average_precision"))
+    """Trapezoid area under the PR curve and average precision (CRV-04/05)."""
+    return curve_scores(st, keys, n_buckets).select(*keys, "n_pos", "n_neg", "pr_auc", "average_precision")
 
 
 def youden(st: DataFrame, keys: Sequence[str], n_buckets: int | None = None) -> DataFrame:

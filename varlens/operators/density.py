@@ -68,6 +68,13 @@ def _offsets(widths: Sequence[int]):
                      for w in widths for k in range(ring_offsets(w)[0], ring_offsets(w)[1] + 1)])
 
 
+def _window_columns(widths: Sequence[int]):
+    """A residue's window places as (width, col) structs, read from the gene's
+    ``cols`` before they are exploded, so that the array is not copied to every place."""
+    return F.transform(_offsets(widths), lambda o: F.struct(
+        o["width"].alias("width"), F.get("cols", F.pmod(F.col("position") - 1 + o["k"], F.size("cols"))).alias("col")))
+
+
 def ring_average(profile: DataFrame, genes: DataFrame, widths: Sequence[int] = (10, 3),
                  cls: str = "cls") -> DataFrame:
     """(family, gene, cls, width, residue, dens): the profile projected onto
@@ -103,10 +110,8 @@ def window_density(features: DataFrame, profile: DataFrame, genes: DataFrame, wi
     rows carry the same ``keys`` (for per-training-set profiles)."""
     keys = list(keys)
     tgt = features.select("family", "gene", "position", *keys).distinct().join(genes, ["family", "gene"])
-    o = F.col("o")
-    win = (tgt.withColumn("o", F.explode(_offsets(widths)))
-              .select("family", "gene", "position", *keys, o["width"].alias("width"),
-                      F.get("cols", F.pmod(F.col("position") - 1 + o["k"], F.size("cols"))).alias("col")))
+    win = (tgt.select("family", "gene", "position", *keys, F.explode(_window_columns(widths)).alias("o"))
+              .select("family", "gene", "position", *keys, "o.width", "o.col"))
     hit = win.join(profile, ["family", "col", *keys])
     aggs = [F.sum(F.when((F.col(cls) == c) & (F.col("width") == w), F.col("freq") / F.col("width"))).alias(n)
             for n, c, w in DENSITY_FEATURES if w in widths]
@@ -173,10 +178,8 @@ def cross_fitted(variants: DataFrame, genes: DataFrame, outer: str, inner: str,
     cell = cells.withColumnRenamed(outer, "po").withColumnRenamed(inner, "pj")
 
     tgt = variants.select("family", "gene", "position").distinct().join(genes, ["family", "gene"])
-    o = F.col("o")
-    win = (tgt.withColumn("o", F.explode(_offsets(widths)))
-              .select("family", "gene", "position", o["width"].alias("width"),
-                      F.get("cols", F.pmod(F.col("position") - 1 + o["k"], F.size("cols"))).alias("col")))
+    win = (tgt.select("family", "gene", "position", F.explode(_window_columns(widths)).alias("o"))
+              .select("family", "gene", "position", "o.width", "o.col"))
     # per residue and cell, the four densities; then their sums over cells
     at = (win.join(cell, ["family", "col"]).groupBy("family", "gene", "position", "po", "pj")
              .agg(*[F.sum(F.when((F.col(cls) == c) & (F.col("width") == w), F.col("freq") / F.col("width")).otherwise(0.0)).alias(n)

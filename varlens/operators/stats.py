@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 from varlens.functions.prefix import hex_lead, row_ranks
 
 
-def permute_within(df: DataFrame, keys: Sequence[str], tie_cols: Sequence[str], hash_col: Column,
-                   value: str, out: str) -> DataFrame:
-    """Seeded permutation of ``value`` within each key: the row at position r
-    in the natural order (``tie_cols``) receives ``value`` of the row at
-    position r in hash order.  Both orders are numbered without per-key
-    windows (``row_ranks``), then matched by an equi-join on (key, r)."""
+def permute_within(df: DataFrame, keys: Sequence[str], tie_cols: Sequence[str], draws: Sequence[tuple[Column, str, str]]) -> DataFrame:
+    """Seeded permutations of values within each key.  Of each draw (hash column,
+    value, out) the row at position r in the natural order (``tie_cols``)
+    receives in ``out`` the ``value`` of the row at position r in hash order.
+    The natural order is numbered once and each hash order once, without
+    per-key windows (``row_ranks``); they meet in equi-joins on (key, r)."""
     keys, tie_cols = list(keys), list(tie_cols)
     base = df.select(*keys, *tie_cols)
-    a = row_ranks(base, keys, tie_cols)
-    h = base.withColumn("__h", hash_col)
-    b = row_ranks(h, keys, ["__h", *tie_cols], bucket_on=hex_lead(F.col("__h")), splits_from=h)
-    return a.join(b.select(*keys, "__row", F.col(value).alias(out)), [*keys, "__row"])
+    out = row_ranks(base, keys, tie_cols, splits_from=base)
+    for hash_col, value, name in draws:
+        h = base.withColumn("__h", hash_col)
+        b = row_ranks(h, keys, ["__h", *tie_cols], bucket_on=hex_lead(F.col("__h")), splits_from=h)
+        out = out.join(b.select(*keys, "__row", F.col(value).alias(name)), [*keys, "__row"])
+    return out
 
 
 # ---------------------------------------------------------------------------

@@ -277,9 +277,8 @@ def met14_null_model(spark: SparkSession, sf: str) -> DataFrame:
     keys = ("run", "fold", "epoch")
     tie = ["id", "grp", "score", "label"]
     key = F.concat(F.col("id").cast("string"), F.lit("|"), F.col("grp").cast("string"))
-    p1 = permute_within(p, keys, tie, F.md5(F.concat(key, F.lit("|7"))), "score", "p1")
-    p0 = permute_within(p, keys, tie, F.md5(F.concat(key, F.lit("|8"))), "score", "s0")
-    s = p1.join(p0.select(*keys, "__row", (1.0 - F.col("s0")).alias("p0")), [*keys, "__row"])
+    drawn = permute_within(p, keys, tie, [(F.md5(F.concat(key, F.lit(f"|{seed}"))), "score", out) for seed, out in ((7, "p1"), (8, "s0"))])
+    s = drawn.withColumn("p0", 1.0 - F.col("s0"))
     yhat = F.when(F.col("p1") > F.col("p0"), 1).otherwise(0)
     return s.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(yhat).cast("long").alias("n_pred1"),
@@ -422,9 +421,8 @@ def agg18_fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
     and average precision."""
     bt = best_st(spark, sf)
     cm = M.with_metrics(M.confusion_from_table(bt, ("run", "fold")), _FOLD_METRICS)
-    auc = C.roc_auc(bt, ("run", "fold")).select("run", "fold", "auc")
-    ap = C.pr_scores(bt, ("run", "fold")).select("run", "fold", "average_precision")
-    return cm.join(auc, ["run", "fold"]).join(ap, ["run", "fold"]).select(
+    areas = C.curve_scores(bt, ("run", "fold")).select("run", "fold", "auc", "average_precision")
+    return cm.join(areas, ["run", "fold"]).select(
         "run", "fold", "n", *_FOLD_METRICS, "auc", "average_precision")
 
 
@@ -482,9 +480,8 @@ def agg23_pooled_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """All folds' best-epoch rows pooled into one sample per run."""
     bt = best_st(spark, sf)
     cm = M.with_metrics(M.confusion_from_table(bt, ("run",)), _POOLED)
-    auc = C.roc_auc(bt, ("run",)).select("run", "auc")
-    pr = C.pr_scores(bt, ("run",)).select("run", "pr_auc", "average_precision")
-    return cm.join(auc, "run").join(pr, "run").select("run", "n", *_POOLED, "auc", "pr_auc", "average_precision")
+    areas = C.curve_scores(bt, ("run",)).select("run", "auc", "pr_auc", "average_precision")
+    return cm.join(areas, "run").select("run", "n", *_POOLED, "auc", "pr_auc", "average_precision")
 
 
 @register("agg18_three_runs_fold_metrics", with_views(
