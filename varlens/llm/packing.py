@@ -121,7 +121,9 @@ class WordEncoder:
         if len(self.parts) > self.cache_words:
             self.parts, self.older_parts = {}, self.parts
         cache, parts = self.cache, self.parts
-        new = {w for w in words if w not in cache}
+        packed = list(map(cache.get, words))
+        missing = [i for i, p in enumerate(packed) if p is None]
+        new = {words[i] for i in missing}
         self._recall(new, self.older, cache)
         plain = {w for w in new if w.isascii() and w.isalpha() and w.islower()}  # one part each, and itself
         self._learn_parts(sorted(plain), cache)
@@ -133,7 +135,9 @@ class WordEncoder:
         for w, found in cut.items():
             cache[w] = b"".join([parts[p] for p in found])
         self._learn(sorted(new.difference(cut)), cache)
-        return [cache[w] for w in words]
+        for i in missing:
+            packed[i] = cache[words[i]]
+        return packed
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text: the texts' distinct words are looked up once
@@ -141,7 +145,7 @@ class WordEncoder:
         split = pc.split_pattern(pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts], pa.large_string()), " ")
         words = split.flatten().dictionary_encode()
         packed = self._packed(words.dictionary.to_pylist())
-        sizes = np.array([len(p) for p in packed], np.int64) // 4
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         starts = np.concatenate([[0], np.cumsum(sizes)])
         at = words.indices.to_numpy()
         counts = sizes[at]
@@ -179,7 +183,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
             for i in range(len(texts)):
                 group.append(texts[i].as_py() or "")
                 held += len(group[-1])
-                if held < 1 << 20 and i + 1 < len(texts):
+                if held < 1 << 21 and i + 1 < len(texts):
                     continue
                 out: list[list] = [[] for _ in range(6)]
                 for j, packed in enumerate(encoder.encode(group)):
