@@ -99,13 +99,13 @@ SELECT p.family, p.gene, p.k, p.position, ma.cls, ma.width, {r6('ma.dens', 'dens
 FROM positions p JOIN ma ON p.family = ma.family AND p.gene = ma.gene AND p.position = ma.residue""",
     "align", "positions"))
 def den05_gather(spark: SparkSession, sf: str) -> DataFrame:
-    """Density values at each variant's position (non-zero ones)."""
-    rc = _genes(spark, sf)
+    """Density values at each variant's position (non-zero ones); only the
+    windows of those positions are read."""
+    genes = _genes(spark, sf)
     pos = positions_view(spark, sf)
-    dens = D.ring_average(D.family_profile(D.position_frequency(pos, rc)), rc)
-    return pos.join(dens.withColumnRenamed("cls", "dcls").withColumnRenamed("residue", "position"),
-                    ["family", "gene", "position"]).select("family", "gene", "k", "position",
-                                                           F.col("dcls").alias("cls"), "width", "dens")
+    found = D.window_density(pos, D.family_profile(D.position_frequency(pos, genes)), genes)
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(w).alias("width"), F.col(n).alias("dens")) for n, c, w in D.DENSITY_FEATURES]))
+    return found.select("family", "gene", "k", "position", values.alias("v")).select("family", "gene", "k", "position", "v.*").where("dens <> 0")
 
 
 _FREQ4 = _FREQ.replace("FROM positions GROUP BY ALL", "FROM positions WHERE k <> 5 GROUP BY ALL")
