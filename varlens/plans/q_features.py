@@ -35,6 +35,19 @@ def fea02_categorical_index(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("ptype", F.col("ptype_vec_idx").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("fea02_one_hot", with_views("""WITH c AS (SELECT ptype, row_number() OVER (ORDER BY count(*) DESC, ptype) - 1 AS idx FROM variants GROUP BY ptype),
+n AS (SELECT count(*) AS n FROM c)
+SELECT id, array_to_string(list_transform(range(0, n), lambda i: CASE WHEN i = idx THEN '1' ELSE '0' END), ',') AS one_hot
+FROM variants v JOIN c ON v.ptype = c.ptype, n""", "variants"))
+def fea02_one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The one-hot vectors, one place a category (the places kept for unseen
+    values, all 0 here, are left out)."""
+    from pyspark.ml.functions import vector_to_array
+    out, model = X.index_categories(variants_view(spark, sf).select("id", "ptype"), "ptype", "v")
+    places = F.slice(vector_to_array("v"), 1, len(model.stages[0].labels))
+    return out.select("id", F.array_join(F.transform(places, lambda x: x.cast("int").cast("string")), ",").alias("one_hot"))
+
+
 @register("fea05_first_per_key", with_views("""SELECT gene, id, position FROM (
   SELECT gene, id, position, row_number() OVER (PARTITION BY gene ORDER BY position, id) AS rn FROM variants) WHERE rn = 1""",
     "variants"))
@@ -66,6 +79,19 @@ def fea07_standardize_train_test(spark: SparkSession, sf: str) -> DataFrame:
     return X.apply_standard(x.where(F.col("part") == 1).select("id", "f"), stats, ["f"])
 
 
+@register("fea08_zscore_matrix", with_views(f"""WITH x AS (SELECT id, position % 2 AS part, CASE WHEN position % 7 = 0 THEN 0.0 ELSE feature END AS f,
+    CAST(position AS DOUBLE) AS g, 5.0 AS h FROM variants),
+st AS (SELECT avg(f) AS mf, stddev_pop(f) AS sf, avg(g) AS mg, stddev_pop(g) AS sg FROM x WHERE part = 0)
+SELECT id, {r6('(f - mf) / sf', 'f')}, {r6('(g - mg) / sg', 'g')}, {r6('0.0', 'h')} FROM x, st WHERE part = 1""", "variants"))
+def fea08_zscore_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature matrix with missing values 0, z-scores fitted on the training half
+    and applied to the test half; a constant column gives 0."""
+    x = variants_view(spark, sf).select("id", (F.col("position") % 2).alias("part"), F.when(F.col("position") % 7 != 0, F.col("feature")).alias("f"),
+                                        F.col("position").cast("double").alias("g"), F.lit(5.0).alias("h")).na.fill(0.0, ["f"])
+    cols = ["f", "g", "h"]
+    return X.apply_standard(x.where("part = 1").select("id", *cols), X.fit_standard(x.where("part = 0"), cols), cols, impute=False)
+
+
 @register("fea09_axis_normalize", f"""WITH x AS (SELECT vec_id, d.dim, CAST(d.x AS DOUBLE) AS x FROM embeddings,
   LATERAL (SELECT generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x) d),
 st AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY dim)
