@@ -109,3 +109,13 @@ def test_entry_without_the_other_subpackage(monkeypatch):
 
     monkeypatch.setattr(builtins, "__import__", missing)
     assert set(entry.queries()) == set(catalog.queries()) and set(entry.oracle_sql()) == set(catalog.oracle_sql())
+
+
+def test_feature_audit_p_values(spark):
+    from varlens.operators import pvalues
+    z = {"a": 1.959963984540054, "b": -2.5758293035489, "c": 0.0}
+    audit = spark.createDataFrame([(t, 0.5, v) for t, v in z.items()], "term string, log2_or double, z double")
+    got = {r["term"]: r for r in pvalues.feature_audit(audit).collect()}
+    assert [round(got[t]["p"], 6) for t in "abc"] == [0.05, 0.01, 1.0]
+    assert [round(got[t]["p_holm"], 6) for t in "abc"] == [0.1, 0.03, 1.0]
+    assert [round(got[t]["p_bh"], 6) for t in "abc"] == [0.075, 0.03, 1.0]

@@ -126,3 +126,9 @@ def pairwise_t(scores: DataFrame, block: str = "fold", run: str = "run", value:
     pair = F.concat_ws("|", F.col("run_a").cast("string"), F.col("run_b").cast("string"))
     p = with_p(t, "p", tails.t_two_sided, "t", "df").withColumn("__pair", pair)
     return S.adjust_pvalues(p, [], "p", "__pair").drop("__pair")
+
+
+def feature_audit(audit: DataFrame, term: str = "term") -> DataFrame:
+    """``stats.feature_audit`` with the two-sided normal p of its z, Holm and
+    Benjamini-Hochberg adjusted over all terms (STA-16)."""
+    return S.adjust_pvalues(with_p(audit, "p", lambda z: one_or_two_sided(z, "two-sided"), "z"), [], "p", term)

@@ -338,6 +338,12 @@ def sta16_feature_audit(spark: SparkSession, sf: str) -> DataFrame:
     return S.feature_audit(bp.drop("pkey"), terms, "id", "term", "correct")
 
 
+@register("sta16_feature_audit_p")
+def sta16_feature_audit_p(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit of every word with its p-value, Holm and Benjamini-Hochberg adjusted."""
+    return P.feature_audit(sta16_feature_audit(spark, sf))
+
+
 # --- p-values (tails are not in SQL: checked against table values in tests) ----
 
 @register("sta02_paired_t_p")
