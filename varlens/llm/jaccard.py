@@ -6,8 +6,12 @@ documents link when 100 * intersection >= ``percent`` * union, which for sizes
 a, b is the same as a symmetric difference of at most
 D(a + b) = floor((100 - percent) * (a + b) / (100 + percent)).
 
+0. Classes.  Sets of equal size and 128-bit digest are equal, so they link: only
+   the one of the least id of each such class goes on, and the others take its
+   component in the end.
 1. Size bands.  Band edges grow so that a set and its smaller partner are in one
-   band or in neighbours.  A set takes part in its own band and in the next.
+   band or in neighbours.  A set takes part in its own band and in the next; a
+   key counts as shared only if one of its sets is in its own band there.
 2. Parity sketches, pigeonhole.  In a band a set's hashes are dealt by their high
    bits into B = D + 1 + spare blocks; a block's key is the XOR of its hashes.
    Each differing shingle spoils one block, so linked sets share at least B - D
@@ -16,15 +20,16 @@ D(a + b) = floor((100 - percent) * (a + b) / (100 + percent)).
 3. Prefixes.  Keys are put in one order, rare first, and sets that share that
    many keys share one even if each leaves out its B - D - 1 last.  So each set
    leaves out its most frequent keys (passages that many documents hold), and a
-   key seen once is no use.  This is exact.
+   key seen once is no use.  Of the keys with the same members (by number, least,
+   greatest and sums of their hashes) one stands for all.  This is exact.
 4. Stars.  In each bucket of a key every set is paired with the bucket's least
    id.  A 512-bit parity sketch of the whole set (XOR of one bit per shingle)
    has a Hamming distance of at most the symmetric difference; pairs above
-   D(a + b) go.  The rest are verified on the sets themselves (sets with equal
-   size and 128-bit digest are equal).  Components of these links follow.
+   D(a + b) go.  The rest are verified on the sets themselves.  Components of
+   these links follow.
 5. The rest.  Buckets that still hold more than one component are joined with
-   themselves, across components, under the same bounds; survivors are verified
-   and added.  Pairs inside a component can't change it.  So no link between
+   themselves, across components, under the same bounds and but for pairs of two
+   sets that are both a band below; survivors are verified and added.  Pairs inside a component can't change it.  So no link between
    components is lost, and no bucket is expanded into pairs of one component.
 
 Counts, minima and components use partial aggregation; joins on keys and ids
@@ -178,41 +183,53 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def block_keys(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(key, doc_id, side, over): block keys; of each (doc_id, side) the ``over``
-    most frequent may be left out."""
+    """(key, doc_id, cut): block keys.  ``cut`` is 2 * over + side: of the keys of one
+    (doc_id, cut) the ``over`` most frequent may be left out, and side is 0 or 1 for
+    keys of the set's own or of the next band."""
     bands = Bands(percent)
-    types = [pa.int64(), pa.int64(), pa.int8(), pa.int32()]
-    schema = "key long, doc_id long, side byte, over int"
+    names, types = ["key", "doc_id", "cut"], [pa.int64(), pa.int64(), pa.int32()]
+    schema = "key long, doc_id long, cut int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
-        parts: list[list[np.ndarray]] = [[], [], [], []]
+        parts: list[list[np.ndarray]] = [[], [], []]
         held = 0
         for doc, data in _texts(batches):
             h = shingle(data)
             if not len(h) or doc is None:
                 continue
             for side, keys, over in bands.keys(h):
-                for part, v in zip(parts, (keys.view(np.int64), doc, side, over)):
+                for part, v in zip(parts, (keys.view(np.int64), doc, 2 * over + side)):
                     part.append(v if isinstance(v, np.ndarray) else np.full(len(keys), v))
                 held += len(keys)
             if held > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t, safe=False) for p, t in zip(parts, types)], names=["key", "doc_id", "side", "over"])
-                parts, held = [[], [], [], []], 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t, safe=False) for p, t in zip(parts, types)], names=names)
+                parts, held = [[], [], []], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t, safe=False) for p, t in zip(parts, types)], names=["key", "doc_id", "side", "over"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t, safe=False) for p, t in zip(parts, types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def prefixes(keys: DataFrame) -> DataFrame:
-    """(key, doc_id): the shared keys that each set can't leave out."""
-    shared = keys.groupBy("key").agg(F.count("*").alias("seen")).where("seen > 1")
-    rows = keys.join(shared.hint("shuffle_hash"), "key")
-    own = Window.partitionBy("doc_id", "side")  # one document's keys
-    placed = (rows.withColumn("place", F.row_number().over(own.orderBy("seen", "key")))
+    """(key, doc_id, side): the shared keys that each set can't leave out."""
+    side = F.col("cut").bitwiseAND(1)
+    shared = keys.groupBy("key").agg(F.count("*").alias("seen"), F.min(side).alias("least")).where("seen > 1 AND least = 0").select("key", "seen")
+    own = Window.partitionBy("doc_id", "cut")  # one document's keys
+    placed = (keys.join(shared, "key").withColumn("place", F.row_number().over(own.orderBy("seen", "key")))
               .withColumn("all", F.count("*").over(own)))
-    return placed.where(F.col("place") <= F.col("all") - F.col("over")).select("key", "doc_id")
+    return placed.where(F.col("place") <= F.col("all") - F.shiftright("cut", 1)).select("key", "doc_id", side.cast("byte").alias("side"))
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """(key, doc_id, side, a): ``rows`` of one key for each list of members that holds
+    two ids or more and a set in its own band; a is its least id."""
+    h = F.xxhash64("doc_id", "side")
+    members = ["a", "z", "n", "high", "low"]
+    lists = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n"), F.min("side").alias("least"),
+                                    F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low"))
+    kept = lists.where("a < z AND least = 0").groupBy(*members).agg(F.min("key").alias("key")).select("key", "a")
+    return rows.join(kept, "key")
 
 
 def _linkable(a: str, b: str, percent: int) -> Column:
@@ -224,11 +241,10 @@ def _linkable(a: str, b: str, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, width: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b, same; distinct).  ``same``: the sets are
-    known to be equal.  The others' sets are made again from their texts and the
-    two of a pair are brought together."""
+    """The linked ones of ``pairs`` (a, b; distinct).  The sets are made again from
+    their texts and the two of a pair are brought together."""
     pairs = stored(pairs)
-    wanted = pairs.where(~F.col("same")).select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "doc_id"))
+    wanted = pairs.select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "doc_id"))
     ids = stored(wanted.select("doc_id").distinct().join(one.select("doc_id", "d0", "d1"), "doc_id"))
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -250,8 +266,7 @@ def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, width: int, perc
     of = lambda side: F.first(F.when(F.col("side") == side, F.col("hashes")), ignorenulls=True).alias(f"h{side}")
     together = wanted.join(sets, "doc_id").groupBy("a", "b").agg(of(0), of(1))  # two sets a pair
     common = F.size(F.array_intersect("h0", "h1"))
-    linked = together.where(100 * common >= percent * (F.size("h0") + F.size("h1") - common)).select("a", "b")
-    return pairs.where("same").select("a", "b").unionByName(linked)
+    return together.where(100 * common >= percent * (F.size("h0") + F.size("h1") - common)).select("a", "b")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -281,39 +296,54 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id")).distinct())
 
 
-def links(docs: DataFrame, sets: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links whose components are those of all links."""
+def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The set of the least id of each class of equal sets, as in ``sets``, and (doc_id,
+    first) of the other ids.  Of several sets under one id the greatest stands for it."""
     rest = [c for c in sets.columns if c != "doc_id"]
-    one = (sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("doc_id")
-           .agg(F.max(F.struct(*rest)).alias("set")).select("doc_id", "set.*"))
-    one = stored(one)
+    equal = ["n", "d0", "d1"]
+    one = stored(sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("doc_id")
+                 .agg(F.max(F.struct(*rest)).alias("set")).select("doc_id", "set.*"))
+    least = one.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in rest if c not in equal])
+    several = one.groupBy(*equal).agg(F.min("doc_id").alias("first"), F.count("*").alias("ids")).where("ids > 1")
+    copies = one.join(several, equal).where(F.col("doc_id") > F.col("first")).select("doc_id", "first")
+    return stored(least.select(*sets.columns)), stored(copies)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the (stored, distinct) ids, broadcast if there are few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")
+
+
+def links(docs: DataFrame, one: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links between the sets of ``one``, distinct ones with distinct ids,
+    whose components are those of all links.  ``docs`` holds their texts."""
     sides = lambda ids, name: one.select(F.col("doc_id").alias(ids), F.struct(*[c for c in one.columns if c != "doc_id"]).alias(name))
-    rows = stored(prefixes(block_keys(docs, width, percent)))
-    least = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    stars = rows.join(least, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    same = (F.col("x.n") == F.col("y.n")) & (F.col("x.d0") == F.col("y.d0")) & (F.col("x.d1") == F.col("y.d1"))
-    first = verified(stars.join(sides("a", "x"), "a").join(sides("b", "y"), "b").where(_linkable("x", "y", percent))
-                     .select("a", "b", same.alias("same")), docs, one, width, percent)
-    first = stored(first)
+    rows = stored(buckets(stored(prefixes(block_keys(docs, width, percent)))))
+    stars = rows.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    first = stored(verified(stars.join(sides("a", "x"), "a").join(sides("b", "y"), "b").where(_linkable("x", "y", percent)).select("a", "b"),
+                            docs, one, width, percent))
 
     labels = components(first)
-    placed = rows.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
+    placed = rows.join(labels, "doc_id", "left").select("key", "doc_id", "side", F.coalesce("component_id", "doc_id").alias("component"))
     mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low < high").select("key"))
     left = stored(placed.join(mixed, "key").join(one, "doc_id"))
     names = [c for c in left.columns if c != "key"]
     side = lambda name: left.select("key", F.struct(*names).alias(name))
     across = (side("x").join(side("y"), "key")
-              .where((F.col("x.component") < F.col("y.component")) & _linkable("x", "y", percent))
-              .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), same.alias("same")).distinct())
+              .where((F.col("x.component") < F.col("y.component")) & ((F.col("x.side") == 0) | (F.col("y.side") == 0)) & _linkable("x", "y", percent))
+              .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct())
     return first.unionByName(verified(across, docs, one, width, percent))
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     sets = stored(set_table(docs, width))
-    labels = components(links(docs, sets, width, percent))
-    return (sets.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left")
+    one, copies = classes(sets)
+    texts = without(docs.select(F.col("doc_id").cast("long"), "text"), copies.select("doc_id"))
+    labels = stored(components(links(texts, one, width, percent)))
+    others = copies.join(labels.withColumnRenamed("doc_id", "first"), "first", "left").select("doc_id", F.coalesce("component_id", "first").alias("component_id"))
+    return (sets.select("doc_id", F.col("n").alias("n_shingles")).join(labels.unionByName(others), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
@@ -321,7 +351,4 @@ def first_of_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """``docs`` without the documents that link, directly or by others, with one of
     a lesser id."""
     others = groups(docs, width, percent).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    others = stored(others)
-    if others.count() <= BROADCAST_ROWS:
-        others = F.broadcast(others)
-    return docs.join(others, "doc_id", "left_anti")
+    return without(docs, stored(others))
