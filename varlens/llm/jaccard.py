@@ -32,8 +32,9 @@ D(a + b) = floor((100 - percent) * (a + b) / (100 + percent)).
    sets that are both a band below; survivors are verified and added.  Pairs inside a component can't change it.  So no link between
    components is lost, and no bucket is expanded into pairs of one component.
 
-Counts, minima and components use partial aggregation; joins on keys and ids
-are equi-joins that adaptive execution splits where one key is hot.
+Counts, minima and components use partial aggregation; what they give is stored
+before it is joined to the rows it came from, so that these equi-joins read plain
+shuffles, which adaptive execution splits where one key is hot.
 
 Defined results: without words a set is empty and links with nothing; rows with
 one id are one document, and of several texts under it the one with most
@@ -58,6 +59,8 @@ from varlens.llm.common import stored
 WIDTH, PERCENT = 4, 85
 #: Spare blocks per block needed: more spare blocks mean more keys and shorter prefixes.
 SPARE = 0.2
+#: Bits of a key: two blocks that meet in one key by chance cost rows, never links.
+KEY_BITS = 48
 #: Longs of the sketch of the whole set.
 SKETCH = 8
 #: Most rows of ids that are broadcast; beyond it the join shuffles.
@@ -199,7 +202,7 @@ def block_keys(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
             if not len(h) or doc is None:
                 continue
             for side, keys, over in bands.keys(h):
-                for part, v in zip(parts, (keys.view(np.int64), doc, 2 * over + side)):
+                for part, v in zip(parts, ((keys >> _U(64 - KEY_BITS)).view(np.int64), doc, 2 * over + side)):
                     part.append(v if isinstance(v, np.ndarray) else np.full(len(keys), v))
                 held += len(keys)
             if held > 100_000:
@@ -216,7 +219,8 @@ def prefixes(keys: DataFrame) -> DataFrame:
     side = F.col("cut").bitwiseAND(1)
     shared = keys.groupBy("key").agg(F.count("*").alias("seen"), F.min(side).alias("least")).where("seen > 1 AND least = 0").select("key", "seen")
     own = Window.partitionBy("doc_id", "cut")  # one document's keys
-    placed = (keys.join(shared, "key").withColumn("place", F.row_number().over(own.orderBy("seen", "key")))
+    # Stored, so that the join reads two shuffles and can split a hot key.
+    placed = (keys.join(stored(shared).hint("merge"), "key").withColumn("place", F.row_number().over(own.orderBy("seen", "key")))
               .withColumn("all", F.count("*").over(own)))
     return placed.where(F.col("place") <= F.col("all") - F.shiftright("cut", 1)).select("key", "doc_id", side.cast("byte").alias("side"))
 
@@ -280,7 +284,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = signed(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Stored, so that the join reads two shuffles and can split a hot u.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -304,7 +309,7 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = stored(sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("doc_id")
                  .agg(F.max(F.struct(*rest)).alias("set")).select("doc_id", "set.*"))
     least = one.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in rest if c not in equal])
-    several = one.groupBy(*equal).agg(F.min("doc_id").alias("first"), F.count("*").alias("ids")).where("ids > 1")
+    several = stored(one.groupBy(*equal).agg(F.min("doc_id").alias("first"), F.count("*").alias("ids")).where("ids > 1"))
     copies = one.join(several, equal).where(F.col("doc_id") > F.col("first")).select("doc_id", "first")
     return stored(least.select(*sets.columns)), stored(copies)
 
@@ -325,8 +330,8 @@ def links(docs: DataFrame, one: DataFrame, width: int = WIDTH, percent: int = PE
 
     labels = components(first)
     placed = rows.join(labels, "doc_id", "left").select("key", "doc_id", "side", F.coalesce("component_id", "doc_id").alias("component"))
-    mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .where("low < high").select("key"))
+    mixed = stored(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                   .where("low < high").select("key"))
     left = stored(placed.join(mixed, "key").join(one, "doc_id"))
     names = [c for c in left.columns if c != "key"]
     side = lambda name: left.select("key", F.struct(*names).alias(name))
