@@ -44,8 +44,8 @@ _DCOLS = ["densgof", "densgof3aa", "denslof", "denslof3aa"]
 
 
 def _genes(spark, sf):
-    """One row per gene, written once: the columns are read by several branches."""
-    return materialize(D.gene_columns(rows_view(spark, sf)))
+    """One gapped row per gene, read from the table by each branch: smaller than its columns."""
+    return rows_view(spark, sf)
 
 
 _KEY = ["family", "gene", "k"]
@@ -67,7 +67,7 @@ def den01_residue_columns(spark: SparkSession, sf: str) -> DataFrame:
                                                  "align", "positions"))
 def den02_position_frequency(spark: SparkSession, sf: str) -> DataFrame:
     """Variant counts per gene and class on alignment columns."""
-    return D.position_frequency(positions_view(spark, sf), D.gene_columns(rows_view(spark, sf)))
+    return D.position_frequency(positions_view(spark, sf), _genes(spark, sf))
 
 
 @register("den03_family_profile", with_views(f"WITH {_RES}, {_FREQ} SELECT family, cls, col, freq FROM prof",
@@ -102,8 +102,8 @@ def den05_gather(spark: SparkSession, sf: str) -> DataFrame:
     """Density values at each variant's position (non-zero ones); only the
     windows of those positions are read."""
     genes = _genes(spark, sf)
-    pos = positions_view(spark, sf)
-    found = D.window_density(pos, D.family_profile(D.position_frequency(pos, genes)), genes)
+    pos = materialize(positions_view(spark, sf))
+    found = D.window_density(pos, materialize(D.family_profile(D.position_frequency(pos, genes))), genes)
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(w).alias("width"), F.col(n).alias("dens")) for n, c, w in D.DENSITY_FEATURES]))
     return found.select("family", "gene", "k", "position", values.alias("v")).select("family", "gene", "k", "position", "v.*").where("dens <> 0")
 
