@@ -79,15 +79,26 @@ def apply_all_variants(seqs: DataFrame, variants: DataFrame, key: str, seq: str,
                     F.size(changed).cast("long").alias("n_changed"))
 
 
-def single_mutants(seqs: DataFrame, keys: str | list[str], seq: str) -> DataFrame:
+#: Residues whose mutants a task makes, about.
+MUTANT_RESIDUES = 50_000
+
+
+def single_mutants(seqs: DataFrame, keys: str | list[str], seq: str, by_residue: bool = False) -> DataFrame:
     """Every position x every amino acid, wild-type residue included (SEQ-05):
-    (*keys, position, wt, aa, mutant).  The mutant string is built lazily, so a
-    query that only counts never materialises it."""
-    spark = seqs.sparkSession
-    aa = spark.createDataFrame([(a,) for a in AMINO_ACIDS], "aa string")
+    (*keys, position, wt, aa, mutant), or with ``by_residue`` one row per
+    position with the array ``mutants`` of (aa, mutant).  The mutant string is
+    built lazily, so a query that only counts never materialises it.  Sequences
+    are spread over tasks by their keys, some ``MUTANT_RESIDUES`` residues each."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    chars = seqs.select(*keys, seq, F.posexplode(F.regexp_extract_all(F.col(seq), F.lit("(?s)."), 0)).alias("p0", "wt"))
-    m = chars.crossJoin(aa)  # 20 rows per residue
+    total = seqs.agg(F.sum(F.length(seq)).alias("n")).first()["n"] or 0
+    spread = seqs.select(*keys, seq).repartition(max(1, -(-total // MUTANT_RESIDUES)), *keys)
+    chars = spread.select(*keys, seq, F.posexplode(F.regexp_extract_all(F.col(seq), F.lit("(?s)."), 0)).alias("p0", "wt"))
+    if by_residue:
+        ends = F.struct(F.substr(F.col(seq), F.lit(1), F.col("p0")).alias("head"), F.substr(F.col(seq), F.col("p0") + 2).alias("tail"))  # cut once a residue
+        made = F.transform(F.array(ends), lambda e: F.transform(F.array(*[F.lit(a) for a in AMINO_ACIDS]), lambda a: F.struct(
+            a.alias("aa"), F.concat(e["head"], a, e["tail"]).alias("mutant"))))
+        return chars.select(*keys, (F.col("p0") + 1).alias("position"), "wt", F.get(made, F.lit(0)).alias("mutants"))
+    m = chars.select(*keys, seq, "p0", "wt", F.explode(F.array(*[F.lit(a) for a in AMINO_ACIDS])).alias("aa"))  # 20 rows per residue
     return m.select(*keys, (F.col("p0") + 1).alias("position"), "wt", "aa",
                     set_residue(F.col(seq), F.col("p0") + 1, F.col("aa")).alias("mutant"))
 
