@@ -135,14 +135,25 @@ def text_lead(col: Column) -> Column:
 def row_ranks(df: DataFrame, keys: Sequence[str], order, *, bucket_on: Column | None = None,
               splits_from: DataFrame | None = None, rank: str = "__row") -> DataFrame:
     """Number the rows 1..n within each key in ``order`` without a per-key
-    window.  Rows equal on all columns are interchangeable, so each distinct
-    row gets the consecutive block below+1 .. below+count."""
-    cols = df.columns
-    d = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    ps = prefix_sum(d, keys, order, ["__n"], inclusive=False, suffix="_below",
-                    bucket_on=bucket_on, splits_from=splits_from)
-    return (ps.select(*cols, F.explode(F.sequence(F.col("__n_below") + 1,
-                                                  F.col("__n_below") + F.col("__n"))).alias(rank)))
+    window: the rows cross the cluster once, to their range of the order, and add
+    their number there to the rows in the ranges below (a small stored table).
+    Columns of ``order`` that are expressions are computed after that, so they
+    don't travel; other columns break ties."""
+    from varlens.functions.exprs import materialize
+    keys, cols = list(keys), df.columns
+    orders = [order] if isinstance(order, (str, Column)) else list(order)
+    lead = bucket_on if bucket_on is not None else F.col(orders[0]) if isinstance(orders[0], str) else orders[0]
+    src = splits_from if splits_from is not None else df
+    splits = quantile_splits(src.select(lead.cast("double").alias("__o")), "__o", default_buckets(df))
+    b = bucketize(df.withColumn("__o", lead.cast("double")), "__o", splits, "__b").drop("__o")
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n")).select(
+        *keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")))
+    names = [o if isinstance(o, str) else f"__o{i}" for i, o in enumerate(orders)]
+    rows = b.repartition(*keys, "__b").withColumns({n: o for n, o in zip(names, orders) if not isinstance(o, str)})
+    inside = Window.partitionBy(*keys, "__b").orderBy(*names, *[c for c in cols if c not in {*names, *keys}])
+    joined = _null_safe_join(rows, offsets, keys + ["__b"], "inner")
+    return joined.select(*cols, (F.col("__off") + F.row_number().over(inside)).alias(rank))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:

@@ -20,8 +20,7 @@ def permute_within(df: DataFrame, keys: Sequence[str], tie_cols: Sequence[str],
     base = df.select(*keys, *tie_cols)
     out = row_ranks(base, keys, tie_cols, splits_from=base)
     for hash_col, value, name in draws:
-        h = base.withColumn("__h", hash_col)
-        b = row_ranks(h, keys, ["__h", *tie_cols], bucket_on=hex_lead(F.col("__h")), splits_from=h)
+        b = row_ranks(base, keys, [hash_col, *tie_cols], bucket_on=hex_lead(hash_col), splits_from=base)
         out = out.join(b.select(*keys, "__row", F.col(value).alias(name)), [*keys, "__row"])
     return out
 
