@@ -174,6 +174,8 @@ def nested_cv(rows: DataFrame, cols: Sequence[str], outer: str = "for_outer", ro
 
 #: Rows that meet all others in one pass over the data.
 SILHOUETTE_ROWS = 4096
+#: Rows of the data that they meet at once; Arrow's batches grow with the table up to 10,000.
+SILHOUETTE_BATCH = 512
 
 
 def silhouettes(rows: DataFrame, counts: Sequence[int]) -> list[float | None]:
@@ -196,9 +198,7 @@ def silhouettes(rows: DataFrame, counts: Sequence[int]) -> list[float | None]:
 
         def run(batches):
             sums = np.zeros((len(own), starts[-1]))
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in (whole.slice(at, SILHOUETTE_BATCH) for whole in batches for at in range(0, whole.num_rows, SILHOUETTE_BATCH)):
                 other = b["vector"].flatten().to_numpy().reshape(b.num_rows, -1)
                 labels = b["labels"].flatten().to_numpy().reshape(b.num_rows, -1)
                 far = np.sqrt(np.maximum(squares[:, None] + (other ** 2).sum(1)[None] - 2 * own @ other.T, 0))
