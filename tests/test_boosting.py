@@ -104,3 +104,20 @@ def test_nested_cv_scores_every_outer_row_once(spark, table):
     pos, neg = [r["score"] for r in got if r["label"]], [r["score"] for r in got if not r["label"]]
     assert np.mean([p > n for p in pos for n in neg]) > 0.6
     assert ML.nested_cv(rows.where("false"), cols, setting=setting).count() == 0
+
+
+def test_rows_with_the_same_bins_are_one_cell(spark, monkeypatch):
+    """A model's work is per cell: 4,000 rows with 12 different bins have margins for few cells."""
+    monkeypatch.setattr(B, "CHUNK_ROWS", 1500)
+    rng = np.random.default_rng(8)
+    x, part = rng.integers(0, [4, 3], (4000, 2)), rng.integers(0, 3, 4000)
+    y = (rng.random(4000) < 0.2 + 0.15 * x[:, 0] + 0.1 * (x[:, 1] == 1)).astype(int)
+    df = spark.createDataFrame([(i, bytes(map(int, r)), int(c), int(p)) for i, (r, c, p) in enumerate(zip(x, y, part))], "id long, codes binary, label int, part int")
+    model = B.Model(0.1, 1.0, 2, 1, frozenset([0, 2]))
+    starts, forest = B.train(df, [model], 7, 2)
+    own = np.isin(part, [0, 2])
+    got = starts[0] + sum(model.step * t.values(x[own].T.astype(np.uint8)) for t in forest[0])
+    assert np.allclose(got, plain_fit(x[own].T, y[own], model, 7)[-1], atol=1e-4)
+    rows = df.coalesce(1).sortWithinPartitions("codes").mapInArrow(B._chunks(2, [model], starts), B._CHUNK).toArrow()
+    cells = [len(m) // 4 for m in rows["margin"].to_pylist()]
+    assert sum(len(i) // 8 for i in rows["id"].to_pylist()) == 4000 and sum(cells) < 100

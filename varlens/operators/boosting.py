@@ -16,7 +16,11 @@ residuals, leaves by one Newton step, shrunk by ``step``.  Rows are sampled for
 each tree by a hash of their id.  Splits lie between bins: ``BINS`` quantiles of
 a feature, or all its values if they are fewer.  Missing values count as 0.
 
-The rows travel in chunks (packed columns, with every model's margin); margins
+The rows travel in chunks, in ranges of their bins: rows with the same bins in a
+chunk are one cell, which every model's margin is kept for.  A tree's sample is
+drawn row by row and counted per cell and class once for all models that share
+it; a model's own work is per cell, of which there are at most ``BINS`` to the
+power of the features.  Where no two rows are alike a cell is a row.  Margins
 are brought up to date every ``KEEP`` trees in a cached table, which Spark
 rebuilds from the stored chunks if an executor is lost.
 """
@@ -38,8 +42,9 @@ from varlens.functions.exprs import materialize
 BINS = 64
 #: Trees between two updates of the cached margins.
 KEEP = 5
-#: Rows of a chunk, at most.
+#: Cells of a chunk, at most, and rows.
 CHUNK = 8192
+CHUNK_ROWS = 1 << 17
 #: Histograms of one pass, over all tasks, that may be gathered at once.
 GATHER_BYTES = 32 << 20
 _SUMS = 3  # rows, gradients, second derivatives
@@ -102,28 +107,53 @@ def codes(cols: Sequence[str], edges: list[list[float]]) -> Column:
     return binned(*[F.col(c).cast("double") for c in cols])
 
 
-_CHUNK = "codes binary, label binary, part binary, id binary, margin binary"
+_FIELDS = ["codes", "cell", "label", "part", "id", "margin"]
+_CHUNK = ", ".join(f"{n} binary" for n in _FIELDS)
+
+
+def _packed(*values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in values], _FIELDS)
 
 
 def _chunks(n_features: int, models: Sequence[Model], starts: np.ndarray):
+    """Chunks from rows in the order of their codes."""
+    def packed(flat, label, part, ids):
+        fresh = np.ones(len(flat), bool)
+        fresh[1:] = (flat[1:] != flat[:-1]).any(1)
+        cell = np.cumsum(fresh) - 1
+        cuts = [0]
+        while cuts[-1] < len(flat):
+            first = cuts[-1]
+            cuts.append(min(first + CHUNK_ROWS, int(np.searchsorted(cell, cell[first] + CHUNK))))
+        for a, b in zip(cuts, cuts[1:]):
+            new = fresh[a:b].copy()
+            new[0] = True
+            own = np.ascontiguousarray(flat[a:b][new].T)
+            margin = np.repeat(starts.astype(np.float32)[:, None], own.shape[1], 1)
+            yield _packed(own, (np.cumsum(new) - 1).astype(np.int32), label[a:b], part[a:b], ids[a:b], margin)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                b = whole.slice(at, CHUNK)
-                flat = np.frombuffer(b"".join(b["codes"].to_pylist()), np.uint8).reshape(-1, n_features)
-                margin = np.repeat(starts.astype(np.float32)[:, None], b.num_rows, 1)
-                packed = [np.ascontiguousarray(flat.T), b["label"].to_numpy().astype(np.uint8), b["part"].to_numpy().astype(np.int32),
-                          b["id"].to_numpy().astype(np.int64), margin]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["codes", "label", "part", "id", "margin"])
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append((np.frombuffer(b"".join(b["codes"].to_pylist()), np.uint8).reshape(-1, n_features), b["label"].to_numpy().astype(np.uint8),
+                         b["part"].to_numpy().astype(np.int32), b["id"].to_numpy().astype(np.int64)))
+            n += b.num_rows
+            if n >= CHUNK_ROWS:
+                yield from packed(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if held:
+            yield from packed(*map(np.concatenate, zip(*held)))
     return run
 
 
 def _open(batch: pa.RecordBatch, n_features: int, n_models: int):
     for i in range(batch.num_rows):
         read = lambda name, kind: np.frombuffer(batch[name][i].as_buffer(), kind)
-        label = read("label", np.uint8)
-        yield (read("codes", np.uint8).reshape(n_features, len(label)), label, read("part", np.int32), read("id", np.int64),
-               read("margin", np.float32).reshape(n_models, len(label)))
+        codes_ = read("codes", np.uint8).reshape(n_features, -1)
+        yield (codes_, read("cell", np.int32), read("label", np.uint8), read("part", np.int32), read("id", np.int64),
+               read("margin", np.float32).reshape(n_models, codes_.shape[1]))
 
 
 def _sampled(ids: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
@@ -140,13 +170,12 @@ def _moved(n_features: int, models: Sequence[Model], recent: list[list[Tree]]):
     """Adds the trees of ``recent`` (by tree, by model) to the margins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for codes_, label, part, ids, margin in _open(b, n_features, len(models)):
+            for codes_, cell, label, part, ids, margin in _open(b, n_features, len(models)):
                 margin = margin.copy()
                 for trees in recent:
                     for m, tree in enumerate(trees):
                         margin[m] += np.float32(models[m].step) * tree.values(codes_)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (codes_, label, part, ids, margin)],
-                                                 ["codes", "label", "part", "id", "margin"])
+                yield _packed(codes_, cell, label, part, ids, margin)
     return run
 
 
@@ -157,30 +186,33 @@ def _histograms(n_features: int, models: Sequence[Model], recent: list[list[Tree
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {m: np.zeros((2 ** level + 1, n_features, BINS, _SUMS)) for m in active}
         for b in batches:
-            for codes_, label, part, ids, margin in _open(b, n_features, len(models)):
-                views = {}
+            for codes_, cell, label, part, ids, margin in _open(b, n_features, len(models)):
+                views, drawn, first = {}, {}, label == 1
                 for m in active:
                     x = models[m]
                     if (x.parts, x.sample) not in views:
                         taken = np.isin(part, list(x.parts))
                         if x.sample < 1:
-                            taken &= _sampled(ids, number, x.sample, seed)
-                        rows = np.flatnonzero(taken)
-                        own = np.ascontiguousarray(codes_[:, rows])
-                        views[x.parts, x.sample] = rows, own, own.astype(np.int64), label[rows].astype(np.float32)
-                    rows, own, wide, y = views[x.parts, x.sample]
-                    if not len(rows):
+                            if x.sample not in drawn:
+                                drawn[x.sample] = _sampled(ids, number, x.sample, seed)
+                            taken &= drawn[x.sample]
+                        every = np.bincount(cell[taken], minlength=codes_.shape[1]).astype(float)
+                        cells = np.flatnonzero(every)
+                        own = np.ascontiguousarray(codes_[:, cells])
+                        views[x.parts, x.sample] = cells, own, own.astype(np.int64), every[cells], np.bincount(cell[taken & first], minlength=len(every))[cells].astype(float)
+                    cells, own, wide, w, ones = views[x.parts, x.sample]
+                    if not len(cells):
                         continue
-                    f = margin[m][rows]
+                    f = margin[m][cells]
                     for trees in recent:
                         f = f + np.float32(x.step) * trees[m].values(own)
-                    p = 1 / (1 + np.exp(-f))
-                    g, h = (y - p).astype(float), (p * (1 - p)).astype(float)
+                    p = (1 / (1 + np.exp(-f))).astype(float)
+                    g, h = ones - w * p, w * p * (1 - p)
                     place = growing[m].places(own, level) * BINS
                     size = (2 ** level + 1) * BINS
                     for i in range(n_features):
                         key = wide[i] + place
-                        sums[m][:, i, :, 0] += np.bincount(key, minlength=size).reshape(-1, BINS)
+                        sums[m][:, i, :, 0] += np.bincount(key, w, size).reshape(-1, BINS)
                         sums[m][:, i, :, 1] += np.bincount(key, g, size).reshape(-1, BINS)
                         if i == 0 or level == x.depth - 1:  # leaves need them; a node that stays whole needs one feature's
                             sums[m][:, i, :, 2] += np.bincount(key, h, size).reshape(-1, BINS)
@@ -248,6 +280,7 @@ def train(rows: DataFrame, models: Sequence[Model], trees: int, n_features: int,
     starts = np.array(starts)
     needed = set().union(*[m.parts for m in models])
     taken = rows.where(F.col("part").isin([int(p) for p in needed])).select("codes", F.col("label").cast("int").alias("label"), F.col("part").cast("int").alias("part"), F.col("id").cast("long").alias("id"))
+    taken = taken.repartitionByRange("codes", "id").sortWithinPartitions("codes")  # a cell with many rows is cut by their ids
     state = materialize(taken.mapInArrow(_chunks(n_features, models, starts), _CHUNK))
     tasks = max(1, min(state.rdd.getNumPartitions(), 2 * sum(r["n"] for r in counts) // CHUNK))
     state = state.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
