@@ -71,9 +71,10 @@ def test_cross_fitting_meets_one_row_a_residue(spark):
     n = {g: sum(c != "-" for c in row) for _, g, row in rows}
     v = [("x", g, k, rnd.randint(1, n[g]), k % 2, None if g == 5 else g % 4, None if g == 6 else k % 3) for g in n for k in range(6)]
     genes = spark.createDataFrame(rows, "family string, gene long, row string")
-    variants = spark.createDataFrame(v, "family string, gene long, k int, position int, cls int, o int, j int")
+    variants = spark.createDataFrame([*v, (None, 0, 9, 1, 1, 0, 0)], "family string, gene long, k int, position int, cls int, o int, j int")
     found = D.cross_fitted(variants, genes, "o", "j").collect()
-    assert len(found) == 5 * len(v)  # outer folds 0 to 3 and null
+    assert len(found) == 5 * (len(v) + 1)  # outer folds 0 to 3 and null
+    assert len(D.cross_fitted(variants, genes, "o", "j", digits=2).collect()) == len(found)
     cols = {g: [i + 1 for i, ch in enumerate(row) if ch != "-"] for _, g, row in rows}
     maps = {}
     for r in found:

@@ -313,10 +313,12 @@ def cross_fitted(variants: DataFrame, genes: DataFrame, outer: str, inner: str,
     inner fold, so that a row's window is read once and meets one row per residue;
     no fold is routed to another and no list of folds leaves the cluster.  A row
     appears once per outer fold, which is the size of the result.  With ``digits``
-    each map is standardised over its rows and rounded."""
+    each map is standardised over its rows and rounded.  Variants without
+    a family count nowhere and get 0."""
     names = [f for f in DENSITY_FEATURES if f[2] in widths]
     classes = sorted({c for _, c, _ in DENSITY_FEATURES})
-    freq = position_frequency(variants, genes, cls, [outer, inner])
+    known = F.col("family").isNotNull()
+    freq = position_frequency(variants.where(known), genes, cls, [outer, inner])
     cells = materialize(freq.groupBy("family", "col", F.col(outer).alias("__o"), F.col(inner).alias("__j")).agg(*_class_counts(cls)))
     every = materialize(variants.select(F.col(outer).alias("__o"), F.col(inner).alias("__j")).distinct())
     sums = lambda keys, tag: cells.groupBy("family", "col", *keys).agg(*[F.sum(f"__f{c}").alias(f"{tag}{c}") for c in classes])
@@ -329,7 +331,7 @@ def cross_fitted(variants: DataFrame, genes: DataFrame, outer: str, inner: str,
                     *[(dev(c) - zero(f"inn{c}") + zero(f"both{c}")).alias(f"less{c}") for c in classes])
     maps = materialize(wide.groupBy("family", "col", F.col("__j").alias("__mj")).agg(F.collect_list(maps).alias("maps")))
 
-    places = variants.select("family", "gene", "position", F.col(outer).alias("__o"), F.col(inner).alias("__j")).distinct()
+    places = variants.where(known).select("family", "gene", "position", F.col(outer).alias("__o"), F.col(inner).alias("__j")).distinct()
     win = _windows(places, genes, widths).withColumnRenamed("family", "__family").withColumnRenamed("col", "__col")
     hit = win.join(maps, (F.col("__family") == F.col("family")) & (F.col("__col") == F.col("col")) & F.col("__j").eqNullSafe(F.col("__mj")))
     place = ["gene", "position", "__o", "__j"]
@@ -342,6 +344,9 @@ def cross_fitted(variants: DataFrame, genes: DataFrame, outer: str, inner: str,
     j = variants.join(per, (F.col("family") == F.col("__rfamily")) & (F.col("gene") == F.col("__rgene")) & (F.col("position") == F.col("__rposition"))
                       & F.col(outer).eqNullSafe(F.col("__ro")) & F.col(inner).eqNullSafe(F.col("__rj")))
     out = j.select(*variants.columns, F.explode("__maps").alias("__m")).select(*variants.columns, "__m.*")
+    none = variants.where(~known).crossJoin(every.select(F.col("__o").alias("for_outer")).distinct())  # no family, no profile
+    out = out.unionByName(none.select(*variants.columns, "for_outer", F.when(F.col(outer) == F.col("for_outer"), "outer_test").otherwise("inner").alias("role"),
+                                      *[F.lit(0.0).alias(n) for n, _, _ in names]))
     if digits is None:
         return out
     fold = F.when(F.col("role") == "inner", F.col(inner))

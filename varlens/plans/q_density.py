@@ -103,7 +103,7 @@ def den05_gather(spark: SparkSession, sf: str) -> DataFrame:
     windows of those positions are read."""
     genes = _genes(spark, sf)
     pos = materialize(positions_view(spark, sf))
-    found = D.window_density(pos, materialize(D.family_profile(D.position_frequency(pos, genes))), genes)
+    found = D.window_density(pos, materialize(D.family_profile(D.position_frequency(pos.where("family IS NOT NULL"), genes))), genes)
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(w).alias("width"), F.col(n).alias("dens")) for n, c, w in D.DENSITY_FEATURES]))
     return found.select("family", "gene", "k", "position", values.alias("v")).select("family", "gene", "k", "position", "v.*").where("dens <> 0")
 
