@@ -1,6 +1,7 @@
 """Pieces, packing, the Jaccard join and the pipeline."""
 
 import math
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -239,6 +240,23 @@ def test_groups_match_brute_force(spark, seed):
     assert all(r["n_shingles"] == len(shingle_set(sizes[r["doc_id"]])) for r in got)
 
 
+def test_shared_keys_are_counted_without_a_table_of_all_keys(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD_KEYS", 50)  # many hand-overs of a key
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(60)] + [(100 + i, "one two three four five six") for i in range(40)] + [(None, "one two three four"), (200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want: dict = {}
+    for r in jaccard.block_keys(docs).collect():
+        want.setdefault(r["key"], []).append(r["cut"] & 1)
+    found = jaccard.shared_keys(docs)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r["key"], r["seen"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and dict(got) == {k: len(v) for k, v in want.items() if len(v) > 1 and min(v) == 0}
+    assert max(n for _, n in got) >= 40
+    assert jaccard.shared_keys(docs.where("false")).count() == 0
+
+
 def test_every_link_shares_a_key_that_prefixes_keep():
     """Pairs just inside the bound, for sizes from 1 on, whatever the frequencies."""
     rng = np.random.default_rng(3)

@@ -32,9 +32,10 @@ D(a + b) = floor((100 - percent) * (a + b) / (100 + percent)).
    sets that are both a band below; survivors are verified and added.  Pairs inside a component can't change it.  So no link between
    components is lost, and no bucket is expanded into pairs of one component.
 
-Counts, minima and components use partial aggregation; what they give is stored
-before it is joined to the rows it came from, so that these equi-joins read plain
-shuffles, which adaptive execution splits where one key is hot.
+Keys are counted where they are made and then in key order, without a table of all
+keys in memory.  Minima and components use partial aggregation; what counts, minima and
+components give is stored before it is joined to the rows it came from, so that these
+equi-joins read plain shuffles, which adaptive execution splits where one key is hot.
 
 Defined results: without words a set is empty and links with nothing; rows with
 one id are one document, and of several texts under it the one with most
@@ -66,7 +67,7 @@ SKETCH = 8
 #: Most rows of ids that are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Words whose hash a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _U = np.uint64
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)]
@@ -185,39 +186,87 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ["doc_id", *names]]))
 
 
+#: Keys that a task gathers before it passes them on.
+HELD_KEYS = 100_000
+
+
+def _held_keys(batches: Iterator[pa.RecordBatch], bands: Bands, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, doc ids, cuts) of the texts, about ``HELD_KEYS`` at a time."""
+    shingle = Shingler(width)
+    parts: list[list[np.ndarray]] = [[], [], []]
+    held = 0
+    for doc, data in _texts(batches):
+        h = shingle(data)
+        if not len(h) or doc is None:
+            continue
+        for side, keys, over in bands.keys(h):
+            for part, v in zip(parts, ((keys >> _U(64 - KEY_BITS)).view(np.int64), doc, 2 * over + side)):
+                part.append(v if isinstance(v, np.ndarray) else np.full(len(keys), v))
+            held += len(keys)
+        if held > HELD_KEYS:
+            yield tuple(map(np.concatenate, parts))
+            parts, held = [[], [], []], 0
+    if held:
+        yield tuple(map(np.concatenate, parts))
+
+
 def block_keys(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, doc_id, cut): block keys.  ``cut`` is 2 * over + side: of the keys of one
     (doc_id, cut) the ``over`` most frequent may be left out, and side is 0 or 1 for
     keys of the set's own or of the next band."""
     bands = Bands(percent)
-    names, types = ["key", "doc_id", "cut"], [pa.int64(), pa.int64(), pa.int32()]
-    schema = "key long, doc_id long, cut int"
+    types = [pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
-        parts: list[list[np.ndarray]] = [[], [], []]
-        held = 0
-        for doc, data in _texts(batches):
-            h = shingle(data)
-            if not len(h) or doc is None:
+        for parts in _held_keys(batches, bands, width):
+            yield pa.RecordBatch.from_arrays([pa.array(p, t, safe=False) for p, t in zip(parts, types)], names=["key", "doc_id", "cut"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, doc_id long, cut int")
+
+
+def _summed(key: np.ndarray, seen: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each run of equal keys: sum of ``seen``, least ``least``."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(seen, first), np.minimum.reduceat(least, first)
+
+
+def shared_keys(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(key, seen): block keys of two sets or more, one of them in its own band.
+
+    Nearly all keys are seen once, so an aggregation's hash table would hold every key
+    of a task, before the shuffle and after.  Instead equal keys are summed where they
+    are gathered (so a hot key leaves a task in few rows), and the rest in key order,
+    by a sort that spills, in one batch at a time."""
+    bands = Bands(percent)
+    names = ["key", "seen", "least"]
+
+    def found(key, seen, least):
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(seen, pa.int64()), pa.array(least, pa.int32())], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, cuts in _held_keys(batches, bands, width):
+            order = np.argsort(keys)
+            yield found(*_summed(keys[order], np.ones(len(keys), np.int64), (cuts[order] & 1).astype(np.int32)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]  # its key may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for side, keys, over in bands.keys(h):
-                for part, v in zip(parts, ((keys >> _U(64 - KEY_BITS)).view(np.int64), doc, 2 * over + side)):
-                    part.append(v if isinstance(v, np.ndarray) else np.full(len(keys), v))
-                held += len(keys)
-            if held > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t, safe=False) for p, t in zip(parts, types)], names=names)
-                parts, held = [[], [], []], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t, safe=False) for p, t in zip(parts, types)], names=names)
+            rows = _summed(*[np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(last)])
+            last = [v[-1:] for v in rows]
+            kept = (rows[1][:-1] > 1) & (rows[2][:-1] == 0)
+            yield found(*[v[:-1][kept] for v in rows])
+        kept = (last[1] > 1) & (last[2] == 0)
+        yield found(*[v[kept] for v in last])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    counts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "key long, seen long, least int")
+    return counts.repartition("key").sortWithinPartitions("key").mapInArrow(merge, "key long, seen long, least int").select("key", "seen")
 
 
-def prefixes(keys: DataFrame) -> DataFrame:
+def prefixes(keys: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, doc_id, side): the shared keys that each set can't leave out."""
     side = F.col("cut").bitwiseAND(1)
-    shared = keys.groupBy("key").agg(F.count("*").alias("seen"), F.min(side).alias("least")).where("seen > 1 AND least = 0").select("key", "seen")
     own = Window.partitionBy("doc_id", "cut")  # one document's keys
     # Stored, so that the join reads two shuffles and can split a hot key.
     placed = (keys.join(stored(shared).hint("merge"), "key").withColumn("place", F.row_number().over(own.orderBy("seen", "key")))
@@ -323,7 +372,7 @@ def links(docs: DataFrame, one: DataFrame, width: int = WIDTH, percent: int = PE
     """(a, b): links between the sets of ``one``, distinct ones with distinct ids,
     whose components are those of all links.  ``docs`` holds their texts."""
     sides = lambda ids, name: one.select(F.col("doc_id").alias(ids), F.struct(*[c for c in one.columns if c != "doc_id"]).alias(name))
-    rows = stored(buckets(stored(prefixes(block_keys(docs, width, percent)))))
+    rows = stored(buckets(stored(prefixes(block_keys(docs, width, percent), shared_keys(docs, width, percent)))))
     stars = rows.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     first = stored(verified(stars.join(sides("a", "x"), "a").join(sides("b", "y"), "b").where(_linkable("x", "y", percent)).select("a", "b"),
                             docs, one, width, percent))
