@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from awkward import SCHEMA, awkward, awkward_rows
 from pyspark.sql import functions as F
@@ -201,3 +202,83 @@ def test_model_on_empty_tables(spark):
 
 def test_tail_class():
     assert lm.tail_class(b"harbour") == zlib.crc32(b"ur") % lm.TAILS
+
+
+def odd_texts():
+    return [r[1] for r in awkward_rows()] + [" Ab\x0bC\x0cd\x1ce\r\nF\x85 ", "É à b\x00c", "x"]
+
+
+def test_split_words_match_bytes(monkeypatch):
+    texts = odd_texts()
+    expected = [(t or "").encode().lower().split() for t in texts]
+    for limit in (lm.SPLIT_BYTES, 40):
+        monkeypatch.setattr(lm, "SPLIT_BYTES", limit)
+        found = []
+        for start, words, sizes in lm.split_words(pa.array(["cut", *texts]).slice(1)):
+            assert start == len(found)
+            words = words.to_pylist()
+            for n in sizes.tolist():
+                found.append(words[:n])
+                words = words[n:]
+            assert not words
+        assert found == expected
+    words = sorted({w for ws in expected for w in ws})
+    assert lm.tails_of(pa.array(words, pa.binary()).slice(1)).tolist() == [lm.tail_class(w) for w in words[1:]]
+    assert lm.tails_of(pa.array([], pa.binary())).tolist() == []
+
+
+def test_texts_are_encoded_once_for_training_and_scores(spark, monkeypatch):
+    """Rounds and scores meet the texts as classes; only counting and encoding split them."""
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    monkeypatch.setattr(lm, "VOCABULARY", 3)
+    docs = awkward(spark)
+    counts = Counter(w for t in (r[1] for r in awkward_rows()) for w in [*(t or "").encode().lower().split(), b""])
+    lex = lm.lexicon(lm.count_tokens(docs))
+    held = sorted(lex.index, key=lambda w: (-counts[w], w))
+    top = held[:3]
+    assert 0 < len(top) <= len(held) <= 5
+    expected = []
+    for d, t, *_ in awkward_rows():
+        words = (t or "").encode().lower().split()
+        classes = [top.index(w) if w in top else len(top) + lm.tail_class(w) for w in [*words, b""]]
+        known = [w for w in [*words, b""] if w in held]
+        expected.append((-1 if d is None else d, d != 0, classes, len(words) + 1, len(known), round(sum(math.log10(counts[w] + 1) for w in known), 6),
+                         [w for w in words if w not in held]))
+    rows = lm.encode(docs, F.coalesce(F.col("doc_id") != 0, F.lit(True)), lex).collect()
+    found = [(-1 if r["doc_id"] is None else r["doc_id"], r["training"], np.frombuffer(r["classes"], "<u2").tolist(), r["n_tokens"], r["n_known"],
+              round(r["log_counts"], 6), bytes(r["missed"]).split()) for r in rows]
+    assert sorted(found) == sorted(expected)
+    assert len({r["part"] for r in rows}) > 1
+
+
+def test_a_step_follows_the_plain_gradient():
+    unigram = np.array([0.4, 0.3, 0.2, 0.1])
+    model = lm.Model(unigram)
+    rng = np.random.default_rng(5)
+    a, b, size = np.array([4, 0, 1, 0, 1]), np.array([4, 4, 0, 2, 1]), np.array([1, 2, 3, 4, 1])
+    w = np.array([0, 1, 2, 0, 1, 3, 0, 1, 2, 3, 2])
+    weight, draw = rng.integers(1, 5, len(w)).astype(np.float32), rng.random(lm.NOISE)
+    total = np.add.reduceat(weight, np.cumsum(size) - size)
+    r, q, m, bias = (getattr(model, x).astype(np.float64) for x in "rqmb")
+    grad = {x: np.zeros(getattr(model, x).shape) for x in "rqmb"}
+    noise = np.searchsorted(np.cumsum(unigram), draw)
+
+    def pull(c, k, factor, data):
+        h = r[a[c]] * m[0] + r[b[c]] * m[1]
+        p = 1 / (1 + math.exp(-(h @ q[k] + bias[k] - math.log(unigram[k]) - math.log(lm.NOISE))))
+        g = factor * (1 - p if data else -p)
+        grad["q"][k] += g * h
+        grad["b"][k] += g
+        for at, row in ((0, a[c]), (1, b[c])):
+            grad["r"][row] += g * q[k] * m[at]
+            grad["m"][at] += g * q[k] * r[row]
+
+    for i, c in enumerate(np.repeat(np.arange(5), size)):
+        pull(c, w[i], weight[i], True)
+    for c in range(5):
+        for k in noise:
+            pull(c, k, total[c], False)
+    model._step(w, weight, a, b, size, total, draw, {})
+    for name, old in zip("rqmb", (r, q, m, bias)):
+        g = grad[name] / math.sqrt(total.sum())
+        np.testing.assert_allclose(getattr(model, name), old + lm.RATE * g / np.sqrt(0.1 + g * g), atol=2e-6)

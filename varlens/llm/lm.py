@@ -13,13 +13,16 @@ the class's tokens and distinct words; the one in the denominator is for words
 not seen.  So the model spreads exactly one over known words and, for each tail
 class, one unseen word.
 
+Encoding.  Texts are split twice, to count and to encode: the stored classes of
+their tokens serve all rounds and the scores, the words outside the lexicon the join.
+
 Model.  Two context classes a, b (the words before; a start class before the
 first) predict the vector h = A*r_a + B*r_b, and class w scores h.q_w + b_w.  It
 is trained in numpy with noise-contrastive estimation: each token against
 ``NOISE`` classes drawn from the unigram distribution, shared by a batch.  Every
-partition trains on all its training texts from the same start; the parameters
-are averaged in Spark, weighted by tokens, and the average is the start of the
-next round.  Scores are exact: the normaliser of a context is the sum over all
+partition that was encoded trains on all its training texts from the same start;
+the parameters are averaged in Spark, weighted by tokens, and the average is the
+start of the next round.  Scores are exact: the normaliser of a context is the sum over all
 classes, from one matrix product per block of distinct contexts, each computed
 once per Python worker.
 
@@ -34,23 +37,25 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varlens.llm.common import stored
+from varlens.llm.common import chunks, stored
 
 FREQUENT, VOCABULARY, TAILS = 65_536, 1024, 128
 DIM, NOISE, BATCH = 24, 64, 2048
 ROUNDS, PASSES, RATE = 2, 2, 0.1
-#: Tokens that a task gathers before it trains on them, and bytes before it scores.
-BLOCK_TOKENS, BLOCK_BYTES = 200_000, 1 << 20
-#: Distinct words a task counts before it passes the counts on.
-COUNTED_WORDS = 300_000
+#: Tokens that a task gathers before it trains on or scores them, and bytes of text split at once.
+BLOCK_TOKENS, SPLIT_BYTES = 200_000, 1 << 22
+#: Bytes of words a task gathers before it counts them and passes the counts on.
+COUNTED_BYTES = 24 << 20
 #: The end token among the words; no word is empty.
 END = b""
 
@@ -59,24 +64,56 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
+@cache
+def tail_classes() -> np.ndarray:
+    """``tail_class`` of all words of two bytes, then of all of one."""
+    pairs = [zlib.crc32(bytes([x, y])) % TAILS for x in range(256) for y in range(256)]
+    return np.array([*pairs, *(zlib.crc32(bytes([x])) % TAILS for x in range(256))], np.int64)
+
+
+def tails_of(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of each of the (not empty) words."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.empty(0, np.uint8)
+    ends, single = ends[1:], np.diff(ends) == 1
+    last = data[ends - 1].astype(np.int64)
+    return tail_classes()[np.where(single, 1 << 16, data[np.maximum(ends - 2, 0)].astype(np.int64) << 8) + last]
+
+
+def split_words(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """The words of slices of the texts, about ``SPLIT_BYTES`` each: a slice's first
+    text, its words as bytes, one after another, and their number in each text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for start, stop in chunks(sizes, sizes, SPLIT_BYTES):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(start, stop - start), "")))
+        words = lists.flatten().cast(pa.binary())
+        real = pc.greater(pc.binary_length(words), 0)  # a blank at an end of a text leaves an empty one
+        before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        yield start, words.filter(real), np.diff(before[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(word, c): tokens of the texts, the end token as an empty word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Array] = []
+        size = ends = 0
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        def counted():
+            found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "c"])
 
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
-            for i in range(len(texts)):
-                held.update((texts[i].as_py() or b"").lower().split())
-                held[END] += 1
-                if len(held) > COUNTED_WORDS:
-                    yield flush()
-                    held.clear()
-        if held:
-            yield flush()
+            ends += len(batch)
+            for _, words, _ in split_words(batch.column(0)):
+                held.append(words)
+                size += words.nbytes
+                if size > COUNTED_BYTES:
+                    yield counted()
+                    size, held = 0, []
+        if size:
+            yield counted()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -132,16 +169,61 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(top, n, v, int(n.sum()), int(v.sum()))
 
 
-class _Numbers(dict):
-    """Lexicon numbers of words; words that are not in it are noted."""
-
-    def __init__(self, lex: Lexicon):
-        super().__init__(lex.index)
-        self.size, self.missed = len(lex.index), []
+def encode(docs: DataFrame, training: Column, lex: Lexicon) -> DataFrame:
+    """One row per text, in the order read: doc_id, training, part (the partition
+    read), n_tokens, the sums of its words in the lexicon (n_known, log_counts) and
+    within their tail classes, its tokens' classes as 16-bit numbers, and its words
+    that are not in the lexicon, by blanks."""
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    schema = ("doc_id long, training boolean, part int, n_tokens long, n_known long, log_counts double, within double, "
+              "classes binary, missed binary")
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def __missing__(self, word: bytes) -> int:
-        self.missed.append(word)
-        return self.size + zlib.crc32(word[-2:]) % TAILS
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, part = shared.value, TaskContext.get().partitionId()
+        frequent = pa.array(list(lex.index), pa.binary())
+        for batch in batches:
+            for at, words, sizes in split_words(batch.column(2)):
+                ids = batch.column(0).slice(at, len(sizes)), batch.column(1).slice(at, len(sizes))
+                found = pc.index_in(words, frequent)
+                lost = found.is_null()
+                missed = words.filter(lost)
+                numbers = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+                lost = lost.to_numpy(zero_copy_only=False)
+                numbers[lost] = len(frequent) + tails_of(missed)
+                # every text ends with the end token
+                ends = np.cumsum(sizes)
+                numbers = np.insert(numbers, ends, lex.end)
+                stops = ends + np.arange(1, len(sizes) + 1)
+                starts = stops - sizes - 1
+                sums = [np.add.reduceat(x[numbers], starts) for x in (lex.known, lex.log_count, lex.within)]
+                classes = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, 2 * stops).astype(np.int32)),
+                                                                          pa.py_buffer(lex.class_of[numbers].astype("<u2"))])
+                gaps = np.concatenate([[0], np.cumsum(lost)])[np.append(0, ends)]
+                rest = pc.binary_join(pa.ListArray.from_arrays(pa.array(gaps.astype(np.int32)), missed), pa.scalar(b" ", pa.binary()))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.full(len(sizes), part, np.int32)), pa.array(sizes + 1), *map(pa.array, sums), classes, rest],
+                                                 names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), training.alias("training"), "text").mapInArrow(run, schema)
+
+
+def _logistic(x: np.ndarray, factor: np.ndarray) -> None:
+    """x becomes factor / (1 + exp(x)), x held within 30 of zero."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.divide(factor, x, out=x)
+
+
+#: Places of the columns of each class's row, two by two, in a flat table.
+_PAIRS = np.arange((VOCABULARY + TAILS + 1) * DIM // 2).reshape(-1, DIM // 2)
+
+
+def add_rows(out: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """out[ids[i]] += rows[i] for every i, of DIM columns, also where ids repeat.
+    Two columns go as the parts of a complex number, which halves the index."""
+    pairs = _PAIRS if len(out) <= len(_PAIRS) else np.arange(out.size // 2).reshape(-1, DIM // 2)
+    np.add.at(out.view(np.complex64).ravel(), pairs.take(ids, axis=0).ravel(), rows.view(np.complex64).ravel())
 
 
 class Model:
@@ -179,56 +261,57 @@ class Model:
         context, first = np.unique(triple // n, return_index=True)
         held = np.diff(np.append(first, len(triple)))
         total = np.add.reduceat(count, first)
+        triple %= n
         for _ in range(passes):
             order = rng.permutation(len(context))
             size = held[order]
-            place = np.repeat(first[order] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(triple))
-            words, weights = triple[place] % n, count[place].astype(np.float32)
-            cuts = np.flatnonzero(np.diff(np.cumsum(total[order]) // BATCH)) + 1
             ends = np.cumsum(size)
-            at = done = 0
-            for cut in [*cuts.tolist(), len(order)]:
-                own, upto = order[at:cut], int(ends[cut - 1])
-                self._step(words[done:upto], weights[done:upto], context[own] // n, context[own] % n, size[at:cut],
-                           total[own].astype(np.float32), state, rng)
-                at, done = cut, upto
-
-    def _step(self, w, weight, a, b, size, total, state, rng) -> None:
+            place = np.repeat(first[order] - (ends - size), size) + np.arange(len(triple))
+            words, weights = triple[place], count[place].astype(np.float32)
+            own_a, own_b, totals = context[order] // n, context[order] % n, total[order]
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(totals) // BATCH)) + 1).tolist(), len(order)]
+            for at, cut, draw in zip(cuts, cuts[1:], rng.random((len(cuts) - 1, NOISE))):
+                done = int(ends[at - 1]) if at else 0
+                upto = int(ends[cut - 1])
+                self._step(words[done:upto], weights[done:upto], own_a[at:cut], own_b[at:cut], size[at:cut],
+                           totals[at:cut].astype(np.float32), draw, state)
+
+    def _step(self, w, weight, a, b, size, total, draw, state) -> None:
         """One step: contexts (a, b) met ``total`` times, the i-th with ``size[i]`` of
-        the words w, met ``weight`` times."""
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        ra, rb, qw = self.r[a], self.r[b], self.q[w]
-        h = ra * self.m[0] + rb * self.m[1]
-        hw = np.repeat(h, size, axis=0)
-        drawn = np.minimum(np.searchsorted(self.noise, rng.random(NOISE)), self.classes - 1)
-        qn = self.q[drawn]
-        log_k = math.log(NOISE)
-        positive = np.einsum("ij,ij->i", hw, qw) + self.b[w] - self.log_noise[w] - log_k
-        negative = h @ qn.T + (self.b[drawn] - self.log_noise[drawn] - log_k)
-        gp = weight / (1 + np.exp(np.clip(positive, -30, 30)))               # weight x (1 - P(data))
-        gn = -total[:, None] / (1 + np.exp(-np.clip(negative, -30, 30)))     # - P(data) of noise
-        pull = gp[:, None] * qw
-        gh = np.add.reduceat(pull, starts, axis=0) + gn @ qn
-        scale = float(total.sum()) ** -0.5
-        steps = np.arange(DIM)
-
-        def rows(ids, g, n):  # sums of the rows of g by id
-            flat = np.bincount((ids[:, None] * DIM + steps).ravel(), g.ravel(), n * DIM)
-            return flat.reshape(n, DIM).astype(np.float32)
-
-        gradients = {
-            "r": rows(np.concatenate([a, b]), np.concatenate([gh * self.m[0], gh * self.m[1]]), self.classes + 1),
-            "q": rows(np.concatenate([w, drawn]), np.concatenate([gp[:, None] * hw, gn.T @ h]), self.classes),
-            "b": np.bincount(np.concatenate([w, drawn]), np.concatenate([gp, gn.sum(0)]), self.classes).astype(np.float32),
-            "m": np.stack([(gh * ra).sum(0), (gh * rb).sum(0)]),
-        }
+        the words w, met ``weight`` times.  ``draw``: random numbers for the noise."""
+        if not state:
+            state.update({name: np.full_like(getattr(self, name), 0.1) for name in "rqbm"})
+        scale = np.float32(float(total.sum()) ** -0.5)
+        drawn = np.minimum(np.searchsorted(self.noise, draw), self.classes - 1)
+        ra, rb, qw, qn = self.r.take(a, axis=0), self.r.take(b, axis=0), self.q.take(w, axis=0), self.q.take(drawn, axis=0)
+        h = ra * self.m[0]
+        h += rb * self.m[1]
+        of = np.repeat(np.arange(len(a)), size)
+        hw = h.take(of, axis=0)
+        bias = self.b - self.log_noise
+        bias -= np.float32(math.log(NOISE))
+        # Scaled gradients: of data, weight x (1 - P(data)); of noise, - P(data).
+        gp = np.einsum("ij,ij->i", hw, qw)
+        gp += bias.take(w)
+        _logistic(gp, weight * scale)
+        gn = h @ -qn.T
+        gn -= bias.take(drawn)
+        _logistic(gn, (total * -scale)[:, None])
+        qw *= gp[:, None]
+        hw *= gp[:, None]
+        gh = gn @ qn
+        add_rows(gh, of, qw)
+        gradients = {"r": np.zeros_like(self.r), "q": np.zeros_like(self.q), "m": np.stack([np.einsum("ij,ij->j", gh, ra), np.einsum("ij,ij->j", gh, rb)]),
+                     "b": np.bincount(np.append(w, drawn), np.append(gp, np.ones(len(a), np.float32) @ gn), self.classes).astype(np.float32)}
+        add_rows(gradients["r"], a, gh * self.m[0])
+        add_rows(gradients["r"], b, gh * self.m[1])
+        add_rows(gradients["q"], w, hw)
+        add_rows(gradients["q"], drawn, gn.T @ h)
         for name, x in gradients.items():
-            x *= scale
-            if name not in state:
-                state[name] = np.full_like(x, 0.1)
-            state[name] += x * x
-            x *= RATE
-            x /= np.sqrt(state[name])
+            past, square = state[name], x * x
+            past += square
+            x /= np.sqrt(past, out=square)
+            x *= np.float32(RATE)
             getattr(self, name).__iadd__(x)
 
     def log10(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -240,15 +323,19 @@ class Model:
         if np.isnan(z).any():
             new = np.unique(context[np.isnan(z)])
             for part in np.split(new, range(1024, len(new), 1024)):
-                s = (self.r[part // n] * self.m[0] + self.r[part % n] * self.m[1]) @ self.q.T + self.b
+                s = (self.r[part // n] * self.m[0] + self.r[part % n] * self.m[1]) @ self.q.T
+                s += self.b
                 top = s.max(1)
-                table[part] = np.log(np.exp(s - top[:, None]).sum(1)) + top
+                s -= top[:, None]
+                table[part] = np.log(np.exp(s, out=s).sum(1)) + top
             z = table[context]
         out = np.empty(len(w))
-        for at in range(0, len(w), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            h = self.r[a[s]] * self.m[0] + self.r[b[s]] * self.m[1]
-            out[s] = np.einsum("ij,ij->i", h, self.q[w[s]]) + self.b[w[s]] - z[s]
+        ra, rb = self.r * self.m[0], self.r * self.m[1]
+        for at in range(0, len(w), 1 << 13):
+            s = slice(at, at + (1 << 13))
+            h = ra.take(a[s], axis=0)
+            h += rb.take(b[s], axis=0)
+            out[s] = np.einsum("ij,ij->i", h, self.q.take(w[s], axis=0)) + self.b[w[s]] - z[s]
         return out / math.log(10)
 
 
@@ -263,63 +350,73 @@ def contexts(w: np.ndarray, starts: np.ndarray, start_class: int) -> tuple[np.nd
     return a, b
 
 
-def fit(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
-    """Train on the texts of ``docs``."""
-    spark = docs.sparkSession
-    model = Model(lex.unigram)
-    shared_lex = spark.sparkContext.broadcast(lex)
+def fit(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
+    """Train on the encoded texts, each part that was read from the same start."""
+    spark = encoded.sparkSession
+    unigram = lex.unigram
+    model = Model(unigram)
     for step in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, own, state = _Numbers(shared_lex.value), shared.value, {}
-            own_model = Model(shared_lex.value.unigram)
-            own_model.load(own.rows())
-            rng = np.random.default_rng([step, TaskContext.get().partitionId()])
-            class_of, end = shared_lex.value.class_of, shared_lex.value.end
-            held: list[np.ndarray] = []
-            size = seen = 0
-
-            def learn():
-                w = class_of[np.concatenate(held)]
-                starts = np.cumsum([0] + [len(x) for x in held[:-1]])
-                a, b = contexts(w, starts, own_model.classes)
-                own_model.train(w, a, b, state, rng, PASSES)
-
+            learner = None
             for batch in batches:
-                texts = batch.column(0).cast(pa.binary())
-                for i in range(len(texts)):
-                    found = (texts[i].as_py() or b"").lower().split()
-                    numbers = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
-                    words.missed.clear()
-                    held.append(np.append(numbers, end))
-                    size += len(found) + 1
-                    if size >= BLOCK_TOKENS:
-                        learn()
-                        seen, size, held = seen + size, 0, []
-            if held:
-                learn()
-                seen += size
-            if seen:
-                rows = own_model.rows()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(seen))),
-                                                  *[pa.array(rows[:, k]) for k in range(DIM + 1)]], names=["row", "weight", *[f"v{k}" for k in range(DIM + 1)]])
+                for part, classes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if learner is None or learner.part != part:
+                        if learner:
+                            yield learner.rows()
+                        learner = _Learner(shared.value, unigram, step, part)
+                    learner.add(np.frombuffer(classes.as_buffer(), "<u2"))
+            if learner:
+                yield learner.rows()
 
         schema = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("weight", T.DoubleType()),
                                *[T.StructField(f"v{k}", T.DoubleType()) for k in range(DIM + 1)]])
         total = F.sum("weight")
-        averaged = (docs.select("text").mapInArrow(run, schema).groupBy("row")
+        averaged = (encoded.where("training").select("part", "classes").mapInArrow(run, schema).groupBy("row")
                     .agg(*[(F.sum(F.col(f"v{k}") * F.col("weight")) / total).alias(f"v{k}") for k in range(DIM + 1)]).collect())
         if not averaged:
             break
         rows = np.empty((len(averaged), DIM + 1))
         for r in averaged:
             rows[r["row"]] = [r[f"v{k}"] for k in range(DIM + 1)]
-        model = Model(lex.unigram)
+        model = Model(unigram)
         model.load(rows)
     return model
 
 
+class _Learner:
+    """Trains a copy of a model on the texts of one part, in blocks of tokens."""
+
+    def __init__(self, model: Model, unigram: np.ndarray, step: int, part: int):
+        self.part, self.model, self.state = part, Model(unigram), {}
+        self.model.load(model.rows())
+        self.rng = np.random.default_rng([step, part])
+        self.held: list[np.ndarray] = []
+        self.size = self.seen = 0
+
+    def add(self, classes: np.ndarray) -> None:
+        self.held.append(classes)
+        self.size += len(classes)
+        if self.size >= BLOCK_TOKENS:
+            self.learn()
+
+    def learn(self) -> None:
+        w = np.concatenate(self.held).astype(np.int64)
+        starts = np.cumsum([0] + [len(x) for x in self.held[:-1]])
+        a, b = contexts(w, starts, self.model.classes)
+        self.model.train(w, a, b, self.state, self.rng, PASSES)
+        self.seen, self.size, self.held = self.seen + self.size, 0, []
+
+    def rows(self) -> pa.RecordBatch:
+        """The parameters, weighted by the tokens seen."""
+        if self.held:
+            self.learn()
+        rows = self.model.rows()
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(self.seen))),
+                                           *[pa.array(rows[:, k]) for k in range(DIM + 1)]], names=["row", "weight", *[f"v{k}" for k in range(DIM + 1)]])
+
+
 _TABLES: dict[int, np.ndarray] = {}
 
 
@@ -328,63 +425,48 @@ def score(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame:
     learning from the rows where ``training`` is true.  base_score: log10 of the
     add-one unigram probability."""
     spark = docs.sparkSession
-    learned = docs.where(training).select("text")
-    counts = stored(count_tokens(learned))
+    counts = stored(count_tokens(docs.where(training)))
     lex = lexicon(counts)
-    model = fit(learned, lex, rounds)
-    shared, shared_lex = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(lex)
-    names = ["rid", "word", "n", "doc_id", "n_tokens", "n_known", "log_counts", "model"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    schema = "rid long, word binary, n long, doc_id long, n_tokens long, n_known long, log_counts double, model double"
+    encoded = stored(encode(docs, training, lex))
+    model = fit(encoded, lex, rounds)
+    shared, end_missed = spark.sparkContext.broadcast(model), END not in lex.index
+    own = ["doc_id", "n_tokens", "n_known", "log_counts"]
+    schema = pa.schema([("rid", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()),
+                        ("n_known", pa.int64()), ("log_counts", pa.float64()), ("model", pa.float64())])
     stamp = hash((lex.tokens, lex.words, float(model.q.sum()), float(model.r.sum())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, m = shared_lex.value, shared.value
-        words = _Numbers(lex)
+        m = shared.value
         table = _TABLES.get(stamp)
         if table is None:
             _TABLES.clear()
             table = _TABLES[stamp] = np.full((m.classes + 1) ** 2, np.nan, np.float32)
         rid = TaskContext.get().partitionId() << 40
-
-        def flush(held):
-            nonlocal rid
-            sizes = np.array([len(x) for _, x, _ in held])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            numbers = np.concatenate([x for _, x, _ in held])
-            w = lex.class_of[numbers]
-            a, b = contexts(w, starts, m.classes)
-            parts = m.log10(w, a, b, table) + lex.within[numbers]
-            sums = [np.add.reduceat(x, starts) for x in (lex.known[numbers], lex.log_count[numbers], parts)]
-            out: list[list] = [[] for _ in names]
-            for k, (doc, _, missed) in enumerate(held):
-                # The text's own row: its word can't be a word, as it starts with a blank.
-                row = (rid, b" %d" % rid, 0, doc, int(sizes[k]), int(sums[0][k]), float(sums[1][k]), float(sums[2][k]))
-                for column, v in zip(out, row):
-                    column.append(v)
-                for word, n in missed.items():
-                    for column, v in zip(out, (rid, word, n, None, None, None, None, None)):
-                        column.append(v)
-                rid += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
-
-        held, size = [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            for i, doc in enumerate(ids):
-                data = texts[i].as_py() or b""
-                found = data.lower().split()
-                numbers = np.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)), lex.end)
-                held.append((doc, numbers, Counter(words.missed if END in lex.index else [*words.missed, END])))
-                words.missed.clear()
-                size += len(data) + 64
-                if size > BLOCK_BYTES:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+            sizes = batch.column("n_tokens").to_pylist()
+            for at, stop in chunks(sizes, sizes, BLOCK_TOKENS):
+                texts = batch.slice(at, stop - at)
+                starts = np.concatenate([[0], np.cumsum(sizes[at:stop - 1])]).astype(np.int64)
+                w = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in texts.column("classes")]).astype(np.int64)
+                a, b = contexts(w, starts, m.classes)
+                parts = np.add.reduceat(m.log10(w, a, b, table), starts) + texts.column("within").to_numpy()
+                # The text's own row: its word can't be a word, as it starts with a blank.
+                rids = range(rid, rid + len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array([b" %d" % x for x in rids], pa.binary()), pa.array(np.zeros(len(texts), np.int64)),
+                                                  *[texts.column(x) for x in own], pa.array(parts)], schema=schema)
+                # A row for each of its words that are not in the lexicon.
+                missed = [Counter(x.split()) for x in texts.column("missed").to_pylist()]
+                if end_missed:
+                    for x in missed:
+                        x[END] = 1
+                words = [w for x in missed for w in x]
+                if words:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rids, [len(x) for x in missed])), pa.array(words, pa.binary()),
+                                                      pa.array([n for x in missed for n in x.values()], pa.int64()),
+                                                      *[pa.nulls(len(words), schema.field(k).type) for k in range(3, 8)]], schema=schema)
+                rid += len(texts)
+
+    rows = encoded.select(*own, "within", "classes", "missed").mapInArrow(run, "rid long, word binary, n long, doc_id long, n_tokens long, n_known long, log_counts double, model double")
     seen = F.coalesce("c", F.lit(0))
     found = rows.join(counts, "word", "left")
     rare = F.col("n") * F.log10(seen + 1)
