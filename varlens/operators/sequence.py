@@ -4,9 +4,16 @@ Sequences are strings; positions are 1-based."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varlens.operators.digests import mutant_ends
+
 # Fixed values that must equal the reference's: model input limit and its half
 # window, the 20 amino acids of the exhaustive scan, and the tag tokens.
 MAX_LEN = 1022
@@ -81,17 +88,44 @@ def apply_all_variants(seqs: DataFrame, variants: DataFrame, key: str, seq: str,
 
 #: Residues whose mutants a task makes, about.
 MUTANT_RESIDUES = 50_000
-
-
-def single_mutants(seqs: DataFrame, keys: str | list[str], seq: str, by_residue: bool = False) -> DataFrame:
+#: Sequences whose mutants are hashed together.
+MUTANT_BATCH = 128
+_ACID_BYTES = np.frombuffer(AMINO_ACIDS.encode(), np.uint8)
+
+
+def _digest_rows(seq: str):
+    """Per sequence the counts of its mutants and the ends of their digests."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(at, MUTANT_BATCH) for at in range(0, whole.num_rows, MUTANT_BATCH)):
+                texts = [t.encode() if t else b"" for t in b[seq].to_pylist()]
+                ends = mutant_ends(texts, AMINO_ACIDS)
+                codes = [np.frombuffer(t, np.uint8) for t in texts]
+                n = [int(((c & 0xC0) != 0x80).sum()) * len(AMINO_ACIDS) for c in codes]  # bytes that begin a code point
+                same = [int(np.isin(c, _ACID_BYTES).sum()) for c in codes]
+                columns = [pa.array(n, pa.int64()), pa.array([x - y for x, y in zip(n, same)], pa.int64()),
+                           *[pa.array([e and e[i].hex() for e in ends], pa.string()) for i in (0, 1)]]
+                names = [c for c in b.schema.names if c != seq]
+                out = pa.RecordBatch.from_arrays([*[b[c] for c in names], *columns], [*names, "n_mutants", "n_changed", "first_md5", "last_md5"])
+                yield out.filter(pc.greater(out["n_mutants"], 0))
+    return run
+
+
+def single_mutants(seqs: DataFrame, keys: str | list[str], seq: str, by_residue: bool = False, digests: bool = False) -> DataFrame:
     """Every position x every amino acid, wild-type residue included (SEQ-05):
     (*keys, position, wt, aa, mutant), or with ``by_residue`` one row per
     position with the array ``mutants`` of (aa, mutant).  The mutant string is
-    built lazily, so a query that only counts never materialises it.  Sequences
+    built lazily, so a query that only counts never materialises it.  With
+    ``digests`` all mutants are hashed where they are made and a sequence is one
+    row: ``n_mutants``, ``n_changed`` (unlike the wild type) and the least and
+    greatest md5; sequences without residues have none.  Sequences
     are spread over tasks by their keys, some ``MUTANT_RESIDUES`` residues each."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     total = seqs.agg(F.sum(F.length(seq)).alias("n")).first()["n"] or 0
     spread = seqs.select(*keys, seq).repartition(max(1, -(-total // MUTANT_RESIDUES)), *keys)
+    if digests:
+        given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema.fields if f.name != seq)
+        return spread.mapInArrow(_digest_rows(seq), f"{given}, n_mutants long, n_changed long, first_md5 string, last_md5 string")
     chars = spread.select(*keys, seq, F.posexplode(F.regexp_extract_all(F.col(seq), F.lit("(?s)."), 0)).alias("p0", "wt"))
     if by_residue:
         ends = F.struct(F.substr(F.col(seq), F.lit(1), F.col("p0")).alias("head"), F.substr(F.col(seq), F.col("p0") + 2).alias("tail"))  # cut once a residue

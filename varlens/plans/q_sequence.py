@@ -89,13 +89,9 @@ def seq05_single_mutants(spark: SparkSession, sf: str) -> DataFrame:
     """All single mutants (positions x 20 amino acids) of every turn: counts,
     and the least and greatest md5 of the mutants' texts."""
     c = table(spark, sf, "conversations")
-    m = Q.single_mutants(c.select("conv_id", "turn", "text"), ["conv_id", "turn"], "text", by_residue=True)
-    digests = m.select("conv_id", "turn", "wt", F.transform("mutants", lambda x: x["aa"]).alias("aa"),
-                       F.array_sort(F.transform("mutants", lambda x: F.md5(x["mutant"]))).alias("md5"))
-    return digests.groupBy("conv_id", "turn").agg(  # of a residue's digests only the ends go on
-        F.sum(F.size("md5")).cast("long").alias("n_mutants"),
-        F.sum(F.size(F.filter("aa", lambda a: a != F.col("wt")))).cast("long").alias("n_changed"),
-        F.min(F.get("md5", F.lit(0))).alias("first_md5"), F.max(F.element_at("md5", -1)).alias("last_md5"))
+    m = Q.single_mutants(c.select("conv_id", "turn", "text"), ["conv_id", "turn"], "text", digests=True)
+    return m.groupBy("conv_id", "turn").agg(F.sum("n_mutants").alias("n_mutants"), F.sum("n_changed").alias("n_changed"),
+                                            F.min("first_md5").alias("first_md5"), F.max("last_md5").alias("last_md5"))
 
 
 _TOK = "[" + ", ".join(f"'{t}'" for t in Q.TAG_TOKENS) + "]"
