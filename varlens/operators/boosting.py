@@ -23,11 +23,21 @@ it; a model's own work is per cell, of which there are at most ``BINS`` to the
 power of the features.  Where no two rows are alike a cell is a row.  Margins
 are brought up to date every ``KEEP`` trees in a cached table, which Spark
 rebuilds from the stored chunks if an executor is lost.
+
+Few features with few bins have few cells in all, whatever the number of rows.
+Up to ``GRID_CELLS`` the tasks count the rows of each (part, class, cell), and
+these counts (``Grid``) are all that a fit needs: the models are dealt to the
+tasks, each of which grows its own to the end, without a pass over the rows.  A
+node is then a box of the grid, and its histograms are sums along the grid's
+axes.  A tree's sample is the number of rows drawn of each count, every row with
+the same chance and on its own, which is what drawing row by row gives; so two
+rows that are alike in all columns are drawn apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +57,9 @@ CHUNK = 8192
 CHUNK_ROWS = 1 << 17
 #: Histograms of one pass, over all tasks, that may be gathered at once.
 GATHER_BYTES = 32 << 20
+#: Counts (parts x classes x cells), at most, that go whole to the tasks.
+GRID_CELLS = 1 << 22
+_PIECE = 1 << 14  # counts that are worked on at once, so that they stay near the processor
 _SUMS = 3  # rows, gradients, second derivatives
 
 
@@ -266,17 +279,194 @@ def _choose(n_features: int, models: Sequence[Model], level: int):
 _SPLITS = "model int, node int, feature int, bin int, left double, right double, own double"
 
 
-def train(rows: DataFrame, models: Sequence[Model], trees: int, n_features: int, seed: int = 123) -> tuple[np.ndarray, list[list[Tree]]]:
+@dataclass
+class Grid:
+    """Counts of rows: ``counts`` (part, class, *bins), its last axes being the
+    columns in ``order``, those with few bins first."""
+    order: list[int]
+    parts: list[int]
+    counts: np.ndarray
+
+    def of(self, counts: np.ndarray, parts: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of each cell in some parts, and those of class 1."""
+        own = counts[[i for i, p in enumerate(self.parts) if p in parts]].sum(0).astype(float)
+        return own[0] + own[1], own[1]
+
+
+def grid(rows: DataFrame, cols: Sequence[str], edges: list[list[float]], label: str, part: str, parts: Iterable[int]) -> Grid | None:
+    """The rows of ``parts`` counted by (part, class, bins); None where there are
+    too many counts.  A null label raises."""
+    places, size = sorted(parts), [len(e) + 1 for e in edges]
+    order = sorted(range(len(cols)), key=lambda i: size[i])
+    shape = (len(places), 2, *[size[i] for i in order])
+    total = math.prod(shape)
+    if total > GRID_CELLS:
+        return None
+    limits = [np.array(e) for e in edges]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(total, np.int64)
+        for b in batches:
+            at = np.searchsorted(places, b["part"].to_numpy()) * 2 + b["one"].to_numpy(zero_copy_only=False)
+            for i in order:
+                at = at * size[i] + np.searchsorted(limits[i], b[f"c{i}"].to_numpy(), "left")
+            found += np.bincount(at, minlength=total)
+        cells = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(found[cells])], ["cell", "n"])
+
+    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols)]
+    one = F.when(F.col(label).isNull(), F.raise_error(F.lit("a label is null")).cast("boolean")).otherwise(F.col(label) == 1)
+    taken = rows.where(F.col(part).isin(places)).select(F.col(part).cast("int").alias("part"), one.alias("one"), *filled)
+    found = taken.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(total, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return Grid(order, places, counts.reshape(shape))
+
+
+def _share(ones, n) -> float:
+    share = min(max(ones / n, 1e-15), 1 - 1e-15) if n else 0.5
+    return np.log(share / (1 - share))
+
+
+def _drawn_counts(counts: np.ndarray, share: float, seed: Sequence[int]) -> np.ndarray:
+    """Of each count of rows how many are drawn, every row with the chance
+    ``share`` (to 32 binary places) and on its own: a row is a bit."""
+    rng = np.random.default_rng(seed)
+    digits, places = round(share * 2 ** 32), 32
+    while digits and digits % 2 == 0:
+        digits, places = digits // 2, places - 1
+    whole, out = counts.ravel(), np.zeros(counts.size, np.int64)
+    for first in range(0, counts.size, _PIECE):
+        n = whole[first:first + _PIECE]
+        at = np.flatnonzero(n)
+        n = n[at]
+        while len(at):
+            bits = np.zeros(len(at), np.uint64)
+            for i in range(places):  # from the last place on: each halves the chance, a 1 adds a half
+                random = rng.integers(0, 1 << 64, len(at), np.uint64)
+                bits = bits | random if digits >> i & 1 else bits & random
+            bits &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - np.minimum(n, 64)).astype(np.uint64)
+            out[first + at] += np.bitwise_count(bits)
+            more = n > 64
+            at, n = at[more], n[more] - 64
+    return out.reshape(counts.shape)
+
+
+def _margin_sums(x: np.ndarray) -> list[np.ndarray]:
+    """Sums (first axis, bin) of ``x`` along each of its other axes."""
+    if x.ndim == 2:
+        return [x]
+    half = (x.ndim + 1) // 2
+    return [*_margin_sums(x.sum(tuple(range(half, x.ndim)))), *_margin_sums(x.sum(tuple(range(1, half))))]
+
+
+def _leaves(tree: Tree, axis: Sequence[int], box: tuple, node: int = 0):
+    """The leaves of a tree as (box of the grid, value); ``axis``: of each column."""
+    f = tree.feature[node]
+    if f < 0:
+        yield box, tree.value[node]
+        return
+    for child, own in ((2 * node + 1, _part_of(box, axis[f], tree.bin[node], 0)), (2 * node + 2, _part_of(box, axis[f], tree.bin[node], 1))):
+        yield from _leaves(tree, axis, own, child)
+
+
+def _part_of(box: tuple, i: int, cut: int, right: int) -> tuple:
+    own = slice(cut + 1, box[i].stop) if right else slice(box[i].start, cut + 1)
+    return (*box[:i], own, *box[i + 1:])
+
+
+def _grown(order: Sequence[int], sums: np.ndarray, model: Model) -> Tree:
+    """One tree; ``sums``: (3: rows, gradients, second derivatives; *bins)."""
+    tree, axis = Tree(model.depth), list(np.argsort(order))
+    boxes = {0: tuple(slice(0, n) for n in sums.shape[1:])}
+    for level in range(model.depth):
+        first = 2 ** level - 1
+        nodes = [n for n in range(first, 2 * first + 1) if n in boxes]
+        if not nodes:
+            break
+        seen = np.zeros((1, len(nodes), len(order), BINS, _SUMS))
+        for k, n in enumerate(nodes):
+            for i, found in enumerate(_margin_sums(sums[(slice(None), *boxes[n])])):
+                seen[0, k, order[i], boxes[n][i]] = found.T
+        for n, feature, cut, left, right, own in zip(nodes, *[v[0].tolist() for v in best_splits(seen, np.array([model.least]))]):
+            tree.value[n] = own
+            if feature >= 0:
+                tree.feature[n], tree.bin[n] = feature, cut
+                tree.value[2 * n + 1], tree.value[2 * n + 2] = left, right
+                for right_, child in ((0, 2 * n + 1), (1, 2 * n + 2)):
+                    boxes[child] = _part_of(boxes[n], axis[feature], cut, right_)
+    return tree
+
+
+def _gradients(margin: np.ndarray, ones: np.ndarray, sums: np.ndarray) -> None:
+    """Fills gradients and second derivatives of the cells in beside their rows."""
+    for first in range(0, len(margin), _PIECE):
+        own = slice(first, first + _PIECE)
+        p = 1 / (1 + np.exp(-margin[own]))
+        hit = sums[0, own] * p
+        np.subtract(ones[own], hit, out=sums[1, own])
+        np.multiply(hit, 1 - p, out=sums[2, own])
+
+
+def _train_on_grid(spark, cells: Grid, models: Sequence[Model], trees: int, seed: int) -> tuple[np.ndarray, list[list[Tree]]]:
+    starts = np.array([_share(*(x.sum() for x in reversed(cells.of(cells.counts, m.parts)))) for m in models])
+    tasks = max(1, min(len(models), spark.sparkContext.defaultParallelism))
+    dealt = sorted(range(len(models)), key=lambda m: (models[m].depth, models[m].sample))
+    axis = list(np.argsort(cells.order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = [m for b in batches for t in b["id"].to_pylist() for m in dealt[t::tasks]]
+        bins = cells.counts.shape[2:]
+        box = tuple(slice(0, n) for n in bins)
+        margin = {m: np.full(bins, starts[m]) for m in mine}
+        grown: dict[int, list[Tree]] = {m: [] for m in mine}
+        sums = np.empty((_SUMS, *bins))
+        whole = {x.parts: cells.of(cells.counts, x.parts) for x in (models[m] for m in mine) if x.sample >= 1}
+        for number in range(trees):
+            drawn, views = {}, {(k, 1.0): v for k, v in whole.items()}
+            for m in mine:
+                x = models[m]
+                key = x.parts, min(x.sample, 1.0)
+                if key not in views:
+                    if x.sample not in drawn:
+                        drawn[x.sample] = _drawn_counts(cells.counts, x.sample, [seed, number, round(x.sample * 2 ** 32)])
+                    views[key] = cells.of(drawn[x.sample], x.parts)
+                sums[0], ones = views[key]
+                _gradients(margin[m].ravel(), ones.ravel(), sums.reshape(_SUMS, -1))
+                tree = _grown(cells.order, sums, x)
+                for own, value in _leaves(tree, axis, box):
+                    margin[m][own] += x.step * value
+                grown[m].append(tree)
+        for m in mine:
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), *[pa.array([np.array([getattr(t, k) for t in grown[m]], kind).tobytes()], pa.binary())
+                                                                           for k, kind in _PACKED.items()]], ["model", *_PACKED])
+
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(run, "model int, " + ", ".join(f"{k} binary" for k in _PACKED)).toArrow().to_pylist()
+    forest: list[list[Tree]] = [[] for _ in models]
+    for r in found:
+        packed = [np.frombuffer(r[k], kind).reshape(trees, -1).tolist() for k, kind in _PACKED.items()]
+        for values in zip(*packed):
+            tree = Tree(models[r["model"]].depth)
+            tree.feature, tree.bin, tree.value = values
+            forest[r["model"]].append(tree)
+    return starts, forest
+
+
+_PACKED = {"feature": np.int32, "bin": np.int32, "value": np.float64}
+
+
+def train(rows: DataFrame, models: Sequence[Model], trees: int, n_features: int, seed: int = 123, cells: Grid | None = None) -> tuple[np.ndarray, list[list[Tree]]]:
     """``rows``: ``codes`` (see above), ``label`` (0 or 1), ``part`` int, ``id``
-    long, best a stored table.  Returns the models' starting margins and, per
-    model, its trees."""
+    long, best a stored table; not read if there are ``cells`` of all the models'
+    parts.  Returns the models' starting margins and, per model, its trees."""
+    if cells is not None:
+        return _train_on_grid(rows.sparkSession, cells, models, trees, seed)
     counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).collect()
     starts = []
     for m in models:
         n = sum(r["n"] for r in counts if r["part"] in m.parts)
         ones = sum(r["ones"] for r in counts if r["part"] in m.parts)
-        share = min(max(ones / n, 1e-15), 1 - 1e-15) if n else 0.5
-        starts.append(np.log(share / (1 - share)))
+        starts.append(_share(ones, n))
     starts = np.array(starts)
     needed = set().union(*[m.parts for m in models])
     taken = rows.where(F.col("part").isin([int(p) for p in needed])).select("codes", F.col("label").cast("int").alias("label"), F.col("part").cast("int").alias("part"), F.col("id").cast("long").alias("id"))
@@ -295,10 +485,9 @@ def train(rows: DataFrame, models: Sequence[Model], trees: int, n_features: int,
             found = choose(sums.toArrow()) if size <= GATHER_BYTES else sums.groupBy("bucket").applyInArrow(choose, _SPLITS).toArrow()
             for s in found.to_pylist():
                 tree, node = growing[s["model"]], 2 ** level - 1 + s["node"]
-                if level == 0:
-                    tree.value[0] = s["own"]
-                elif tree.feature[(node - 1) // 2] < 0:
+                if level and tree.feature[(node - 1) // 2] < 0:
                     continue
+                tree.value[node] = s["own"]
                 if s["feature"] >= 0:
                     tree.feature[node], tree.bin[node] = s["feature"], s["bin"]
                     tree.value[2 * node + 1], tree.value[2 * node + 2] = s["left"], s["right"]
@@ -333,11 +522,36 @@ def margins(models: Sequence[Model], starts: Sequence[float], forest: list[list[
     return scored
 
 
+def _grid_margins(bins: Sequence[int], axis: Sequence[int], model: Model, start: float, trees: Sequence[Tree], stages: Iterable[int]):
+    """Margins of all cells after some numbers of trees, as (number, margins)."""
+    margin = np.full(bins, float(start))
+    for n, tree in enumerate(trees, 1):
+        for own, value in _leaves(tree, axis, tuple(slice(0, k) for k in bins)):
+            margin[own] += model.step * value
+        if n in stages:
+            yield n, margin
+
+
 def staged_hits(rows: DataFrame, models: Sequence[Model], starts: np.ndarray, forest: list[list[Tree]], held_out: Sequence[frozenset],
-                stages: Sequence[int], n_features: int) -> DataFrame:
+                stages: Sequence[int], n_features: int, cells: Grid | None = None) -> DataFrame:
     """Per model and stage (number of trees): ``ones``, rows of class 1 in its
-    held-out parts, and ``hits``, those with a margin above 0; one pass."""
+    held-out parts, and ``hits``, those with a margin above 0; one pass over the
+    rows, or over the models if there are ``cells``."""
     last = max(stages)
+    if cells is not None:
+        spark = rows.sparkSession
+        tasks = max(1, min(len(models), spark.sparkContext.defaultParallelism))
+        axis, bins = list(np.argsort(cells.order)), cells.counts.shape[2:]
+        ones = {p: cells.of(cells.counts, p)[1] for p in set(held_out)}
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = []
+            for m in (m for b in batches for t in b["id"].to_pylist() for m in range(len(models))[t::tasks]):
+                own = ones[held_out[m]]
+                found += [(m, n, int(own.sum()), int(own[margin > 0].sum())) for n, margin in _grid_margins(bins, axis, models[m], starts[m], forest[m][:last], set(stages))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 4, ["model", "stage", "ones", "hits"])
+
+        return spark.range(0, tasks, 1, tasks).mapInArrow(dealt, "model long, stage long, ones long, hits long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], list[int]] = {}
@@ -371,5 +585,18 @@ class Boosted:
     trees: list[Tree]
 
     def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
-        """``rows`` with ``out``, the margin of class 1."""
+        """``rows`` with ``out``, the margin of class 1; looked up by cell where they are few."""
+        bins = [len(e) + 1 for e in self.edges]
+        if self.trees and math.prod(bins) <= GRID_CELLS:
+            table = next(m for _, m in _grid_margins(bins, range(len(bins)), self.model, self.start, self.trees, [len(self.trees)])).ravel()
+            limits = [np.array(e) for e in self.edges]
+
+            @F.pandas_udf("double")
+            def looked_up(*values: pd.Series) -> pd.Series:
+                at = np.zeros(len(values[0]), np.int64)
+                for limit, v in zip(limits, values):
+                    at = at * (len(limit) + 1) + np.searchsorted(limit, np.nan_to_num(v.to_numpy(float, na_value=np.nan), nan=0.0), "left")
+                return pd.Series(table[at])
+
+            return rows.withColumn(out, looked_up(*[F.col(c).cast("double") for c in self.cols]))
         return rows.withColumn(out, margins([self.model], [self.start], [self.trees])(codes(self.cols, self.edges), F.lit(0)))

@@ -1,7 +1,6 @@
-"""Model stage (ML-*): gradient-boosted trees with the reference's settings,
-k-means with restarts and PCA on centred data by Spark ML; the searches, which
-fit many models on the same rows, by ``boosting``.  Scores are margins from ``rawPrediction`` (Spark's GBT margin is the
-half-scaled logistic margin: the ranking, hence AUC, is the same)."""
+"""Model stage (ML-*): gradient-boosted trees with the reference's settings and
+the searches over them by ``boosting``, k-means with restarts and PCA on centred
+data by Spark ML.  Scores are margins (log-odds)."""
 
 from __future__ import annotations
 
@@ -31,14 +30,13 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 def gbt_margin(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str = "label", **overrides) -> DataFrame:
     """Fit gradient-boosted trees on ``train`` and score ``test``: adds
-    ``score`` (margin of class 1) (ML-01)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
+    ``prediction`` (0 or 1) and ``score`` (margin of class 1) (ML-01)."""
     params = {**GBT_PARAMS, **overrides}
-    model = GBTClassifier(featuresCol="features", labelCol=label, **params).fit(assemble(train, cols))
-    scored = model.transform(assemble(test, cols))
-    return scored.withColumn("score", F.get(vector_to_array("rawPrediction"), 1)).drop("features", "rawPrediction",
-                                                                                     "probability")
+    rows, edges, cells = _binned(train, cols, label, None, [0])
+    setting = _boosted(params, [0])
+    starts, forest = B.train(rows, [setting], params["maxIter"], len(cols), params["seed"], cells)
+    scored = B.Boosted(list(cols), edges, setting, float(starts[0]), forest[0]).score(test)
+    return scored.select(*[c for c in test.columns if c != "score"], (F.col("score") > 0).cast("double").alias("prediction"), "score")
 
 
 def kmeans_best(df: DataFrame, cols: Sequence[str], k: int = 8, seed: int = 404, restarts: int = 10) -> DataFrame:
@@ -93,6 +91,20 @@ def _boosted(setting: dict, parts) -> B.Model:
     return B.Model(setting["stepSize"], setting["subsamplingRate"], setting["maxDepth"], setting["minInstancesPerNode"], frozenset(parts))
 
 
+def _binned(train: DataFrame, cols: Sequence[str], label: str, part: str | None, parts) -> tuple[DataFrame, list[list[float]], B.Grid | None]:
+    """Binned rows for ``boosting``, the edges of the bins and, where they are
+    few, the counts of all cells; the rows are then not binned one by one.
+    ``train`` is evaluated once."""
+    place = F.lit(0) if part is None else F.col(part).cast("int")
+    own = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]
+    stored = materialize(train.select(*own, F.col(label).cast("int").alias("label"), place.alias("part"), F.xxhash64(*train.columns).alias("id")))
+    names = [f"c{i}" for i in range(len(cols))]
+    edges = B.fit_bins(stored, names)
+    cells = B.grid(stored, names, edges, "label", "part", parts)
+    rows = stored.select(B.codes(names, edges).alias("codes"), "label", "part", "id")
+    return rows if cells is not None else materialize(rows), edges, cells
+
+
 def grid_search(train: DataFrame, cols: Sequence[str], label: str = "label", fold: str = "fold", folds: int = 3,
                 grid: dict | None = None, refit: bool = True) -> tuple[B.Boosted | None, list[tuple[dict, float]]]:
     """Cross-validated search over boosting settings by the mean recall of class 1
