@@ -54,6 +54,21 @@ def test_rows_are_drawn_each_on_its_own():
     assert (B._drawn_counts(counts, 0.5, [1, 3]) != B._drawn_counts(counts, 0.5, [1, 2])).any()
 
 
+def test_a_search_over_few_cells_makes_no_pass_a_tree(spark, table, monkeypatch):
+    """Before: several jobs a tree."""
+    df, cols = table
+    small = dict(maxIter=(20, 40), stepSize=(0.1,), subsamplingRate=(0.5, 1.0), maxDepth=(2, 3), minInstancesPerNode=(1,))
+    spark.sparkContext.setJobGroup("grid", "search")
+    best, found = ML.grid_search(df, cols, grid=small)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("grid"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert 0 < jobs < 30 and len(found) == 8 and min(r for _, r in found) > 0.5
+    monkeypatch.setattr(B, "GRID_CELLS", 0)
+    _, by_rows = ML.grid_search(df, cols, grid=small, refit=False)
+    for (s, x), (t, y) in zip(found, by_rows):  # other draws where rows are sampled
+        assert s == t and abs(x - y) < (1e-6 if s["subsamplingRate"] == 1 else 0.05)
+
+
 def test_gbt_margin_scores_with_all_columns_kept(spark, table):
     df, cols = table
     got = ML.gbt_margin(df.where("fold <> 0"), df.where("fold = 0"), cols, maxIter=30)

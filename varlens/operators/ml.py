@@ -116,17 +116,15 @@ def grid_search(train: DataFrame, cols: Sequence[str], label: str = "label", fol
     the best setting (the first of equals; None without ``refit``) and the
     table of (setting, recall)."""
     settings = _settings(grid or GBT_GRID)
-    edges = B.fit_bins(train, cols)
-    rows = materialize(train.select(B.codes(cols, edges).alias("codes"), F.col(label).cast("int").alias("label"), F.col(fold).cast("int").alias("part"),
-                                    F.xxhash64(*train.columns).alias("id")))
-    most = max(s["maxIter"] for s in settings)
     every = frozenset(range(folds))
+    rows, edges, cells = _binned(train, cols, label, fold, every)
+    most = max(s["maxIter"] for s in settings)
     held = [frozenset([f]) for f in range(folds)]
     models = list(dict.fromkeys(_boosted(s, every - h) for s in settings for h in held))
     whole = list(dict.fromkeys(_boosted(s, every) for s in settings)) if refit else []
-    starts, forest = B.train(rows, models + whole, most, len(cols), GBT_PARAMS["seed"])
+    starts, forest = B.train(rows, models + whole, most, len(cols), GBT_PARAMS["seed"], cells)
     n = len(models)
-    hits = B.staged_hits(rows, models, starts[:n], forest[:n], [every - m.parts for m in models], sorted({s["maxIter"] for s in settings}), len(cols))
+    hits = B.staged_hits(rows, models, starts[:n], forest[:n], [every - m.parts for m in models], sorted({s["maxIter"] for s in settings}), len(cols), cells)
     recall = {(models[r["model"]], r["stage"]): r["hits"] / r["ones"] if r["ones"] else 0.0 for r in hits.collect()}
     table = [(s, sum(recall.get((_boosted(s, every - h), s["maxIter"]), 0.0) for h in held) / folds) for s in settings]
     if not refit:
