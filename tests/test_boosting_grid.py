@@ -79,3 +79,17 @@ def test_gbt_margin_scores_with_all_columns_kept(spark, table):
     assert np.mean([p > n for p in pos for n in neg]) > 0.75
     with pytest.raises(Exception, match="a label is null"):
         ML.gbt_margin(df.withColumn("label", F.when(F.col("id") > 7, F.col("label"))), df, cols, maxIter=2)
+
+
+def test_tuned_holdout_makes_no_pass_a_tree(spark, table):
+    """Before: several jobs a tree."""
+    df, cols = table
+    small = dict(maxIter=(20, 40), stepSize=(0.1,), subsamplingRate=(0.5,), maxDepth=(2, 3), minInstancesPerNode=(1,))
+    spark.sparkContext.setJobGroup("tuned", "holdout")
+    scored, found = ML.tuned_holdout(df.where("id % 4 <> 0"), df.where("id % 4 = 0"), cols, "id", grid=small)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("tuned"))
+    spark.sparkContext.setJobGroup("other", "")
+    rows = scored.collect()
+    assert 0 < jobs < 60 and len(found) == 4 and sorted(r["id"] for r in rows) == list(range(0, 3030, 4))
+    pos, neg = [r["score"] for r in rows if r["label"]], [r["score"] for r in rows if not r["label"]]
+    assert np.mean([p > n for p in pos for n in neg]) > 0.75

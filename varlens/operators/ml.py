@@ -153,7 +153,7 @@ def tuned_holdout(train: DataFrame, test: DataFrame, cols: Sequence[str], id_col
     stats = FE.fit_standard(train, cols)
     train, test = FE.apply_standard(train, stats, cols, impute=False), FE.apply_standard(test, stats, cols, impute=False)
     fifth = SP.stratified_kfold(train, id_col, label, k=5, seed=seed, out="__fifth")
-    searched = SP.stratified_kfold(fifth.where("__fifth <> 0"), id_col, label, k=search.get("folds", 3), seed=seed, out="fold")
+    searched = SP.stratified_kfold(materialize(fifth.where("__fifth <> 0")), id_col, label, k=search.get("folds", 3), seed=seed, out="fold")
     model, table = grid_search(searched, cols, label, "fold", **search)
     return model.score(test), table
 
