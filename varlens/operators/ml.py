@@ -183,9 +183,12 @@ def nested_cv(rows: DataFrame, cols: Sequence[str], outer: str = "for_outer", ro
 
 
 #: Rows that meet all others in one pass over the data.
-SILHOUETTE_ROWS = 4096
-#: Rows of the data that they meet at once; Arrow's batches grow with the table up to 10,000.
+SILHOUETTE_ROWS = 16384
+#: Rows of the data that meet as many of them at once: a tile of distances, of 2 MB, stays
+#: near the processor; Arrow's batches grow with the table up to 10,000.
 SILHOUETTE_BATCH = 512
+#: Fits of k-means that run at once.
+KMEANS_FITS = 8
 
 
 def silhouettes(rows: DataFrame, counts: Sequence[int]) -> list[float | None]:
@@ -199,24 +202,32 @@ def silhouettes(rows: DataFrame, counts: Sequence[int]) -> list[float | None]:
     (row, cluster) come out of a task; no pair does."""
     import numpy as np
     import pyarrow as pa
-    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), F.col("vector").cast("array<double>").alias("vector"), "labels"))
+    spread = rows.select(F.col("vector").cast("array<double>").alias("vector"), "labels").repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    rows = materialize(spread.select(F.monotonically_increasing_id().alias("row"), "vector", "labels"))
     total = rows.count()
     starts = np.concatenate([[0], np.cumsum(counts)])
 
     def passed(own_rows, own):
-        squares = (own ** 2).sum(1)
+        left = np.concatenate([own, (own ** 2).sum(1)[:, None], np.ones((len(own), 1))], 1)
 
         def run(batches):
             sums = np.zeros((len(own), starts[-1]))
             for b in (whole.slice(at, SILHOUETTE_BATCH) for whole in batches for at in range(0, whole.num_rows, SILHOUETTE_BATCH)):
                 other = b["vector"].flatten().to_numpy().reshape(b.num_rows, -1)
                 labels = b["labels"].flatten().to_numpy().reshape(b.num_rows, -1)
-                far = np.sqrt(np.maximum(squares[:, None] + (other ** 2).sum(1)[None] - 2 * own @ other.T, 0))
-                far[own_rows[:, None] == b["row"].to_numpy()[None]] = 0
+                right = np.concatenate([-2 * other.T, np.ones((1, b.num_rows)), (other ** 2).sum(1)[None]])
                 member = np.zeros((b.num_rows, starts[-1]))
                 for c in range(len(counts)):
                     member[np.arange(b.num_rows), starts[c] + labels[:, c]] = 1
-                sums += far @ member
+                place = np.searchsorted(own_rows, b["row"].to_numpy())  # own rows ascend
+                itself = np.flatnonzero(own_rows[np.minimum(place, len(own) - 1)] == b["row"].to_numpy())
+                for first in range(0, len(own), SILHOUETTE_BATCH):
+                    far = left[first:first + SILHOUETTE_BATCH] @ right
+                    np.maximum(far, 0, out=far)
+                    np.sqrt(far, out=far)
+                    here = itself[(place[itself] >= first) & (place[itself] < first + SILHOUETTE_BATCH)]
+                    far[place[here] - first, here] = 0
+                    sums[first:first + SILHOUETTE_BATCH] += far @ member
             yield pa.RecordBatch.from_arrays([pa.array(own_rows), pa.array(list(sums), pa.list_(pa.float64()))], ["row", "sums"])
         return run
 
@@ -234,8 +245,8 @@ def silhouettes(rows: DataFrame, counts: Sequence[int]) -> list[float | None]:
     far = parts[0]
     for p in parts[1:]:
         far = far.unionAll(p)
-    added = far.select("row", F.posexplode("sums").alias("at", "x")).groupBy("row", "at").agg(F.sum("x").alias("x"))
-    added = added.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("sums"))
+    added = far.groupBy("row").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"x{i}") for i in range(starts[-1])])
+    added = added.select("row", F.array(*[F.col(f"x{i}") for i in range(starts[-1])]).alias("sums"))
     sizes = rows.select(F.posexplode("labels").alias("c", "label")).groupBy("c", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # clusters
     size = np.zeros(starts[-1])
     for r in sizes:
@@ -259,20 +270,29 @@ def choice_of_k(df: DataFrame, cols: Sequence[str], k_max: int, seed: int = 42,
     """(k, within-cluster sum of squares, mean Euclidean silhouette) for k = 1 ..
     k_max (ML-06), best of ``restarts`` fits by cost; k = 1 has no silhouette.
     All clusterings share one pass over the distances."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
-    data = materialize(assemble(df, cols).select("features")).cache()
+    data = materialize(assemble(df, cols).select("features"))  # not cached: a fit keeps its vectors itself, and doesn't decode them in each step
     row = data.agg(Summarizer.variance(F.col("features")).alias("v"), F.count(F.lit(1)).alias("n")).first()
     costs = [float(sum(row["v"])) * max(0, row["n"] - 1)]
     labelled, ks = data, list(range(2, k_max + 1))
-    for k in ks:
-        fits = [KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol=f"c{k}").fit(data) for r in range(restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        costs.append(best.summary.trainingCost)
+
+    def fitted(setting):
+        k, r = setting
+        model = KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol=f"c{k}").fit(data)
+        return model.summary.trainingCost, model
+
+    with ThreadPool(KMEANS_FITS) as pool:  # a fit is many short jobs
+        fits = pool.map(inheritable_thread_target(df.sparkSession)(fitted), [(k, r) for k in ks for r in range(restarts)], 1)
+    for i in range(len(ks)):
+        cost, best = min(fits[i * restarts:(i + 1) * restarts], key=lambda f: f[0])
+        costs.append(cost)
         labelled = best.transform(labelled)
     found = silhouettes(labelled.select(vector_to_array("features").alias("vector"), F.array(*[F.col(f"c{k}") for k in ks]).alias("labels")), ks) if ks else []
-    data.unpersist()
     return list(zip([1, *ks], costs, [None, *found]))
 
 
