@@ -71,14 +71,22 @@ def test_a_search_over_few_cells_makes_no_pass_a_tree(spark, table, monkeypatch)
 
 def test_gbt_margin_scores_with_all_columns_kept(spark, table):
     df, cols = table
-    got = ML.gbt_margin(df.where("fold <> 0"), df.where("fold = 0"), cols, maxIter=30)
+    train = df.where("fold <> 0 AND id < 3000")
+    got = ML.gbt_margin(train, df.where("fold = 0"), cols, maxIter=30)
     assert got.columns == [*df.columns, "prediction", "score"]
     rows = got.collect()
     assert len(rows) == 1010 and all((r["score"] > 0) == (r["prediction"] == 1) for r in rows)
     pos, neg = [r["score"] for r in rows if r["label"]], [r["score"] for r in rows if not r["label"]]
     assert np.mean([p > n for p in pos for n in neg]) > 0.75
     with pytest.raises(Exception, match="a label is null"):
-        ML.gbt_margin(df.withColumn("label", F.when(F.col("id") > 7, F.col("label"))), df, cols, maxIter=2)
+        ML.gbt_margin(train.withColumn("label", F.when(F.col("id") > 7, F.col("label"))), df, cols, maxIter=2)
+    with pytest.raises(Exception, match="missing or infinite"):
+        ML.gbt_margin(df, df, cols, maxIter=2)
+    with pytest.raises(TypeError):
+        ML.gbt_margin(train, df, cols, trees=2)
+    vectors = [ML.assemble(x, cols, "v").drop(*cols) for x in (train, train)]
+    one = {r["id"]: r["score"] for r in ML.gbt_margin(*vectors, ["v"], maxIter=5).collect()}
+    assert one == {r["id"]: r["score"] for r in ML.gbt_margin(train, train, cols, maxIter=5).collect()}
 
 
 def test_tuned_holdout_makes_no_pass_a_tree(spark, table):

@@ -30,12 +30,27 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 def gbt_margin(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str = "label", **overrides) -> DataFrame:
     """Fit gradient-boosted trees on ``train`` and score ``test``: adds
-    ``prediction`` (0 or 1) and ``score`` (margin of class 1) (ML-01)."""
+    ``prediction`` (0 or 1) and ``score`` (margin of class 1) (ML-01).  ``cols``
+    are numeric or one vector column; a missing or infinite value raises in
+    ``train`` and is above all others in ``test``."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import VectorUDT
+    if unknown := set(overrides) - set(GBT_PARAMS):
+        raise TypeError(f"unknown settings: {sorted(unknown)}")
     params = {**GBT_PARAMS, **overrides}
-    rows, edges, cells = _binned(train, cols, label, None, [0])
+    if len(cols) == 1 and isinstance(train.schema[cols[0]].dataType, VectorUDT):
+        one = train.select(F.size(vector_to_array(cols[0])).alias("n")).first()
+        found = [F.get(vector_to_array(cols[0]), F.lit(i)) for i in range(one["n"] if one else 0)]
+    else:
+        found = [F.col(c).cast("double") for c in cols]
+    names, infinity = [f"__f{i}" for i in range(len(found))], float("inf")
+    bad = [x.isNull() | F.isnan(x) | (F.abs(x) == infinity) for x in found]
+    wrong = F.raise_error(F.lit("a feature is missing or infinite")).cast("double")
+    rows, edges, cells = _binned(train.withColumns({n: F.when(b, wrong).otherwise(x) for n, b, x in zip(names, bad, found)}), names, label, None, [0])
     setting = _boosted(params, [0])
-    starts, forest = B.train(rows, [setting], params["maxIter"], len(cols), params["seed"], cells)
-    scored = B.Boosted(list(cols), edges, setting, float(starts[0]), forest[0]).score(test)
+    starts, forest = B.train(rows, [setting], params["maxIter"], len(names), params["seed"], cells)
+    filled = test.withColumns({n: F.when(x.isNull() | F.isnan(x), infinity).otherwise(x) for n, x in zip(names, found)})
+    scored = B.Boosted(names, edges, setting, float(starts[0]), forest[0]).score(filled)
     return scored.select(*[c for c in test.columns if c != "score"], (F.col("score") > 0).cast("double").alias("prediction"), "score")
 
 
